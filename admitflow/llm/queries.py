@@ -23,3 +23,10 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
     return digest_chats(format_chats(chats.unionByName(extra)))
+
+
+@query
+def op5_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from admitflow.llm.quality import quality
+
+    return quality(read(spark, sf_dir, "documents"))
