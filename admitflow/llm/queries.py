@@ -30,3 +30,10 @@ def op5_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     from admitflow.llm.quality import quality
 
     return quality(read(spark, sf_dir, "documents"))
+
+
+@query
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from admitflow.llm.langid import identify
+
+    return identify(read(spark, sf_dir, "documents"))
