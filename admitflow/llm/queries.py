@@ -37,3 +37,10 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from admitflow.llm.langid import identify
 
     return identify(read(spark, sf_dir, "documents"))
+
+
+@query
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from admitflow.llm.simhash import near_duplicates
+
+    return near_duplicates(read(spark, sf_dir, "documents"))
