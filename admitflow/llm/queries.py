@@ -44,3 +44,10 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from admitflow.llm.simhash import near_duplicates
 
     return near_duplicates(read(spark, sf_dir, "documents"))
+
+
+@query
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from admitflow.llm.decontam import find_leaks
+
+    return find_leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
