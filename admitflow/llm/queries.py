@@ -51,3 +51,10 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from admitflow.llm.decontam import find_leaks
 
     return find_leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+@query
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from admitflow.llm.secret_scan import digest, scan
+
+    return digest(scan(read(spark, sf_dir, "documents")))
