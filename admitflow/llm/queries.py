@@ -58,3 +58,11 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from admitflow.llm.secret_scan import digest, scan
 
     return digest(scan(read(spark, sf_dir, "documents")))
+
+
+@query
+def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from admitflow.llm.mixing import mix
+
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    return mix(docs).select("doc_id", "mix_source", "mix_lang", "mix_topic", "mix_tokens", "mix_probability", "mix_weight", "mix_sampled")
