@@ -66,3 +66,10 @@ def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     return mix(docs).select("doc_id", "mix_source", "mix_lang", "mix_topic", "mix_tokens", "mix_probability", "mix_weight", "mix_sampled")
+
+
+@query
+def op10_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from admitflow.llm.html_extract import main_text
+
+    return main_text(read(spark, sf_dir, "pages"))
