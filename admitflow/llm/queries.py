@@ -73,3 +73,10 @@ def op10_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     from admitflow.llm.html_extract import main_text
 
     return main_text(read(spark, sf_dir, "pages"))
+
+
+@query
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from admitflow.llm.substring import remove_repeats
+
+    return remove_repeats(read(spark, sf_dir, "documents"), with_text=False)
