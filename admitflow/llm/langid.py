@@ -171,3 +171,19 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 def identify(docs: DataFrame, **options) -> DataFrame:
     """Fits on the labelled documents outside the test fold and predicts all."""
     return predict(docs, fit(docs, **options))
+
+
+def keep_identified(docs: DataFrame, least_score: float = 0.5, text_col: str = "text", **options) -> DataFrame:
+    """The documents, with all their columns, whose language is known with at least ``least_score``."""
+    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, text_col=text_col, **options))
+    place = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                langs, scores = model.predict(part.column(place).to_pylist())
+                yield part.filter(pa.array((np.array(langs) != UNKNOWN) & (scores >= least_score), pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -1,8 +1,71 @@
-"""A training corpus from ``documents`` in stages (filled below as the operators land)."""
+"""A training corpus from ``documents``: five stages, each one of the operators.
 
-STAGES: list = []
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame; between stages
+the documents are written as Parquet and read again, so that a lost executor
+costs its own stage only. All stages but the last return the columns of
+``documents``; the last adds the mixing columns to the documents it samples.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from admitflow.llm.decontam import decontaminate
+from admitflow.llm.langid import keep_identified
+from admitflow.llm.mixing import mix
+from admitflow.llm.secret_scan import redact
+from admitflow.llm.simhash import keep_one
+from admitflow.session import checkpoint_dir, read
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a recognised language go."""
+    return keep_identified(docs)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates stays."""
+    return keep_one(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return decontaminate(docs, read(spark, sf_dir, "benchmark"))
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets are masked; n_chars follows the text. No document goes."""
+    if "n_chars" not in docs.columns:
+        return redact(docs)
+    masked = redact(docs.withColumn("__chars", F.length("text")))
+    chars = F.when(F.length("text") == F.col("__chars"), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType))
+    return masked.withColumn("n_chars", chars).select(*docs.columns)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents sampled towards the target weights."""
+    return mix(docs).where("mix_sampled").drop("mix_sampled")
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("near_dedup", near_dedup),
+    ("decontamination", decontamination),
+    ("secret_scan", secret_scan),
+    ("mixing", mixing),
+]
+
+#: Fingerprints, fitted classifiers and alignments can't be said in SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    folder = f"{checkpoint_dir(spark)}/corpus-{uuid.uuid4().hex}"
+    for name, stage in STAGES[:-1]:
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        docs = spark.read.parquet(f"{folder}/{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
