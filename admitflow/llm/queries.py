@@ -80,3 +80,10 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from admitflow.llm.substring import remove_repeats
 
     return remove_repeats(read(spark, sf_dir, "documents"), with_text=False)
+
+
+@query
+def op2_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from admitflow.llm.pii import pseudonymise
+
+    return pseudonymise(read(spark, sf_dir, "documents"))
