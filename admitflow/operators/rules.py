@@ -8,8 +8,8 @@ from that row's columns, named below.
 applicant: gpa, overall, min_band, listening, reading, speaking, writing (user_*),
 background, keywords, subjects_text, want_intakes, budget_min/max, want_min/max
 (years), want_degree, want_campus, accepts_pathway.
-candidate: course_name, academic_text, reason, gpa_min, need_overall, need_band,
-intakes, fee, duration_min/max, degree, campus.
+candidate: course_name, academic_text, reason, gpa_min, need_overall, need_band, listening,
+reading, speaking, writing, intakes, fee, duration_min/max, degree, campus.
 """
 
 from __future__ import annotations
@@ -118,7 +118,7 @@ def gate_checks(include_reason: bool = True) -> Column:
     major = F.exists("keywords", lambda k: F.contains(spoken, F.lower(k)))
     way = pathway_available(c("academic_text"))
     below = c("gpa") < c("gpa_min")
-    fails = reduce(lambda a, b: a | b, (F.coalesce(F.coalesce(c(f"user_{p}"), c("min_band")) < c("need_band"), F.lit(False)) for p in PARTS), c("overall") < c("need_overall"))
+    fails = reduce(lambda a, b: a | b, (F.coalesce(F.coalesce(c(f"user_{p}"), c("min_band")) < F.coalesce(c(p), c("need_band")), F.lit(False)) for p in PARTS), c("overall") < c("need_overall"))
     no_want = F.size(F.coalesce("want_intakes", F.array().cast("array<string>"))) == 0
     none = F.size(F.coalesce("intakes", F.array().cast("array<string>"))) == 0
     no_budget = c("budget_min").isNull() & c("budget_max").isNull()

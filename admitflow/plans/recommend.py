@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from admitflow.functions.text import mapped
 from admitflow.operators.browse import range_contains, ranges_overlap
 from admitflow.operators.retrieve import keyword_top, match_reason
-from admitflow.operators.rules import background_category, decide, gate_checks, minimum_average
+from admitflow.operators.rules import PARTS, background_category, decide, gate_checks, minimum_average, strictest_band
 
 #: Weights, band limits and what a plan takes.
 AVERAGE_WEIGHT, LANGUAGE_WEIGHT, REACH_BELOW, MATCH_TO, LEAST_RELEVANCE, PER_BAND = 0.7, 0.3, 0.95, 1.1, 0.05, 5
@@ -96,7 +96,7 @@ def plan_exclusion() -> Column:
 def plan(scored: DataFrame, applicant: str, course: str, n: int = PER_BAND) -> DataFrame:
     """The first ``n`` of each applicant's band: closest to what the band aims at, then relevance, score, fee, name, id."""
     aim = F.when(F.col("band") == "REACH", REACH_BELOW).when(F.col("band") == "MATCH", (REACH_BELOW + MATCH_TO) / 2).otherwise(MATCH_TO)
-    order = [F.abs(F.col("score") - aim), F.desc("relevance"), F.desc("score"), F.asc_nulls_last("fee"), F.col("course_name"), F.col(course)]
+    order = [F.round(F.abs(F.col("score") - aim), 12), F.desc("relevance"), F.desc("score"), F.asc_nulls_last("fee"), F.col("course_name"), F.col(course)]
     rank = F.row_number().over(Window.partitionBy(applicant, "band").orderBy(*order))
     return scored.where("exclusion is null and band is not null").withColumn("rank", rank).where(F.col("rank") <= n)
 
@@ -114,7 +114,8 @@ def candidates(applicants: DataFrame, courses: DataFrame, k: int = 30) -> DataFr
 def judged(pairs: DataFrame) -> DataFrame:
     """Pairs with thresholds, checks, status, score, band and exclusion."""
     category = background_category(F.col("background"))
-    out = pairs.withColumn("gpa_min", minimum_average(category, F.col("course_name"))).withColumn("checks", gate_checks())
+    out = pairs.withColumn("gpa_min", minimum_average(category, F.col("course_name")))
+    out = out.withColumn("need_band", strictest_band(F.col("need_band"), *map(F.col, PARTS))).withColumn("checks", gate_checks())
     out = out.withColumn("status", decide(F.col("checks"))).withColumn("parts", score_parts(F.col("gpa"), F.col("gpa_min"), F.col("overall"), F.col("need_overall")))
     out = out.withColumn("score", F.col("parts.score")).withColumn("band", band_of(F.col("score")))
     return out.withColumn("exclusion", F.when(F.col("score").isNull(), "scoring_failed").otherwise(plan_exclusion()))

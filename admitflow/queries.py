@@ -1,6 +1,680 @@
-"""The registry of the library's own queries: name -> (spark, sf_dir) -> DataFrame."""
+"""The registry of the library's own queries: name -> (spark, sf_dir) -> DataFrame, with SQL for the same rows."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from admitflow.functions import text as T
+from admitflow.operators import browse as B
+from admitflow.operators import index as I
+from admitflow.operators import maintain as M
+from admitflow.operators import retrieve as R
+from admitflow.operators import rules as G
+from admitflow.plans import recommend as K
+from admitflow.session import checkpoint_dir, read
+from admitflow.sources import tables as S
+
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
+C = F.col
+WITH_COURSE = f"WITH course AS (SELECT {S.select_list(S.COURSE)} FROM part)"
+WITH_APPLICANT = f"WITH applicant AS (SELECT {S.select_list(S.APPLICANT)} FROM customer)"
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return add
+
+
+def joined(column):
+    """Arrays are returned as text."""
+    return F.array_join(column, "|")
+
+
+# --- sources and maintenance
+
+
+SEED = {"file_name": "CASE WHEN p_partkey % 10 = 0 THEN '  ' ELSE concat(' ', p_name, ' ') END", "code": "p_brand", "years": S.choice("p_partkey", "'2.0'", "'6.50'", "'abc'", "'7'", "'10.00'")}
+
+
+@query(f"WITH t AS (SELECT p_partkey, {S.select_list(SEED)} FROM part) SELECT p_partkey, trim(file_name) AS course_name, trim(code) AS cricos, CASE WHEN regexp_matches(years, '^-?[0-9]+\\.[0-9]+$') THEN regexp_replace(regexp_replace(years, '0+$', ''), '\\.$', '') ELSE years END AS duration FROM t WHERE trim(file_name) <> '' AND trim(code) <> ''")
+def seed_load_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "part").selectExpr("p_partkey", *(f"{v} AS {k}" for k, v in SEED.items()))
+    return S.load_seeds(rows, {"file_name": "course_name", "code": "cricos", "years": "duration"}, ("duration",))
+
+
+@query("SELECT c_custkey, sha256(to_json({'c_custkey': CAST(c_custkey AS VARCHAR), 'c_mktsegment': coalesce(c_mktsegment, ''), 'c_name': coalesce(c_name, ''), 'c_nationkey': CAST(c_nationkey AS VARCHAR)})::VARCHAR) AS row_hash FROM customer")
+def row_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "customer").select("c_custkey", M.row_hash(["c_name", "c_custkey", "c_nationkey", "c_mktsegment"]).alias("row_hash"))
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN lower(o_orderstatus) ELSE o_orderstatus END AS o_orderstatus, CASE WHEN o_orderkey % 3 <> 0 THEN 'base' ELSE 'delta' END AS created_by FROM orders WHERE o_orderkey % 3 <> 0 OR o_orderkey % 2 = 0")
+def upsert_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = read(spark, sf_dir, "orders")
+    base = orders.where("o_orderkey % 3 <> 0").select("o_orderkey", "o_orderstatus", F.lit("base").alias("created_by"))
+    delta = orders.where("o_orderkey % 2 = 0").select("o_orderkey", F.lower("o_orderstatus").alias("o_orderstatus"), F.lit("delta").alias("created_by"))
+    return M.upsert(base, delta, "o_orderkey", keep=["created_by"])
+
+
+@query("SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 5 = 0) UNION ALL SELECT o_orderkey, 99, 1.0 FROM orders WHERE o_orderkey % 5 = 0")
+def replace_children(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
+    new = read(spark, sf_dir, "orders").where("o_orderkey % 5 = 0").select(C("o_orderkey").alias("l_orderkey"), F.lit(99).alias("l_linenumber"), F.lit(1.0).alias("l_quantity"))
+    return M.replace_children(base, new, "l_orderkey")
+
+
+def last_status(orders: DataFrame, parity: int) -> DataFrame:
+    return orders.where(C("o_orderkey") % 2 == parity).groupBy("o_custkey").agg(F.max_by("o_orderstatus", F.struct("o_orderdate", "o_orderkey")).alias("status"))
+
+
+VERSIONS = """
+WITH b AS (SELECT o_custkey, status, sha256(to_json({'status': coalesce(status, '')})::VARCHAR) AS p FROM (SELECT o_custkey, arg_max(o_orderstatus, (o_orderdate, o_orderkey)) AS status FROM orders WHERE o_orderkey % 2 = 1 GROUP BY 1)),
+     d AS (SELECT o_custkey, status, sha256(to_json({'status': coalesce(status, '')})::VARCHAR) AS p FROM (SELECT o_custkey, arg_max(o_orderstatus, (o_orderdate, o_orderkey)) AS status FROM orders WHERE o_orderkey % 2 = 0 GROUP BY 1))
+SELECT b.o_custkey, b.status, b.p AS fingerprint, 1 AS version, d.p IS NULL OR d.p = b.p AS is_current, CASE WHEN d.p = b.p THEN 'second' ELSE 'first' END AS verified_at FROM b LEFT JOIN d USING (o_custkey)
+UNION ALL SELECT d.o_custkey, d.status, d.p, CASE WHEN b.p IS NULL THEN 1 ELSE 2 END, true, 'second' FROM d LEFT JOIN b USING (o_custkey) WHERE b.p IS NULL OR b.p <> d.p"""
+
+
+@query(VERSIONS)
+def scd2_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = read(spark, sf_dir, "orders")
+    first = last_status(orders, 1).select("o_custkey", "status", M.row_hash(["status"]).alias("fingerprint"), F.lit(1).alias("version"), F.lit(True).alias("is_current"), F.lit("first").alias("verified_at"))
+    return M.version_rows(first, last_status(orders, 0), "o_custkey", ["status"], F.lit("second"))
+
+
+@query("SELECT c_custkey, c_name, o_orderkey, o_orderstatus FROM customer LEFT JOIN (SELECT * FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1) o ON c_custkey = o_custkey AND o_orderstatus <> 'P'")
+def current_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    last = M.latest(read(spark, sf_dir, "orders"), "o_custkey", [F.desc("o_orderdate"), F.desc("o_orderkey")])
+    rows = read(spark, sf_dir, "customer").join(last, (C("c_custkey") == C("o_custkey")) & (C("o_orderstatus") != "P"), "left")
+    return rows.select("c_custkey", "c_name", "o_orderkey", "o_orderstatus").orderBy("c_name", "c_custkey")
+
+
+@query("SELECT o_orderkey, c_name, o_orderpriority FROM orders JOIN customer ON o_custkey = c_custkey")
+def listing_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "orders").join(read(spark, sf_dir, "customer"), C("o_custkey") == C("c_custkey"))
+    return rows.select("o_orderkey", "c_name", "o_orderpriority").orderBy("c_name", "o_orderkey")
+
+
+@query("SELECT d.doc_id, d.source, l.quality FROM documents d JOIN labels l USING (doc_id) WHERE trim(d.text) <> '' AND d.lang = 'en'")
+def index_record_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
+    return docs.where("trim(text) <> '' and lang = 'en'").join(labels, "doc_id").select("doc_id", "source", "quality").orderBy("source", F.desc("doc_id"))
+
+
+@query("""SELECT c_custkey, coalesce(o.url, e.event) AS url, coalesce(o.has_open, false) AS has_open, coalesce(e.failed, false) AS failed FROM customer
+LEFT JOIN (SELECT o_custkey, max(CASE WHEN o_orderstatus = 'F' THEN o_orderkey END) AS url, bool_or(o_orderstatus = 'O') AS has_open FROM orders GROUP BY 1) o ON o_custkey = c_custkey
+LEFT JOIN (SELECT user_id, max(event_id) AS event, bool_or(value < 5) AS failed FROM events GROUP BY 1) e ON user_id = c_custkey WHERE NOT coalesce(o.has_open, false) OR coalesce(e.failed, false)""")
+def seed_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = read(spark, sf_dir, "orders").groupBy(C("o_custkey").alias("c_custkey")).agg(F.max(F.when(C("o_orderstatus") == "F", C("o_orderkey"))).alias("order_url"), F.bool_or(C("o_orderstatus") == "O").alias("o"))
+    e = read(spark, sf_dir, "events").groupBy(C("user_id").alias("c_custkey")).agg(F.max("event_id").alias("event"), F.bool_or(C("value") < 5).alias("f"))
+    seeds = read(spark, sf_dir, "customer").select("c_custkey").join(o, "c_custkey", "left").join(e, "c_custkey", "left")
+    seeds = seeds.select("c_custkey", F.coalesce("order_url", "event").alias("url"), F.coalesce("o", F.lit(False)).alias("has_open"), F.coalesce("f", F.lit(False)).alias("failed"))
+    return seeds.where("not has_open or failed").orderBy("c_custkey")
+
+
+@query("SELECT user_id, array_to_string(list_sort(list_distinct(list(event_type))), '|') AS kinds, count(*) AS n FROM events GROUP BY 1")
+def ordered_list_agg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "events").groupBy("user_id").agg(joined(F.array_sort(F.collect_set("event_type"))).alias("kinds"), F.count("*").alias("n"))
+
+
+RULES = {"bad_value": "value >= 10", "bad_type": "event_type <> 'error'", "no_user": "user_id % 7 <> 0"}
+FAILED = " ".join(f"CASE WHEN NOT ({v}) THEN '{k}' END," for k, v in RULES.items()).rstrip(",")
+
+
+@query(f"SELECT event_id, list_filter([{FAILED}], lambda x: x IS NOT NULL)[1] AS error_code, array_to_string(list_filter([{FAILED}], lambda x: x IS NOT NULL), ', ') AS message, to_json({{'event_id': event_id, 'event_type': event_type}})::VARCHAR AS payload, true AS retryable FROM events WHERE NOT ({' AND '.join(f'({v})' for v in RULES.values())})")
+def validate_route(spark: SparkSession, sf_dir: str) -> DataFrame:
+    checked = M.check_rows(read(spark, sf_dir, "events"), {k: F.expr(v) for k, v in RULES.items()})
+    _, dead = M.route(checked, "validate", ["event_id", "event_type"])
+    return dead.select(F.get_json_object("payload", "$.event_id").cast("long").alias("event_id"), "error_code", "message", "payload", "retryable")
+
+
+@query(f"SELECT count(*) AS n FROM events WHERE NOT ({' AND '.join(f'({v})' for v in RULES.values())})")
+def dlq_jsonl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dead letters through JSON lines and back."""
+    import uuid
+
+    path = f"{checkpoint_dir(spark)}/dead-{uuid.uuid4().hex}"
+    checked = M.check_rows(read(spark, sf_dir, "events"), {k: F.expr(v) for k, v in RULES.items()})
+    S.append_dead_letters(M.route(checked, "validate", ["event_id", "event_type"])[1], path)
+    return spark.read.schema("stage string, error_code string, message string, payload string, retryable boolean").json(path).agg(F.count("*").alias("n"))
+
+
+@query("SELECT l_orderkey, l_linenumber, concat_ws('|', CASE WHEN NOT l_discount <= 0.05 THEN 'discount' END, CASE WHEN NOT l_quantity > 5 THEN 'quantity' END) AS broken FROM lineitem WHERE NOT (l_discount <= 0.05 AND l_quantity > 5)")
+def constraint_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    checked = M.check_rows(read(spark, sf_dir, "lineitem"), {"discount": C("l_discount") <= 0.05, "quantity": C("l_quantity") > 5})
+    return checked.where(F.size("errors") > 0).select("l_orderkey", "l_linenumber", joined("errors").alias("broken"))
+
+
+@query("SELECT o_custkey, o_orderpriority, count(*) AS n FROM orders GROUP BY 1, 2 HAVING count(*) > 1")
+def unique_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.duplicate_keys(read(spark, sf_dir, "orders"), ["o_custkey", "o_orderpriority"])
+
+
+# --- text
+
+
+@query(WITH_COURSE + r""", n AS (SELECT course_id, list_transform(regexp_extract_all(duration_text, '([0-9]+(?:\.[0-9]+)?)', 1), lambda x: CAST(x AS DOUBLE)) AS v FROM course)
+SELECT course_id, CASE WHEN len(v) IN (1, 2) THEN list_min(v) END AS duration_min, CASE WHEN len(v) IN (1, 2) THEN list_max(v) END AS duration_max, CASE WHEN len(v) NOT IN (1, 2) THEN 'unsupported_duration' END AS error FROM n""")
+def duration_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = T.parse_duration(C("duration_text"))
+    return S.raw_courses(spark, sf_dir).select("course_id", d["min"].alias("duration_min"), d["max"].alias("duration_max"), d["error"].alias("error"))
+
+
+MONTH_CASES = "CASE upper(trim(x)) " + " ".join(f"WHEN '{k}' THEN {T.MONTH_ORDER.index(v)}" for k, v in T.MONTHS.items()) + " END"
+MONTH_NAMES = "[" + ", ".join(f"'{m}'" for m in T.MONTH_ORDER) + "]"
+
+
+@query(WITH_COURSE + f""", n AS (SELECT course_id, list_transform(list_filter(string_split(replace(intake_text, ',', '/'), '/'), lambda x: trim(x) <> ''), lambda x: {MONTH_CASES}) AS v FROM course),
+m AS (SELECT course_id, v, len(v) = 0 OR len(list_filter(v, lambda x: x IS NULL)) > 0 AS bad FROM n)
+SELECT course_id, CASE WHEN NOT bad THEN array_to_string(list_transform(list_sort(list_distinct(v)), lambda x: {MONTH_NAMES}[x + 1]), '|') END AS months, CASE WHEN bad THEN 'unsupported_intake' END AS error FROM m""")
+def intake_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = T.parse_intakes(C("intake_text"))
+    return S.raw_courses(spark, sf_dir).select("course_id", joined(p["months"]).alias("months"), p["error"].alias("error"))
+
+
+SCORES = r"""p AS (SELECT *, CAST(nullif(regexp_extract(trim(english_text), '^\s*([0-9](?:\.[0-9])?)', 1), '') AS DOUBLE) AS need_overall, trim(regexp_extract(english_text, '\(([^)]*)\)', 1)) AS inside FROM course),
+q AS (SELECT *, CAST(nullif(regexp_extract(inside, '^([0-9](?:\.[0-9])?)$', 1), '') AS DOUBLE) AS single FROM p),
+r AS (SELECT *, """ + ", ".join(rf"coalesce(single, CAST(nullif(regexp_extract(inside, '([0-9](?:\.[0-9])?)\s+(?:[A-Z]/)*{n[0].upper()}(?:/[A-Z])*\s*(?:;|$)', 1), '') AS DOUBLE)) AS {n}" for n in G.PARTS) + r""" FROM q),
+scored AS (SELECT *, CASE WHEN coalesce(listening, reading, speaking, writing) IS NULL THEN CAST(nullif(regexp_extract(inside, '([0-9](?:\.[0-9])?)', 1), '') AS DOUBLE) ELSE least(listening, reading, speaking, writing) END AS need_band FROM r)"""
+
+
+@query(f"{WITH_COURSE}, {SCORES} SELECT course_id, need_overall AS overall, need_band AS min_band, listening, reading, speaking, writing, CASE WHEN coalesce(listening, reading, speaking, writing) IS NULL THEN nullif(inside, '') END AS unparsed FROM scored")
+def score_text_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.raw_courses(spark, sf_dir).select("course_id", T.parse_score_text(C("english_text")).alias("s")).select("course_id", "s.*")
+
+
+def duck_text(x: str) -> str:
+    for name, char in (("&nbsp;", " "), ("&middot;", "·"), ("&copy;", "©"), ("&quot;", '"'), ("&lt;", "<"), ("&gt;", ">"), ("&#39;", "''"), ("&amp;", "&")):
+        x = f"replace({x}, '{name}', '{char}')"
+    return rf"trim(regexp_replace({x}, '\s+', ' ', 'g'), ' ' || chr(10) || chr(9) || '-:')"
+
+
+STRIPPED = duck_text(r"regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''), '<br\s*/?>', ' ', 'gi'), '</(?:p|div|li|h[1-6]|tr)>', chr(10), 'gi'), '<[^>]+>', ' ', 'g')")
+URL = "regexp_replace(regexp_replace(url, '[?#].*$', ''), ';[^/]*$', '')"
+
+
+@query(f"SELECT page_id, {URL} AS url, {STRIPPED} AS text FROM pages")
+def page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.page_texts(read(spark, sf_dir, "pages"))
+
+
+@query(f"SELECT page_id, {URL} AS canonical, regexp_extract(url, '^https?://([^/?#]+)', 1) AS host FROM pages")
+def url_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "pages").select("page_id", T.canonical_url(C("url")).alias("canonical"), F.expr("parse_url(url, 'HOST')").alias("host"))
+
+
+PAGE = "concat('About ', course_name, '. Entry requirements: ', academic_text, CASE WHEN course_id % 3 = 0 THEN ' How to apply: online. ' ELSE ' ' END, 'Fees are due. ', academic_text)"
+STARTS, ENDS = ("admission requirement", "academic requirements", "entry requirements"), ("how to apply", "fees", "careers")
+
+
+@query(WITH_COURSE + f""", t AS (SELECT course_id, {PAGE} AS text FROM course), a AS (SELECT *, least({', '.join(f"nullif(instr(lower(text), '{m}'), 0)" for m in STARTS)}) AS s FROM t),
+b AS (SELECT *, least({', '.join(f"nullif(instr(substr(lower(text), s + 1), '{m}'), 0)" for m in ENDS)}) + s AS e FROM a) SELECT course_id, coalesce(trim(substr(text, s, coalesce(e, s + 2400) - s)), '') AS academic FROM b""")
+def section_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.raw_courses(spark, sf_dir).select("course_id", F.expr(PAGE).alias("text")).select("course_id", T.section_window(C("text"), STARTS, ENDS).alias("academic"))
+
+
+@query(r"SELECT doc_id, trim(regexp_extract(text, '(?i)[^.]*licensed[^.]*\.?', 0)) AS sentence FROM documents WHERE text IS NOT NULL")
+def sentence_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "documents").where("text is not null").select("doc_id", T.sentence_around(C("text"), "licensed").alias("sentence"))
+
+
+IELTS = T.TESTS["IELTS Academic"]
+
+
+@query(WITH_COURSE + rf""", t AS (SELECT course_id, regexp_extract(tests_text, '(?i){IELTS}', 1) AS i, regexp_extract(tests_text, '(?i){IELTS}', 2) AS b, regexp_extract(tests_text, '(?i)toefl(?:\s+ibt)?[^0-9]{{0,20}}([0-9]{{2,3}})', 1) AS t,
+regexp_extract(tests_text, '(?i)pte(?:\s+academic)?[^0-9]{{0,20}}([0-9]{{2,3}})', 1) AS p, CASE WHEN course_id >= 0 THEN regexp_extract_all(tests_text, '{T.CAMBRIDGE}', 2) END AS c FROM course)
+SELECT course_id, concat_ws('|', CASE WHEN i <> '' THEN concat('IELTS Academic=', i, CASE WHEN b <> '' THEN '/' || b ELSE '' END) END, CASE WHEN t <> '' THEN 'TOEFL iBT=' || t END, CASE WHEN p <> '' THEN 'PTE Academic=' || p END, CASE WHEN len(c) > 0 THEN 'Cambridge C1 Advanced=' || c[1] END, CASE WHEN len(c) > 1 THEN 'Cambridge C2 Proficiency=' || c[2] END) AS tests FROM t""")
+def test_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    written = F.transform(T.language_tests(C("tests_text")), lambda t: F.concat(t["test_name"], F.lit("="), t["overall"], F.coalesce(F.concat(F.lit("/"), t["band"]), F.lit(""))))
+    return S.raw_courses(spark, sf_dir).select("course_id", joined(written).alias("tests"))
+
+
+@query(f"{WITH_COURSE} SELECT course_id, " + ", ".join("(" + " OR ".join(f"contains(lower(academic_text), '{w}')" for w in words) + f") AS {flag}" for flag, words in T.FLAGS.items()) + ", concat_ws('|', " + ", ".join(f"CASE WHEN contains(lower(academic_text), '{w}') THEN '{label}' END" for w, label in T.DOCUMENTS.items() if w not in ("statement of intent", "referees")) + ") AS documents FROM course")
+def flag_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.raw_courses(spark, sf_dir).select("course_id", T.application_details(C("academic_text")).alias("d")).select("course_id", *(f"d.{f}" for f in T.FLAGS), joined("d.required_documents").alias("documents"))
+
+
+@query()
+def pathway_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.raw_courses(spark, sf_dir).select("course_id", F.explode(T.academic_pathways(C("academic_text"))).alias("p")).select("course_id", "p.*")
+
+
+TEXT_SCORE = "length(text) + " + " + ".join(f"(CASE WHEN contains(lower(text), '{m}') THEN 100 ELSE 0 END)" for m in T.TEXT_MARKERS)
+
+
+@query(f"SELECT source, max({TEXT_SCORE}) AS score, arg_max(doc_id, ({TEXT_SCORE}, doc_id)) AS doc_id FROM documents WHERE text <> '' GROUP BY 1")
+def best_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = read(spark, sf_dir, "documents").where("text <> ''").select("source", "doc_id", F.expr(TEXT_SCORE).alias("score"))
+    return scored.groupBy("source").agg(F.max(F.struct("score", "doc_id")).alias("m")).select("source", "m.score", "m.doc_id")
+
+
+SLUG = "concat('/courses/', substr(replace(lower(p_name), ' ', '-'), 1, length(p_name) - 1), '.html')"
+
+
+@query(rf"""WITH n AS (SELECT DISTINCT lower(p_name) AS name FROM part), u AS (SELECT DISTINCT {SLUG} AS url FROM part WHERE p_partkey % 10 = 0),
+s AS (SELECT url, replace(regexp_extract(url, '([^/]*)\.html$', 1), '-', ' ') AS slug FROM u), nt AS (SELECT name, unnest(list_distinct(string_split(name, ' '))) AS t FROM n), st AS (SELECT url, slug, unnest(list_distinct(string_split(slug, ' '))) AS t FROM s),
+p AS (SELECT name, url, slug, count(*) AS shared FROM nt JOIN st USING (t) GROUP BY 1, 2, 3), r AS (SELECT name, url, round(1 - levenshtein(name, slug) / greatest(length(name), length(slug)) + 0.08 * shared, 6) AS score FROM p)
+SELECT name, url, score FROM r WHERE score >= 0.72 QUALIFY row_number() OVER (PARTITION BY name ORDER BY score DESC, url) = 1""")
+def fuzzy_name_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names to the nearest page address, among those that share a word with it."""
+    part = read(spark, sf_dir, "part")
+    names = part.select(T.match_key(C("p_name")).alias("name")).distinct()
+    urls = part.where("p_partkey % 10 = 0").select(F.expr(SLUG).alias("url")).distinct().withColumn("slug", T.match_key(F.regexp_extract("url", r"([^/]*)\.html$", 1)))
+    token = lambda c: F.explode(F.array_distinct(F.split(c, " "))).alias("token")
+    pairs = names.select("name", token("name")).join(urls.select("url", "slug", token("slug")), "token").groupBy("name", "url", "slug").agg(F.count("*").alias("shared"))
+    score = F.round(1 - F.levenshtein("name", "slug") / F.greatest(F.length("name"), F.length("slug")) + 0.08 * C("shared"), 6)
+    near = pairs.select("name", "url", score.alias("score")).where("score >= 0.72")
+    return M.latest(near, "name", [F.desc("score"), C("url")])
+
+
+DEGREE = "CASE " + " ".join(f"WHEN contains(lower(course_name), '{d}') THEN '{d.title() if d != 'phd' else 'Phd'}'" for d in T.DEGREES) + " END"
+
+
+@query(f"{WITH_COURSE} SELECT course_id, {DEGREE} AS degree, regexp_matches(lower(course_name), 'doctor of philosophy|by research') AS research FROM course")
+def degree_type(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.raw_courses(spark, sf_dir).select("course_id", T.degree_type(C("course_name")).alias("degree"), T.is_research(C("course_name")).alias("research"))
+
+
+@query(r"""WITH t AS (SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS x FROM documents WHERE text IS NOT NULL), p AS (SELECT *, least(nullif(instr(lower(x), 'license'), 0), nullif(instr(lower(x), 'token'), 0)) AS pos FROM t),
+c AS (SELECT doc_id, CASE WHEN pos IS NULL THEN x ELSE trim(substr(x, greatest(pos - 80, 1), 240)) END AS y FROM p) SELECT doc_id, CASE WHEN length(y) <= 240 THEN y ELSE concat(rtrim(substr(y, 1, 239)), '...') END AS snippet FROM c""")
+def snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = F.array(F.lit("license"), F.lit("token"))
+    return read(spark, sf_dir, "documents").where("text is not null").select("doc_id", T.snippet(C("text"), words).alias("snippet"))
+
+
+@query(f"{WITH_COURSE}, {SCORES} SELECT course_id, CASE WHEN fee IS NULL THEN 'not listed' ELSE concat('AUD ', CAST(CAST(round(fee) AS BIGINT) AS VARCHAR)) END AS fee_label, CASE WHEN need_overall IS NULL THEN 'IELTS not listed' ELSE concat('IELTS ', CAST(need_overall AS VARCHAR)) END AS score_label FROM scored")
+def labels_fmt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    overall = T.parse_score_text(C("english_text"))["overall"]
+    fee = F.when(C("fee").isNull(), "not listed").otherwise(F.concat(F.lit("AUD "), F.round("fee").cast("long").cast("string")))
+    return S.raw_courses(spark, sf_dir).select("course_id", fee.alias("fee_label"), F.when(overall.isNull(), "IELTS not listed").otherwise(F.concat(F.lit("IELTS "), overall.cast("string"))).alias("score_label"))
+
+
+@query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, coalesce(json_extract_string(props, '$.none'), 'absent') AS other FROM events")
+def nested_json_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    props = F.from_json("props", "struct<k: bigint, none: string>")
+    return read(spark, sf_dir, "events").select("event_id", props.alias("p")).select("event_id", "p.k", F.coalesce("p.none", F.lit("absent")).alias("other"))
+
+
+@query("SELECT event_id, key, value FROM (SELECT event_id, unnest(['type', 'k']) AS key, unnest([event_type, json_extract_string(props, '$.k')]) AS value FROM events)")
+def explode_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = F.create_map(F.lit("type"), C("event_type"), F.lit("k"), F.get_json_object("props", "$.k"))
+    return read(spark, sf_dir, "events").select("event_id", F.explode(made))
+
+
+# --- browsing
+
+
+def courses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Courses with parsed durations, intakes and scores."""
+    d, s = T.parse_duration(C("duration_text")), T.parse_score_text(C("english_text"))
+    raw = S.raw_courses(spark, sf_dir).withColumns({"d": d, "s": s, "intakes": T.parse_intakes(C("intake_text"))["months"], "degree": T.degree_type(C("course_name"))})
+    parts = [C(f"s.{p}").alias(p) for p in G.PARTS]
+    return raw.select(
+        "course_id", "course_name", "cricos", "academic_text", "english_text", "fee", "campus", "intakes", "degree",
+        C("d.min").alias("duration_min"), C("d.max").alias("duration_max"), C("s.overall").alias("need_overall"), C("s.min_band").alias("need_band"), *parts,
+    )
+
+
+NUMBERS = r"list_transform(regexp_extract_all(duration_text, '([0-9]+(?:\.[0-9]+)?)', 1), lambda x: CAST(x AS DOUBLE))"
+COURSES = f"""{WITH_COURSE}, {SCORES}, dur AS (SELECT *, {NUMBERS} AS nums, list_transform(list_filter(string_split(replace(intake_text, ',', '/'), '/'), lambda x: trim(x) <> ''), lambda x: {MONTH_CASES}) AS mon FROM scored),
+courses AS (SELECT *, CASE WHEN len(nums) IN (1, 2) THEN list_min(nums) END AS duration_min, CASE WHEN len(nums) IN (1, 2) THEN list_max(nums) END AS duration_max, {DEGREE} AS degree,
+CASE WHEN len(mon) > 0 AND len(list_filter(mon, lambda x: x IS NULL)) = 0 THEN list_transform(list_sort(list_distinct(mon)), lambda x: {MONTH_NAMES}[x + 1]) END AS intakes FROM dur)"""
+
+
+@query(f"{COURSES} SELECT course_id FROM courses WHERE contains(lower(course_name), 'science') OR contains(lower(academic_text), 'science') OR contains(lower(course_name), '%') OR contains(lower(academic_text), '%')")
+def keyword_any(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return courses(spark, sf_dir).where(B.any_keyword(["Science", "%"], ["course_name", "academic_text"])).select("course_id")
+
+
+@query("SELECT doc_id FROM documents WHERE contains(lower(coalesce(text, '')), 'licensed') OR contains(lower(coalesce(source, '')), 'licensed')")
+def free_text_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "documents").where(B.any_keyword(["LICENSED"], ["text", "source"])).select("doc_id")
+
+
+@query(f"{COURSES} SELECT course_id FROM courses WHERE fee BETWEEN 30000 AND 60000 AND duration_min >= 1 AND duration_max <= 3 AND need_overall IN (6.5, 7.0, 7.5) AND coalesce(writing, -1) >= 6 AND list_has_any(intakes, ['FEB', 'JUL'])")
+def facet_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = courses(spark, sf_dir).withColumnRenamed("need_overall", "overall")
+    months = rows.select("course_id", F.explode("intakes").alias("month"))
+    kept = B.facets(rows, fee=(30000, 60000), duration=(1, 3), scores=(6.5, 7.0, 7.5), floors={"writing": 6.0})
+    return B.with_intake(kept, months, "course_id", ["FEB", "JUL"]).select("course_id")
+
+
+@query(f"{COURSES} SELECT course_id FROM courses WHERE coalesce(listening <> need_band, true) OR coalesce(reading <> need_band, true) OR coalesce(speaking <> need_band, true) OR coalesce(writing <> need_band, true)")
+def irregular_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return courses(spark, sf_dir).where(B.irregular(G.PARTS, "need_band")).select("course_id")
+
+
+@query("SELECT p_partkey, p_brand FROM part WHERE p_size > 10 AND p_name IN (SELECT p_name FROM part WHERE p_size > 10 GROUP BY 1 HAVING count(*) > 1)")
+def dup_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return B.shared_codes(read(spark, sf_dir, "part").where("p_size > 10"), "p_name").select("p_partkey", "p_brand")
+
+
+@query(f"{COURSES} SELECT course_id, coalesce(fee >= 40000, true) AND coalesce(fee <= 70000, true) AS fits, coalesce(2 >= duration_min, true) AND coalesce(1 <= duration_max, true) AS overlaps, coalesce(2 >= duration_min, true) AND coalesce(2 <= duration_max, true) AS around FROM courses")
+def range_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    low, high, one, two = C("duration_min"), C("duration_max"), F.lit(1.0), F.lit(2.0)
+    fits = B.range_contains(F.lit(40000), F.lit(70000), C("fee"))
+    return courses(spark, sf_dir).select("course_id", fits.alias("fits"), B.ranges_overlap(low, high, one, two).alias("overlaps"), B.ranges_overlap(low, high, F.lit(None).cast("double"), two).alias("around"))
+
+
+@query(f"{COURSES} SELECT course_id, fee, campus, row_number() OVER (PARTITION BY campus ORDER BY fee DESC NULLS LAST, course_id) AS rank FROM courses QUALIFY rank <= 20")
+def browse_sorted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    top = B.top_by(courses(spark, sf_dir), "campus", B.sort_keys("fee_desc", "course_id"), 20)
+    return B.browse(top, "fee_desc", "course_id").select("course_id", "fee", "campus", "rank")
+
+
+@query(f"{COURSES} SELECT count(*) AS n, count(intakes) AS with_intakes, count_if(contains(lower(academic_text), 'limited places')) AS limited, round(avg(fee), 4) AS mean_fee FROM courses")
+def browse_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    limited = F.count_if(F.lower("academic_text").contains("limited places"))
+    return courses(spark, sf_dir).agg(F.count("*").alias("n"), F.count("intakes").alias("with_intakes"), limited.alias("limited"), F.round(F.avg("fee"), 4).alias("mean_fee"))
+
+
+@query(f"{COURSES} SELECT min(fee) AS fee_min, max(fee) AS fee_max, min(duration_min) AS duration_min, max(duration_max) AS duration_max, array_to_string(list_sort(list_distinct(list(need_overall))), '|') AS scores FROM courses")
+def facet_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = F.transform(F.array_sort(F.collect_set("need_overall")), lambda x: x.cast("string"))
+    return courses(spark, sf_dir).agg(F.min("fee").alias("fee_min"), F.max("fee").alias("fee_max"), F.min("duration_min").alias("duration_min"), F.max("duration_max").alias("duration_max"), joined(scores).alias("scores"))
+
+
+@query("SELECT count(*) AS n FROM part")
+def row_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.raw_courses(spark, sf_dir).agg(F.count("*").alias("n"))
+
+
+@query('SELECT p_partkey AS "Course", p_name AS "Name", p_size AS "Size" FROM part')
+def csv_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import uuid
+
+    path = f"{checkpoint_dir(spark)}/export-{uuid.uuid4().hex}"
+    B.export_csv(read(spark, sf_dir, "part"), {"p_partkey": "Course", "p_name": "Name", "p_size": "Size"}, path)
+    return spark.read.schema("Course long, Name string, Size int").csv(path, header=True)
+
+
+@query(f"{COURSES} SELECT course_id, course_name FROM courses WHERE list_contains(intakes, 'FEB')")
+def open_in_intake(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = courses(spark, sf_dir)
+    months = rows.select("course_id", F.explode("intakes").alias("month")).where("month = 'FEB'")
+    return rows.join(months, "course_id").select("course_id", "course_name").orderBy("course_name", "course_id")
+
+
+# --- index
+
+
+PARTS_OF_COURSE = {"academic": ("Academic requirements", "academic_text"), "english": ("English requirements", "english_text")}
+
+
+@query(f"{WITH_COURSE} SELECT course_id, 'academic' AS kind, 'Academic requirements' AS title, trim(academic_text) AS body FROM course WHERE trim(academic_text) <> '' UNION ALL SELECT course_id, 'english', 'English requirements', trim(english_text) FROM course WHERE trim(english_text) <> ''")
+def sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return I.sections(S.raw_courses(spark, sf_dir), "course_id", PARTS_OF_COURSE)
+
+
+CHUNKS = r"""WITH t AS (SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS body FROM documents WHERE text IS NOT NULL), k AS (SELECT doc_id, body, unnest(range(0, greatest(CAST(ceil((length(body) - 160) / 1040) AS BIGINT), 1))) AS chunk_index FROM t WHERE body <> ''),
+c AS (SELECT doc_id, CAST(chunk_index AS INTEGER) AS chunk_index, substr(body, chunk_index * 1040 + 1, 1200) AS content FROM k)"""
+
+
+@query(f"{CHUNKS} SELECT doc_id, chunk_index, content, sha256(content) AS content_hash FROM c")
+def chunk_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return I.fixed_chunks(read(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+@query(f"{CHUNKS} SELECT concat(doc_id, ':text:', chunk_index) AS id, sha256(content) AS content_hash FROM c")
+def chunk_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunk_fixed(spark, sf_dir).select(I.chunk_id(C("doc_id"), F.lit("text"), C("chunk_index")).alias("id"), "content_hash")
+
+
+@query()
+def chunk_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "documents").select("doc_id", F.lit("academic").alias("kind"), F.lit("Text").alias("title"), C("text").alias("body"), C("source").alias("course_name"), C("lang").alias("cricos"))
+    return I.sentence_chunks(rows, "doc_id")
+
+
+def stored_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks of three in four documents, one in three of these under another model."""
+    made = chunk_fixed(spark, sf_dir).withColumn("id", I.chunk_id(C("doc_id"), F.lit("text"), C("chunk_index"))).where("doc_id % 4 <> 0")
+    return made.select("doc_id", "id", "content_hash", F.when(C("doc_id") % 3 == 0, "old").otherwise("new").alias("model"), F.array(F.lit(1.0)).alias("embedding"))
+
+
+def wanted_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunk_fixed(spark, sf_dir).withColumn("id", I.chunk_id(C("doc_id"), F.lit("text"), C("chunk_index"))).select("doc_id", "id", "content_hash")
+
+
+@query(f"{CHUNKS} SELECT DISTINCT doc_id, doc_id % 4 <> 0 AND doc_id % 3 <> 0 AS current FROM c")
+def index_currency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return I.is_current(wanted_chunks(spark, sf_dir), stored_index(spark, sf_dir), "doc_id", "new")
+
+
+@query(f"{CHUNKS} SELECT doc_id, count(*) AS n, CASE WHEN doc_id % 3 = 0 THEN 'new' WHEN doc_id % 4 = 0 THEN 'none' ELSE 'new' END AS model FROM c WHERE doc_id % 4 <> 0 OR doc_id % 3 = 0 GROUP BY 1, 3")
+def index_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = stored_index(spark, sf_dir)
+    new = wanted_chunks(spark, sf_dir).where("doc_id % 3 = 0").withColumns({"model": F.lit("new"), "embedding": F.array(F.lit(1.0))}).select(*index.columns)
+    return I.replace_chunks(index, new, "doc_id").groupBy("doc_id", "model").agg(F.count("*").alias("n")).select("doc_id", "n", "model")
+
+
+@query(f"{CHUNKS}, d AS (SELECT doc_id, count(*) AS n, doc_id % 4 <> 0 AND doc_id % 3 <> 0 AS ok FROM c GROUP BY 1) SELECT count(*) AS seen, count_if(ok) AS skipped, CAST(sum(n) AS BIGINT) AS built, CAST(sum(CASE WHEN ok THEN 0 ELSE n END) AS BIGINT) AS embedded FROM d")
+def index_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return I.run_stats(wanted_chunks(spark, sf_dir), index_currency(spark, sf_dir), "doc_id")
+
+
+@query()
+def embed_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return I.embed_bag(read(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+@query(r"SELECT doc_id, to_json({'lang': lang, 'n_chars': n_chars})::VARCHAR AS nested, coalesce(source, '') AS source FROM documents WHERE lang IS NOT NULL")
+def chunk_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flat metadata: nulls dropped, scalars kept, nested values as JSON text."""
+    flat = F.map_filter(F.create_map(F.lit("source"), C("source"), F.lit("nested"), F.to_json(F.struct("lang", "n_chars")), F.lit("none"), F.lit(None).cast("string")), lambda k, v: v.isNotNull())
+    return read(spark, sf_dir, "documents").where("lang is not null").select("doc_id", flat.alias("m")).select("doc_id", F.element_at("m", "nested").alias("nested"), F.coalesce(F.try_element_at("m", F.lit("source")), F.lit("")).alias("source"))
+
+
+# --- retrieval
+
+
+SIM = "round(coalesce(list_dot_product(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) / nullif(sqrt(list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[])) * sqrt(list_dot_product(v.embedding::DOUBLE[], v.embedding::DOUBLE[])), 0), 0), 6)"
+TOP = f"t AS (SELECT q.vec_id AS query_id, v.vec_id, {SIM} AS similarity FROM embeddings q JOIN embeddings v ON q.vec_id % 100 = 0 AND q.vec_id <> v.vec_id), top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS rank FROM t QUALIFY rank <= 10)"
+
+
+def vector_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stated query set of a search: rows whose id is divisible by 100."""
+    return read(spark, sf_dir, "embeddings").where("vec_id % 100 = 0").select(C("vec_id").alias("query_id"), "embedding")
+
+
+@query(f"WITH {TOP} SELECT * FROM top")
+def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.cosine_top(read(spark, sf_dir, "embeddings").select("vec_id", "embedding"), vector_queries(spark, sf_dir))
+
+
+@query()
+def cosine_lsh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.cosine_lsh(read(spark, sf_dir, "embeddings").select("vec_id", "embedding"), vector_queries(spark, sf_dir))
+
+
+@query(f"WITH {TOP} SELECT top.query_id, top.vec_id, top.similarity, top.rank, d.source FROM top JOIN documents d ON d.doc_id = top.vec_id")
+def semantic_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits with the source of their text; a hit without a document drops out."""
+    return cosine_topk(spark, sf_dir).join(read(spark, sf_dir, "documents").select(C("doc_id").alias("vec_id"), "source"), "vec_id")
+
+
+SPEC_ROWS = (("it", ["computer", "data science"]), ("trade", ["commerce", "accounting", "business"]), ("arts", ["architecture"]))
+FIELDS = {"course_name": "course_name", "cricos": "cricos", "academic_requirement_text": "academic_text", "raw_english_requirement": "english_text"}
+
+
+def spec_table(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(SPEC_ROWS, "spec_id string, keywords array<string>")
+
+
+def spec_hits(words: list[str]) -> str:
+    hit = lambda c: "(" + " OR ".join(f"contains(lower(coalesce({c}, '')), '{w.lower()}')" for w in words) + ")"
+    return " + ".join(f"(CASE WHEN {hit(c)} THEN {R.FIELD_WEIGHTS[n]} ELSE 0 END)" for n, c in FIELDS.items())
+
+
+def top_hits(specs, k: int = 30) -> str:
+    return " UNION ALL ".join(f"(SELECT '{i}' AS spec_id, course_id, CAST(least(1.0, round({spec_hits(w)}, 6)) AS DOUBLE) AS keyword_score FROM courses WHERE {spec_hits(w)} > 0 ORDER BY course_name, course_id LIMIT {k})" for i, w in specs)
+
+
+@query(f"{COURSES} SELECT * FROM ({top_hits(SPEC_ROWS)})")
+def keyword_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.keyword_top(courses(spark, sf_dir), spec_table(spark), FIELDS, "course_name", "course_id", 30).select("spec_id", "course_id", "keyword_score")
+
+
+def keyword_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    specs = vector_queries(spark, sf_dir).select(C("query_id").alias("spec_id"), F.array(F.lit("licensed"), F.lit("copyright")).alias("keywords"))
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return R.keyword_top(docs, specs, {"text": "text", "source": "source"}, "source", "doc_id", 30, weights={"text": 0.55, "source": 0.45})
+
+
+KEYWORD_DOCS = "kd AS (SELECT doc_id, 0.55::DOUBLE AS keyword_score FROM documents WHERE contains(lower(coalesce(text, '')), 'licensed') OR contains(lower(coalesce(text, '')), 'copyright') ORDER BY source, doc_id LIMIT 30), ks AS (SELECT vec_id AS query_id, doc_id, keyword_score FROM embeddings, kd WHERE vec_id % 100 = 0)"
+MERGED = "j AS (SELECT coalesce(ks.query_id, top.query_id) AS query_id, coalesce(doc_id, vec_id) AS doc_id, coalesce(keyword_score, 0) AS keyword_score, coalesce(similarity, 0) AS vector_score FROM ks FULL JOIN top ON ks.query_id = top.query_id AND doc_id = vec_id), s AS (SELECT *, round(CASE WHEN keyword_score > 0 AND vector_score > 0 THEN least(keyword_score + vector_score + 0.15, 1.5) ELSE greatest(keyword_score, vector_score) END, 6) AS combined_score FROM j)"
+
+
+@query(f"WITH {TOP}, {KEYWORD_DOCS}, {MERGED} SELECT *, false AS degraded, row_number() OVER (PARTITION BY query_id ORDER BY combined_score DESC, doc_id) AS rank FROM s QUALIFY rank <= 50")
+def hybrid_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = keyword_docs(spark, sf_dir).select(C("spec_id").alias("query_id"), "doc_id", "keyword_score")
+    v = cosine_topk(spark, sf_dir).select("query_id", C("vec_id").alias("doc_id"), C("similarity").alias("vector_score"))
+    return R.merge_hits(k, v, ["query_id", "doc_id"])
+
+
+@query(f"WITH {KEYWORD_DOCS} SELECT query_id, doc_id, keyword_score, 0.0::DOUBLE AS vector_score, keyword_score AS combined_score, true AS degraded, row_number() OVER (PARTITION BY query_id ORDER BY doc_id) AS rank FROM ks")
+def degraded_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.merge_hits(keyword_docs(spark, sf_dir).select(C("spec_id").alias("query_id"), "doc_id", "keyword_score"), None, ["query_id", "doc_id"])
+
+
+# --- applicants, gate and plan
+
+
+def applicants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = S.raw_applicants(spark, sf_dir)
+    return raw.withColumns({"keywords": K.expand(C("target"))["keywords"], "want_intakes": K.wanted_intakes(C("intake_wish")), **{f"user_{p}": C("min_band") for p in G.PARTS}})
+
+
+@query(f"{WITH_APPLICANT} SELECT applicant_id, round_even(gpa / 7 * 100, 4) AS gpa_100, CASE intake_wish WHEN 'S1' THEN 'FEB' WHEN 'July, semester 2' THEN 'JUL' WHEN 'Mar,mar, Oct' THEN 'MAR|OCT' WHEN 'Feb' THEN 'FEB' ELSE '' END AS intakes FROM applicant")
+def applicant_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return applicants(spark, sf_dir).select("applicant_id", K.on_hundred(C("gpa"), F.lit(7)).alias("gpa_100"), joined("want_intakes").alias("intakes"))
+
+
+@query(f"{WITH_APPLICANT} SELECT applicant_id, concat_ws('|', CASE WHEN trim(target) = '' THEN 'missing_target' END, CASE WHEN gpa IS NULL THEN 'bad_gpa' END, CASE WHEN budget_max < budget_min THEN 'bad_budget' END) AS errors FROM applicant")
+def request_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return applicants(spark, sf_dir).select("applicant_id", joined(K.request_errors()).alias("errors"))
+
+
+CLEAN_TARGET = r"trim(regexp_replace(target, '\s+', ' ', 'g'))"
+KEYWORDS = "CASE " + " ".join(f"WHEN contains(lower(target), '{n}') THEN '{'|'.join(w)}'" for n, w, _ in K.DIRECTIONS) + f" ELSE {CLEAN_TARGET} END"
+
+
+@query(f"{WITH_APPLICANT} SELECT applicant_id, {KEYWORDS} AS keywords, concat('Master programs related to ', CASE " + " ".join(f"WHEN contains(lower(target), '{n}') THEN '{a}'" for n, _, a in K.DIRECTIONS) + f" ELSE {CLEAN_TARGET} END) AS semantic_query FROM applicant")
+def query_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.raw_applicants(spark, sf_dir).select("applicant_id", K.expand(C("target")).alias("q")).select("applicant_id", joined("q.keywords").alias("keywords"), "q.semantic_query")
+
+
+CATEGORY = "CASE WHEN background = '双非' THEN 'non_211' WHEN background = 'C9' THEN 'c9' WHEN background = 'Tier 1' THEN 'tier1' WHEN background IN ('985', '211') THEN background ELSE 'non_211' END"
+GPA_MIN = f"CASE WHEN contains(lower(course_name), 'master of commerce') OR contains(lower(course_name), 'professional accounting') THEN CASE {CATEGORY} " + " ".join(f"WHEN '{c}' THEN {m}" for c, m in G.BUSINESS_MARKS.items()) + f" END WHEN {CATEGORY} = 'non_211' THEN 80.0 ELSE 75.0 END::DOUBLE"
+ALL_SPECS = [("|".join(w), list(w)) for w in dict.fromkeys(w for _, w, _ in K.DIRECTIONS)] + [("architecture", ["architecture"]), ("", [""])]
+PAIRS = f"""{COURSES}, hits AS ({top_hits(ALL_SPECS)}), raw_applicant AS (SELECT {S.select_list(S.APPLICANT)} FROM customer), applicant AS (SELECT *, {KEYWORDS} AS spec_id, CASE intake_wish WHEN 'S1' THEN ['FEB'] WHEN 'July, semester 2' THEN ['JUL'] WHEN 'Mar,mar, Oct' THEN ['MAR', 'OCT'] WHEN 'Feb' THEN ['FEB'] ELSE [] END AS want_intakes FROM raw_applicant),
+pairs AS (SELECT a.*, c.course_id, c.course_name, c.academic_text, c.fee, c.campus, c.intakes, c.degree, c.duration_min, c.duration_max, c.need_overall, greatest(c.need_band, c.listening, c.reading, c.speaking, c.writing) AS need_band, hits.keyword_score AS relevance FROM applicant a JOIN hits USING (spec_id) JOIN courses c USING (course_id)), ready AS (SELECT *, {GPA_MIN} AS gpa_min FROM pairs)"""
+
+
+@query(f"{PAIRS} SELECT applicant_id, course_id, {CATEGORY} AS category, gpa_min, need_overall, need_band FROM ready")
+def threshold_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decided(spark, sf_dir).select("applicant_id", "course_id", G.background_category(C("background")).alias("category"), "gpa_min", "need_overall", "need_band")
+
+
+def _pref(name: str, want: str, have: str) -> str:
+    w, h = f"lower(coalesce({want}, ''))", f"lower(coalesce({have}, ''))"
+    return f"CASE WHEN {w} = '' AND {h} = '' THEN 'unknown/-' WHEN {w} = '' THEN 'pass/-' WHEN {h} = '' THEN 'unknown/U' WHEN contains({h}, {w}) THEN 'pass/-' ELSE 'fail/B' END"
+
+
+LOW, OWN = "lower(academic_text)", "lower(subjects_text)"
+HAS = lambda text, words: "(" + " OR ".join(f"contains({text}, '{w.replace(chr(39), chr(39) * 2)}')" for w in words) + ")"
+WAY = f"CASE WHEN trim(academic_text) <> '' THEN {HAS(LOW, G.PATHWAYS)} END"
+BY_DIRECTION = f"len(list_filter(string_split(spec_id, '|'), lambda k: contains({OWN}, k))) > 0"
+GATE = {
+    "major_area": "'pass/-'",
+    "degree_type": _pref("degree_type", "want_degree", "degree"),
+    "average": f"CASE WHEN gpa IS NULL THEN 'unknown/U' WHEN gpa >= gpa_min THEN 'pass/-' WHEN accepts_pathway AND ({WAY}) THEN 'warning/P' WHEN accepts_pathway AND ({WAY}) IS NULL THEN 'unknown/U' ELSE 'fail/B' END",
+    "language": "CASE WHEN need_overall IS NULL OR need_band IS NULL OR overall IS NULL OR min_band IS NULL THEN 'unknown/U' WHEN overall < need_overall OR min_band < need_band THEN 'fail/B' ELSE 'pass/-' END",
+    "prerequisites": f"CASE WHEN academic_text = '' THEN 'unknown/U' WHEN NOT {HAS(LOW, G.PREREQUISITES)} THEN 'pass/-' WHEN subjects_text = '' THEN 'unknown/U' WHEN NOT {HAS(LOW, G.SUBJECTS)} AND {BY_DIRECTION} THEN 'pass/-' WHEN NOT {HAS(LOW, G.SUBJECTS)} THEN 'warning/W' WHEN "
+    + " OR ".join(f"(contains({LOW}, '{s}') AND NOT {HAS(OWN, a)})" for s, a in G.SUBJECTS.items()) + " THEN 'warning/W' ELSE 'pass/-' END",
+    "intake": "CASE WHEN len(want_intakes) = 0 AND intakes IS NULL THEN 'unknown/-' WHEN len(want_intakes) = 0 THEN 'pass/-' WHEN intakes IS NULL THEN 'unknown/U' WHEN list_has_any(want_intakes, intakes) THEN 'pass/-' ELSE 'fail/B' END",
+    "deadline": f"CASE WHEN contains({LOW}, 'applications close') THEN 'warning/-' ELSE 'unknown/-' END",
+    "tuition": "CASE WHEN fee IS NULL THEN 'unknown/U' WHEN coalesce(fee <= budget_max, true) THEN 'pass/-' ELSE 'warning/W' END",
+    "duration": "CASE WHEN want_min IS NULL AND duration_min IS NULL THEN 'unknown/-' WHEN want_min IS NULL THEN 'pass/-' WHEN duration_min IS NULL THEN 'unknown/U' WHEN want_max >= duration_min AND want_min <= duration_max THEN 'pass/-' ELSE 'fail/B' END",
+    "campus": _pref("campus", "want_campus", "campus"),
+    "pathway": f"CASE WHEN ({WAY}) IS NULL THEN 'unknown/-' WHEN ({WAY}) AND NOT accepts_pathway THEN 'warning/-' ELSE 'pass/-' END",
+}
+CHECKED = f"{PAIRS}, checked AS (SELECT *, concat_ws('|', {', '.join(GATE.values())}) AS checks FROM ready), decided AS (SELECT *, CASE WHEN contains(checks, '/B') THEN 'INELIGIBLE' WHEN contains(checks, '/P') THEN 'PATHWAY_REQUIRED' WHEN contains(checks, '/U') THEN 'UNKNOWN' WHEN contains(checks, '/W') THEN 'HIGH_RISK' ELSE 'ELIGIBLE' END AS status FROM checked)"
+
+
+def decided(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return K.judged(K.candidates(applicants(spark, sf_dir), courses(spark, sf_dir)))
+
+
+@query(f"{CHECKED} SELECT applicant_id, course_id, checks FROM decided")
+def gate_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    written = F.transform("checks", lambda c: F.concat(c["status"], F.lit("/"), c["effect"]))
+    return decided(spark, sf_dir).select("applicant_id", "course_id", joined(written).alias("checks"))
+
+
+@query(f"{CHECKED} SELECT applicant_id, course_id, status FROM decided")
+def gate_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decided(spark, sf_dir).select("applicant_id", "course_id", "status")
+
+
+STATUSES = ("ELIGIBLE", "HIGH_RISK", "UNKNOWN", "PATHWAY_REQUIRED", "INELIGIBLE")
+
+
+@query(f"{CHECKED} SELECT applicant_id, count(*) AS total, " + ", ".join(f"count_if(status = '{s}') AS {s.lower()}" for s in STATUSES) + " FROM decided GROUP BY 1")
+def gate_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decided(spark, sf_dir).groupBy("applicant_id").agg(F.count("*").alias("total"), *(F.count_if(C("status") == s).alias(s.lower()) for s in STATUSES))
+
+
+@query()
+def gate_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The checklist as rows: what is missing for a decision."""
+    return decided(spark, sf_dir).select("applicant_id", "course_id", F.explode(G.missing_fields(C("checks"))).alias("field"))
+
+
+RATIO = "0.7::DOUBLE * (gpa / gpa_min) + 0.3::DOUBLE * (overall / need_overall)"
+SCORED = f"{CHECKED}, s AS (SELECT *, {RATIO} AS score FROM decided), banded AS (SELECT *, CASE WHEN score < 0.95 THEN 'REACH' WHEN score <= 1.1 THEN 'MATCH' WHEN score IS NOT NULL THEN 'SAFETY' END AS band, CASE WHEN score IS NULL THEN 'scoring_failed' WHEN relevance < 0.05 THEN 'low_relevance' WHEN min_band < need_band THEN 'ielts_band_below_requirement' WHEN NOT (want_min IS NULL OR (coalesce(want_max >= duration_min, true) AND coalesce(want_min <= duration_max, true))) THEN 'duration_outside_preference' WHEN NOT (coalesce(fee >= budget_min, true) AND coalesce(fee <= budget_max, true)) THEN 'tuition_outside_budget' END AS exclusion FROM s)"
+
+
+@query(f"{SCORED} SELECT applicant_id, course_id, round(score, 6) AS score, band, exclusion FROM banded")
+def score_band(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decided(spark, sf_dir).select("applicant_id", "course_id", F.round("score", 6).alias("score"), "band", "exclusion")
+
+
+TAG = lambda have, need, name: f"CASE WHEN {have} IS NULL OR {need} IS NULL THEN '{name}_missing' WHEN {have} >= {need} THEN '{name}_met' ELSE '{name}_below' END"
+
+
+@query(f"{PAIRS} SELECT applicant_id, course_id, concat_ws('|', {TAG('gpa', 'gpa_min', 'gpa')}, {TAG('overall', 'need_overall', 'ielts')}, {TAG('min_band', 'need_band', 'band')}) AS tags FROM ready")
+def score_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decided(spark, sf_dir).select("applicant_id", "course_id", joined(K.reason_tags()).alias("tags"))
+
+
+@query(f"{SCORED} SELECT exclusion, count(*) AS n FROM banded WHERE exclusion IS NOT NULL GROUP BY 1")
+def unscorable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decided(spark, sf_dir).where("exclusion is not null").groupBy("exclusion").agg(F.count("*").alias("n"))
+
+
+AIM = "abs(score - CASE band WHEN 'REACH' THEN 0.95 WHEN 'MATCH' THEN (0.95 + 1.1) / 2 ELSE 1.1 END::DOUBLE)"
+RANKED = "row_number() OVER (PARTITION BY applicant_id, band ORDER BY round(" + AIM + ", 12), relevance DESC, score DESC, fee NULLS LAST, course_name, course_id) AS rank"
+
+
+@query(f"{SCORED} SELECT applicant_id, course_id, band, {RANKED} FROM banded WHERE exclusion IS NULL AND band IS NOT NULL QUALIFY rank <= 5")
+def plan_topn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per-band plans of all scored candidates, without the gate."""
+    return K.plan(decided(spark, sf_dir), "applicant_id", "course_id").select("applicant_id", "course_id", "band", "rank")
+
+
+@query(f"{SCORED} SELECT applicant_id, course_id, band, round_even(score, 4) AS score, {RANKED} FROM banded WHERE status = 'ELIGIBLE' AND exclusion IS NULL AND band IS NOT NULL QUALIFY rank <= 5")
+def recommend_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plan, _ = K.recommend(applicants(spark, sf_dir), courses(spark, sf_dir))
+    return plan.select("applicant_id", "course_id", "band", F.bround("score", 4).alias("score"), "rank")
+
+
+@query(f"{SCORED} SELECT applicant_id, count(*) AS candidates, count_if(status = 'ELIGIBLE' AND exclusion IS NULL) AS planned, count_if(coalesce(band, '') = 'MATCH') AS match, count_if(coalesce(band, '') = 'SAFETY') AS safety FROM banded GROUP BY 1")
+def response_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    planned = F.count_if((C("status") == "ELIGIBLE") & C("exclusion").isNull())
+    return decided(spark, sf_dir).groupBy("applicant_id").agg(F.count("*").alias("candidates"), planned.alias("planned"), F.count_if(C("band") == "MATCH").alias("match"), F.count_if(C("band") == "SAFETY").alias("safety"))
