@@ -1,7 +1,7 @@
 """Substring dedup with suffix automata of reference shards.
 
 A window of ``WINDOW`` = 50 words is removed if its word sequence also starts in a
-document with a smaller id. Every window has an anchor: its 20-word sequence of
+document with a smaller id. Every window has an anchor: its 12-word sequence of
 least hash. Equal windows have equal anchors, so all that can repeat a window
 lies in the stretches around equal anchors, and consecutive windows of one
 anchor form one stretch. Most stretches are settled as a whole: an anchor of one
@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from admitflow.session import cut
 
-WINDOW, ANCHOR = 50, 20
+WINDOW, ANCHOR = 50, 12
 #: Stretches in one automaton; more are split by window fingerprints.
 SHARD_TEXTS = 256
 REMEMBERED = 500_000
@@ -60,7 +60,7 @@ def words_of(text: str | None) -> list[bytes]:
 
 def row_of(joined: bytes) -> int:
     """Tells apart rows of one id: the start of their words' digest."""
-    return int.from_bytes(hashlib.sha256(joined).digest()[:8], "little", signed=True)
+    return int.from_bytes(hashlib.sha256(joined).digest()[:4], "little")
 
 
 class Ranges:
@@ -99,8 +99,10 @@ def stretches(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
     return grams[place[first]].view(np.int64), ranges.of(first, many + WINDOW - 1).view(np.int64), first, many
 
 
-PARTS = "doc_id long, row long, parts array<struct<anchor:bigint,stretch:bigint,start:int,n:int>>"
-PART_TYPE = pa.list_(pa.struct([("anchor", pa.int64()), ("stretch", pa.int64()), ("start", pa.int32()), ("n", pa.int32())]))
+#: A place is the first window times PLACE plus the number of windows: one number is half as large to shuffle.
+PLACE = 1 << 31
+PARTS = "doc_id long, row long, anchor array<long>, stretch array<long>, place array<long>"
+START, NUMBER = "int(shiftright(place, 31)) as start", f"int(place & {PLACE - 1}L) as n"
 
 
 def hashed(words: list[bytes], memory: WordHashes) -> np.ndarray:
@@ -110,16 +112,16 @@ def hashed(words: list[bytes], memory: WordHashes) -> np.ndarray:
 def find_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     memory = WordHashes()
     for batch in batches:
-        rows, columns = [], [[] for _ in range(4)]
+        rows, columns = [], [[], [], []]
         for text in batch.column(1):
             words = words_of(text.as_py())
             rows.append(row_of(b" ".join(words)) if len(words) >= WINDOW else 0)
-            for column, values in zip(columns, stretches(hashed(words, memory) if len(words) >= WINDOW else np.zeros(0, np.uint64)), strict=True):
+            anchor, stretch, first, many = stretches(hashed(words, memory) if len(words) >= WINDOW else np.zeros(0, np.uint64))
+            for column, values in zip(columns, (anchor, stretch, first * PLACE + many), strict=True):
                 column.append(values)
-        offsets = np.cumsum([0] + [len(x) for x in columns[0]]).astype(np.int32)
-        flat = [np.concatenate([np.zeros(0, np.int64), *c]) for c in columns]
-        structs = pa.StructArray.from_arrays([pa.array(flat[0]), pa.array(flat[1]), pa.array(flat[2], pa.int32()), pa.array(flat[3], pa.int32())], names=["anchor", "stretch", "start", "n"])
-        yield pa.record_batch([batch.column(0), pa.array(rows, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), structs)], names=["doc_id", "row", "parts"])
+        offsets = pa.array(np.cumsum([0] + [len(x) for x in columns[0]]).astype(np.int32))
+        lists = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([np.zeros(0, np.int64), *c]))) for c in columns]
+        yield pa.record_batch([batch.column(0), pa.array(rows, pa.int64()), *lists], names=["doc_id", "row", "anchor", "stretch", "place"])
 
 
 SLICES = "anchor long, doc_id long, row long, start int, words array<long>, print_a long, print_b long"
@@ -265,18 +267,20 @@ def cut_out(with_text: bool):
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True, shard_texts: int = SHARD_TEXTS) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and kept_text (kept words joined by a space) of every document."""
-    given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    parts = cut(given.where("doc_id is not null").mapInArrow(find_parts, PARTS))
-    each = parts.select("doc_id", "row", F.inline("parts"))
+    everything = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    given = everything.where("doc_id is not null")  # the same rows in both joins below, so that the texts are shuffled once
+    parts = cut(given.mapInArrow(find_parts, PARTS))
+    each = parts.select("doc_id", "row", F.inline(F.arrays_zip("anchor", "stretch", "place")))
     # 1. anchors of more than one document
     shared = each.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("anchor")
     near = each.join(shared, "anchor")
     # 2. stretches that a smaller document has word for word
-    firsts = near.groupBy("anchor", "stretch").agg(F.min(F.struct("doc_id", "row", "start", "n")).alias("first"))
-    again = near.join(firsts, ["anchor", "stretch"]).where("doc_id > first.doc_id").select("doc_id", "row", "start", "n")
+    firsts = near.groupBy("anchor", "stretch").agg(F.min(F.struct("doc_id", "row", "place")).alias("first"))
+    again = near.join(firsts, ["anchor", "stretch"]).where("doc_id > first.doc_id").drop("first").selectExpr("doc_id", "row", START, NUMBER)
     # 3. the different stretches of an anchor: a reference shard
     crowds = firsts.groupBy("anchor").agg(F.count("*").alias("texts")).where("texts > 1")
     wanted = firsts.join(crowds, "anchor").select("anchor", "first.*", (F.col("texts") > shard_texts).alias("crowded"))
+    wanted = wanted.selectExpr("anchor", "doc_id", "row", START, NUMBER, "crowded")
     by_doc = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("row", "anchor", "start", "n", "crowded")).alias("wanted"))
     slices = given.join(by_doc, "doc_id").select("doc_id", "text", "wanted").mapInArrow(slice_words, SLICES)
     shards = slices.where("words is not null").groupBy("anchor").agg(F.collect_list(F.struct("doc_id", "row", "start", "words")).alias("texts"))
@@ -285,5 +289,6 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     least = prints.groupBy("print_a", "print_b").agg(F.min("doc_id").alias("least"))
     split = prints.join(least, ["print_a", "print_b"]).where("doc_id > least").select("doc_id", "row", "start", F.lit(1).alias("n"))
     spans = again.union(matched).union(split).groupBy("doc_id").agg(F.collect_list(F.struct("row", "start", "n")).alias("spans"))
-    result = given.join(spans, "doc_id", "left").select("doc_id", "text", "spans").mapInArrow(cut_out(with_text), RESULT)
+    unnamed = everything.where("doc_id is null").withColumn("spans", F.lit(None).cast(dict(spans.dtypes)["spans"]))
+    result = given.join(spans, "doc_id", "left").select("doc_id", "text", "spans").unionByName(unnamed).mapInArrow(cut_out(with_text), RESULT)
     return result if with_text else result.drop("kept_text")
