@@ -133,7 +133,15 @@ def section_window(text: Column, starts: Sequence[str], ends: Sequence[str], len
 
 
 def sentence_around(text: Column, marker: str) -> Column:
-    return F.trim(F.regexp_extract(text, rf"(?i)[^.]*{marker}[^.]*\.?", 0))
+    """The sentence of the first marker, with its full stop; empty without a marker. By places, as a pattern would rescan each sentence from every character."""
+    place = F.locate(marker, F.lower(text))
+
+    def of(at: Column) -> Column:
+        head = F.substring_index(F.substring(text, F.lit(1), at - 1), ".", -1)
+        rest = F.substring(text, at, F.length(text))
+        return F.when(at == 0, "").otherwise(F.trim(F.concat(head, F.substring_index(rest, ".", 1), F.when(rest.contains("."), ".").otherwise(""))))
+
+    return let(place, of)
 
 
 def first_match(text: Column, patterns: Sequence[str]) -> Column:
