@@ -521,9 +521,12 @@ def keyword_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keyword_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    specs = vector_queries(spark, sf_dir).select(C("query_id").alias("spec_id"), F.array(F.lit("licensed"), F.lit("copyright")).alias("keywords"))
+    """Every query asks for the same words: its one spec is retrieved once and joined back."""
+    specs = spark.createDataFrame([("licence", ["licensed", "copyright"])], "spec_id string, keywords array<string>")
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    return R.keyword_top(docs, specs, {"text": "text", "source": "source"}, "source", "doc_id", 30, weights={"text": 0.55, "source": 0.45})
+    hits = R.keyword_top(docs, specs, {"text": "text", "source": "source"}, "source", "doc_id", 30, weights={"text": 0.55, "source": 0.45})
+    asked = vector_queries(spark, sf_dir).select("query_id", F.lit("licence").alias("spec_id"))
+    return asked.join(hits.select("spec_id", "doc_id", "keyword_score"), "spec_id").select("query_id", "doc_id", "keyword_score")
 
 
 KEYWORD_DOCS = "kd AS (SELECT doc_id, 0.55::DOUBLE AS keyword_score FROM documents WHERE contains(lower(coalesce(text, '')), 'licensed') OR contains(lower(coalesce(text, '')), 'copyright') ORDER BY source, doc_id LIMIT 30), ks AS (SELECT vec_id AS query_id, doc_id, keyword_score FROM embeddings, kd WHERE vec_id % 100 = 0)"
@@ -532,14 +535,14 @@ MERGED = "j AS (SELECT coalesce(ks.query_id, top.query_id) AS query_id, coalesce
 
 @query(f"WITH {TOP}, {KEYWORD_DOCS}, {MERGED} SELECT *, false AS degraded, row_number() OVER (PARTITION BY query_id ORDER BY combined_score DESC, doc_id) AS rank FROM s QUALIFY rank <= 50")
 def hybrid_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = keyword_docs(spark, sf_dir).select(C("spec_id").alias("query_id"), "doc_id", "keyword_score")
+    k = keyword_docs(spark, sf_dir)
     v = cosine_topk(spark, sf_dir).select("query_id", C("vec_id").alias("doc_id"), C("similarity").alias("vector_score"))
     return R.merge_hits(k, v, ["query_id", "doc_id"])
 
 
 @query(f"WITH {KEYWORD_DOCS} SELECT query_id, doc_id, keyword_score, 0.0::DOUBLE AS vector_score, keyword_score AS combined_score, true AS degraded, row_number() OVER (PARTITION BY query_id ORDER BY doc_id) AS rank FROM ks")
 def degraded_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.merge_hits(keyword_docs(spark, sf_dir).select(C("spec_id").alias("query_id"), "doc_id", "keyword_score"), None, ["query_id", "doc_id"])
+    return R.merge_hits(keyword_docs(spark, sf_dir), None, ["query_id", "doc_id"])
 
 
 # --- applicants, gate and plan
