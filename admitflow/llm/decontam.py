@@ -27,6 +27,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -35,30 +36,42 @@ from pyspark.sql import functions as F
 
 Q, EDITS, LEAST_SHARED = 8, 0.10, 3
 #: Characters of items in one broadcast, and of texts that are looked at together.
-BLOCK_CHARS, CHUNK_CHARS = 8 << 20, 1 << 19
+BLOCK_CHARS, CHUNK_CHARS = 8 << 20, 1 << 17
 BASE = np.uint64(0x9E3779B97F4A7C15)
 FILTER_BITS = 20
 SPACES = {c: " " for c in (*range(0, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)}
 OUTSIDE = np.uint32(0xFFFFFFFF)
 
 
-def normal(text: str) -> str:
-    lower = text.lower()
-    if len(lower) != len(text):
-        lower = "".join(low if len(low := c.lower()) == 1 else c for c in text)
-    return lower.translate(SPACES)
+@cache
+def lower_table() -> np.ndarray:
+    """The normal form of every code point that has one; built once a worker."""
+    table = np.arange(0x110000, dtype=np.uint32)
+    for c in range(0x110000):
+        if not 0xD800 <= c < 0xE000 and len(low := chr(c).lower()) == 1:
+            table[c] = ord(low)
+    table[list(SPACES)] = ord(" ")
+    return table
 
 
 def codes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
+def characters(chars: np.ndarray) -> str:
+    return chars.tobytes().decode("utf-32-le", "surrogatepass")
+
+
+def normal(text: str) -> str:
+    return characters(lower_table()[codes(text)])
+
+
 def qgram_hashes(chars: np.ndarray, q: int = Q) -> np.ndarray:
     """The hash of each q-gram (q a power of 2), by doubling."""
     h, width, base = chars.astype(np.uint64), 1, BASE
     while width < q:
         h = h[:-width] * base + h[width:]
-        width, base = 2 * width, base * base
+        width, base = 2 * width, np.uint64(int(base) ** 2 % (1 << 64))
     return h ^ (h >> np.uint64(31))
 
 
@@ -101,7 +114,7 @@ def align(pattern: np.ndarray, text: np.ndarray, low: int, high: int, budget: in
     """Fewest edits between the whole pattern and a stretch of the text, with text position
     less pattern position in low..high throughout: (start, end, edits), or None above the budget."""
 
-    def rows(p: np.ndarray, t: np.ndarray, lo: int, width: int, start: np.ndarray) -> np.ndarray:
+    def rows(p: np.ndarray, t: np.ndarray, lo: int, width: int, start: np.ndarray) -> np.ndarray | None:
         padded = np.full(len(p) + width, OUTSIDE, np.uint32)  # t[lo : lo + m + width], outside of the text no character
         a, b = max(lo, 0), min(lo + len(padded), len(t))
         if b > a:
@@ -111,13 +124,15 @@ def align(pattern: np.ndarray, text: np.ndarray, low: int, high: int, budget: in
             new = cost + (padded[i : i + width] != p[i])
             new[:-1] = np.minimum(new[:-1], cost[1:] + 1)
             cost = np.minimum.accumulate(new - steps) + steps
+            if i % 4 == 3 and cost.min() > budget:  # the least cost of a row never falls
+                return None
         return cost
 
     m, width = len(pattern), high - low + 1
     cost = rows(pattern, text, low, width, np.zeros(width, np.int64))
-    best = int(cost.argmin())
-    if cost[best] > budget:
+    if cost is None or cost.min() > budget:
         return None
+    best = int(cost.argmin())
     end = m + low + best
     # backwards from that end: the diagonal in reversed positions is (n - end) there
     lo = len(text) - m - high
@@ -140,7 +155,7 @@ def find(texts: list[str | None], items: Items) -> list[list[tuple]]:
             chunk.append(row)
             size += len(text)
         if size >= CHUNK_CHARS or row == len(texts) - 1:
-            look(chunk, [normal(texts[k]) for k in chunk], items, found)
+            look(chunk, [texts[k] for k in chunk], items, found)
             chunk, size = [], 0
     return found
 
@@ -148,8 +163,9 @@ def find(texts: list[str | None], items: Items) -> list[list[tuple]]:
 def look(rows: list[int], texts: list[str], items: Items, found: list[list[tuple]]) -> None:
     if not rows:
         return
-    chars = codes("\0".join(texts))  # no text or item has this character
-    starts = np.cumsum([0] + [len(t) + 1 for t in texts[:-1]])
+    starts = np.cumsum([0] + [len(t) + 1 for t in texts])
+    chars = lower_table()[codes("\0".join(texts))]
+    chars[starts[1:-1] - 1] = OUTSIDE  # between the texts stands what no text or item has
     h = qgram_hashes(chars)
     at = np.flatnonzero(items.seen[slots(h)])
     gram = np.minimum(np.searchsorted(items.grams, h[at]), len(items.grams) - 1)
@@ -168,18 +184,24 @@ def look(rows: list[int], texts: list[str], items: Items, found: list[list[tuple
     key = ((doc * len(items.ids) + item) * (2 * span)) + band + span
     keys, counts = np.unique(np.concatenate([key, key - 1]), return_counts=True)
     pair = keys // (2 * span)
-    enough = counts >= items.shared[pair % len(items.ids)]
+    keys = keys[counts >= items.shared[pair % len(items.ids)]]
+    # what is left is counted by places of the item, so that a repeated q-gram counts once
+    of_band = np.concatenate([np.isin(key, keys), np.isin(key - 1, keys)])
+    bands, places = np.concatenate([key, key - 1])[of_band], np.concatenate([items.place[posting]] * 2)[of_band]
+    keys, counts = np.unique(np.unique(np.stack([bands, places]), axis=1)[0], return_counts=True)
+    keys = keys[counts >= items.shared[keys // (2 * span) % len(items.ids)]]
     hits: dict[tuple[int, int], list] = {}
-    for k in keys[enough].tolist():
+    for k in keys.tolist():
         pair, band = divmod(k, 2 * span)
         doc, item = divmod(pair, len(items.ids))
-        text, wanted, budget = texts[doc], items.texts[item], int(items.edits[item])
+        text, wanted, budget = chars[starts[doc] : starts[doc + 1] - 1], items.texts[item], int(items.edits[item])
         low = (band - span) * (budget + 1)
         high = low + 2 * (budget + 1) - 1
-        same = text.find(wanted, max(low, 0), max(high, 0) + len(wanted) + 1)
+        begin = max(low, 0)
+        same = characters(text[begin : max(high, 0) + len(wanted) + 1]).find(wanted)
         if same >= 0:
-            hits.setdefault((doc, item), []).append((0, same, same + len(wanted)))
-        elif place := align(codes(wanted), codes(text), low, high, budget):
+            hits.setdefault((doc, item), []).append((0, begin + same, begin + same + len(wanted)))
+        elif place := align(codes(wanted), text, low, high, budget):
             hits.setdefault((doc, item), []).append((place[2], place[0], place[1]))
     for (doc, item), places in sorted(hits.items()):
         kept: list[tuple] = []
