@@ -11,8 +11,8 @@ their check digit and letter case is kept.
 Collision checks over all distinct entities keep them distinct: a surrogate
 that two entities share stays with the first in order, and one that is itself an entity of the corpus goes;
 those affected get the next attempt, from the fifth on with longer words, until no collision is left.
-Attempts above 0 are rare; they are joined back by document only where there
-are any. Number spaces can't grow, so over ``MAX_ROUNDS`` rounds are an error.
+Attempts above 0 are rare: up to ``MAX_LATER`` travel with the expressions, more
+are joined back by document. Number spaces can't grow, so over ``MAX_ROUNDS`` rounds are an error.
 
 Defined results: null text stays null with no entities; of overlapping
 entities the first counts, then by order of type; repeated rows are rewritten each on
@@ -29,6 +29,8 @@ from admitflow.session import cut
 
 KEY = "surrogates-1"
 MAX_ROUNDS, LONGER_FROM = 40, 4
+#: Entities with a later attempt that travel with the expressions; more are joined to the documents that have them.
+MAX_LATER = 4000
 ENTITIES = "array<struct<start:bigint,rank:int,end:bigint,kind:string,canon:string,value:string>>"
 
 #: Forms of address by gender, and common given names by gender.
@@ -212,21 +214,24 @@ def attempts(found: DataFrame, key: str = KEY) -> DataFrame:
     raise RuntimeError(f"surrogates still collide after {MAX_ROUNDS} rounds: a kind has more entities than its format allows")
 
 
-def pseudonymise(docs: DataFrame, key: str = KEY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pseudonymise(docs: DataFrame, key: str = KEY, id_col: str = "doc_id", text_col: str = "text", max_later: int = MAX_LATER) -> DataFrame:
     """doc_id, text with surrogates, n_entities and kinds (in order of the text, comma-joined) of every document."""
     given = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("original"))
     found = given.withColumn("entities", entities(clean(F.col("original"))))
     later = cut(attempts(found, key))
-    if later.isEmpty():
-        found = found.withColumn("later", F.lit(None).cast("map<string,int>"))
+    few = later.limit(max_later + 1).collect()
+    if len(few) <= max_later:
+        pairs = [F.lit(x) for r in few for x in (f"{r['kind']}|{r['canon']}", r["attempt"])]
+        attempt_of = F.create_map(*pairs) if pairs else F.lit(None).cast("map<string,int>")
     else:
         each = found.select("doc_id", F.explode("entities").alias("e")).select("doc_id", "e.kind", "e.canon").distinct()
-        pairs = F.struct(F.concat_ws("|", "kind", "canon"), "attempt")
-        by_doc = each.join(later, ["kind", "canon"]).groupBy(F.col("doc_id").alias("__id")).agg(F.map_from_entries(F.collect_set(pairs)).alias("later"))
+        pair = F.struct(F.concat_ws("|", "kind", "canon"), "attempt")
+        by_doc = each.join(later, ["kind", "canon"]).groupBy(F.col("doc_id").alias("__id")).agg(F.map_from_entries(F.collect_set(pair)).alias("later"))
         found = found.join(by_doc, F.col("doc_id").eqNullSafe(F.col("__id")), "left").drop("__id")
+        attempt_of = F.col("later")
 
     def value(e: Column) -> Column:
-        attempt = F.coalesce(F.element_at(F.col("later"), F.concat_ws("|", e["kind"], e["canon"])), F.lit(0))
+        attempt = F.coalesce(F.try_element_at(attempt_of, F.concat_ws("|", e["kind"], e["canon"])), F.lit(0))
         return let(surrogate(e["kind"], e["canon"], attempt, key), lambda core: in_format(e["kind"], e["value"], core))
 
     return found.select(

@@ -45,6 +45,8 @@ def test_collisions_are_resolved(spark):
     got = rewrite(spark, rows)
     before, after = {t.split()[1] for _, t in rows}, {got[i].text.split()[1] for i, _ in rows}
     assert len(after) == len(before) and not after & before
+    joined = rewrite(spark, rows, max_later=0)
+    assert all(joined[i].text == got[i].text for i, _ in rows)
     assert rewrite(spark, [(999, rows[3][1]), *rows], key=pii.KEY)[999].text == got[3].text
 
 
