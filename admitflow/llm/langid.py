@@ -19,7 +19,6 @@ rows; columns other than the id, text and lang are ignored.
 
 from __future__ import annotations
 
-import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -27,6 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,7 +36,7 @@ LONGEST = 4
 WEIGHTS = {n: 0.7 ** (LONGEST + 1 - n) for n in range(1, LONGEST + 1)}
 SAMPLE_DOCS, MAX_ENTRIES, MAX_LANGS = 3000, 40_000, 400
 #: Words whose scores a task remembers, and words that count towards the confidence.
-REMEMBERED, CONFIDENT_WORDS = 400_000, 50
+REMEMBERED, CONFIDENT_WORDS = 200_000, 50
 UNKNOWN = "und"
 
 
@@ -69,46 +69,46 @@ def count_terms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 class Model:
-    """Log frequencies by language; a picklable lookup with a bounded memory of scored words."""
-
-    def __init__(self, counts: pd.DataFrame):
-        self.langs = sorted(counts["lang"].unique())
-        place = {lang: i for i, lang in enumerate(self.langs)}
-        self.tables: list[dict[str, np.ndarray]] = []
-        for kind in range(LONGEST + 1):
-            own = counts[counts["kind"] == kind]
-            table = own.assign(lang=own["lang"].map(place)).pivot_table(index="term", columns="lang", values="n", aggfunc="sum", fill_value=0)
-            table = table.reindex(columns=range(len(self.langs)), fill_value=0)
-            if kind == 0:
-                table = table[table.sum(axis=1) > 1]  # a word seen once says less than its n-grams
-            values = table.to_numpy(float) + 0.5
+    """Log frequencies by language: for each kind the terms' rows in one matrix, and a bounded memory of scored words."""
+
+    def __init__(self, langs: list[str], kinds: Iterator[tuple[int, pd.DataFrame]]):
+        """kinds: the terms of one kind at a time, as lang, term and n."""
+        self.langs = sorted(langs)
+        self.tables: dict[int, tuple[dict[str, int], np.ndarray]] = {}
+        for kind, own in kinds:
+            rows, terms = pd.factorize(own["term"])
+            counts = np.zeros((len(terms), len(self.langs)))
+            np.add.at(counts, (rows, np.searchsorted(self.langs, own["lang"].to_numpy(str))), own["n"].to_numpy(float))
+            if kind == 0:  # a word seen once says less than its n-grams
+                often = counts.sum(axis=1) > 1
+                counts, terms = counts[often], terms[often]
+            values = counts + 0.5
             scores = np.log(values / values.sum(axis=0)) if len(values) else values
             scores = scores - scores.max(axis=1, keepdims=True) if len(scores) else scores
-            self.tables.append(dict(zip(table.index, scores.astype(np.float32), strict=True)))
-        self.memory: dict[str, np.ndarray] = {}
+            self.tables[kind] = dict(zip(terms, range(len(terms)), strict=True)), scores.astype(np.float32)
+        self.forget()
+
+    def forget(self) -> None:
+        self.memory: dict[str, int] = {}
+        self.remembered = np.zeros((0, len(self.langs)), np.float32)
 
     def word(self, word: str) -> np.ndarray:
         """Log frequencies relative to the likeliest language."""
-        if (known := self.tables[0].get(word)) is not None:
-            return known
-        for n in range(min(LONGEST, len(word) + 2), 0, -1):
-            table = self.tables[n]
-            found = [x for gram in grams(word, n) if (x := table.get(gram)) is not None]
+        for n in (0, *range(min(LONGEST, len(word) + 2), 0, -1)):
+            places, scores = self.tables.get(n, ({}, None))
+            found = [k for gram in ([word] if n == 0 else grams(word, n)) if (k := places.get(gram)) is not None]
             if found:
-                return (WEIGHTS[n] / len(found)) * sum(found)
+                return scores[found[0]] if n == 0 else WEIGHTS[n] * scores[found].mean(axis=0)
         return np.zeros(len(self.langs), np.float32)
 
     def words(self, words: np.ndarray) -> np.ndarray:
-        memory = self.memory
-        if len(memory) > REMEMBERED:
-            memory.clear()
-        out = np.empty((len(words), len(self.langs)), np.float32)
-        for i, word in enumerate(words):
-            scored = memory.get(word)
-            if scored is None:
-                scored = memory[word] = self.word(word)
-            out[i] = scored
-        return out
+        if len(self.memory) > REMEMBERED:
+            self.forget()
+        new = [w for w in words if w not in self.memory]
+        if new:
+            self.memory.update(zip(new, range(len(self.memory), len(self.memory) + len(new)), strict=True))
+            self.remembered = np.concatenate([self.remembered, [self.word(w) for w in new]]).astype(np.float32)
+        return self.remembered[[self.memory[w] for w in words]]
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         split = [LETTERS.findall(t.lower()) if t else [] for t in texts]
@@ -138,7 +138,7 @@ def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, max_entries: int = MAX_
     if len(sizes) > MAX_LANGS:
         raise ValueError(f"over {MAX_LANGS} languages")
     if not sizes:
-        return Model(pd.DataFrame({"lang": [], "kind": [], "term": [], "n": []}))
+        return Model([], iter(()))
     share = {r["lang"]: min(1.0, sample_docs / r["count"]) for r in sizes}
     dealt = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / float(1 << 20)
     wanted = F.create_map(*[F.lit(x) for pair in share.items() for x in pair])
@@ -146,7 +146,9 @@ def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, max_entries: int = MAX_
     counts = sample.mapInPandas(count_terms, "lang string, kind int, term string, n long").groupBy("lang", "kind", "term").agg(F.sum("n").alias("n"))
     top = Window.partitionBy("lang", "kind").orderBy(F.desc("n"), "term")
     counts = counts.withColumn("rank", F.row_number().over(top)).where(F.col("rank") <= max_entries).drop("rank")
-    return Model(counts.toPandas())
+    table = counts.toArrow()
+    by_kind = ((k, table.filter(pc.equal(table["kind"], k)).select(["lang", "term", "n"]).to_pandas()) for k in range(LONGEST + 1))
+    return Model(list(share), by_kind)
 
 
 PREDICTED = "doc_id long, held_out boolean, lang_pred string, score double"

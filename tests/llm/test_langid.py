@@ -27,7 +27,7 @@ def test_empty(spark):
 
 def test_backoff_uses_the_longest_known_gram():
     counts = pd.DataFrame([("a", 0, "foo", 9), ("b", 0, "bar", 9), ("a", 3, "^xy", 5), ("b", 2, "yz", 5), ("a", 2, "vv", 5), ("a", 1, "q", 4), ("b", 1, "r", 4)], columns=["lang", "kind", "term", "n"])
-    model = Model(counts)
+    model = Model(["b", "a"], ((k, own) for k, own in counts.groupby("kind")))
     assert model.word("foo").argmax() == 0 and model.word("bar").argmax() == 1
     assert model.word("xyz").argmax() == 0  # its 3-gram decides, not its 2-gram
     assert model.word("wyz").argmax() == 1
