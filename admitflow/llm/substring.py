@@ -272,13 +272,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     parts = cut(given.mapInArrow(find_parts, PARTS))
     each = parts.select("doc_id", "row", F.inline(F.arrays_zip("anchor", "stretch", "place")))
     # 1. anchors of more than one document
-    shared = each.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("anchor")
+    # (cut, as a join can split a crowded anchor only where both of its sides come straight from a shuffle)
+    shared = cut(each.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("anchor"))
     near = cut(each.join(shared, "anchor"))  # a part of all stretches; its uses below would each shuffle all of them again
     # 2. stretches that a smaller document has word for word
     firsts = cut(near.groupBy("anchor", "stretch").agg(F.min(F.struct("doc_id", "row", "place")).alias("first")))
     again = near.join(firsts, ["anchor", "stretch"]).where("doc_id > first.doc_id").drop("first").selectExpr("doc_id", "row", START, NUMBER)
     # 3. the different stretches of an anchor: a reference shard
-    crowds = firsts.groupBy("anchor").agg(F.count("*").alias("texts")).where("texts > 1")
+    crowds = cut(firsts.groupBy("anchor").agg(F.count("*").alias("texts")).where("texts > 1"))
     wanted = firsts.join(crowds, "anchor").select("anchor", "first.*", (F.col("texts") > shard_texts).alias("crowded"))
     wanted = wanted.selectExpr("anchor", "doc_id", "row", START, NUMBER, "crowded")
     by_doc = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("row", "anchor", "start", "n", "crowded")).alias("wanted"))
