@@ -9,7 +9,9 @@ document repeats nothing, and a stretch equal to one of a smaller document
 repeats it all. The different stretches of one anchor are a reference shard:
 its suffix automaton, with the least document of each state, is built where the
 shard is, and the stretches stream through it for their matching statistics; a
-window is removed if the state of its 50 words has a smaller document.
+window is removed if the state of its 50 words has a smaller document. A shard
+holds each stretch once, at its least place; what is found comes back as
+fingerprints, by which every place in that document loses the window.
 
 The reference is the corpus itself, so automata aren't broadcast to all
 documents (that would grow with the square of the corpus): each is built once,
@@ -229,9 +231,12 @@ def search_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 automaton.add(t["words"], t["doc_id"])
             automaton.settle()
             for t in texts:
-                out += [(t["doc_id"], t["row"], t["start"] + at, 1) for at in automaton.repeats(t["words"], t["doc_id"], WINDOW)]
-        columns = list(zip(*out, strict=True)) or [()] * 4
-        yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], names=["doc_id", "row", "start", "n"])
+                at = np.array(automaton.repeats(t["words"], t["doc_id"], WINDOW), np.int64)
+                if len(at):
+                    prints = Ranges(np.array(t["words"], np.int64).view(np.uint64)).of(at, WINDOW).view(np.int64)
+                    out += [(t["doc_id"], x) for x in prints.tolist()]
+        columns = list(zip(*out, strict=True)) or [()] * 2
+        yield pa.record_batch([pa.array(c, pa.int64()) for c in columns], names=["doc_id", "print"])
 
 
 RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string"
@@ -239,17 +244,23 @@ RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_te
 
 def cut_out(with_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memory = WordHashes()
         for batch in batches:
             counts, removed, digests, texts = [], [], [], []
-            for text, spans in zip(batch.column(1), batch.column(2).to_pylist(), strict=True):
+            for text, spans, prints in zip(batch.column(1), batch.column(2).to_pylist(), batch.column(3), strict=True):
                 words = words_of(text.as_py())
                 joined = b" ".join(words)
                 counts.append(len(words))
                 gone = 0
-                if spans:
+                if (spans or prints.is_valid and len(prints)) and len(words) >= WINDOW:
                     row = row_of(joined)
                     depth = np.zeros(len(words) + 1, np.int64)
-                    for s in spans:
+                    if prints.is_valid and len(prints):  # every place of a window that was found at one of them
+                        own = Ranges(hashed(words, memory)).of(np.arange(len(words) - WINDOW + 1), WINDOW).view(np.int64)
+                        at = np.flatnonzero(np.isin(own, prints.values.to_numpy()))
+                        depth[at] += 1
+                        depth[at + WINDOW] -= 1
+                    for s in spans or ():
                         if s["row"] == row:
                             depth[s["start"]] += 1
                             depth[s["start"] + s["n"] + WINDOW - 1] -= 1
@@ -285,11 +296,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     by_doc = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("row", "anchor", "start", "n", "crowded")).alias("wanted"))
     slices = given.join(by_doc, "doc_id").select("doc_id", "text", "wanted").mapInArrow(slice_words, SLICES)
     shards = slices.where("words is not null").groupBy("anchor").agg(F.collect_list(F.struct("doc_id", "row", "start", "words")).alias("texts"))
-    matched = shards.select("texts").mapInArrow(search_shards, "doc_id long, row long, start int, n int")
-    prints = slices.where("words is null").select("print_a", "print_b", "doc_id", "row", "start")
+    matched = shards.select("texts").mapInArrow(search_shards, "doc_id long, print long")
+    prints = slices.where("words is null").select("print_a", "print_b", "doc_id")
     least = prints.groupBy("print_a", "print_b").agg(F.min("doc_id").alias("least"))
-    split = prints.join(least, ["print_a", "print_b"]).where("doc_id > least").select("doc_id", "row", "start", F.lit(1).alias("n"))
-    spans = again.union(matched).union(split).groupBy("doc_id").agg(F.collect_list(F.struct("row", "start", "n")).alias("spans"))
-    unnamed = everything.where("doc_id is null").withColumn("spans", F.lit(None).cast(dict(spans.dtypes)["spans"]))
-    result = given.join(spans, "doc_id", "left").select("doc_id", "text", "spans").unionByName(unnamed).mapInArrow(cut_out(with_text), RESULT)
+    split = prints.join(least, ["print_a", "print_b"]).where("doc_id > least").selectExpr("doc_id", "print_a as print")
+    # a stretch was searched at its first place only: its document loses the windows found at all places
+    found = again.selectExpr("doc_id", "struct(row, start, n) as span", "cast(null as long) as print").unionByName(matched.union(split), allowMissingColumns=True)
+    spans = found.groupBy("doc_id").agg(F.collect_list("span").alias("spans"), F.collect_list("print").alias("prints"))
+    unnamed = everything.where("doc_id is null").withColumns({k: F.lit(None).cast(dict(spans.dtypes)[k]) for k in ("spans", "prints")})
+    result = given.join(spans, "doc_id", "left").select("doc_id", "text", "spans", "prints").unionByName(unnamed).mapInArrow(cut_out(with_text), RESULT)
     return result if with_text else result.drop("kept_text")

@@ -64,6 +64,18 @@ def test_against_brute_force(spark, shard_texts):
     check(spark, corpus(), shard_texts=shard_texts)
 
 
+@pytest.mark.parametrize("shard_texts", [256, 1])
+def test_stretch_repeated_within_its_least_document(spark, shard_texts):
+    rng = random.Random(9)
+    say = lambda n: [f"v{rng.randrange(5000)}" for _ in range(n)]
+    docs = []
+    for k in range(0, 60, 3):
+        passage = say(60)
+        copy = say(60) + passage + say(60)
+        docs += [(k + 1, " ".join(say(60) + passage + say(60))), (k + 2, " ".join(copy + copy)), (k + 2, " ".join(say(70) + copy + say(9)))]
+    check(spark, docs, shard_texts=shard_texts)
+
+
 def test_empty(spark):
     assert remove_repeats(spark.createDataFrame([], SCHEMA)).count() == 0
 
