@@ -8,9 +8,11 @@ and by the serial correlation of neighbours. The three p-values are combined
 (Cauchy). Random strings have uniform p-values, structured ones small ones.
 Each stratum (encoding, length class) gets the lowest threshold at which the
 estimated share of structured strings among those above it is at most ``FDR``
-(the random ones are estimated from the upper half of the p-values). Short
+(the random ones are estimated from the upper half of the p-values). Different
+strings count once each, so copies of a key don't move a threshold. Short
 strings, which the tests can't tell apart, are thus held to their own stratum's
-threshold. The strata are bounded (encodings x length classes x bins), and so
+threshold. A stratum of fewer than ``SPARSE`` different strings says nothing
+about their shares; it takes a fixed threshold by length. The strata are bounded (encodings x length classes x bins), and so
 is what reaches the driver.
 
 Places are code points with exclusive ends. Defined results: null text is
@@ -42,7 +44,9 @@ ENCODINGS = (
     ("base64url", r"^[A-Za-z0-9_-]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_"),
 )
 FDR, BINS, LEAST_P = 0.1, 20, 0.01
-CANDIDATES = "array<struct<start:bigint,end:bigint,stratum:string,p:double>>"
+#: Strata of fewer different strings take a fixed threshold: that of the first length class (twice the binary logarithm) not below theirs.
+SPARSE, FIXED = 20, ((9, 0.1), (11, 0.05))
+CANDIDATES = "array<struct<start:bigint,end:bigint,stratum:string,p:double,key:bigint>>"
 
 
 def base_spans(text: Column) -> Column:
@@ -103,24 +107,28 @@ def candidates(text: Column, base: Column) -> Column:
             alphabet = F.when(token.rlike(pattern), letters).otherwise(alphabet)
         stratum = F.concat_ws(":", name, F.floor(2 * F.log2(F.length(token).cast("double"))).cast("string"))
         p = F.when(alphabet.isNull(), F.lit(0.0)).otherwise(let(F.struct(token.alias("t"), alphabet.alias("a")), lambda s: randomness(s["t"], s["a"])))
-        return F.struct(c["start"].alias("start"), c["end"].alias("end"), stratum.alias("stratum"), p.alias("p"))
+        return F.struct(c["start"].alias("start"), c["end"].alias("end"), stratum.alias("stratum"), p.alias("p"), F.xxhash64(token).alias("key"))
 
     return F.transform(found, judged).cast(CANDIDATES)
 
 
 def thresholds(found: DataFrame, fdr: float = FDR) -> dict[str, float]:
-    """For each stratum the lowest p-value bin that keeps the false discoveries among those above at ``fdr``; strata without one are left out."""
+    """For each stratum the lowest p-value bin that keeps the false discoveries among those above at ``fdr``; strata without one are left out, sparse ones take ``FIXED``."""
     bins = (
         found.select(F.explode("candidates").alias("c"))
-        .groupBy(F.col("c.stratum").alias("stratum"), F.least(F.floor(F.col("c.p") * BINS), F.lit(BINS - 1)).alias("bin"))
+        .groupBy(F.col("c.stratum").alias("stratum"), F.col("c.key").alias("key"))
+        .agg(F.min("c.p").alias("p"))
+        .groupBy("stratum", F.least(F.floor(F.col("p") * BINS), F.lit(BINS - 1)).alias("bin"))
         .agg(F.count("*").alias("n"))
     )
     above = Window.partitionBy("stratum").orderBy(F.desc("bin"))
     everything = Window.partitionBy("stratum")
     per_bin = F.sum(F.when(F.col("bin") >= BINS // 2, F.col("n")).otherwise(0)).over(everything) / (BINS - BINS // 2)
     rated = bins.withColumns({"found": F.sum("n").over(above), "random": per_bin * (BINS - F.col("bin"))})
-    good = rated.where((F.col("found") - F.col("random")) <= fdr * F.col("found")).groupBy("stratum").agg(F.min("bin").alias("bin"))
-    return {r["stratum"]: max(r["bin"] / BINS, LEAST_P) for r in good.collect()}
+    good = F.when((F.col("found") - F.col("random")) <= fdr * F.col("found"), F.col("bin"))
+    strata = rated.groupBy("stratum").agg(F.min(good).alias("bin"), F.sum("n").alias("n")).collect()
+    fixed = lambda stratum: next((limit for top, limit in FIXED if int(stratum.split(":")[-1]) <= top), LEAST_P)
+    return {r["stratum"]: fixed(r["stratum"]) if r["n"] < SPARSE else max(r["bin"] / BINS, LEAST_P) for r in strata if r["n"] < SPARSE or r["bin"] is not None}
 
 
 def discovered(candidates: Column, limits: dict[str, float]) -> Column:

@@ -2,7 +2,7 @@ import hashlib
 import random
 import re
 
-from admitflow.llm.secret_scan import digest, redact, scan
+from admitflow.llm.secret_scan import digest, redact, scan, thresholds
 from admitflow.session import read
 
 SCHEMA = "doc_id long, text string, base string, candidates int"
@@ -62,6 +62,23 @@ def test_battery_tells_random_from_structured(spark):
     assert got[0] in ("", "random:7:55")
 
 
+def test_copies_of_a_key_change_no_threshold(spark):
+    rng = random.Random(5)
+    docs = [(i, f"key is {token(rng, B64, 48)} here") for i in range(100)]
+    docs += [(100 + i, "see A" + "".join(rng.choice(["data", "Http", "node", "1", "page", "index"]) for _ in range(20))[:47] + " now") for i in range(300)]
+    limits = lambda rows: thresholds(scan(spark.createDataFrame(rows, "doc_id long, text string")))
+    want = limits(docs)
+    for k in range(4):
+        assert limits(docs + [(1000 + i, docs[k][1]) for i in range(1000)]) == want
+
+
+def test_lone_keys_are_found(spark):
+    rng = random.Random(6)
+    docs = [(n, f"key is {token(rng, B64, n)} here") for n in (26, 40, 52, 70, 100, 140, 200, 300)]
+    got = {r.doc_id: r.spans for r in digest(scan(spark.createDataFrame(docs, "doc_id long, text string"))).collect()}
+    assert sum(got[n] == f"random:7:{7 + n}" for n in got) >= 6
+
+
 def test_redact_keeps_rows_columns_and_other_text(spark):
     docs = spark.createDataFrame([(*r, "c", 1) for r in rows_of()], SCHEMA)
     got = redact(docs)
