@@ -46,3 +46,35 @@ def test_whole_table(spark, sf_dir):
         want[r.page_id] = "\n\n".join(b for b in blocks if b)
     for r in main_text(pages).collect():
         assert r.text == want[r.page_id]
+
+
+def frames(spark, pages):
+    rows = [(i, f"http://one.example.com/{i}", html, "c", 1, "c") for i, html in enumerate(pages)]
+    return [r.text for r in sorted(main_text(spark.createDataFrame(rows, SCHEMA)).collect())]
+
+
+def test_template_without_names(spark):
+    """Menu and copyright lines carry no name: their text repeats, so it is template; the slot between is what varies."""
+    page = "<html><body><div class=x1>menu of the site</div><div class=x2><h1>Title {0}</h1><p>text {0} of this page</p></div><div class=x3>all rights kept</div></body></html>"
+    assert frames(spark, [page.format(i) for i in range(4)]) == [f"Title {i}\n\ntext {i} of this page" for i in range(4)]
+
+
+def test_mixed_layouts_have_a_slot_each(spark):
+    shells = ["<article>{0}</article>"] * 4 + ["<main>{0}</main>"] * 3 + ["<div class=post>{0}</div>"] * 3
+    pages = [f"<html><body><nav>n</nav><div id=w>{s.format(f'<h1>T{i}</h1><p>text {i} is here for a while</p><p>All rights kept</p>')}</div><div class=z{i % 2}>go on</div></body></html>" for i, s in enumerate(shells)]
+    assert frames(spark, pages) == [f"T{i}\n\ntext {i} is here for a while" + "\n\nAll rights kept" * (i < 7) for i in range(10)]
+
+
+def test_copies_on_one_host_keep_their_text(spark):
+    page = "<html><body><nav>n {0}</nav><article><h1>Same</h1><p>the same long text on all of them</p><p>ends here</p></article></body></html>"
+    assert set(frames(spark, [page.format(i) for i in range(6)])) == {"Same\n\nthe same long text on all of them\n\nends here"}
+
+
+def test_names_judge_containers_only():
+    html = "<article><p class='share price'>Up</p><p id='promotion'>Moved</p><p>so <math><mi>x</mi><mo>=</mo><mn>2</mn></math></p><div class='main-content no-sidebar'>kept</div><div class='share'>Tweet</div></article>"
+    assert extract(html) == "Up\n\nMoved\n\nso x=2\n\nkept"
+
+
+def test_deep_nesting_is_linear():
+    assert extract("<div>" * 100_000 + "x" + "</b></div>" * 100_000) == "x"
+    assert extract("<article>" + "<p>a</i>" * 50_000 + "</article>").count("a") == 50_000
