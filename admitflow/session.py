@@ -34,3 +34,12 @@ def cut(df: DataFrame) -> DataFrame:
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     """One table of a data folder, by Spark's own reader (any file system)."""
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def fresh(*frames: DataFrame | list[str]) -> str:
+    """The start of column names that no column of ``frames`` has, whatever its case."""
+    taken = [c.lower() for f in frames for c in (f if isinstance(f, list) else f.columns)]
+    name = "__own_"
+    while any(c.startswith(name) for c in taken):
+        name = f"_{name}"
+    return name
