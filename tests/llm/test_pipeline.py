@@ -1,9 +1,54 @@
+import random
+
 import corpus_pipeline
 from admitflow.llm.decontam import find, index
-from admitflow.llm.simhash import fingerprint, keep_one
+from admitflow.llm.simhash import keep_one
 from admitflow.session import read
 
 
+def similar(texts, least):
+    """Pairs of ids (in order) with their Jaccard similarity over sets of 5-word shingles."""
+    sets, where = {}, {}
+    for i, t in texts.items():
+        words = (t or "").lower().split()
+        sets[i] = {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))}
+        for s in sets[i]:
+            where.setdefault(s, []).append(i)
+    pairs = {(i, j) for ids in where.values() for i in ids for j in ids if i < j}
+    found = {(i, j): len(sets[i] & sets[j]) / len(sets[i] | sets[j]) for i, j in pairs}
+    return {k: v for k, v in found.items() if v >= least}
+
+
+def test_near_copies_in_any_block_size(spark):
+    rng = random.Random(5)
+    say = lambda n: [f"w{rng.randrange(3000)}" for _ in range(n)]
+    docs = [(k, " ".join(say(rng.randrange(1, 300)))) for k in range(60)]
+    for g in range(12):
+        base = say(200)
+        for k in range(12):
+            copy = list(base)
+            for _ in range(g % 4):
+                copy[rng.randrange(200)] = "edit"
+            docs.append((100 + 20 * g + k, " ".join(copy)))
+    alike = similar(dict(docs), 0.8)
+    texts = spark.createDataFrame(docs, "doc_id long, text string")
+    for block in (8192, 5):
+        kept = {r.doc_id for r in keep_one(texts, block=block).collect()}
+        assert kept == {k for k in range(60)} | {100 + 20 * g for g in range(12)}
+        assert not [p for p in alike if kept >= set(p)]
+
+
+def test_keep_one_passes_any_columns(spark):
+    rows = [(1, "a b c d e f", 5, {"k": "v"}), (1, "a b c d e f", 5, {"k": "v"}), (1, "a b c d e f", 6, {"k": "v"}), (2, "A b c d e f", 7, None), (3, None, 8, None), (4, " ", 9, None), (None, "lone text", 1, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __row int, `class.fp` map<string,string>")
+    for most in (2_000_000, 0):
+        got = keep_one(docs, max_broadcast=most)
+        assert got.dtypes == docs.dtypes
+        kept = sorted((r.doc_id or 0, r["__row"]) for r in got.collect())
+        assert kept in ([(0, 1), (1, 5), (3, 8)], [(0, 1), (1, 6), (3, 8)])
+    assert keep_one(docs.limit(0)).count() == 0
+
+
 def test_keep_one(spark):
     docs = spark.createDataFrame([(3, "a b c d", 1), (2, "A b c d", 2), (2, "A b c d", 2), (2, "other words in here entirely", 3), (None, "a b c d", 4), (None, "alone text with more words", 5), (9, None, 6), (8, "", 7)], "doc_id long, text string, label int")
     assert sorted((r.doc_id or 0, r.label) for r in keep_one(docs).collect()) == [(0, 5), (2, 2), (2, 3), (8, 7)]
@@ -23,17 +68,12 @@ def test_stages(spark, sf_dir, tmp_path):
         seen.append({r.doc_id: r for r in got})
     _, known, single, clean, masked = seen
     assert set(known) == {i for i, r in rows.items() if r.text and any(c.isalpha() for c in r.text)}
-    prints = {i: fingerprint(r.text) for i, r in known.items()}
-    near = {i: {j for j in prints if ((prints[i] ^ prints[j]) & (1 << 64) - 1).bit_count() <= 3} for i in prints}
-    left, want = set(prints), set()
-    while left:
-        group, front = set(), {min(left)}
-        while front:
-            group |= front
-            front = set().union(*(near[i] for i in front)) - group
-        want.add(min(group))
-        left -= group
-    assert set(single) == want
+    alike = similar({i: r.text for i, r in known.items()}, 0.6)
+    assert not [(i, j) for (i, j), v in alike.items() if v >= 0.9 and i in single and j in single]
+    sure = [(i, j) for (i, j), v in alike.items() if v >= 0.8]
+    assert sum(i in single and j in single for i, j in sure) <= 0.05 * len(sure)
+    partners = {i for pair in alike for i in pair}
+    assert set(known) - set(single) <= partners
     assert set(clean) == {i for i, hits in zip(single, find([r.text for r in single.values()], items), strict=True) if not hits}
     assert set(masked) == set(clean) and all(r.n_chars == len(r.text) for r in masked.values())
     assert all("token = \"" not in r.text for r in masked.values())
