@@ -1,4 +1,5 @@
 import re
+import unicodedata
 from collections import Counter
 
 from admitflow.llm.quality import RULES, Measured, Rule, measure_rules, measures, order_rules, quality
@@ -17,13 +18,23 @@ def brute(text):
     return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(covered)
 
 
+def rejected(text, n, chars, symbols, dup_lines):
+    """The production rules, character by character."""
+    split = text.split("\n")
+    letters = [c for c in text if unicodedata.category(c).startswith("L")]
+    upper = [c for c in text if unicodedata.category(c) == "Lu"]
+    ellipses = [x for x in split if x.rstrip(" \t").endswith(("...", "…"))]
+    return symbols > n or chars < 2 * n or chars > 40 * n or 2 * dup_lines > len(split) or 2 * len(upper) > len(letters) or 2 * len(letters) < chars or 2 * len(ellipses) > len(split)
+
+
 def check(rows, got):
     want = {i: brute(t) for i, t in rows}
     for r in got:
         n, chars, symbols, lines, repeats = want[r.doc_id]
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == (n, chars, symbols, lines, repeats), r.doc_id
         assert r.base_failed == (n < 50 or 100 * repeats > 50 * n)
-        assert not (r.base_failed and r.kept)
+        text = dict(rows)[r.doc_id] or ""
+        assert r.kept == (not r.base_failed and not rejected(text, n, chars, symbols, lines)), r.doc_id
 
 
 def test_small(spark):
