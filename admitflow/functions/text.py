@@ -184,13 +184,13 @@ def degree_type(name: Column) -> Column:
 
 
 def match_key(name: Column) -> Column:
-    """Lower case, ``&`` to ``and``, no punctuation, no ``the``."""
-    text = F.replace(F.lower(F.coalesce(name, F.lit(""))), F.lit("&"), F.lit(" and "))
-    return collapse(F.regexp_replace(F.regexp_replace(text, "[^a-z0-9]+", " "), r"\bthe\b", " "))
+    """Lower case, ``&`` to ``and``, no brackets, slashes, colons and commas, no ``the``."""
+    text = F.replace(F.lower(collapse(name)), F.lit("&"), F.lit(" and "))
+    return collapse(F.regexp_replace(F.regexp_replace(text, "[()/:,]", " "), r"\bthe\b", " "))
 
 
 def is_research(name: Column) -> Column:
-    return F.lower(name).rlike("doctor of philosophy|master of philosophy|by research|\\(research\\)|\\bphd\\b|\\bmphil\\b")
+    return contains_any(F.lower(name), ("doctor of philosophy", "master of philosophy", "research"))
 
 
 def dedupe_folded(values: Column, limit: int | None = None) -> Column:
@@ -259,29 +259,18 @@ PATHWAY_WORDS = (
     "graduate certificate", "graduate diploma", "undergraduate program", "cognate discipline", "related field", "80%", "65 percent", "concurrently enrolled", "legal reasoning",
 )
 SIGNALS = {
-    "qualification": (r"bachelor(?:'s)? degree", r"postgraduate degree", r"master(?:'s)? degree", r"honours(?: degree)?", "graduate certificate", "graduate diploma", "undergraduate program", "qualification", "higher degree", "thesis"),
-    "discipline": ("business", "commerce", "law", "common law", "related discipline", "cognate discipline", "non-business", "architecture", "design", "engineering", "computer science", "health", "policy", "project management", "related field", "any discipline"),
-    "grade_requirement": (r"credit average(?:\s*\([0-9]+\s*percent\))?", "pass average", "distinction", "standard acceptable", "first class honours", "second class honours", "outstanding results", r"at least [0-9]+\s*%", r"[0-9]+\s*percent", "average mark of at least [0-9]+"),
-    "work_experience": (r"\b[0-9]+\s+years?\s+relevant work experience", r"\b[0-9]+\s+years?\s+of\s+work experience", r"\b[0-9]+\s+years?\s+of\s+relevant professional experience", "professional experience", "work experience"),
-    "admissions_test": ("admissions test", "legal reasoning", "statement of intent", "research proposal"),
+    "qualification": (r"bachelor(?:'s)? degree", r"postgraduate degree", r"master(?:'s)? degree", r"honours(?: degree)?", r"graduate certificate", r"graduate diploma", r"undergraduate program", r"qualification", r"higher degree", r"thesis"),
+    "discipline": (r"business", r"commerce", r"law", r"common law", r"related discipline", r"cognate discipline", r"non-business", r"architecture", r"design", r"engineering", r"computer science", r"health", r"policy", r"project management", r"related field", r"any discipline"),
+    "grade_requirement": (r"credit average(?:\s*\(\d+\s*percent\))?", r"pass average", r"distinction", r"standard acceptable", r"first class honours", r"second class honours", r"outstanding results", r"at least \d+\s*%", r"\d+\s*percent", r"average mark of at least \d+"),
+    "work_experience": (r"\b\d+\s+year[s]?\s+relevant work experience", r"\b\d+\s+year[s]?\s+of\s+work experience", r"\b\d+\s+year[s]?\s+of\s+relevant professional experience", r"professional experience", r"work experience"),
+    "admissions_test": (r"admissions test", r"legal reasoning", r"statement of intent", r"research proposal"),
 }
 
 
 def academic_pathways(text: Column) -> Column:
-    """array<struct<summary and five signals>>: sentences (alternatives split at "or") on admission with a signal."""
+    """array<struct<summary, five signals and logic>>: sentences (alternatives split at "or") on admission with a signal."""
     marked = F.regexp_replace(normal_text(text), r"(?i)\s+or\s+", ". OR ")
     sentences = F.transform(F.split(marked, r"(?<=[.;])\s+"), lambda s: F.btrim(s, F.lit(TRIM)))
     on_topic = lambda s: (F.length(s) >= 24) & ~F.lower(s).contains("requirements for award") & ~F.lower(s).contains("credit points") & contains_any(F.lower(s), PATHWAY_WORDS)
-    found = F.transform(F.filter(sentences, on_topic), lambda s: F.struct(s.alias("summary"), *(first_match(s, p).alias(n) for n, p in SIGNALS.items())))
+    found = F.transform(F.filter(sentences, on_topic), lambda s: F.struct(s.alias("summary"), *(first_match(s, p).alias(n) for n, p in SIGNALS.items()), F.lit("OR").alias("logic")))
     return F.filter(found, lambda p: F.coalesce(*(p[n] for n in SIGNALS)).isNotNull())
-
-
-#: What makes an academic text a good one.
-TEXT_MARKERS = ("bachelor", "degree", "credit average", "honours", "qualification")
-
-
-def best_text(candidates: Column) -> Column:
-    """The text of most characters plus 100 a marker, cut at "english requirements"; ties go to the later in order of text."""
-    score = lambda t: F.length(t) + 100 * sum(F.lower(t).contains(m).cast("int") for m in TEXT_MARKERS)
-    scored = F.transform(F.filter(candidates, lambda t: F.coalesce(t, F.lit("")) != ""), lambda t: F.struct(score(t).alias("score"), t.alias("text")))
-    return F.trim(F.regexp_replace(F.array_max(scored)["text"], "(?is)english requirements.*$", ""))

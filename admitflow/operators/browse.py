@@ -85,6 +85,7 @@ def top_by(rows: DataFrame, group: str, order: Sequence[Column], n: int) -> Data
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy(*order))).where(F.col("rank") <= n)
 
 
-def export_csv(rows: DataFrame, names: dict[str, str], path: str) -> None:
-    """The renamed columns as CSV with a header, in UTF-8."""
-    rows.select(*(F.col(c).alias(n) for c, n in names.items())).write.mode("overwrite").csv(path, header=True, encoding="UTF-8")
+def export_csv(rows: DataFrame, names: dict[str, str], path: str, mark: bool = True) -> None:
+    """The renamed columns as CSV in UTF-8 with a header; with ``mark`` the first header starts with the byte-order mark that spreadsheets look for."""
+    first = next(iter(names))
+    rows.select(*(F.col(c).alias(("\ufeff" if mark and c == first else "") + n) for c, n in names.items())).write.mode("overwrite").csv(path, header=True, encoding="UTF-8")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -25,6 +25,13 @@ def chunk_id(key: Column, kind: Column, index: Column) -> Column:
     return F.concat_ws(":", key.cast("string"), kind, index.cast("string"))
 
 
+def flat_metadata(values: dict[str, Column]) -> Column:
+    """map<string, string>: nulls dropped, scalars as text, nested values as JSON text."""
+    text = lambda value: F.get_json_object(F.to_json(F.struct(value.alias("v"))), "$.v")
+    made = F.create_map(*[x for name, value in values.items() for x in (F.lit(name), text(value))])
+    return F.map_filter(made, lambda _, v: v.isNotNull())
+
+
 def fixed_chunks(texts: DataFrame, key: str, body: str, size: int = 1200, overlap: int = 160) -> DataFrame:
     """(key, chunk_index, content, content_hash): windows of ``size`` characters that step by ``size - overlap``."""
     step = size - overlap
@@ -35,51 +42,49 @@ def fixed_chunks(texts: DataFrame, key: str, body: str, size: int = 1200, overla
     return cut.withColumn("content_hash", F.sha2("content", 256))
 
 
-SENTENCE = re.compile(r"(?<=[.!?])\s+(?=[A-Z0-9])")
-
-
-def hard_split(part: str, size: int, overlap: int) -> Iterator[str]:
-    """An over-long sentence in pieces, each ending at a space if it has one."""
-    at = 0
-    while at < len(part):
-        stop = min(at + size, len(part))
-        if stop < len(part) and (space := part.rfind(" ", at, stop)) > at:
-            stop = space
-        if piece := part[at:stop].strip():
-            yield piece
-        if stop == len(part):
-            return
-        at = max(stop - overlap, at + 1)
-        at += len(part[at:]) - len(part[at:].lstrip())
+#: White space between two sentences.
+BETWEEN = re.compile(r"(?<=[.!?]) (?=[A-Z0-9])")
 
 
-def tail(chunk: str, overlap: int) -> str:
-    """The last ``overlap`` characters, from a whole word on."""
-    if not overlap or len(chunk) <= overlap:
-        return ""
-    end = chunk[-overlap:].strip()
-    head, space, rest = end.partition(" ")
-    return rest.strip() if space and head else end
+def chunk_spans(text: str, size: int = 1200, overlap: int = 160) -> list[tuple[int, int]]:
+    """(start, end) of the chunks of a text with single spaces.
 
-
-def pack_sentences(text: str | None, size: int = 1200, overlap: int = 160) -> list[str]:
-    """Sentences packed to at most ``size`` characters; a chunk begins with the tail of the one before where both fit."""
-    text = re.sub(r"\s+", " ", text or "").strip()
+    As sentences follow each other by one space, every chunk is one slice: from
+    its start to the last sentence end within ``size``, found by binary search
+    among the ends. The next one starts with the first whole word of the last
+    ``overlap`` characters, if the next sentence still fits, else behind the end.
+    A sentence of over ``size`` is cut at the last space of each ``size`` characters.
+    """
     if len(text) <= size:
-        return [text] if text else []
-    done: list[str] = []
-    held = ""
-    for part in filter(None, map(str.strip, SENTENCE.split(text))):
-        if len(part) > size:
-            done += [held] * bool(held) + list(hard_split(part, size, overlap))
-            held = ""
-        elif held and len(held) + 1 + len(part) > size:
-            done.append(held)
-            again = tail(held, overlap)
-            held = f"{again} {part}" if again and len(again) + 1 + len(part) <= size else part
-        else:
-            held = f"{held} {part}" if held else part
-    return done + [held] * bool(held)
+        return [(0, len(text))] if text else []
+    gaps = [m.start() for m in BETWEEN.finditer(text)]
+    starts, ends = np.array([0, *(g + 1 for g in gaps)]), np.array([*gaps, len(text)])
+    spans: list[tuple[int, int]] = []
+    at = k = 0  # where the chunk starts, and its first whole sentence
+    while k < len(ends):
+        last = int(np.searchsorted(ends, at + size, side="right")) - 1
+        if last >= k:
+            end = int(ends[last])
+            spans.append((at, end))
+            k = last + 1
+            at = end + 1
+            if overlap and k < len(ends) and end - spans[-1][0] > overlap:
+                low = end - overlap + (text[end - overlap] == " ")
+                word = text.find(" ", low, end)
+                again = word + 1 if word > low else low
+                at = again if ends[k] - again <= size else at
+            continue
+        at, end = int(starts[k]), int(ends[k])
+        while end - at > size:
+            space = text.rfind(" ", at + 1, at + size)
+            cut = space if space > at else at + size
+            spans.append((at, cut))
+            at = max(cut - overlap, at + 1)
+            at += text[at] == " "
+        spans.append((at, end))
+        k += 1
+        at = end + 1
+    return spans
 
 
 def sentence_chunks(rows: DataFrame, key: str, size: int = 1200, overlap: int = 160) -> DataFrame:
@@ -89,7 +94,8 @@ def sentence_chunks(rows: DataFrame, key: str, size: int = 1200, overlap: int =
 
     @F.pandas_udf("array<string>")
     def split(text: pd.Series) -> pd.Series:
-        return text.map(lambda t: pack_sentences(t, size, overlap))
+        clean = text.fillna("").str.replace(r"\s+", " ", regex=True).str.strip()
+        return clean.map(lambda t: [t[a:b] for a, b in chunk_spans(t, size, overlap)])
 
     header = F.concat_ws(" ", F.concat(F.lit("Course: "), F.col("course_name")), F.concat(F.lit("CRICOS: "), F.col("cricos")), F.concat(F.lit("Section: "), F.col("title")), F.col("body"))
     made = rows.select(key, "kind", split(header).alias("chunks"))
@@ -109,22 +115,32 @@ def replace_chunks(index: DataFrame, new: DataFrame, key: str) -> DataFrame:
     return index.join(new.select(key).distinct(), key, "left_anti").unionByName(new)
 
 
-def embed_bag(rows: DataFrame, key: str, text: str, width: int = 64) -> DataFrame:
-    """(key, embedding): signed hashed bag of words of unit length; the default embedder, which calls no service."""
+def bag_of_words(texts: list[str], width: int = 64) -> np.ndarray:
+    """Signed hashed bags of words of unit length; the default embedder, which calls no service."""
+    out = np.zeros((len(texts), width))
+    for row, text in enumerate(texts):
+        for word in text.lower().split():
+            h = xxhash.xxh64_intdigest(word)
+            out[row, h % width] += 1 if h >> 63 else -1
+    norm = np.linalg.norm(out, axis=1, keepdims=True)
+    return np.divide(out, norm, out=out, where=norm > 0).astype(np.float32)
+
+
+def embed(rows: DataFrame, key: str, text: str, embedder: Callable[[list[str]], np.ndarray] = bag_of_words, batch_size: int = 64) -> DataFrame:
+    """(key, embedding) by any ``embedder`` (texts to as many vectors, which is checked), ``batch_size`` texts at a time. Null text is empty."""
 
-    def embed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = np.zeros((batch.num_rows, width))
-            for row, value in enumerate(batch.column(1)):
-                for word in (value.as_py() or "").lower().split():
-                    h = xxhash.xxh64_intdigest(word)
-                    out[row, h % width] += 1 if h >> 63 else -1
-            norm = np.linalg.norm(out, axis=1, keepdims=True)
-            out = np.divide(out, norm, out=out, where=norm > 0).astype(np.float32)
-            yield pa.record_batch([batch.column(0), pa.ListArray.from_arrays(np.arange(0, out.size + 1, width, dtype=np.int32), out.ravel())], names=[key, "embedding"])
+            for at in range(0, batch.num_rows, batch_size):
+                part = batch.slice(at, batch_size)
+                out = np.asarray(embedder([t or "" for t in part.column(1).to_pylist()]), np.float32)
+                if out.ndim != 2 or len(out) != part.num_rows:
+                    raise ValueError(f"{part.num_rows} texts, but vectors of shape {out.shape}")
+                offsets = np.arange(0, out.size + 1, out.shape[1], dtype=np.int32)
+                yield pa.record_batch([part.column(0), pa.ListArray.from_arrays(offsets, out.ravel())], names=[key, "embedding"])
 
     kind = dict(rows.dtypes)[key]
-    return rows.select(key, text).mapInArrow(embed, f"{key} {kind}, embedding array<float>")
+    return rows.select(key, text).mapInArrow(run, f"{key} {kind}, embedding array<float>")
 
 
 def run_stats(chunks: DataFrame, currency: DataFrame, key: str) -> DataFrame:

@@ -13,16 +13,32 @@ from pyspark.sql import functions as F
 
 
 def row_hash(columns: Sequence[str]) -> Column:
-    """sha-256 of the columns as compact JSON with sorted keys (null as the empty string, so no key is lost)."""
-    return F.sha2(F.to_json(F.struct(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in sorted(columns)))), 256)
+    """sha-256 of the columns as compact JSON with sorted keys; null is written as null, so it differs from the empty string."""
+    return F.sha2(F.to_json(F.struct(*(F.col(c).cast("string").alias(c) for c in sorted(columns))), {"ignoreNullFields": "false"}), 256)
 
 
-def upsert(base: DataFrame, delta: DataFrame, key: str, keep: Sequence[str] = ()) -> DataFrame:
-    """Rows of ``delta`` replace those of equal key or are added; the columns ``keep`` stay as in ``base`` where it has the row."""
+def upsert(base: DataFrame, delta: DataFrame, key: str, keep: Sequence[str] = (), stamp: dict[str, Column] | None = None) -> DataFrame:
+    """Rows of ``delta`` replace those of equal key or are added; the columns ``keep`` stay as in ``base`` where it has the row.
+
+    ``stamp``: what the columns of a replaced or added row are set to, as an updated_at.
+    """
     b, d = base.select(F.struct(*base.columns).alias("b"), F.col(key).alias("kb")), delta.select(F.struct(*base.columns).alias("d"), F.col(key).alias("kd"))
     joined = b.join(d, F.col("kb") == F.col("kd"), "full_outer")
     value = lambda c: F.when(F.col("kd").isNull() | (F.col("kb").isNotNull() & F.lit(c in keep)), F.col(f"b.{c}")).otherwise(F.col(f"d.{c}"))
-    return joined.select(*(value(c).alias(c) for c in base.columns))
+    touched = {c: F.when(F.col("kd").isNotNull(), new).otherwise(value(c)) for c, new in (stamp or {}).items()}
+    return joined.select(*(touched.get(c, value(c)).alias(c) for c in base.columns))
+
+
+def replace_requirements(base: DataFrame, delta: DataFrame, parent: str, source: str, only_source: bool = True) -> DataFrame:
+    """Versions of the parents in ``delta`` go (of ``source`` alone, or with ``only_source=False`` all), and its rows come as current version 1 of ``source``.
+
+    base: parent, requirement_version, requirement_source, is_current and content; delta: parent and content.
+    """
+    gone = base.join(delta.select(parent).distinct().withColumn("__new", F.lit(True)), parent, "left")
+    kept = gone.where(F.col("__new").isNull() | (F.lit(only_source) & (F.col("requirement_source") != source)))
+    kept = kept.withColumn("is_current", F.col("is_current") & F.col("__new").isNull()).drop("__new")
+    new = delta.withColumns({"requirement_version": F.lit(1), "requirement_source": F.lit(source), "is_current": F.lit(True)})
+    return kept.select(*base.columns).unionByName(new.select(*base.columns))
 
 
 def replace_children(base: DataFrame, delta: DataFrame, parent: str) -> DataFrame:

@@ -11,47 +11,78 @@ from pyspark.sql import functions as F
 
 from admitflow.functions.text import snippet
 
-#: Query vectors in one broadcast block; more pass block by block.
-QUERY_BLOCK = 4096
+#: Query vectors in one broadcast block, and keywords looked for at once; more pass block by block.
+QUERY_BLOCK, KEYWORD_BLOCK = 4096, 4096
 #: Weights of a keyword's field.
 FIELD_WEIGHTS = {"course_name": 0.55, "course_name_raw": 0.45, "cricos": 0.30, "academic_requirement_text": 0.25, "raw_english_requirement": 0.15}
+EVIDENCE = "array<struct<text:string,source_url:string,source:string>>"
 
 
-def hit_names(keywords: Column, fields: dict[str, str]) -> Column:
-    def hit(name: str, column: str) -> Column:
-        return F.when(F.exists(keywords, lambda k: F.contains(F.lower(F.coalesce(F.col(column), F.lit(""))), F.lower(k))), name)
+def hit_names(mask: Column, fields: dict[str, str]) -> Column:
+    """The fields of a bit mask, in order."""
+    return F.array_compact(F.array(*(F.when(mask.bitwiseAND(F.lit(1 << k)) > 0, n) for k, n in enumerate(fields))))
 
-    return F.array_compact(F.array(*(hit(n, c) for n, c in fields.items())))
 
+def keyword_score(mask: Column, fields: dict[str, str], weights: dict[str, float] = FIELD_WEIGHTS) -> Column:
+    """Sum of the weights of a bit mask's fields, 1 at most."""
+    return F.least(F.lit(1.0), F.round(sum(F.when(mask.bitwiseAND(F.lit(1 << k)) > 0, F.lit(weights[n])).otherwise(0.0) for k, n in enumerate(fields)), 6))
 
-def keyword_score(hits: Column, weights: dict[str, float] = FIELD_WEIGHTS) -> Column:
-    """Sum of the fields' weights, 1 at most."""
-    return F.least(F.lit(1.0), F.round(sum(F.when(F.array_contains(hits, n), F.lit(w)).otherwise(0.0) for n, w in weights.items()), 6))
 
+def keyword_hits(rows: DataFrame, words: DataFrame, fields: dict[str, str], keep: Sequence[str], block: int = KEYWORD_BLOCK) -> DataFrame:
+    """(keep, keyword, mask): the rows that hold each of ``words`` (keyword) in a field, any case; bit k of the mask is the k-th field.
 
-def keyword_top(rows: DataFrame, specs: DataFrame, fields: dict[str, str], name: str, row_no: str, k: int, weights: dict[str, float] = FIELD_WEIGHTS, by_score: bool = False) -> DataFrame:
-    """The first ``k`` matching rows of each spec (spec_id, keywords) with hit_fields and keyword_score.
+    A row's fields are lower-cased once and searched for a block of keywords at a time, so any number of keywords passes.
+    """
+    words = words.select("keyword").where("keyword is not null").distinct()
+    blocks = max(1, -(-words.count() // block))
+    lows = rows.select(*keep, *(F.lower(F.coalesce(F.col(c).cast("string"), F.lit(""))).alias(f"__low_{k}") for k, c in enumerate(fields.values())))
+    out = None
+    for b in range(blocks):
+        own = [r["keyword"] for r in words.where(F.pmod(F.xxhash64("keyword"), F.lit(blocks)) == b).orderBy("keyword").collect()]
+
+        def found(w: Column) -> Column:
+            mask = sum(F.when(F.contains(F.col(f"__low_{k}"), F.lower(w)), 1 << k).otherwise(0) for k in range(len(fields)))
+            return F.struct(w.alias("keyword"), mask.cast("int").alias("mask"))
+
+        hits = F.filter(F.transform(F.array(*map(F.lit, own)).cast("array<string>"), found), lambda h: h["mask"] > 0)
+        part = lows.select(*keep, F.inline(hits))
+        out = part if out is None else out.unionAll(part)
+    return out
+
+
+def keyword_top(
+    rows: DataFrame, specs: DataFrame, fields: dict[str, str], name: str, row_no: str, k: int, weights: dict[str, float] = FIELD_WEIGHTS, by_score: bool = False, block: int = KEYWORD_BLOCK
+) -> DataFrame:
+    """(spec_id, row_no, name, hit_fields, keyword_score, place): the first ``k`` matching rows of each spec (spec_id, keywords).
 
     The first by name, then row number, as the limit comes before the score; ``by_score`` ranks by
-    score first. Specs are few and of checked size, so they are broadcast to the rows.
+    score first. Distinct keywords are looked for once, whatever the number of specs that share
+    them, and only ids and names are ranked; other columns are joined to what is left.
     """
-    if specs.limit(QUERY_BLOCK + 1).count() > QUERY_BLOCK:
-        raise ValueError(f"over {QUERY_BLOCK} specs; pass them in blocks")
-    matched = rows.join(F.broadcast(specs), F.size(hit_names(F.col("keywords"), fields)) > 0)
-    scored = matched.withColumn("hit_fields", hit_names(F.col("keywords"), fields)).withColumn("keyword_score", keyword_score(F.col("hit_fields"), weights))
+    asked = specs.select("spec_id", F.explode(F.array_distinct("keywords")).alias("keyword"))
+    hits = keyword_hits(rows, asked, fields, [row_no, name], block)
+    scored = hits.join(asked, "keyword").groupBy("spec_id", row_no, name).agg(F.bit_or("mask").alias("mask")).withColumn("keyword_score", keyword_score(F.col("mask"), fields, weights))
     order = [F.desc("keyword_score")] * by_score + [F.col(name), F.col(row_no)]
     place = F.row_number().over(Window.partitionBy("spec_id").orderBy(*order))
-    return scored.withColumn("place", place).where(F.col("place") <= k).where("keyword_score > 0")
+    top = scored.withColumn("place", place).where(F.col("place") <= k).where("keyword_score > 0")
+    return top.select("spec_id", row_no, name, hit_names(F.col("mask"), fields).alias("hit_fields"), "keyword_score", "place")
 
 
 def match_reason(hits: Column, keywords: Column) -> Column:
     return F.concat(F.lit("Keyword matched "), F.array_join(hits, ", "), F.lit(" for: "), F.array_join(keywords, ", "))
 
 
-def keyword_evidence(keywords: Column, fields: dict[str, str]) -> Column:
-    """array<struct<source, text>> of the fields that hold text."""
-    made = F.array(*(F.struct(F.lit(n).alias("source"), snippet(F.col(c), keywords).alias("text")) for n, c in fields.items()))
-    return F.filter(made, lambda e: e["text"] != "")
+def keyword_evidence(hits: Column, keywords: Column, fields: dict[str, str], url: Column | None = None) -> Column:
+    """Snippets of the hit fields that hold text: array<struct<text, source_url, source>>."""
+    where = F.lit(None).cast("string") if url is None else url
+    made = F.array(*(F.struct(snippet(F.col(c), keywords).alias("text"), where.alias("source_url"), F.lit(n).alias("source")) for n, c in fields.items())).cast(EVIDENCE)
+    return F.filter(made, lambda e: (e["text"] != "") & F.array_contains(hits, e["source"]))
+
+
+def dedupe_evidence(evidence: Column, limit: int = 3) -> Column:
+    """The first ``limit`` snippets of different texts, without regard to case."""
+    kept = F.aggregate(evidence, F.array().cast(EVIDENCE), lambda acc, e: F.when(F.exists(acc, lambda a: F.lower(a["text"]) == F.lower(e["text"])), acc).otherwise(F.array_append(acc, e)))
+    return F.slice(kept, 1, limit)
 
 
 def unit(matrix: np.ndarray) -> np.ndarray:
@@ -72,36 +103,86 @@ def query_blocks(queries: DataFrame, block: int) -> Iterator[tuple[np.ndarray, n
             yield rows.column(0).to_numpy(), unit(matrix_of(rows.column(1).combine_chunks()))
 
 
-def best_of(sims: np.ndarray, ids: np.ndarray, k: int) -> Iterator[np.ndarray]:
-    """For each row the places of its ``k`` best: similarity down, then id up."""
-    for row in sims:
-        near = np.arange(len(row)) if len(row) <= k else np.flatnonzero(row >= np.partition(row, -k)[-k])
-        yield near[np.lexsort((ids[near], -row[near]))[:k]]
+class Best:
+    """The running ``k`` best of each query: similarity down, then id up."""
+
+    def __init__(self, n: int, k: int):
+        self.k = k
+        self.sims, self.ids = [np.zeros(0) for _ in range(n)], [np.zeros(0, np.int64) for _ in range(n)]
+        self.least = np.full(n, -np.inf)  # what a newcomer must reach
+
+    def add(self, queries: np.ndarray, sims: np.ndarray, ids: np.ndarray) -> None:
+        reached = sims >= self.least[queries, None]
+        for row in np.flatnonzero(reached.any(axis=1)).tolist():
+            q, new = queries[row], reached[row] & np.isfinite(sims[row])
+            s, i = np.concatenate([self.sims[q], sims[row][new]]), np.concatenate([self.ids[q], ids[new]])
+            first = np.lexsort((i, -s))[: self.k]
+            self.sims[q], self.ids[q] = s[first], i[first]
+            if len(first) == self.k:
+                self.least[q] = s[first[-1]]
+
+    def batch(self, query_ids: np.ndarray) -> pa.RecordBatch:
+        columns = [np.repeat(query_ids, [len(i) for i in self.ids]), np.concatenate([np.zeros(0, np.int64), *self.ids]), np.concatenate([np.zeros(0), *self.sims])]
+        return pa.record_batch([pa.array(c) for c in columns], names=["query_id", "vec_id", "similarity"])
 
 
-def cosine_top(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int = QUERY_BLOCK, least: float | None = None) -> DataFrame:
-    """(query_id, vec_id, similarity, rank): the ``k`` nearest others of each query, exact.
+#: Clusters of the approximate search, those that a query looks into, and vectors that the centres are fitted on at most.
+CLUSTERS, PROBES, SAMPLE, SEED = 64, 32, 20_000, 11
+AT_ONCE = 512
+
+
+def fit_centres(vectors: DataFrame, clusters: int = CLUSTERS, sample: int = SAMPLE, rounds: int = 8, seed: int = SEED) -> np.ndarray:
+    """Unit centres of ``clusters`` groups, by spherical k-means on about ``sample`` vectors spread over the table."""
+    rows = vectors.where("embedding is not null").select("embedding")
+    taken = rows.sample(min(1.0, sample / max(1, rows.count())), seed).limit(2 * sample).toArrow()
+    data = unit(matrix_of(taken.column(0).combine_chunks())) if taken.num_rows else np.zeros((0, 1))
+    if len(data) <= clusters:
+        return data
+    centres = data[np.random.default_rng(seed).choice(len(data), clusters, replace=False)]
+    for _ in range(rounds):
+        own = (data @ centres.T).argmax(axis=1)
+        sums = np.zeros_like(centres)
+        np.add.at(sums, own, data)
+        centres = np.where(np.bincount(own, minlength=clusters)[:, None] > 0, unit(sums), centres)
+    return centres
+
+
+def cosine_top(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int = QUERY_BLOCK, least: float | None = None, centres: np.ndarray | None = None, probes: int = PROBES) -> DataFrame:
+    """(query_id, vec_id, similarity, rank): the ``k`` nearest others of each query; exact without ``centres``.
 
     vectors: vec_id, embedding; queries: query_id, embedding. A block of queries
-    is multiplied with each Arrow batch of vectors, which hands on its own best ``k``
-    a query; the rest is a ranking of these. Vectors of null or zero length have similarity 0.
+    meets the vectors batch by batch; a task keeps the best ``k`` of each query over all its
+    batches and hands them on once; the rest is a ranking of these. Vectors of null or zero length have similarity 0.
+    With ``centres`` a vector meets only the queries that have its nearest centre among their nearest ``probes``.
     """
     schema = "query_id long, vec_id long, similarity double"
     out = None
     for ids, matrix in query_blocks(queries.where("embedding is not null"), block):
-        shared = vectors.sparkSession.sparkContext.broadcast((ids, matrix))
+        asked = None if centres is None or not len(centres) else np.argsort(-(matrix @ centres.T), axis=1, kind="stable")[:, :probes]
+        shared = vectors.sparkSession.sparkContext.broadcast((ids, matrix, centres, asked))
 
         def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            ids, matrix = shared.value
+            ids, matrix, centres, asked = shared.value
+            best = Best(len(ids), k)
+
+            def meet(queries: np.ndarray, own: np.ndarray, data: np.ndarray) -> None:
+                for at in range(0, len(queries), AT_ONCE):
+                    some = queries[at : at + AT_ONCE]
+                    sims = np.round(matrix[some] @ data.T, 6)
+                    sims[ids[some][:, None] == own[None, :]] = -np.inf
+                    best.add(some, sims, own)
+
             for batch in batches:
-                own = batch.column(0).to_numpy()
-                sims = np.round(matrix @ unit(matrix_of(batch.column(1))).T, 6)
-                sims[ids[:, None] == own[None, :]] = -np.inf
-                found = list(best_of(sims, own, k))
-                query, place = np.repeat(np.arange(len(ids)), [len(f) for f in found]), np.concatenate(found)
-                good = np.isfinite(sims[query, place])
-                query, place = query[good], place[good]
-                yield pa.record_batch([pa.array(ids[query]), pa.array(own[place]), pa.array(sims[query, place])], names=["query_id", "vec_id", "similarity"])
+                for at in range(0, batch.num_rows, 4096):
+                    part = batch.slice(at, 4096)
+                    own, data = part.column(0).to_numpy(), unit(matrix_of(part.column(1)))
+                    if asked is None:
+                        meet(np.arange(len(ids)), own, data)
+                        continue
+                    nearest = (data @ centres.T).argmax(axis=1)
+                    for c in np.unique(nearest).tolist():
+                        meet(np.flatnonzero((asked == c).any(axis=1)), own[nearest == c], data[nearest == c])
+            yield best.batch(ids)
 
         part = vectors.where("embedding is not null").select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").mapInArrow(search, schema)
         out = part if out is None else out.union(part)
@@ -112,50 +193,41 @@ def cosine_top(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int =
     return ranked if least is None else ranked.where(F.col("similarity") >= least)
 
 
-#: Tables and bits of the approximate search, for a recall over 0.9 even on vectors without clusters (which no index prunes much).
-TABLES, BITS, SEED = 48, 5, 11
+def cosine_clusters(vectors: DataFrame, queries: DataFrame, k: int = 10, clusters: int = CLUSTERS, probes: int = PROBES) -> DataFrame:
+    """As :func:`cosine_top`, approximate: every vector is in the list of its nearest centre, and a query looks into ``probes`` lists. Similarities are exact."""
+    return cosine_top(vectors, queries, k, centres=fit_centres(vectors, clusters), probes=probes)
 
 
-def signatures(rows: DataFrame, id_col: str, tables: int = TABLES, bits: int = BITS) -> DataFrame:
-    """(id, table, signature): on which side of ``bits`` seeded planes a vector lies, for each table."""
-
-    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            matrix = matrix_of(batch.column(1))
-            planes = np.random.default_rng(SEED).normal(size=(matrix.shape[1], tables * bits))
-            codes = ((matrix @ planes > 0).reshape(len(matrix), tables, bits) * (1 << np.arange(bits))).sum(axis=2)
-            ids = np.repeat(batch.column(0).to_numpy(), tables)
-            yield pa.record_batch([pa.array(ids), pa.array(np.tile(np.arange(tables, dtype=np.int32), len(matrix))), pa.array(codes.ravel().astype(np.int32))], names=[id_col, "tab", "code"])
-
-    return rows.where("embedding is not null").select(id_col, "embedding").mapInArrow(sign, f"{id_col} long, tab int, code int")
-
-
-def cosine_lsh(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
-    """As :func:`cosine_top`, among the vectors that share a signature with the query, ranked by exact similarity. Every vector is indexed."""
-    pairs = signatures(queries, "query_id").join(signatures(vectors, "vec_id"), ["tab", "code"]).where("query_id <> vec_id").select("query_id", "vec_id").distinct()
-    a, b = queries.select("query_id", F.col("embedding").alias("qe")), vectors.select("vec_id", F.col("embedding").alias("ve"))
-    total = lambda x: F.aggregate(x, F.lit(0.0), lambda s, v: s + v)
-    dot = total(F.zip_with("qe", "ve", lambda p, q: p.cast("double") * q.cast("double")))
-    norm = lambda c: F.sqrt(total(F.transform(c, lambda v: v.cast("double") * v.cast("double"))))
-    scored = pairs.join(a, "query_id").join(b, "vec_id").select("query_id", "vec_id", F.round(F.coalesce(F.try_divide(dot, norm("qe") * norm("ve")), F.lit(0.0)), 6).alias("similarity"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id"))
-    return scored.withColumn("rank", rank).where(F.col("rank") <= k)
+def of_model(vectors: DataFrame, model: str) -> DataFrame:
+    """The index rows of one embedding model; vectors of different models can't be compared."""
+    return vectors.where(F.col("model") == model)
 
 
-def merge_hits(keyword: DataFrame, vector: DataFrame | None, key: Sequence[str], n: int = 50, bonus: float = 0.15, most: float = 1.5) -> DataFrame:
+def merge_hits(keyword: DataFrame, vector: DataFrame | None, key: Sequence[str], n: int = 50, bonus: float = 0.15, most: float = 1.5, evidence_limit: int = 3) -> DataFrame:
     """Hybrid candidates: keyword_score, vector_score (best of a course), combined_score, degraded and rank <= ``n``.
 
     Both above 0 add up with a bonus, ``most`` at most; else the larger counts. Without
     vectors the keyword hits go on alone and are marked as degraded. keyword and
-    vector: the key columns (query first) and their score.
+    vector: the key columns (query first) and their score, and in both or neither ``reason`` and
+    ``evidence``: reasons are joined, keyword first, then chunks by score; snippets are deduplicated.
     """
-    k = keyword.select(*key, "keyword_score")
+    told = {"reason", "evidence"} <= set(keyword.columns)
+    more = ["reason", "evidence"] if told else []
+    k = keyword.select(*key, "keyword_score", *(F.col(c).alias(f"keyword_{c}") for c in more))
+    none = F.array().cast(EVIDENCE)
     if vector is None:
-        merged = k.withColumn("vector_score", F.lit(0.0))
+        merged = k.withColumn("vector_score", F.lit(0.0)).withColumns({"chunks": F.array().cast("array<struct<reason:string,evidence:" + EVIDENCE + ">>")} if told else {})
     else:
-        merged = k.join(vector.groupBy(*key).agg(F.max("vector_score").alias("vector_score")), list(key), "full_outer").na.fill(0.0, ["keyword_score", "vector_score"])
+        chunks = F.transform(F.sort_array(F.collect_list(F.struct((-F.col("vector_score")).alias("at"), "reason", "evidence"))), lambda c: F.struct(c["reason"].alias("reason"), c["evidence"].alias("evidence"))) if told else None
+        best = vector.groupBy(*key).agg(F.max("vector_score").alias("vector_score"), *([chunks.alias("chunks")] if told else []))
+        merged = k.join(best, list(key), "full_outer").na.fill(0.0, ["keyword_score", "vector_score"])
     both = (F.col("keyword_score") > 0) & (F.col("vector_score") > 0)
     score = F.when(both, F.least(F.col("keyword_score") + F.col("vector_score") + bonus, F.lit(most))).otherwise(F.greatest("keyword_score", "vector_score"))
     merged = merged.withColumn("combined_score", F.round(score, 6)).withColumn("degraded", F.lit(vector is None))
     rank = F.row_number().over(Window.partitionBy(key[0]).orderBy(F.desc("combined_score"), *key[1:]))
-    return merged.withColumn("rank", rank).where(F.col("rank") <= n)
+    merged = merged.withColumn("rank", rank).where(F.col("rank") <= n)
+    if told:
+        spoken = F.concat_ws("; ", "keyword_reason", F.nullif(F.array_join(F.col("chunks.reason"), "; "), F.lit("")))
+        snippets = F.concat(F.coalesce("keyword_evidence", none), F.coalesce(F.flatten(F.col("chunks.evidence")), none))
+        merged = merged.withColumns({"reason": spoken, "evidence": dedupe_evidence(snippets, evidence_limit)}).drop("keyword_reason", "keyword_evidence", "chunks")
+    return merged

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from admitflow.functions.text import mapped
 from admitflow.operators.browse import range_contains, ranges_overlap
-from admitflow.operators.retrieve import keyword_top, match_reason
-from admitflow.operators.rules import PARTS, background_category, decide, gate_checks, minimum_average, strictest_band
+from admitflow.operators.retrieve import cosine_top, keyword_evidence, keyword_top, match_reason, merge_hits
+from admitflow.operators.rules import PARTS, applicant_facts, course_facts, decide, gate_checks, major_words, minimum_average, missing_fields, reasons, requirement_summary, short, strictest_band, summary, with_facts
 
 #: Weights, band limits and what a plan takes.
 AVERAGE_WEIGHT, LANGUAGE_WEIGHT, REACH_BELOW, MATCH_TO, LEAST_RELEVANCE, PER_BAND = 0.7, 0.3, 0.95, 1.1, 0.05, 5
@@ -47,12 +47,13 @@ def on_hundred(gpa: Column, scale: Column) -> Column:
 
 
 def request_errors() -> Column:
-    """Codes of what is wrong with a request: target, gpa, overall, budget_min/max."""
+    """Codes of what is wrong with a request: target, gpa, overall, budget_min/max, want_min/max."""
     bad = {
         "missing_target": F.trim(F.coalesce(F.col("target"), F.lit(""))) == "",
         "bad_gpa": ~F.coalesce(F.col("gpa") > 0, F.lit(False)),
         "bad_ielts": ~F.coalesce((F.col("overall") > 0) & (F.col("overall") <= 9), F.col("overall").isNull()),
         "bad_budget": F.coalesce(F.col("budget_max") < F.col("budget_min"), F.lit(False)),
+        "bad_duration": F.coalesce(F.col("want_max") < F.col("want_min"), F.lit(False)),
     }
     return F.array_compact(F.array(*(F.when(c, code) for code, c in bad.items())))
 
@@ -101,28 +102,80 @@ def plan(scored: DataFrame, applicant: str, course: str, n: int = PER_BAND) -> D
     return scored.where("exclusion is null and band is not null").withColumn("rank", rank).where(F.col("rank") <= n)
 
 
-def candidates(applicants: DataFrame, courses: DataFrame, k: int = 30) -> DataFrame:
-    """Applicants with their courses: each distinct query is retrieved once, and joined back by its text."""
-    asked = applicants.withColumn("spec_id", F.array_join("keywords", "|"))
-    specs = asked.groupBy("spec_id").agg(F.first("keywords").alias("keywords"))
-    fields = {"course_name": "course_name", "cricos": "cricos", "academic_requirement_text": "academic_text", "raw_english_requirement": "english_text"}
-    hits = keyword_top(courses, specs, fields, "course_name", "course_id", k)
-    hits = hits.select("spec_id", *courses.columns, F.col("keyword_score").alias("relevance"), match_reason(F.col("hit_fields"), F.col("keywords")).alias("reason"))
-    return asked.join(hits, "spec_id").drop("spec_id")
+FIELDS = {"course_name": "course_name", "cricos": "cricos", "academic_requirement_text": "academic_text", "raw_english_requirement": "english_text"}
+#: Course columns that a pair is judged by; texts stay behind.
+JUDGED = ("course_id", "course_name", "fee", "intakes", "degree", "faculty", "school", "campus", "study_mode", "duration_min", "duration_max", "need_overall", "need_band", *PARTS)
+
+
+def candidates(applicants: DataFrame, courses: DataFrame, k: int = 30, vectors: DataFrame | None = None, queries: DataFrame | None = None, n: int = 50) -> DataFrame:
+    """Applicants with their courses: each distinct query is retrieved once, and joined back by its text.
+
+    Only ids, names and scores are ranked; the facts on texts (of courses and of
+    applicants) are worked out before the two meet, and the pairs hold no texts but short ones.
+    vectors (vec_id the course, embedding) and queries (spec_id, query_id, embedding) add
+    the vector arm: its hits are merged with the keyword hits, ``n`` a query.
+    """
+    asked = with_facts(applicants, applicant_facts()).withColumn("spec_id", F.array_join("keywords", "|"))
+    specs = asked.groupBy("spec_id").agg(F.first("keywords").alias("spec_words"))
+    hits = keyword_top(courses, specs.withColumnRenamed("spec_words", "keywords"), FIELDS, "course_name", "course_id", k).join(specs, "spec_id")
+    reason = match_reason(F.col("hit_fields"), F.col("spec_words"))
+    if vectors is None:
+        found = hits.select("spec_id", "course_id", F.col("keyword_score").alias("relevance"), reason.alias("reason"), "hit_fields", F.lit(True).alias("degraded"))
+    else:
+        near = cosine_top(vectors, queries.select("query_id", "embedding"), k).join(queries.select("query_id", "spec_id"), "query_id")
+        near = near.join(courses.select(F.col("course_id").alias("vec_id")), "vec_id", "left_semi").select("spec_id", F.col("vec_id").alias("course_id"), F.col("similarity").alias("vector_score"))
+        merged = merge_hits(hits.select("spec_id", "course_id", "keyword_score"), near, ["spec_id", "course_id"], n)
+        told = hits.select("spec_id", "course_id", "hit_fields", reason.alias("said"))
+        by_vector = F.when(F.col("vector_score") > 0, F.concat(F.lit("Semantic similarity "), F.format_number("vector_score", 3)))
+        found = merged.join(told, ["spec_id", "course_id"], "left").select("spec_id", "course_id", F.col("combined_score").alias("relevance"), F.concat_ws("; ", "said", by_vector).alias("reason"), "hit_fields", "degraded")
+    facts = with_facts(courses, course_facts())
+    known = facts.select(*JUDGED, *course_facts(), "academic_text", "english_text")
+    rows = found.join(known, "course_id").join(specs, "spec_id").withColumnRenamed("spec_words", "keywords")
+    evidence = keyword_evidence(F.coalesce("hit_fields", F.array().cast("array<string>")), F.col("keywords"), {k: v for k, v in FIELDS.items() if v != "cricos"})
+    rows = rows.withColumns({"major_words": major_words(), "evidence": evidence}).drop("keywords", "academic_text", "english_text")
+    return asked.join(rows, "spec_id").drop("spec_id")
 
 
 def judged(pairs: DataFrame) -> DataFrame:
     """Pairs with thresholds, checks, status, score, band and exclusion."""
-    category = background_category(F.col("background"))
-    out = pairs.withColumn("gpa_min", minimum_average(category, F.col("course_name")))
+    if "has_text" not in pairs.columns:  # pairs made elsewhere, with their texts
+        pairs = with_facts(pairs, course_facts() | applicant_facts() | {"major_words": major_words()})
+    out = pairs.withColumn("gpa_min", minimum_average(F.col("category"), F.col("business_core")))
     out = out.withColumn("need_band", strictest_band(F.col("need_band"), *map(F.col, PARTS))).withColumn("checks", gate_checks())
     out = out.withColumn("status", decide(F.col("checks"))).withColumn("parts", score_parts(F.col("gpa"), F.col("gpa_min"), F.col("overall"), F.col("need_overall")))
     out = out.withColumn("score", F.col("parts.score")).withColumn("band", band_of(F.col("score")))
     return out.withColumn("exclusion", F.when(F.col("score").isNull(), "scoring_failed").otherwise(plan_exclusion()))
 
 
-def recommend(applicants: DataFrame, courses: DataFrame, n: int = PER_BAND, k: int = 30) -> tuple[DataFrame, DataFrame]:
-    """(plan of the eligible, all decisions with stage and reason)."""
-    decided = judged(candidates(applicants, courses, k))
+def decisions(decided: DataFrame) -> DataFrame:
+    """One row a pair: status, stage, reasons, warnings, missing fields and a summary."""
+    checks = F.col("checks")
     stage = F.when(F.col("status") == "INELIGIBLE", "gate").when(F.col("status") != "ELIGIBLE", "risk").when(F.col("exclusion").isNotNull(), "plan").otherwise("candidate")
-    return plan(decided.where("status = 'ELIGIBLE'"), "applicant_id", "course_id", n), decided.withColumn("stage", stage)
+    return decided.select(
+        "applicant_id", "course_id", "status", stage.alias("stage"), "exclusion", reasons(checks, "B").alias("blocking_reasons"), reasons(checks, "W", "P").alias("warnings"),
+        missing_fields(checks).alias("missing_fields"), summary(F.col("status"), checks).alias("summary"), "checks", "evidence_text",
+    )
+
+
+def program_rows(planned: DataFrame) -> DataFrame:
+    """The plan as it is given out: texts, score to four places, and evidence (the requirement's summary where there is none)."""
+    c = F.col
+    years = F.when(c("duration_min") == c("duration_max"), F.concat(short(c("duration_min")), F.lit(" years"))).otherwise(F.concat(short(c("duration_min")), F.lit("-"), short(c("duration_max")), F.lit(" years")))
+    needs = F.concat(F.lit("IELTS "), short(c("need_overall")), F.lit(" overall, minimum band "), short(c("need_band")))
+    told = requirement_summary(c("evidence_text"), c("gpa_min"), c("need_overall"), c("need_band"))
+    own = F.array(F.struct(told.alias("text"), F.lit(None).cast("string").alias("source_url"), F.lit("requirement_summary").alias("source")))
+    evidence = F.when(F.size("evidence") > 0, c("evidence")).otherwise(own)
+    why = F.concat(
+        F.lit("GPA: user "), short(c("gpa")), F.lit(" vs required "), short(c("gpa_min")), F.lit(". IELTS: user "), short(c("overall")), F.lit("/"), short(c("min_band")), F.lit(" vs required "),
+        short(c("need_overall")), F.lit("/"), short(c("need_band")), F.lit(". Relevance: "), c("reason"), F.lit(". Evidence: "), F.get(evidence, F.lit(0))["text"], F.lit("."),
+    )
+    return planned.select(
+        "applicant_id", "course_id", "course_name", "band", "rank", F.coalesce(years, F.lit("")).alias("duration"), "intakes", "fee", needs.alias("ielts_requirement"), told.alias("academic_summary"),
+        F.bround("score", 4).alias("score"), why.alias("recommendation_reason"), evidence.alias("evidence"),
+    )
+
+
+def recommend(applicants: DataFrame, courses: DataFrame, n: int = PER_BAND, k: int = 30, vectors: DataFrame | None = None, queries: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(plan of the eligible, all decisions with stage and reasons)."""
+    decided = judged(candidates(applicants, courses, k, vectors, queries))
+    return plan(decided.where("status = 'ELIGIBLE'"), "applicant_id", "course_id", n), decisions(decided)

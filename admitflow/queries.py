@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from admitflow.functions import pages as P
 from admitflow.functions import text as T
 from admitflow.operators import browse as B
 from admitflow.operators import index as I
+from admitflow.operators import link as L
 from admitflow.operators import maintain as M
+from admitflow.operators import payload as V
 from admitflow.operators import retrieve as R
 from admitflow.operators import rules as G
 from admitflow.plans import recommend as K
@@ -49,7 +52,7 @@ def seed_load_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.load_seeds(rows, {"file_name": "course_name", "code": "cricos", "years": "duration"}, ("duration",))
 
 
-@query("SELECT c_custkey, sha256(to_json({'c_custkey': CAST(c_custkey AS VARCHAR), 'c_mktsegment': coalesce(c_mktsegment, ''), 'c_name': coalesce(c_name, ''), 'c_nationkey': CAST(c_nationkey AS VARCHAR)})::VARCHAR) AS row_hash FROM customer")
+@query("SELECT c_custkey, sha256(to_json({'c_custkey': CAST(c_custkey AS VARCHAR), 'c_mktsegment': c_mktsegment, 'c_name': c_name, 'c_nationkey': CAST(c_nationkey AS VARCHAR)})::VARCHAR) AS row_hash FROM customer")
 def row_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "customer").select("c_custkey", M.row_hash(["c_name", "c_custkey", "c_nationkey", "c_mktsegment"]).alias("row_hash"))
 
@@ -74,8 +77,8 @@ def last_status(orders: DataFrame, parity: int) -> DataFrame:
 
 
 VERSIONS = """
-WITH b AS (SELECT o_custkey, status, sha256(to_json({'status': coalesce(status, '')})::VARCHAR) AS p FROM (SELECT o_custkey, arg_max(o_orderstatus, (o_orderdate, o_orderkey)) AS status FROM orders WHERE o_orderkey % 2 = 1 GROUP BY 1)),
-     d AS (SELECT o_custkey, status, sha256(to_json({'status': coalesce(status, '')})::VARCHAR) AS p FROM (SELECT o_custkey, arg_max(o_orderstatus, (o_orderdate, o_orderkey)) AS status FROM orders WHERE o_orderkey % 2 = 0 GROUP BY 1))
+WITH b AS (SELECT o_custkey, status, sha256(to_json({'status': status})::VARCHAR) AS p FROM (SELECT o_custkey, arg_max(o_orderstatus, (o_orderdate, o_orderkey)) AS status FROM orders WHERE o_orderkey % 2 = 1 GROUP BY 1)),
+     d AS (SELECT o_custkey, status, sha256(to_json({'status': status})::VARCHAR) AS p FROM (SELECT o_custkey, arg_max(o_orderstatus, (o_orderdate, o_orderkey)) AS status FROM orders WHERE o_orderkey % 2 = 0 GROUP BY 1))
 SELECT b.o_custkey, b.status, b.p AS fingerprint, 1 AS version, d.p IS NULL OR d.p = b.p AS is_current, CASE WHEN d.p = b.p THEN 'second' ELSE 'first' END AS verified_at FROM b LEFT JOIN d USING (o_custkey)
 UNION ALL SELECT d.o_custkey, d.status, d.p, CASE WHEN b.p IS NULL THEN 1 ELSE 2 END, true, 'second' FROM d LEFT JOIN b USING (o_custkey) WHERE b.p IS NULL OR b.p <> d.p"""
 
@@ -133,23 +136,23 @@ def validate_route(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dead.select(F.get_json_object("payload", "$.event_id").cast("long").alias("event_id"), "error_code", "message", "payload", "retryable")
 
 
-@query(f"SELECT count(*) AS n FROM events WHERE NOT ({' AND '.join(f'({v})' for v in RULES.values())})")
+@query(f"SELECT event_id, list_filter([{FAILED}], lambda x: x IS NOT NULL)[1] AS error_code, true AS retryable, '2026-01-02' AS created_at FROM events WHERE NOT ({' AND '.join(f'({v})' for v in RULES.values())})")
 def dlq_jsonl(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dead letters through JSON lines and back."""
     import uuid
 
     path = f"{checkpoint_dir(spark)}/dead-{uuid.uuid4().hex}"
     checked = M.check_rows(read(spark, sf_dir, "events"), {k: F.expr(v) for k, v in RULES.items()})
-    S.append_dead_letters(M.route(checked, "validate", ["event_id", "event_type"])[1], path)
-    return spark.read.schema("stage string, error_code string, message string, payload string, retryable boolean").json(path).agg(F.count("*").alias("n"))
-
-
-@query("SELECT l_orderkey, l_linenumber, concat_ws('|', CASE WHEN NOT l_discount <= 0.05 THEN 'discount' END, CASE WHEN NOT l_quantity > 5 THEN 'quantity' END) AS broken FROM lineitem WHERE NOT (l_discount <= 0.05 AND l_quantity > 5)")
-def constraint_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    checked = M.check_rows(read(spark, sf_dir, "lineitem"), {"discount": C("l_discount") <= 0.05, "quantity": C("l_quantity") > 5})
-    return checked.where(F.size("errors") > 0).select("l_orderkey", "l_linenumber", joined("errors").alias("broken"))
+    S.append_dead_letters(M.route(checked, "validate", ["event_id", "event_type"])[1], path, created_at=F.lit("2026-01-02"))
+    letters = spark.read.schema("stage string, error_code string, message string, payload string, retryable boolean, created_at string").json(path)
+    return letters.select(F.get_json_object("payload", "$.event_id").cast("long").alias("event_id"), "error_code", "retryable", "created_at")
 
 
+CONSTRAINTS = {
+    "duration_positive": "coalesce(duration_min > 1, true)", "duration_ordered": "coalesce(duration_max >= duration_min, true)", "fee_positive": "coalesce(fee > 37000, true)",
+    "overall_range": "coalesce(need_overall BETWEEN 0 AND 7, true)", "band_range": "coalesce(need_band BETWEEN 0 AND 6.5, true)",
+    **{f"{p}_range": f"coalesce({p} BETWEEN 0 AND 7, true)" for p in G.PARTS}, "month_known": "intakes IS NOT NULL", "kind_known": "degree IN ('Master', 'Doctor')",
+}
 @query("SELECT o_custkey, o_orderpriority, count(*) AS n FROM orders GROUP BY 1, 2 HAVING count(*) > 1")
 def unique_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.duplicate_keys(read(spark, sf_dir, "orders"), ["o_custkey", "o_orderpriority"])
@@ -244,38 +247,37 @@ def pathway_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.raw_courses(spark, sf_dir).select("course_id", F.explode(T.academic_pathways(C("academic_text"))).alias("p")).select("course_id", "p.*")
 
 
-TEXT_SCORE = "length(text) + " + " + ".join(f"(CASE WHEN contains(lower(text), '{m}') THEN 100 ELSE 0 END)" for m in T.TEXT_MARKERS)
+CANDIDATES = ("academic_text", "concat(tests_text, ' English requirements: ', english_text)", "concat('For academic requirements check ', course_name)", "concat('English requirements ', course_name)")
+HEAD = lambda x: f"coalesce(nullif(trim(regexp_extract({x}, '(?is)^(.*?)(?:english requirements|$)', 1)), ''), {x})"
+GOOD = lambda x: f"length({x}) + " + " + ".join(f"(CASE WHEN contains(lower({x}), '{m}') THEN 100 ELSE 0 END)" for m in P.TEXT_MARKERS)
+
 
+def best_of(candidates: list[str]) -> str:
+    """SQL: as pages.best_text, of SQL texts."""
+    clean = f"list_filter([{', '.join(duck_text(c) for c in candidates)}], lambda t: t <> '' AND NOT contains(lower(t), '{P.PLACEHOLDER}'))"
+    scored = f"list_transform({clean}, lambda t, i: {{'score': {GOOD(HEAD('t'))}, 'place': -i, 'text': {HEAD('t')}}})"
+    return f"coalesce(list_max({scored}).text, '')"
 
-@query(f"SELECT source, max({TEXT_SCORE}) AS score, arg_max(doc_id, ({TEXT_SCORE}, doc_id)) AS doc_id FROM documents WHERE text <> '' GROUP BY 1")
+
+@query(f"{WITH_COURSE} SELECT course_id, {best_of(list(CANDIDATES))} AS text FROM course")
 def best_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = read(spark, sf_dir, "documents").where("text <> ''").select("source", "doc_id", F.expr(TEXT_SCORE).alias("score"))
-    return scored.groupBy("source").agg(F.max(F.struct("score", "doc_id")).alias("m")).select("source", "m.score", "m.doc_id")
+    return S.raw_courses(spark, sf_dir).select("course_id", P.best_text(F.array(*map(F.expr, CANDIDATES))).alias("text"))
 
 
-SLUG = "concat('/courses/', substr(replace(lower(p_name), ' ', '-'), 1, length(p_name) - 1), '.html')"
+SLUG = "concat('https://pages.example.edu/courses/courses/', CASE WHEN p_size % 2 = 0 THEN 'pc/' ELSE 'pr/' END, substr(replace(lower(p_name), ' ', '-'), 1, length(p_name) - 1), '.html')"
 
 
-@query(rf"""WITH n AS (SELECT DISTINCT lower(p_name) AS name FROM part), u AS (SELECT DISTINCT {SLUG} AS url FROM part WHERE p_partkey % 10 = 0),
-s AS (SELECT url, replace(regexp_extract(url, '([^/]*)\.html$', 1), '-', ' ') AS slug FROM u), nt AS (SELECT name, unnest(list_distinct(string_split(name, ' '))) AS t FROM n), st AS (SELECT url, slug, unnest(list_distinct(string_split(slug, ' '))) AS t FROM s),
-p AS (SELECT name, url, slug, count(*) AS shared FROM nt JOIN st USING (t) GROUP BY 1, 2, 3), r AS (SELECT name, url, round(1 - levenshtein(name, slug) / greatest(length(name), length(slug)) + 0.08 * shared, 6) AS score FROM p)
-SELECT name, url, score FROM r WHERE score >= 0.72 QUALIFY row_number() OVER (PARTITION BY name ORDER BY score DESC, url) = 1""")
+@query()
 def fuzzy_name_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Names to the nearest page address, among those that share a word with it."""
+    """All names to the nearest of all page addresses."""
     part = read(spark, sf_dir, "part")
-    names = part.select(T.match_key(C("p_name")).alias("name")).distinct()
-    urls = part.where("p_partkey % 10 = 0").select(F.expr(SLUG).alias("url")).distinct().withColumn("slug", T.match_key(F.regexp_extract("url", r"([^/]*)\.html$", 1)))
-    token = lambda c: F.explode(F.array_distinct(F.split(c, " "))).alias("token")
-    pairs = names.select("name", token("name")).join(urls.select("url", "slug", token("slug")), "token").groupBy("name", "url", "slug").agg(F.count("*").alias("shared"))
-    score = F.round(1 - F.levenshtein("name", "slug") / F.greatest(F.length("name"), F.length("slug")) + 0.08 * C("shared"), 6)
-    near = pairs.select("name", "url", score.alias("score")).where("score >= 0.72")
-    return M.latest(near, "name", [F.desc("score"), C("url")])
+    return L.best_urls(part.select(C("p_name").alias("name")), part.select(F.expr(SLUG).alias("url")))
 
 
 DEGREE = "CASE " + " ".join(f"WHEN contains(lower(course_name), '{d}') THEN '{d.title() if d != 'phd' else 'Phd'}'" for d in T.DEGREES) + " END"
 
 
-@query(f"{WITH_COURSE} SELECT course_id, {DEGREE} AS degree, regexp_matches(lower(course_name), 'doctor of philosophy|by research') AS research FROM course")
+@query(f"{WITH_COURSE} SELECT course_id, {DEGREE} AS degree, regexp_matches(lower(course_name), 'doctor of philosophy|master of philosophy|research') AS research FROM course")
 def degree_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.raw_courses(spark, sf_dir).select("course_id", T.degree_type(C("course_name")).alias("degree"), T.is_research(C("course_name")).alias("research"))
 
@@ -306,6 +308,194 @@ def explode_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "events").select("event_id", F.explode(made))
 
 
+# --- what pages and their JSON say
+
+DOMAIN = "https://pages.example.edu/"
+#: JSON of a page as its files have it, made from the course's texts by SQL that both engines read.
+LINK = f"concat('{DOMAIN}courses/', CAST(course_id AS STRING), CASE WHEN course_id % 6 = 0 THEN '' ELSE '.html' END)"
+SUMMARY = "concat('<p>', academic_text, '</p><h2>English requirements</h2><p>', tests_text, '</p> Important information: none.')"
+MODEL = f"""concat('{{"link":"', {LINK}, '",":items":{{"nd-qualifications-pg":{{"description":"<b>', course_name, '</b> for holders of a bachelor degree"}}', CASE WHEN course_id % 2 = 0 THEN ',"nd-before-how-to-apply":{{"description":"Apply by May.<br/>Bring a portfolio"}}' ELSE '' END, '}}}}')"""
+EXPLORER = f"""CASE WHEN course_id % 4 = 3 THEN NULL ELSE concat('{{"content":{{"course-admission-requirement-rte":{{"summary":"', {SUMMARY}, '"}},"course-opportunities-rte":{{"summary":"', CASE WHEN fee IS NULL THEN 'A quota may apply.' ELSE 'Many.' END, '"}}}}}}') END"""
+COREDATA = """CASE WHEN course_id % 5 = 4 THEN NULL WHEN course_id % 5 = 3 THEN '{"attributes":{"entryRequirements":{"entryRequirementsByYear":[]}}}' ELSE concat('{"attributes":{"entryRequirements":{"entryRequirementsByYear":[{"entryRequirements":[{"codeDesc":"IELTS score","description":"A result of ', CAST(course_id % 3 + 6 AS STRING), '.5 with a minimum result of 6.0 in each band"},{"codeDesc":"TOEFL - internet","description":"Score ', CAST(course_id % 30 + 80 AS STRING), ': 17, 18, 19 and 20"},{"codeDesc":"Interview","description":"By phone 5"},{"codeDesc":"PEARSONS","description":"A result of ', CAST(course_id % 20 + 50 AS STRING), '"}]}]}}}') END"""
+CENTRAL = "'Standard English language requirement: IELTS Academic overall 7.0 with no band below 6.5.'"
+PAGE_FILES = {"page_text": "concat('About ', course_name, '. Admission: ', academic_text, ' How to apply: online.')", "model": MODEL, "explorer": EXPLORER, "coredata": COREDATA}
+CRAWLED = f"{WITH_COURSE}, crawled AS (SELECT *, {SUMMARY} AS summary, {LINK} AS link FROM course)"
+
+
+def crawled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Courses with the files of their page."""
+    return S.raw_courses(spark, sf_dir).selectExpr("*", *(f"{v} AS {k}" for k, v in PAGE_FILES.items()))
+
+
+def page_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = P.page_requirements(C("model"), C("explorer"), C("coredata"), C("page_text"), F.expr(CENTRAL), F.lit(f"{DOMAIN}english.html"))
+    return crawled(spark, sf_dir).select("course_id", found.alias("r"))
+
+
+STRIP = lambda x: duck_text(f"regexp_replace(regexp_replace(regexp_replace(coalesce({x}, ''), '<br\\s*/?>', ' ', 'gi'), '</(?:p|div|li|h[1-6]|tr)>', chr(10), 'gi'), '<[^>]+>', ' ', 'g')")
+HAS_EXPLORER, HAS_YEAR = "course_id % 4 <> 3", "course_id % 5 < 3"
+OWN_TESTS = "concat('A result of ', CAST(course_id % 3 + 6 AS STRING), '.5 with a minimum result of 6.0 in each band Score ', CAST(course_id % 30 + 80 AS STRING), ': 17, 18, 19 and 20 By phone 5 A result of ', CAST(course_id % 20 + 50 AS STRING))"
+ACADEMIC_SQL = best_of([f"CASE WHEN {HAS_EXPLORER} THEN {STRIP('summary')} ELSE '' END", "concat(course_name, ' for holders of a bachelor degree')"])
+BESIDE = lambda suffix: f"CASE WHEN ends_with(link, '.html') THEN concat(substr(link, 1, length(link) - 5), '{suffix}') ELSE link END"
+
+
+@query(f"""{CRAWLED} SELECT course_id, {ACADEMIC_SQL} AS academic_text, CASE WHEN {HAS_YEAR} THEN {OWN_TESTS} WHEN {HAS_EXPLORER} THEN {duck_text("regexp_extract(" + STRIP('summary') + ", '(?is)english requirements?.*?(?:important information|credit for previous study|$)', 0)")} ELSE {CENTRAL} END AS language_text,
+{BESIDE('.coredata.json')} AS academic_source_url, CASE WHEN ends_with(link, '.html') AND {HAS_YEAR} THEN {BESIDE('.explorer.json')} ELSE '{DOMAIN}english.html' END AS language_source_url FROM crawled""")
+def page_requirements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requirement texts of nested page JSON, with fallbacks and sources."""
+    return page_records(spark, sf_dir).select("course_id", "r.academic_text", "r.language_text", "r.academic_source_url", "r.language_source_url")
+
+
+@query(f"""{CRAWLED} SELECT course_id, CASE WHEN {HAS_YEAR} THEN concat('IELTS Academic=', CAST(course_id % 3 + 6 AS STRING), '.5/6.0,6.0,6.0,6.0|TOEFL iBT=', CAST(course_id % 30 + 80 AS STRING), '/17,18,19,20|PTE Academic=', CAST(course_id % 20 + 50 AS STRING), '/') ELSE '' END AS tests FROM crawled""")
+def structured_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tests with their scores from the structured requirements of the first year."""
+    tests = P.structured_tests(F.from_json("coredata", P.COREDATA))
+    written = F.transform(tests, lambda t: F.concat(t["test_name"], F.lit("="), t["overall"], F.lit("/"), F.array_join(F.map_values(t["component_scores"]), ",")))
+    return crawled(spark, sf_dir).select("course_id", joined(written).alias("tests"))
+
+
+@query(f"""{WITH_COURSE}, p AS (SELECT course_id, p_text, lower(p_text) AS low FROM (SELECT course_id, concat(academic_text, ' How to apply: by ', course_name, '. A quota applies.') AS p_text FROM course)),
+s AS (SELECT *, least(nullif(instr(low, 'admission'), 0), nullif(instr(low, 'entry requirements'), 0), nullif(instr(low, 'academic requirements'), 0)) AS a, least(nullif(instr(low, 'how to apply'), 0), nullif(instr(low, 'supplementary form'), 0), nullif(instr(low, 'portfolio'), 0), nullif(instr(low, 'limited places'), 0)) AS b, instr(low, 'requirements for award') AS e FROM p)
+SELECT course_id, trim(substr(p_text, coalesce(a, 1), CASE WHEN e >= coalesce(a, 1) THEN e - coalesce(a, 1) ELSE 2400 END)) AS academic, trim(substr(p_text, coalesce(b, 1), 1400)) AS application,
+array_to_string(list_transform(list_slice(regexp_extract_all(p_text, '(?i)[^.]*credit points[^.]*\\.?'), 1, 5), lambda x: trim(x)), '|') AS rules, contains(low, 'requirements for award') AS award,
+concat_ws('|', CASE WHEN contains(low, 'limited places') THEN 'Course page mentions limited places.' END, CASE WHEN contains(low, 'quota applies') THEN 'Course page mentions quota applies.' END, CASE WHEN course_id % 2 = 0 THEN '{P.FALLBACK_NOTE}' END) AS notes FROM s""")
+def page_fallbacks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fallback blocks, supplementary metadata and notes of a page's text."""
+    page = S.raw_courses(spark, sf_dir).select("course_id", F.expr("concat(academic_text, ' How to apply: by ', course_name, '. A quota applies.')").alias("t"))
+    more = P.supplementary_metadata(C("t"))
+    return page.select(
+        "course_id", P.fallback_academic(C("t")).alias("academic"), P.fallback_application(C("t")).alias("application"), joined(more["program_rules"]).alias("rules"),
+        more["award_requirements_detected"].alias("award"), joined(P.derived_notes(C("t"), C("course_id") % 2 == 0)).alias("notes"),
+    )
+
+
+@query(f"""{WITH_COURSE}, t AS (SELECT course_id, CASE WHEN english_text = '' THEN '' ELSE tests_text END AS own FROM course) SELECT course_id, CASE WHEN own = '' THEN 'IELTS Academic:4' ELSE concat_ws('|', CASE WHEN contains(own, 'IELTS Academic overall') THEN 'IELTS Academic:1' WHEN contains(own, 'or IELTS') THEN 'IELTS Academic:1' END, CASE WHEN contains(own, 'TOEFL') THEN 'TOEFL iBT:1' END, CASE WHEN contains(own, 'PTE') THEN 'PTE Academic:1' END, CASE WHEN contains(own, 'C1') THEN 'Cambridge C1 Advanced:1|Cambridge C2 Proficiency:1' END) END AS tests FROM t""")
+def tests_with_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tests of the course's own text, else of the central page."""
+    own = F.when(C("english_text") == "", "").otherwise(C("tests_text"))
+    tests = P.tests_with_fallback(own, F.expr(CENTRAL), F.lit("own"), F.lit("central"))
+    return S.raw_courses(spark, sf_dir).select("course_id", joined(F.transform(tests, lambda t: F.concat_ws(":", t["test_name"], t["source_priority"].cast("string")))).alias("tests"))
+
+
+@query(f"""{WITH_COURSE} SELECT course_id, {duck_text("concat_ws(' ', CASE WHEN " + " OR ".join(f"contains(lower(academic_text), '{m}')" for m in P.APPLYING) + " THEN academic_text END, CASE WHEN " + " OR ".join(f"contains(lower(course_name), '{m}')" for m in P.APPLYING) + " THEN course_name END)")} AS sentences FROM course""")
+def application_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.raw_courses(spark, sf_dir).select("course_id", P.application_sentences(F.array("academic_text", "course_name")).alias("sentences"))
+
+
+def payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Admission payloads of the courses, with faults here and there."""
+    text = C("academic_text")
+    details = F.struct(*(F.col(f"d.{f}") for f in T.FLAGS), C("d.required_documents"), C("d.selection_notes"), F.when(C("course_id") % 7 == 0, "").otherwise(text).alias("raw_text"))
+    rows = S.raw_courses(spark, sf_dir).withColumn("d", T.application_details(text))
+    return rows.select(
+        "course_id", "course_name", F.when(C("course_id") % 9 == 0, F.substring("cricos", 1, 6)).otherwise(C("cricos")).alias("cricos"), F.concat(F.when(C("course_id") % 8 == 0, "http://other.example/").otherwise(DOMAIN), F.lit("c.html")).alias("source_url"),
+        F.lit(f"{DOMAIN}c.html").alias("canonical_url"), text.alias("academic_requirement_text"), T.academic_pathways(text).alias("academic_pathways"), C("english_text").alias("raw_english_requirement"),
+        P.tests_with_fallback(C("tests_text"), F.lit(None).cast("string"), F.lit("own"), F.lit("")).alias("language_tests"), details.alias("application_details"), P.supplementary_metadata(text).alias("supplementary_metadata"),
+    )
+
+
+FLAGGED = " OR ".join(f"contains(lower(academic_text), '{w}')" for words in T.FLAGS.values() for w in words)
+
+
+@query(f"""{WITH_COURSE} SELECT course_id, concat_ws('|', CASE WHEN course_id % 9 = 0 THEN 'bad_code' END, CASE WHEN length(trim(regexp_replace(academic_text, '\\s+', ' ', 'g'))) < 12 THEN 'short_academic_requirement_text' END,
+CASE WHEN length(trim(regexp_replace(english_text, '\\s+', ' ', 'g'))) < 12 THEN 'short_raw_english_requirement' END, CASE WHEN course_id % 8 = 0 THEN 'foreign_source_url' END, CASE WHEN course_id % 7 = 0 AND ({FLAGGED}) THEN 'flag_without_evidence' END,
+CASE WHEN NOT regexp_matches(tests_text, 'IELTS|TOEFL|PTE|Cambridge') THEN 'no_language_signal' END, CASE WHEN contains(lower(academic_text), 'requirements for award') AND NOT contains(lower(academic_text), 'admission') THEN 'award_rules_only' END,
+CASE WHEN NOT ({" OR ".join(f"contains(lower(academic_text), '{w}')" for w in V.ACADEMIC_SIGNALS)}) THEN 'no_academic_signal' END) AS errors FROM course""")
+def payload_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    checked = M.check_rows(payloads(spark, sf_dir), V.payload_rules(DOMAIN))
+    return checked.select("course_id", joined("errors").alias("errors"))
+
+
+@query()
+def payload_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Content fingerprints and detail documents of the payloads."""
+    rows = payloads(spark, sf_dir).withColumns({"source_map": F.create_map(F.lit("academic"), C("source_url")), "notes": P.derived_notes(C("academic_requirement_text"), F.lit(False))})
+    document = P.requirement_details(C("language_tests"), C("academic_pathways"), C("application_details"), C("supplementary_metadata"), C("source_map"), C("notes"))
+    return rows.select("course_id", V.fingerprint().alias("fingerprint"), document.alias("english_req_details"))
+
+
+INDEX_FLAGS = ", ".join("CASE WHEN " + " OR ".join(f"contains(lower(academic_text), '{w}')" for w in T.FLAGS[f]) + f" THEN '{label}' END" for f, label in P.FLAG_LABELS.items())
+INDEX_DOCS = ", ".join(f"CASE WHEN contains(lower(academic_text), '{w}') THEN '{label}' END" for w, label in T.DOCUMENTS.items() if w not in ("statement of intent", "referees"))
+NOTE_SQL = r"CASE WHEN contains(lower(academic_text), 'limited places') THEN trim(regexp_extract(academic_text, '(?i)[^.]*limited places[^.]*\.?', 0)) END"
+
+
+@query(f"""{WITH_COURSE}, t AS (SELECT course_id, trim(regexp_replace(academic_text, '\\s+', ' ', 'g')) AS raw, concat_ws('; ', {INDEX_DOCS}) AS docs, concat_ws('; ', {INDEX_FLAGS}) AS flags, {NOTE_SQL} AS note FROM course)
+SELECT course_id, concat_ws(' ', nullif(raw, ''), CASE WHEN docs <> '' THEN concat('Required documents: ', docs) END, CASE WHEN flags <> '' THEN concat('Application flags: ', flags) END, CASE WHEN note <> '' THEN concat('Selection notes: ', note) END) AS text FROM t""")
+def application_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Application details as index text."""
+    return S.raw_courses(spark, sf_dir).select("course_id", "academic_text", T.application_details(C("academic_text")).alias("d")).select("course_id", P.application_index_text(C("academic_text"), C("d")).alias("text"))
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 3 = 0 THEN CAST(event_id % 10 AS DOUBLE) WHEN event_id % 5 = 0 THEN NULL ELSE round(value, 1) END AS listening, CASE WHEN event_id % 3 <> 0 AND event_id % 5 = 0 THEN NULL WHEN event_id % 5 = 0 THEN NULL ELSE round(value, 1) END AS writing FROM events""")
+def backfill_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Part scores from the detail document, else the minimum band."""
+    document = F.when(C("event_id") % 3 == 0, F.format_string('{"ielts_subscores":{"listening":"%d","writing":"n/a"}}', C("event_id") % 10)).otherwise("{}")
+    band = F.when(C("event_id") % 5 != 0, F.round("value", 1))
+    return read(spark, sf_dir, "events").select("event_id", P.backfilled_parts(document, band).alias("p")).select("event_id", "p.listening", "p.writing")
+
+
+@query(f"""{WITH_COURSE} SELECT course_id, course_id % 2 = 0 AS has_crawled_admissions, CASE WHEN course_id % 2 = 0 THEN '官网爬取' ELSE 'Excel / 原始导入' END AS admission_source_label, CASE WHEN length(t) > 140 THEN concat(rtrim(substr(t, 1, 139)), '…') ELSE t END AS academic_summary,
+contains(lower(academic_text), 'portfolio') AS requires_portfolio, contains(lower(academic_text), 'limited places') AS limited_places FROM (SELECT *, trim(regexp_replace(academic_text, '\\s+', ' ', 'g')) AS t FROM course)""")
+def dashboard_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A listing's columns beside a course."""
+    rows = S.raw_courses(spark, sf_dir).withColumns({"d": T.application_details(C("academic_text")), "source": F.when(C("course_id") % 2 == 0, "crawl").otherwise("seed")})
+    tests = P.tests_with_fallback(C("tests_text"), F.lit(None).cast("string"), F.lit(""), F.lit(""))
+    shown = rows.withColumns(P.dashboard_columns(C("source"), "crawl", C("academic_text"), tests, C("d"), F.lit(None).cast("string")))
+    return shown.select("course_id", "has_crawled_admissions", "admission_source_label", "academic_summary", "requires_portfolio", "limited_places")
+
+
+@query("""SELECT o_custkey, 1 AS requirement_version, 'seed' AS requirement_source, true AS is_current, min(o_orderkey) AS content FROM orders WHERE o_orderkey % 2 = 0 GROUP BY 1
+UNION ALL SELECT o_custkey, 2, 'crawl', o_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey % 2 = 0), o_orderkey FROM orders WHERE o_orderkey % 4 = 1
+UNION ALL SELECT o_custkey, 1, 'seed', false, o_orderkey FROM orders WHERE o_orderkey % 4 = 3 AND o_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey % 2 = 0)""")
+def replace_requirements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A re-import replaces the versions of its own source; crawled ones stay, no longer current."""
+    orders = read(spark, sf_dir, "orders")
+    crawl = C("o_orderkey") % 4 == 1
+    base = orders.where("o_orderkey % 2 = 1").select("o_custkey", F.when(crawl, 2).otherwise(1).alias("requirement_version"), F.when(crawl, "crawl").otherwise("seed").alias("requirement_source"), crawl.alias("is_current"), C("o_orderkey").alias("content"))
+    delta = orders.where("o_orderkey % 2 = 0").groupBy("o_custkey").agg(F.min("o_orderkey").alias("content"))
+    return M.replace_requirements(base, delta, "o_custkey", "seed")
+
+
+@query("""WITH f AS (SELECT p_partkey AS seed_id, p_name, CAST(p_size % 7 AS VARCHAR) AS cricos, unnest([concat('https://a.example/courses/courses/pc/', replace(p_name, ' ', '-'), '.html?x=1'), concat('https://a.example/courses/courses/pr/', CAST(p_size AS VARCHAR), '.html'), concat('https://a.example/other/', p_brand)]) AS url FROM part),
+c AS (SELECT *, regexp_replace(regexp_replace(url, '[?#].*$', ''), ';[^/]*$', '') AS u FROM f), g AS (SELECT *, string_split(replace(replace(lower(string_split(u, '/')[-1]), '.html', ''), '-', ' '), ' ') AS slug FROM c),
+s AS (SELECT seed_id, url, length(u) AS n, CASE WHEN contains(u, '/courses/courses/pc/') THEN 20 ELSE 0 END + CASE WHEN contains(lower(u), cricos) THEN 5 ELSE 0 END + len(list_intersect(list_distinct(string_split(lower(p_name), ' ')), slug)) AS score FROM g)
+SELECT seed_id, url, CAST(score AS INTEGER) AS score FROM s QUALIFY row_number() OVER (PARTITION BY seed_id ORDER BY score DESC, n, url) = 1""")
+def best_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best of a seed's search results."""
+    made = F.array(F.expr("concat('https://a.example/courses/courses/pc/', replace(p_name, ' ', '-'), '.html?x=1')"), F.expr("concat('https://a.example/courses/courses/pr/', p_size, '.html')"), F.expr("concat('https://a.example/other/', p_brand)"))
+    found = read(spark, sf_dir, "part").select(C("p_partkey").alias("seed_id"), C("p_name").alias("course_name"), (C("p_size") % 7).cast("string").alias("cricos"), F.explode(made).alias("url"))
+    return L.best_candidates(found).select("seed_id", "url", "score")
+
+
+@query("""SELECT p_partkey AS seed_id, CASE WHEN p_partkey % 3 = 0 THEN concat('m', p_name) WHEN p_partkey % 3 = 1 THEN 'stored' WHEN p_size % 2 = 0 THEN 'searched' END AS page_url, CASE WHEN p_partkey % 3 = 2 AND p_size % 2 = 1 THEN 'DISCOVERY_NO_MATCH' END AS error_code FROM part""")
+def page_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The page of each seed by priority, or its dead letter."""
+    part = read(spark, sf_dir, "part")
+    name = F.when(C("p_partkey") % 3 == 0, C("p_name")).otherwise(F.concat(F.lit("-"), C("p_partkey")))
+    seeds = part.select(C("p_partkey").alias("seed_id"), name.alias("course_name"), F.when(C("p_partkey") % 3 == 1, "stored").otherwise("").alias("source_url"))
+    matched = part.select(C("p_name").alias("name")).distinct().select("name", F.concat(F.lit("m"), "name").alias("url"))
+    searched = part.where("p_size % 2 = 0").select(C("p_partkey").alias("seed_id"), F.lit("searched").alias("url"))
+    found, dead = L.resolve_pages(seeds, matched, searched)
+    lost = dead.select(F.get_json_object("payload", "$.seed_id").cast("long").alias("seed_id"), F.lit(None).cast("string").alias("page_url"), "error_code")
+    return found.select("seed_id", "page_url", F.lit(None).cast("string").alias("error_code")).unionByName(lost)
+
+
+@query("SELECT c_custkey, count(o_orderkey) AS n, CASE WHEN count(o_orderkey) = 0 THEN 'missing_requirement' END AS requirement_error FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY 1")
+def missing_requirement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    needs = read(spark, sf_dir, "orders").groupBy(C("o_custkey").alias("c_custkey")).agg(F.count("*").alias("n"))
+    return L.with_requirements(read(spark, sf_dir, "customer").select("c_custkey"), needs, "c_custkey").select("c_custkey", F.coalesce("n", F.lit(0)).alias("n"), "requirement_error")
+
+
+@query("SELECT c_custkey, coalesce(array_to_string(list(o_orderkey ORDER BY o_orderdate, o_orderkey), '|'), '') AS orders FROM customer LEFT JOIN orders ON c_custkey = o_custkey WHERE c_nationkey % 2 = 0 GROUP BY 1")
+def child_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of an id set with the ordered list of their children, empty without any."""
+    customers = read(spark, sf_dir, "customer")
+    wanted = L.fetch(customers, customers.where("c_nationkey % 2 = 0").select("c_custkey"), "c_custkey").select("c_custkey")
+    orders = read(spark, sf_dir, "orders").select(C("o_custkey").alias("c_custkey"), "o_orderdate", "o_orderkey")
+    rows = L.with_list(wanted, orders, "c_custkey", "o_orderkey", ["o_orderdate", "o_orderkey"], "orders")
+    return rows.select("c_custkey", joined(C("orders").cast("array<string>")).alias("orders"))
+
+
 # --- browsing
 
 
@@ -315,7 +505,7 @@ def courses(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = S.raw_courses(spark, sf_dir).withColumns({"d": d, "s": s, "intakes": T.parse_intakes(C("intake_text"))["months"], "degree": T.degree_type(C("course_name"))})
     parts = [C(f"s.{p}").alias(p) for p in G.PARTS]
     return raw.select(
-        "course_id", "course_name", "cricos", "academic_text", "english_text", "fee", "campus", "intakes", "degree",
+        "course_id", "course_name", "cricos", "academic_text", "english_text", "fee", "campus", "faculty", "school", "study_mode", "intakes", "degree", "tests_text",
         C("d.min").alias("duration_min"), C("d.max").alias("duration_max"), C("s.overall").alias("need_overall"), C("s.min_band").alias("need_band"), *parts,
     )
 
@@ -390,7 +580,7 @@ def csv_export(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     path = f"{checkpoint_dir(spark)}/export-{uuid.uuid4().hex}"
     B.export_csv(read(spark, sf_dir, "part"), {"p_partkey": "Course", "p_name": "Name", "p_size": "Size"}, path)
-    return spark.read.schema("Course long, Name string, Size int").csv(path, header=True)
+    return spark.read.option("encoding", "UTF-8").schema("Course long, Name string, Size int").csv(path, header=True, enforceSchema=True)
 
 
 @query(f"{COURSES} SELECT course_id, course_name FROM courses WHERE list_contains(intakes, 'FEB')")
@@ -400,13 +590,23 @@ def open_in_intake(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.join(months, "course_id").select("course_id", "course_name").orderBy("course_name", "course_id")
 
 
+BROKEN = ", ".join(f"CASE WHEN NOT coalesce({v}, false) THEN '{k}' END" for k, v in CONSTRAINTS.items())
+
+
+@query(f"{COURSES}, b AS (SELECT course_id, concat_ws('|', {BROKEN}) AS broken FROM courses) SELECT * FROM b WHERE broken <> ''")
+def constraint_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that break a table constraint (bounds narrower than the tables', so that some do)."""
+    checked = M.check_rows(courses(spark, sf_dir), {k: F.expr(v) for k, v in CONSTRAINTS.items()})
+    return checked.where(F.size("errors") > 0).select("course_id", joined("errors").alias("broken"))
+
+
 # --- index
 
 
 PARTS_OF_COURSE = {"academic": ("Academic requirements", "academic_text"), "english": ("English requirements", "english_text")}
 
 
-@query(f"{WITH_COURSE} SELECT course_id, 'academic' AS kind, 'Academic requirements' AS title, trim(academic_text) AS body FROM course WHERE trim(academic_text) <> '' UNION ALL SELECT course_id, 'english', 'English requirements', trim(english_text) FROM course WHERE trim(english_text) <> ''")
+@query(f"{WITH_COURSE} SELECT course_id, 'academic' AS kind, 'Academic requirements' AS title, trim(regexp_replace(academic_text, '\\s+', ' ', 'g')) AS body FROM course WHERE trim(academic_text) <> '' UNION ALL SELECT course_id, 'english', 'English requirements', trim(english_text) FROM course WHERE trim(english_text) <> ''")
 def sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.sections(S.raw_courses(spark, sf_dir), "course_id", PARTS_OF_COURSE)
 
@@ -460,13 +660,13 @@ def index_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def embed_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return I.embed_bag(read(spark, sf_dir, "documents"), "doc_id", "text")
+    return I.embed(read(spark, sf_dir, "documents"), "doc_id", "text")
 
 
 @query(r"SELECT doc_id, to_json({'lang': lang, 'n_chars': n_chars})::VARCHAR AS nested, coalesce(source, '') AS source FROM documents WHERE lang IS NOT NULL")
 def chunk_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flat metadata: nulls dropped, scalars kept, nested values as JSON text."""
-    flat = F.map_filter(F.create_map(F.lit("source"), C("source"), F.lit("nested"), F.to_json(F.struct("lang", "n_chars")), F.lit("none"), F.lit(None).cast("string")), lambda k, v: v.isNotNull())
+    flat = I.flat_metadata({"source": C("source"), "nested": F.struct("lang", "n_chars"), "none": F.lit(None).cast("string")})
     return read(spark, sf_dir, "documents").where("lang is not null").select("doc_id", flat.alias("m")).select("doc_id", F.element_at("m", "nested").alias("nested"), F.coalesce(F.try_element_at("m", F.lit("source")), F.lit("")).alias("source"))
 
 
@@ -489,7 +689,8 @@ def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def cosine_lsh(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.cosine_lsh(read(spark, sf_dir, "embeddings").select("vec_id", "embedding"), vector_queries(spark, sf_dir))
+    """The approximate search, by inverted lists of clusters."""
+    return R.cosine_clusters(read(spark, sf_dir, "embeddings").select("vec_id", "embedding"), vector_queries(spark, sf_dir))
 
 
 @query(f"WITH {TOP} SELECT top.query_id, top.vec_id, top.similarity, top.rank, d.source FROM top JOIN documents d ON d.doc_id = top.vec_id")
@@ -558,7 +759,7 @@ def applicant_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return applicants(spark, sf_dir).select("applicant_id", K.on_hundred(C("gpa"), F.lit(7)).alias("gpa_100"), joined("want_intakes").alias("intakes"))
 
 
-@query(f"{WITH_APPLICANT} SELECT applicant_id, concat_ws('|', CASE WHEN trim(target) = '' THEN 'missing_target' END, CASE WHEN gpa IS NULL THEN 'bad_gpa' END, CASE WHEN budget_max < budget_min THEN 'bad_budget' END) AS errors FROM applicant")
+@query(f"{WITH_APPLICANT} SELECT applicant_id, concat_ws('|', CASE WHEN trim(target) = '' THEN 'missing_target' END, CASE WHEN gpa IS NULL THEN 'bad_gpa' END, CASE WHEN budget_max < budget_min THEN 'bad_budget' END, CASE WHEN want_max < want_min THEN 'bad_duration' END) AS errors FROM applicant")
 def request_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return applicants(spark, sf_dir).select("applicant_id", joined(K.request_errors()).alias("errors"))
 
@@ -576,38 +777,43 @@ CATEGORY = "CASE WHEN background = '双非' THEN 'non_211' WHEN background = 'C9
 GPA_MIN = f"CASE WHEN contains(lower(course_name), 'master of commerce') OR contains(lower(course_name), 'professional accounting') THEN CASE {CATEGORY} " + " ".join(f"WHEN '{c}' THEN {m}" for c, m in G.BUSINESS_MARKS.items()) + f" END WHEN {CATEGORY} = 'non_211' THEN 80.0 ELSE 75.0 END::DOUBLE"
 ALL_SPECS = [("|".join(w), list(w)) for w in dict.fromkeys(w for _, w, _ in K.DIRECTIONS)] + [("architecture", ["architecture"]), ("", [""])]
 PAIRS = f"""{COURSES}, hits AS ({top_hits(ALL_SPECS)}), raw_applicant AS (SELECT {S.select_list(S.APPLICANT)} FROM customer), applicant AS (SELECT *, {KEYWORDS} AS spec_id, CASE intake_wish WHEN 'S1' THEN ['FEB'] WHEN 'July, semester 2' THEN ['JUL'] WHEN 'Mar,mar, Oct' THEN ['MAR', 'OCT'] WHEN 'Feb' THEN ['FEB'] ELSE [] END AS want_intakes FROM raw_applicant),
-pairs AS (SELECT a.*, c.course_id, c.course_name, c.academic_text, c.fee, c.campus, c.intakes, c.degree, c.duration_min, c.duration_max, c.need_overall, greatest(c.need_band, c.listening, c.reading, c.speaking, c.writing) AS need_band, hits.keyword_score AS relevance FROM applicant a JOIN hits USING (spec_id) JOIN courses c USING (course_id)), ready AS (SELECT *, {GPA_MIN} AS gpa_min FROM pairs)"""
+pairs AS (SELECT a.*, c.course_id, c.course_name, c.academic_text, c.fee, c.campus, c.faculty, c.school, c.study_mode, c.intakes, c.degree, c.listening, c.reading, c.speaking, c.writing, c.duration_min, c.duration_max, c.need_overall, greatest(c.need_band, c.listening, c.reading, c.speaking, c.writing) AS need_band, hits.keyword_score AS relevance FROM applicant a JOIN hits USING (spec_id) JOIN courses c USING (course_id)), ready AS (SELECT *, {GPA_MIN} AS gpa_min FROM pairs)"""
 
 
 @query(f"{PAIRS} SELECT applicant_id, course_id, {CATEGORY} AS category, gpa_min, need_overall, need_band FROM ready")
 def threshold_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decided(spark, sf_dir).select("applicant_id", "course_id", G.background_category(C("background")).alias("category"), "gpa_min", "need_overall", "need_band")
+    return decided(spark, sf_dir).select("applicant_id", "course_id", "category", "gpa_min", "need_overall", "need_band")
 
 
 def _pref(name: str, want: str, have: str) -> str:
-    w, h = f"lower(coalesce({want}, ''))", f"lower(coalesce({have}, ''))"
-    return f"CASE WHEN {w} = '' AND {h} = '' THEN 'unknown/-' WHEN {w} = '' THEN 'pass/-' WHEN {h} = '' THEN 'unknown/U' WHEN contains({h}, {w}) THEN 'pass/-' ELSE 'fail/B' END"
+    wishes, h = f"list_filter(list_transform(string_split(lower(coalesce({want}, '')), ','), lambda w: trim(w)), lambda w: w <> '')", f"lower(coalesce({have}, ''))"
+    return f"CASE WHEN len({wishes}) = 0 AND {h} = '' THEN 'unknown/-/{name}' WHEN len({wishes}) = 0 THEN 'pass/-/' WHEN {h} = '' THEN 'unknown/U/{name}' WHEN len(list_filter({wishes}, lambda w: contains({h}, w))) > 0 THEN 'pass/-/' ELSE 'fail/B/' END"
 
 
 LOW, OWN = "lower(academic_text)", "lower(subjects_text)"
 HAS = lambda text, words: "(" + " OR ".join(f"contains({text}, '{w.replace(chr(39), chr(39) * 2)}')" for w in words) + ")"
 WAY = f"CASE WHEN trim(academic_text) <> '' THEN {HAS(LOW, G.PATHWAYS)} END"
 BY_DIRECTION = f"len(list_filter(string_split(spec_id, '|'), lambda k: contains({OWN}, k))) > 0"
+PART_FAILS = " OR ".join(f"coalesce(min_band < coalesce({p}, need_band), false)" for p in G.PARTS)
+FOUND = f"len(list_filter(string_split(spec_id, '|'), lambda k: contains(lower(concat_ws(' ', course_name, academic_text, concat('keyword matched for: ', replace(spec_id, '|', ', ')))), k)))"
 GATE = {
-    "major_area": "'pass/-'",
+    "major_area": f"CASE WHEN {FOUND} > 0 THEN 'pass/-/' ELSE 'warning/W/' END",
     "degree_type": _pref("degree_type", "want_degree", "degree"),
-    "average": f"CASE WHEN gpa IS NULL THEN 'unknown/U' WHEN gpa >= gpa_min THEN 'pass/-' WHEN accepts_pathway AND ({WAY}) THEN 'warning/P' WHEN accepts_pathway AND ({WAY}) IS NULL THEN 'unknown/U' ELSE 'fail/B' END",
-    "language": "CASE WHEN need_overall IS NULL OR need_band IS NULL OR overall IS NULL OR min_band IS NULL THEN 'unknown/U' WHEN overall < need_overall OR min_band < need_band THEN 'fail/B' ELSE 'pass/-' END",
-    "prerequisites": f"CASE WHEN academic_text = '' THEN 'unknown/U' WHEN NOT {HAS(LOW, G.PREREQUISITES)} THEN 'pass/-' WHEN subjects_text = '' THEN 'unknown/U' WHEN NOT {HAS(LOW, G.SUBJECTS)} AND {BY_DIRECTION} THEN 'pass/-' WHEN NOT {HAS(LOW, G.SUBJECTS)} THEN 'warning/W' WHEN "
-    + " OR ".join(f"(contains({LOW}, '{s}') AND NOT {HAS(OWN, a)})" for s, a in G.SUBJECTS.items()) + " THEN 'warning/W' ELSE 'pass/-' END",
-    "intake": "CASE WHEN len(want_intakes) = 0 AND intakes IS NULL THEN 'unknown/-' WHEN len(want_intakes) = 0 THEN 'pass/-' WHEN intakes IS NULL THEN 'unknown/U' WHEN list_has_any(want_intakes, intakes) THEN 'pass/-' ELSE 'fail/B' END",
-    "deadline": f"CASE WHEN contains({LOW}, 'applications close') THEN 'warning/-' ELSE 'unknown/-' END",
-    "tuition": "CASE WHEN fee IS NULL THEN 'unknown/U' WHEN coalesce(fee <= budget_max, true) THEN 'pass/-' ELSE 'warning/W' END",
-    "duration": "CASE WHEN want_min IS NULL AND duration_min IS NULL THEN 'unknown/-' WHEN want_min IS NULL THEN 'pass/-' WHEN duration_min IS NULL THEN 'unknown/U' WHEN want_max >= duration_min AND want_min <= duration_max THEN 'pass/-' ELSE 'fail/B' END",
+    "faculty": _pref("faculty", "want_faculty", "faculty"),
+    "school": _pref("school", "want_school", "school"),
+    "average": f"CASE WHEN gpa IS NULL THEN 'unknown/U/user_gpa' WHEN gpa >= gpa_min THEN 'pass/-/' WHEN accepts_pathway AND ({WAY}) THEN 'warning/P/' WHEN accepts_pathway AND ({WAY}) IS NULL THEN 'unknown/U/pathway_availability' ELSE 'fail/B/' END",
+    "language": f"CASE WHEN need_overall IS NULL OR need_band IS NULL THEN 'unknown/U/ielts_requirement' WHEN overall IS NULL OR min_band IS NULL THEN 'unknown/U/user_ielts' WHEN overall < need_overall OR {PART_FAILS} THEN 'fail/B/' ELSE 'pass/-/' END",
+    "prerequisites": f"CASE WHEN academic_text = '' THEN 'unknown/U/academic_requirement_text' WHEN NOT {HAS(LOW, G.PREREQUISITES)} THEN 'pass/-/' WHEN subjects_text = '' THEN 'unknown/U/prior_major_or_courses' WHEN NOT {HAS(LOW, G.SUBJECTS)} AND {BY_DIRECTION} THEN 'pass/-/' WHEN NOT {HAS(LOW, G.SUBJECTS)} THEN 'warning/W/' WHEN "
+    + " OR ".join(f"(contains({LOW}, '{s}') AND NOT {HAS(OWN, a)})" for s, a in G.SUBJECTS.items()) + " THEN 'warning/W/' ELSE 'pass/-/' END",
+    "intake": "CASE WHEN len(want_intakes) = 0 AND intakes IS NULL THEN 'unknown/-/intakes' WHEN len(want_intakes) = 0 THEN 'pass/-/' WHEN intakes IS NULL THEN 'unknown/U/intakes' WHEN list_has_any(want_intakes, intakes) THEN 'pass/-/' ELSE 'fail/B/' END",
+    "deadline": f"CASE WHEN {HAS(LOW, ('deadline', 'closing date', 'applications close', 'apply by', 'rolling basis'))} THEN 'warning/-/' ELSE 'unknown/-/application_deadline' END",
+    "tuition": "CASE WHEN fee IS NULL THEN 'unknown/U/tuition_fee_aud' WHEN coalesce(fee >= budget_min, true) AND coalesce(fee <= budget_max, true) THEN 'pass/-/' ELSE 'warning/W/' END",
+    "duration": "CASE WHEN want_min IS NULL AND duration_min IS NULL THEN 'unknown/-/duration' WHEN want_min IS NULL THEN 'pass/-/' WHEN duration_min IS NULL THEN 'unknown/U/duration' WHEN want_max >= duration_min AND want_min <= duration_max THEN 'pass/-/' ELSE 'fail/B/' END",
     "campus": _pref("campus", "want_campus", "campus"),
-    "pathway": f"CASE WHEN ({WAY}) IS NULL THEN 'unknown/-' WHEN ({WAY}) AND NOT accepts_pathway THEN 'warning/-' ELSE 'pass/-' END",
+    "study_mode": _pref("study_mode", "want_mode", "study_mode"),
+    "pathway": f"CASE WHEN ({WAY}) IS NULL THEN 'unknown/-/pathway_availability' WHEN ({WAY}) AND NOT accepts_pathway THEN 'warning/-/' ELSE 'pass/-/' END",
 }
-CHECKED = f"{PAIRS}, checked AS (SELECT *, concat_ws('|', {', '.join(GATE.values())}) AS checks FROM ready), decided AS (SELECT *, CASE WHEN contains(checks, '/B') THEN 'INELIGIBLE' WHEN contains(checks, '/P') THEN 'PATHWAY_REQUIRED' WHEN contains(checks, '/U') THEN 'UNKNOWN' WHEN contains(checks, '/W') THEN 'HIGH_RISK' ELSE 'ELIGIBLE' END AS status FROM checked)"
+CHECKED = f"{PAIRS}, checked AS (SELECT *, concat_ws('|', {', '.join(GATE.values())}) AS checks FROM ready), decided AS (SELECT *, CASE WHEN contains(checks, '/B/') THEN 'INELIGIBLE' WHEN contains(checks, '/P/') THEN 'PATHWAY_REQUIRED' WHEN contains(checks, '/U/') THEN 'UNKNOWN' WHEN contains(checks, '/W/') THEN 'HIGH_RISK' ELSE 'ELIGIBLE' END AS status FROM checked)"
 
 
 def decided(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -616,7 +822,7 @@ def decided(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{CHECKED} SELECT applicant_id, course_id, checks FROM decided")
 def gate_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    written = F.transform("checks", lambda c: F.concat(c["status"], F.lit("/"), c["effect"]))
+    written = F.transform("checks", lambda c: F.concat_ws("/", c["status"], c["effect"], F.coalesce(c["missing"], F.lit(""))))
     return decided(spark, sf_dir).select("applicant_id", "course_id", joined(written).alias("checks"))
 
 
@@ -633,12 +839,18 @@ def gate_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decided(spark, sf_dir).groupBy("applicant_id").agg(F.count("*").alias("total"), *(F.count_if(C("status") == s).alias(s.lower()) for s in STATUSES))
 
 
-@query()
+@query(f"{CHECKED} SELECT applicant_id, course_id, field FROM (SELECT applicant_id, course_id, unnest(list_transform(string_split(checks, '|'), lambda c: string_split(c, '/')[3])) AS field FROM decided) WHERE field <> ''")
 def gate_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The checklist as rows: what is missing for a decision."""
     return decided(spark, sf_dir).select("applicant_id", "course_id", F.explode(G.missing_fields(C("checks"))).alias("field"))
 
 
+@query(f"{CHECKED} SELECT applicant_id, course_id, CAST(place AS INTEGER) AS place, string_split(c, '/')[1] AS status, string_split(c, '/')[2] AS effect FROM (SELECT applicant_id, course_id, unnest(string_split(checks, '|')) AS c, unnest(range(1, 15)) AS place FROM decided)")
+def gate_checklist(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The checks as rows, in their order."""
+    return G.checklist(decided(spark, sf_dir), "applicant_id", "course_id").select("applicant_id", "course_id", "place", "status", "effect")
+
+
 RATIO = "0.7::DOUBLE * (gpa / gpa_min) + 0.3::DOUBLE * (overall / need_overall)"
 SCORED = f"{CHECKED}, s AS (SELECT *, {RATIO} AS score FROM decided), banded AS (SELECT *, CASE WHEN score < 0.95 THEN 'REACH' WHEN score <= 1.1 THEN 'MATCH' WHEN score IS NOT NULL THEN 'SAFETY' END AS band, CASE WHEN score IS NULL THEN 'scoring_failed' WHEN relevance < 0.05 THEN 'low_relevance' WHEN min_band < need_band THEN 'ielts_band_below_requirement' WHEN NOT (want_min IS NULL OR (coalesce(want_max >= duration_min, true) AND coalesce(want_min <= duration_max, true))) THEN 'duration_outside_preference' WHEN NOT (coalesce(fee >= budget_min, true) AND coalesce(fee <= budget_max, true)) THEN 'tuition_outside_budget' END AS exclusion FROM s)"
 
@@ -677,6 +889,43 @@ def recommend_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select("applicant_id", "course_id", "band", F.bround("score", 4).alias("score"), "rank")
 
 
+COUNTED = lambda effect: f"len(list_filter(string_split(checks, '|'), lambda c: contains(c, '/{effect}/')))"
+SHORT = lambda x: f"regexp_replace(CAST({x} AS VARCHAR), '\\.0$', '')"
+
+
+@query(f"""{SCORED} SELECT applicant_id, course_id, status, CASE WHEN status = 'INELIGIBLE' THEN 'gate' WHEN status <> 'ELIGIBLE' THEN 'risk' WHEN exclusion IS NOT NULL THEN 'plan' ELSE 'candidate' END AS stage,
+{COUNTED('B')} AS blocking, {COUNTED('W')} + {COUNTED('P')} AS warnings, array_to_string(list_filter(list_transform(string_split(checks, '|'), lambda c: string_split(c, '/')[3]), lambda f: f <> ''), ',') AS missing FROM banded""")
+def decision_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All decisions with their stage, counted reasons and missing fields."""
+    rows = K.decisions(decided(spark, sf_dir))
+    size = lambda c: F.size(c).cast("long").alias(c.removesuffix("_reasons"))
+    return rows.select("applicant_id", "course_id", "status", "stage", size("blocking_reasons"), size("warnings"), F.array_join("missing_fields", ",").alias("missing"))
+
+
+YEARS = f"CASE WHEN duration_min IS NULL THEN '' WHEN duration_min = duration_max THEN concat({SHORT('duration_min')}, ' years') ELSE concat({SHORT('duration_min')}, '-', {SHORT('duration_max')}, ' years') END"
+
+
+@query(f"""{SCORED} SELECT applicant_id, course_id, {YEARS} AS duration, concat('IELTS ', {SHORT('need_overall')}, ' overall, minimum band ', {SHORT('need_band')}) AS ielts_requirement,
+concat('GPA: user ', {SHORT('gpa')}, ' vs required ', {SHORT('gpa_min')}, '. IELTS: user ', {SHORT('overall')}, '/', {SHORT('min_band')}, ' vs required ', {SHORT('need_overall')}, '/', {SHORT('need_band')}) AS reason
+FROM (SELECT *, {RANKED} FROM banded WHERE status = 'ELIGIBLE' AND exclusion IS NULL AND band IS NOT NULL) WHERE rank <= 5""")
+def program_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts of the planned programs; the reason up to its relevance."""
+    planned, _ = K.recommend(applicants(spark, sf_dir), courses(spark, sf_dir))
+    rows = K.program_rows(planned)
+    return rows.select("applicant_id", "course_id", "duration", "ielts_requirement", F.regexp_extract("recommendation_reason", r"^(.*?)\. Relevance: ", 1).alias("reason"))
+
+
+@query()
+def recommend_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole recommendation with the vector arm: courses and distinct queries have the vectors of the table, by number."""
+    vectors = read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    people = applicants(spark, sf_dir)
+    specs = people.select(F.array_join("keywords", "|").alias("spec_id")).distinct().withColumn("query_id", -F.row_number().over(Window.orderBy("spec_id")).cast("long"))
+    asked = specs.join(vectors.withColumn("query_id", -C("vec_id")).select("query_id", "embedding"), "query_id")
+    planned, _ = K.recommend(people, courses(spark, sf_dir), vectors=vectors, queries=asked)
+    return planned.select("applicant_id", "course_id", "band", F.bround("score", 4).alias("score"), F.round("relevance", 6).alias("relevance"), "rank")
+
+
 @query(f"{SCORED} SELECT applicant_id, count(*) AS candidates, count_if(status = 'ELIGIBLE' AND exclusion IS NULL) AS planned, count_if(coalesce(band, '') = 'MATCH') AS match, count_if(coalesce(band, '') = 'SAFETY') AS safety FROM banded GROUP BY 1")
 def response_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     planned = F.count_if((C("status") == "ELIGIBLE") & C("exclusion").isNull())

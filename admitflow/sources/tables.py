@@ -24,19 +24,22 @@ COURSE = {
     "course_id": "p_partkey",
     "course_name": "concat(" + choice("p_partkey", "'Master of Computer Science'", "'Master of Commerce'", "'Graduate Diploma in Data Science'", "'Master of Professional Accounting'", "'Juris Doctor'", "'Graduate Certificate in Architecture'", "'Doctor of Philosophy'", "'Master of Business Analytics'") + ", ' ', p_name)",
     "cricos": "concat(lpad(CAST(p_partkey % 90000 AS STRING), 6, '0'), 'A')",
-    "duration_text": choice("p_partkey", "'2'", "'3 4'", "'1.5'", "'1 year'", "'2-1'", "''", "'1 2 3'"),
+    "duration_text": choice("p_partkey", "'2'", "'3 4'", "'1.5'", "concat(CAST(p_size % 4 + 1 AS STRING), ' years, ', p_name)", "concat(CAST(p_size % 3 + 1 AS STRING), '-', CAST(p_size % 5 + 1 AS STRING))", "''", "'1 2 3'"),
     "intake_text": choice("p_size", "'Feb/Aug'", "'Mar/July'", "'Jan, Mar'", "'S9'", "''", "'October / Feb'"),
-    "english_text": choice("p_partkey", "'6.5 (6.0)'", "'7.5 (7.0 R/W; 8.0 L/S)'", "'7.0'", "''", "'6.0 (see notes 5.5)'", "'IELTS not listed'"),
+    "english_text": choice("p_partkey", "concat(CAST(p_size % 3 + 5 AS STRING), '.5 (', CAST(p_size % 2 + 5 AS STRING), '.0)')", "'7.5 (7.0 R/W; 8.0 L/S)'", "'7.0'", "''", "'6.0 (see notes 5.5)'", "'IELTS not listed'"),
     "academic_text": choice(
         "p_partkey",
-        "'A bachelor''s degree in a related discipline with a credit average. Prerequisite mathematics.'",
+        "concat('A bachelor''s degree in ', p_name, ' or a related discipline with a credit average (', CAST(p_size + 40 AS STRING), ' percent). Prerequisite mathematics.')",
         "'A graduate certificate pathway is available. Limited places apply.'",
         "''",
         "'Any bachelor degree or 2 years of work experience with an honours degree. A portfolio and CV are needed.'",
-        "'Background in statistics and programming required. Applications close in May.'",
+        "concat('Background in statistics and programming required.  Applications close on ', CAST(p_size % 28 + 1 AS STRING), ' May. Requirements for award: ', CAST(p_size AS STRING), ' credit points.')",
     ),
     "tests_text": choice("p_size", "'IELTS Academic overall 6.5 with no band below 6.0. PTE Academic 61.'", "'TOEFL iBT 90 or IELTS 7'", "'Cambridge C1 Advanced 185, Cambridge C2 Proficiency 190'", "'No test.'"),
     "campus": choice("p_size", "'Camperdown'", "'Mixed campus'", "''"),
+    "faculty": choice("(p_size + p_partkey)", "'Faculty of Engineering'", "'Business School'", "''", "'Faculty of Science'"),
+    "school": choice("(p_size + 2 * p_partkey)", "'School of Computer Science'", "''", "'Law School'"),
+    "study_mode": choice("(p_size + 1)", "'On campus'", "'Online, part time'", "'On campus or online'", "''"),
     "fee": "CASE WHEN p_partkey % 11 = 0 THEN NULL ELSE p_retailprice * 40 END",
 }
 APPLICANT = {
@@ -53,7 +56,10 @@ APPLICANT = {
     "want_min": "CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE CAST(1 AS DOUBLE) END",
     "want_max": "CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE CAST(2 AS DOUBLE) END",
     "want_degree": choice("c_custkey", "''", "'master'", "'graduate'"),
-    "want_campus": choice("c_nationkey", "''", "'camperdown'", "''", "''"),
+    "want_campus": choice("c_nationkey", "''", "'camperdown'", "''", "'city, mixed'"),
+    "want_faculty": choice("c_custkey", "''", "'engineering'", "''", "''", "'science'", "''", "''"),
+    "want_school": choice("c_nationkey", "''", "''", "''", "'law'", "''"),
+    "want_mode": choice("(c_custkey + c_nationkey)", "''", "''", "'evening, On Campus'", "''", "'online'"),
     "accepts_pathway": "c_custkey % 2 = 0",
 }
 
@@ -87,14 +93,35 @@ def load_seeds(rows: DataFrame, required: dict[str, str], numbers: tuple[str, ..
     return rows.select(*rest, *(cell(*x) for x in required.items())).where((F.col(name) != "") & (F.col(code) != ""))
 
 
+def clean_course_name(raw: Column) -> Column:
+    """struct<name, raw, error>: the trimmed name beside the given one; an empty name is an error."""
+    name = F.trim(F.coalesce(raw, F.lit("")))
+    return F.struct(name.alias("name"), raw.alias("raw"), F.when(name == "", "empty_course_name").alias("error"))
+
+
 def page_texts(pages: DataFrame) -> DataFrame:
     from admitflow.functions.text import canonical_url, strip_html
 
     return pages.select("page_id", canonical_url(F.col("url")).alias("url"), strip_html(F.col("html")).alias("text"))
 
 
-def append_dead_letters(letters: DataFrame, path: str, kind: str = "json") -> None:
+def by_position(rows: DataFrame, names: dict[str, str], within: int = 7) -> DataFrame:
+    """Columns whose header (trimmed, any case) is a key of ``names`` among the first ``within``, renamed; a missing one is an error."""
+    place = {c.strip().lower(): c for c in reversed(rows.columns[:within])}
+    if missing := [h for h in names if h.lower() not in place]:
+        raise ValueError(f"columns are missing: {', '.join(missing)}")
+    return rows.select(*(F.col(f"`{place[h.lower()]}`").alias(n) for h, n in names.items()), *(F.col(c) for c in rows.columns[within:]))
+
+
+def with_lineage(rows: DataFrame, sheet: str = "") -> DataFrame:
+    """Rows read from files, with source_file_name, source_sheet_name and source_row_number (from 0, within the file; Parquet only)."""
+    return rows.select("*", F.col("_metadata.file_name").alias("source_file_name"), F.lit(sheet).alias("source_sheet_name"), F.col("_metadata.row_index").alias("source_row_number"))
+
+
+def append_dead_letters(letters: DataFrame, path: str, kind: str = "json", created_at: Column | None = None) -> None:
+    """Appends to a folder of JSON lines or Parquet; ``created_at`` stamps the rows."""
+    letters = letters if created_at is None else letters.withColumn("created_at", created_at)
     letters.write.mode("append").format(kind).save(path)
 
 
-__all__ = ["APPLICANT", "COURSE", "append_dead_letters", "choice", "collapse", "load_seeds", "page_texts", "raw_applicants", "raw_courses", "select_list"]
+__all__ = ["APPLICANT", "COURSE", "append_dead_letters", "by_position", "choice", "clean_course_name", "collapse", "load_seeds", "page_texts", "raw_applicants", "raw_courses", "select_list", "with_lineage"]

@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from admitflow.functions import pages as P
 from admitflow.functions import text as T
 from admitflow.operators import rules as G
 from admitflow.plans import recommend as K
@@ -56,7 +57,8 @@ def test_small_text(spark):
     assert one(spark, "a" * 200 + " needle " + "b" * 300, lambda c: T.snippet(c, F.array(F.lit("NEEDLE")))).index("needle") == 80
     assert one(spark, "The Art & Design (the) School", T.match_key) == "art and design school"
     assert one(spark, "x", lambda c: T.dedupe_folded(F.array(F.lit("Cv"), F.lit("CV"), F.lit("b")), 2)) == ["Cv", "b"]
-    assert one(spark, "short|a bachelor degree. English requirements: x", lambda c: T.best_text(F.split(c, r"\|"))) == "a bachelor degree."
+    assert one(spark, "short|a bachelor degree. English requirements: x|For academic requirements check the page of the bachelor degree", lambda c: P.best_text(F.split(c, r"\|"))) == "a bachelor degree."
+    assert one(spark, "abc|xyz", lambda c: P.best_text(F.split(c, r"\|"))) == "abc"
 
 
 @pytest.mark.parametrize(
@@ -64,7 +66,7 @@ def test_small_text(spark):
     [("211", "", 75), ("双非", "", 80), ("985", "Master of Computer Science", 75), ("其他国内院校", "Master of Computer Science", 80), ("C9", "Master of Commerce", 65), ("211", "Master of Professional Accounting", 75), ("双非", "Master of Commerce", 87), ("非211", "x", 80), ("Tier-1", "Master of Commerce", 65)],
 )
 def test_minimum_average(spark, background, course, mark):
-    assert one(spark, background, lambda c: G.minimum_average(G.background_category(c), F.lit(course))) == mark
+    assert one(spark, background, lambda c: G.minimum_average(G.background_category(c), F.lit(any(x in course.lower() for x in G.BUSINESS_CORE)))) == mark
 
 
 def test_expand(spark):
@@ -83,7 +85,7 @@ BASE = {
     "keywords": ["computer science"], "gpa": 82.0, "overall": 7.0, "min_band": 6.5, "user_listening": 6.5, "user_reading": 6.5, "user_speaking": 6.5, "user_writing": 6.5, "background": "双非",
     "subjects_text": "Computer Science, Programming, Statistics", "want_intakes": ["FEB"], "budget_min": 0.0, "budget_max": 70000.0, "want_min": 1.0, "want_max": 2.0, "want_degree": "", "want_campus": "",
     "accepts_pathway": False, "course_name": "Master of Computer Science", "academic_text": "A bachelor's degree in a related discipline.", "reason": "Keyword matched", "need_overall": 6.5, "need_band": 6.0,
-    "listening": 6.0, "reading": 6.0, "speaking": 6.0, "writing": 6.0, "intakes": ["FEB"], "fee": 56000.0, "duration_min": 1.5, "duration_max": 1.5, "degree": "Master", "campus": "", "relevance": 0.6,
+    "listening": 6.0, "reading": 6.0, "speaking": 6.0, "writing": 6.0, "intakes": ["FEB"], "fee": 56000.0, "duration_min": 1.5, "duration_max": 1.5, "degree": "Master", "campus": "", "relevance": 0.6, "target": "计算机", "english_text": "6.5 (6.0)", "want_faculty": "", "want_school": "", "want_mode": "", "faculty": "", "school": "", "study_mode": "",
 }
 SCHEMA = ", ".join(f"{k} {'array<string>' if isinstance(v, list) else 'boolean' if isinstance(v, bool) else 'double' if isinstance(v, float) else 'string'}" for k, v in BASE.items())
 
@@ -105,6 +107,11 @@ SCHEMA = ", ".join(f"{k} {'array<string>' if isinstance(v, list) else 'boolean'
         ({"gpa": None}, "UNKNOWN", "user_gpa"),
         ({"want_degree": "phd"}, "INELIGIBLE", None),
         ({"want_campus": "city"}, "UNKNOWN", "campus"),
+        ({"want_campus": "city, north", "campus": "North campus"}, "ELIGIBLE", None),
+        ({"want_faculty": "law", "faculty": "Faculty of Arts"}, "INELIGIBLE", None),
+        ({"want_school": "law"}, "UNKNOWN", "school"),
+        ({"want_mode": "online", "study_mode": "Online, part time"}, "ELIGIBLE", None),
+        ({"want_mode": "online", "study_mode": "On campus"}, "INELIGIBLE", None),
     ],
 )
 def test_gate(spark, change, status, missing):
@@ -121,3 +128,49 @@ def test_scores_and_exclusions(spark):
     assert row(relevance=0.01).exclusion == "low_relevance"
     assert row(need_overall=None).exclusion == "scoring_failed"
     assert row(fee=90000.0).exclusion == "tuition_outside_budget"
+
+
+@pytest.mark.parametrize(
+    ("change", "kind", "text"),
+    [
+        ({"gpa": 70.0}, "blocking_reasons", "GPA is below"),
+        ({"overall": 6.0}, "blocking_reasons", "IELTS is below: overall 6 < 6.5"),
+        ({"writing": 7.0}, "blocking_reasons", "writing 6.5 < 7"),
+        ({"want_intakes": ["JUL"]}, "blocking_reasons", "intake"),
+        ({"subjects_text": "History", "academic_text": "prerequisite mathematics"}, "warnings", "prerequisite can't be confirmed for: mathematics"),
+        ({"gpa": 70.0, "accepts_pathway": True, "academic_text": "Other. A graduate certificate pathway is offered. End."}, "warnings", "A graduate certificate pathway is offered."),
+    ],
+)
+def test_reasons(spark, change, kind, text):
+    row = spark.createDataFrame([(1, 2, *(BASE | change).values())], f"applicant_id int, course_id int, {SCHEMA}")
+    got = K.decisions(K.judged(row)).first()
+    assert any(text in r for r in got[kind]) and len(got.checks) == 14 and got.summary
+    rows = G.checklist(K.judged(row), "course_id").collect()
+    assert [r.place for r in rows] == list(range(1, 15)) and all(r.reason for r in rows) and rows[0].evidence_text
+
+
+def test_deadline_and_programs(spark):
+    assert one(spark, "First. Applications close on 5 May for all. Then", G.deadline_text) == "Applications close on 5 May for all"
+    assert one(spark, "Nothing", G.deadline_text) == ""
+    row = spark.createDataFrame([(1, 2, 1, [], *BASE.values())], f"applicant_id int, course_id int, rank int, evidence array<struct<text:string,source_url:string,source:string>>, {SCHEMA}")
+    got = K.program_rows(K.judged(row)).first()
+    assert got.duration == "1.5 years" and got.ielts_requirement == "IELTS 6.5 overall, minimum band 6" and got.evidence[0].source == "requirement_summary"
+    assert got.recommendation_reason.startswith("GPA: user 82 vs required 80. IELTS: user 7/6.5 vs required 6.5/6. Relevance: Keyword matched. Evidence: A bachelor's degree")
+
+
+def test_application_text(spark):
+    details = one(spark, "Limited places apply. Please submit a portfolio and CV.", T.application_details)
+    assert details.limited_places
+    text = one(spark, "Limited places apply. Please submit a portfolio and CV.", lambda c: P.application_index_text(c, T.application_details(c)))
+    assert "Required documents: Portfolio; CV" in text and "Portfolio required" in text and "Limited places" in text and "Selection notes: Limited places apply." in text
+
+
+def test_structured_requirements(spark):
+    core = '{"attributes":{"entryRequirements":{"entryRequirementsByYear":[{"entryRequirements":[{"codeDesc":"IELTS","description":"A minimum result of 6.5 overall and a minimum result of 6.0 in each band"},{"codeDesc":"TOEFL","description":"85: 17, 18"},{"codeDesc":"Other","description":"1"}]},{"entryRequirements":[]}]}}}'
+    tests = one(spark, core, lambda c: P.structured_tests(F.from_json(c, P.COREDATA)))
+    assert [(t.test_name, t.overall, t.component_scores) for t in tests] == [
+        ("IELTS Academic", "6.5", {"listening": "6.0", "reading": "6.0", "speaking": "6.0", "writing": "6.0"}),
+        ("TOEFL iBT", "85", {"reading": "17", "listening": "18"}),
+    ]
+    for none in (None, "{}", '{"attributes":{"entryRequirements":{"entryRequirementsByYear":[]}}}'):
+        assert one(spark, none, lambda c: P.structured_tests(F.from_json(c, P.COREDATA))) == []

@@ -1,8 +1,14 @@
+import random
+from difflib import SequenceMatcher
+from pathlib import Path
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from admitflow.operators import browse as B
 from admitflow.operators import index as I
+from admitflow.operators import link as L
 from admitflow.operators import maintain as M
 from admitflow.operators import retrieve as R
 from admitflow.session import read
@@ -12,7 +18,7 @@ from admitflow.sources import tables as S
 def test_row_hash_sees_every_value(spark):
     rows = spark.createDataFrame([("a", 12), ("a", 12), ("a", 13), (None, 12), ("", 12)], "name string, n int")
     h = [r.h for r in rows.select(M.row_hash(["n", "name"]).alias("h")).collect()]
-    assert h[0] == h[1] != h[2] and h[3] == h[4] != h[0]
+    assert h[0] == h[1] != h[2] and h[3] != h[4] != h[0]
 
 
 def test_versions_are_idempotent(spark):
@@ -49,14 +55,102 @@ def test_seed_load(spark):
         S.load_seeds(rows, names | {"Fee": "fee"})
 
 
+def pieces(text, size, overlap):
+    return [text[a:b] for a, b in I.chunk_spans(text, size, overlap)]
+
+
 def test_sentence_packing():
     text = " ".join(f"Sentence {n} has useful admission detail." for n in range(80))
-    chunks = I.pack_sentences(text, 180, 30)
+    chunks = pieces(text, 180, 30)
     assert len(chunks) > 1 and all(len(c) <= 180 for c in chunks)
     assert all(f"Sentence {n} " in " ".join(chunks) for n in range(80))
-    assert I.pack_sentences("word " * 500, 100, 20)[0] == ("word " * 20).strip()
-    assert all(len(c) <= 100 for c in I.pack_sentences("word " * 500 + "x" * 300, 100, 20))
-    assert I.pack_sentences(None) == I.pack_sentences("  ") == []
+    assert all(c.endswith("detail.") and b.split("detail.")[0] + "detail." in c for c, b in zip(chunks, chunks[1:], strict=False))
+    assert pieces("word " * 499 + "word", 100, 20)[0] == ("word " * 20).strip()
+    assert pieces("One two. Three four. Five six.", 20, 0) == ["One two. Three four.", "Five six."]
+    assert pieces("", 100, 20) == [] and pieces("short", 100, 20) == ["short"]
+
+
+def test_chunks_are_slices_that_cover_the_text():
+    rng = random.Random(3)
+    for _ in range(300):
+        text = " ".join(rng.choice(["Ab", "cd.", "E", "ffffffffff", "g!", "x" * rng.randrange(1, 40)]) for _ in range(rng.randrange(1, 90)))
+        for size, overlap in ((50, 10), (30, 29), (20, 0)):
+            spans = I.chunk_spans(text, size, overlap)
+            assert all(0 < b - a <= size for a, b in spans) and spans[-1][1] == len(text) and spans[0][0] == 0
+            for (_, b), (a, _) in zip(spans, spans[1:], strict=False):
+                assert b - overlap <= a <= b + 1 and not text[b:a].strip()
+
+
+def test_flat_metadata(spark):
+    row = spark.createDataFrame([("a \"q\"", 2, None, [1, 2], True)], "s string, n int, none string, l array<int>, b boolean")
+    flat = row.select(I.flat_metadata({c: F.col(c) for c in row.columns}).alias("m")).first().m
+    assert flat == {"s": 'a "q"', "n": "2", "l": "[1,2]", "b": "true"}
+
+
+def test_any_embedder(spark):
+    rows = spark.createDataFrame([(k, "x" * k) for k in range(150)], "id long, text string")
+    got = {r.id: list(r.embedding) for r in I.embed(rows, "id", "text", lambda texts: np.array([[len(t), 1] for t in texts])).collect()}
+    assert all(got[k] == [k, 1] for k in range(150))
+    with pytest.raises(Exception, match="texts, but vectors"):
+        I.embed(rows, "id", "text", lambda texts: np.zeros((1, 2))).collect()
+
+
+def test_keywords_in_blocks(spark):
+    rows = spark.createDataFrame([(k, f"name {k % 3}", f"text w{k} common") for k in range(40)], "id long, name string, body string")
+    specs = spark.createDataFrame([(f"s{k}", [f"W{k}", "nothing"]) for k in range(40)] + [("all", ["COMMON"]), ("two", ["w1 ", "name 1"])], "spec_id string, keywords array<string>")
+    got = {}
+    for block in (4096, 7):
+        hits = R.keyword_top(rows, specs, {"title": "name", "text": "body"}, "name", "id", 5, weights={"title": 0.55, "text": 0.25}, block=block).collect()
+        got[block] = sorted((r.spec_id, r.id, r.keyword_score, tuple(r.hit_fields)) for r in hits)
+    assert got[4096] == got[7]
+    assert [x for x in got[7] if x[0] == "s5"] == [("s5", 5, 0.25, ("text",))]
+    assert [x[1] for x in got[7] if x[0] == "all"] == [0, 3, 6, 9, 12]
+    assert (("two", 1, 0.8, ("title", "text"))) in got[7]
+
+
+def test_merge_tells_reasons_and_evidence(spark):
+    snippet = "array<struct<text:string,source_url:string,source:string>>"
+    k = spark.createDataFrame([(1, 10, 0.6, "Keyword", [("A text", "u", "name")])], f"q int, c int, keyword_score double, reason string, evidence {snippet}")
+    v = spark.createDataFrame([(1, 10, 0.5, "second", [("More", "u", "chunk")]), (1, 10, 0.7, "first", [("a TEXT", "u", "chunk"), ("Other", "u", "chunk")]), (1, 12, 0.9, "only", [("New", "u", "chunk")])], f"q int, c int, vector_score double, reason string, evidence {snippet}")
+    got = {r.c: r for r in R.merge_hits(k, v, ["q", "c"]).collect()}
+    assert got[10].combined_score == 1.45 and got[10].reason == "Keyword; first; second" and [e.text for e in got[10].evidence] == ["A text", "Other", "More"]
+    assert got[12].reason == "only" and got[12].keyword_score == 0
+    assert R.merge_hits(k, None, ["q", "c"]).first().reason == "Keyword"
+
+
+def test_models_are_kept_apart(spark):
+    rows = spark.createDataFrame([(1, "m"), (2, "other")], "id int, model string")
+    assert [r.id for r in R.of_model(rows, "m").collect()] == [1]
+
+
+def test_positions_and_export(spark, tmp_path):
+    rows = spark.createDataFrame([("a", "b", 1, "z")], "` Name ` string, CODE string, Years int, other string")
+    assert S.by_position(rows, {"Code": "cricos", "Name": "course_name", "Years": "duration"}).columns == ["cricos", "course_name", "duration"]
+    with pytest.raises(ValueError, match="Fee"):
+        S.by_position(rows, {"Fee": "fee"})
+    B.export_csv(rows.select("CODE", "Years"), {"CODE": "Code", "Years": "Jahre"}, f"{tmp_path}/out")
+    text = next(Path(f"{tmp_path}/out").glob("part-*.csv")).read_bytes()
+    assert text.startswith(b"\xef\xbb\xbfCode,Jahre")
+    rows.write.parquet(f"{tmp_path}/t")
+    assert S.with_lineage(spark.read.parquet(f"{tmp_path}/t"), "Sheet1").first().source_row_number == 0
+    assert spark.createDataFrame([(" ",), (" x ",)], "n string").select(S.clean_course_name(F.col("n")).alias("c")).select("c.*").collect() == [("", " ", "empty_course_name"), ("x", " x ", None)]
+
+
+def test_best_urls_against_brute_force(spark):
+    rng = random.Random(8)
+    words = ["master", "of", "data", "science", "art", "history", "law", "physics", "design", "research"]
+    names = [" ".join(rng.sample(words, 3)).title() for _ in range(60)]
+    urls = [f"https://x/courses/courses/{rng.choice(['pc', 'pr'])}/{'-'.join(n.lower().split())[: rng.choice([-1, None])]}.html" for n in rng.sample(names, 40)]
+    got = {r.name: (r.url, r.score) for r in L.best_urls(spark.createDataFrame([(n,) for n in names], "name string"), spark.createDataFrame([(u,) for u in urls], "url string")).collect()}
+    for n in set(names):
+        research = "research" in n.lower()
+        scored = []
+        for u in set(urls):
+            slug = u.rsplit("/", 1)[1].removesuffix(".html").replace("-", " ")
+            score = SequenceMatcher(None, n.lower(), slug).ratio() + 0.08 * len(set(n.lower().split()) & set(slug.split()))
+            scored.append((-round(score + (0.25 if research and "/pr/" in u else 0.05 if not research and "/pc/" in u else 0), 6), u))
+        best = min(scored)
+        assert (got[n] == (best[1], -best[0])) if -best[0] >= 0.72 else n not in got
 
 
 def test_currency(spark):
@@ -65,12 +159,12 @@ def test_currency(spark):
     assert {r.req: r.current for r in I.is_current(chunks, index, "req", "m").collect()} == {"r1": True, "r2": False, "r3": False}
 
 
-def test_cosine_blocks_agree_and_lsh_recall(spark, sf_dir):
+def test_cosine_blocks_agree_and_cluster_recall(spark, sf_dir):
     vectors = read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     queries = vectors.where("vec_id % 10 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
     exact = {(r.query_id, r.vec_id) for r in R.cosine_top(vectors, queries).collect()}
     assert exact == {(r.query_id, r.vec_id) for r in R.cosine_top(vectors, queries, block=2).collect()}
-    near = {(r.query_id, r.vec_id) for r in R.cosine_lsh(vectors, queries).collect()}
+    near = {(r.query_id, r.vec_id) for r in R.cosine_clusters(vectors, queries).collect()}
     assert len(near & exact) >= 0.9 * len(exact)
     data = {r.vec_id: np.array(r.embedding) for r in vectors.collect()}
     for q in sorted(i for i in data if i % 10 == 0)[:5]:
@@ -89,5 +183,5 @@ def test_hybrid(spark):
 
 def test_embedder_is_deterministic_and_unit(spark):
     rows = spark.createDataFrame([(1, "a b c"), (2, "c b a"), (3, None)], "id long, text string")
-    got = {r.id: np.array(r.embedding) for r in I.embed_bag(rows, "id", "text").collect()}
+    got = {r.id: np.array(r.embedding) for r in I.embed(rows, "id", "text").collect()}
     assert np.allclose(got[1], got[2]) and np.linalg.norm(got[1]) == pytest.approx(1) and not got[3].any()
