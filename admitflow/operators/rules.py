@@ -15,6 +15,8 @@ reading, speaking, writing, intakes, fee, duration_min/max, degree, faculty, sch
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -82,7 +84,15 @@ def requirement_summary(text: Column, gpa_min: Column, overall: Column, band: Co
 DEADLINES = (r"[^.]{0,80}(?:deadline|closing date|applications close|apply by)[^.]{0,100}", r"[^.]{0,80}(?:rolling basis)[^.]{0,80}")
 
 
+DEADLINE_WORDS = ("deadline", "closing date", "applications close", "apply by", "rolling basis")
+
+
 def deadline_text(text: Column) -> Column:
+    """The first phrase on a deadline; empty without one."""
+    return F.when(~contains_any(F.lower(text), DEADLINE_WORDS), "").otherwise(deadline_phrase(text))
+
+
+def deadline_phrase(text: Column) -> Column:
     return F.coalesce(*(blank_to_null(trimmed(F.regexp_extract(text, f"(?i){p}", 0))) for p in DEADLINES), F.lit(""))
 
 
@@ -145,17 +155,34 @@ def with_facts(rows: DataFrame, facts: dict[str, Column]) -> DataFrame:
 CHECK = "struct<name:string,status:string,effect:string,user_value:string,required_value:string,reason:string,missing:string>"
 
 
-def check(name: str, user: Column, required: Column, *cases: tuple) -> Column:
-    """The first case that holds, as a check. A case: condition, status, effect, missing field, reason (text or column); the last one has the condition None. A null condition doesn't hold."""
+@dataclass(frozen=True)
+class Check:
+    """A check by its cases, of which the first that holds counts: (condition, status, effect, missing field, reason as text or column). The last has the condition None; a null condition doesn't hold."""
+
+    name: str
+    user: Column
+    required: Column
+    cases: tuple
+
+    def _first(self, made: Callable[..., Column]) -> Column:
+        return reduce(lambda out, c: F.when(c[0], made(*c[1:])).otherwise(out), reversed(self.cases[:-1]), made(*self.cases[-1][1:]))
+
+    def effect(self) -> Column:
+        return self._first(lambda status, effect, missing, reason: F.lit(effect))
+
+    def told(self) -> Column:
+        def made(status: str, effect: str, missing: str | None, reason: str | Column) -> Column:
+            text = F.lit(reason) if isinstance(reason, str) else reason
+            return F.struct(
+                F.lit(self.name).alias("name"), F.lit(status).alias("status"), F.lit(effect).alias("effect"), self.user.cast("string").alias("user_value"),
+                self.required.cast("string").alias("required_value"), text.alias("reason"), F.lit(missing).cast("string").alias("missing"),
+            ).cast(CHECK)
 
-    def made(status: str, effect: str, missing: str | None, reason: str | Column) -> Column:
-        text = F.lit(reason) if isinstance(reason, str) else reason
-        return F.struct(
-            F.lit(name).alias("name"), F.lit(status).alias("status"), F.lit(effect).alias("effect"), user.cast("string").alias("user_value"),
-            required.cast("string").alias("required_value"), text.alias("reason"), F.lit(missing).cast("string").alias("missing"),
-        ).cast(CHECK)
+        return self._first(made)
 
-    return reduce(lambda out, c: F.when(c[0], made(*c[1:])).otherwise(out), reversed(cases[:-1]), made(*cases[-1][1:]))
+
+def check(name: str, user: Column, required: Column, *cases: tuple) -> Check:
+    return Check(name, user, required, cases)
 
 
 def short(number: Column) -> Column:
@@ -168,7 +195,7 @@ def number_range(low: Column, high: Column, unit: str = "") -> Column:
     return F.when(low.isNull() & high.isNull(), "").otherwise(F.concat(text, F.lit(unit)))
 
 
-def preference(name: str, wanted: str, value: str) -> Column:
+def preference(name: str, wanted: str, value: str) -> Check:
     """A wish is met if the value contains one of its comma-separated parts."""
     wishes = F.filter(F.transform(F.split(F.lower(filled(F.col(wanted))), ","), lambda w: F.trim(w)), lambda w: w != "")
     have = F.lower(filled(F.col(value)))
@@ -192,8 +219,8 @@ def language_failures() -> Column:
     return F.array_compact(F.array(failed("overall", c("overall"), c("need_overall")), *parts))
 
 
-def gate_checks() -> Column:
-    """array of the 14 checks in their fixed order; rows need :func:`course_facts`, :func:`applicant_facts` and ``major_words``."""
+def gate() -> tuple[Check, ...]:
+    """The 14 checks in their fixed order; rows need :func:`course_facts`, :func:`applicant_facts` and ``major_words``."""
     c, none = F.col, F.lit(None).cast("string")
     listed = lambda a: F.array_join(F.coalesce(a, F.array().cast("array<string>")), ", ")
     empty = lambda a: F.size(F.coalesce(c(a), F.array().cast("array<string>"))) == 0
@@ -201,7 +228,7 @@ def gate_checks() -> Column:
     way, accepts, unmatched = c("pathway_open"), c("accepts_pathway"), F.array_except("named_subjects", "own_subjects")
     failures = language_failures()
     bands = lambda overall, band: F.concat(short(c(overall)), F.lit(" overall, "), short(c(band)), F.lit(" in each part"))
-    return F.array(
+    return (
         check(
             "major_area", c("target"), c("course_name"),
             (F.size("major_words") > 0, "pass", "-", None, F.concat(F.lit("The direction is found by: "), listed(c("major_words")), F.lit("."))),
@@ -260,9 +287,19 @@ def gate_checks() -> Column:
     )
 
 
-def decide(checks: Column) -> Column:
+def gate_checks() -> Column:
+    """array of the checks with their values and reasons."""
+    return F.array(*(c.told() for c in gate()))
+
+
+def gate_effects() -> Column:
+    """The effects alone, in the same order: all that a decision needs."""
+    return F.array(*(c.effect() for c in gate()))
+
+
+def decide(effects: Column) -> Column:
     """The effects decide in this order: blocking, pathway, unknown, warning."""
-    has = lambda e: F.exists(checks, lambda c: c["effect"] == e)
+    has = lambda e: F.array_contains(effects, e)
     return F.when(has("B"), "INELIGIBLE").when(has("P"), "PATHWAY_REQUIRED").when(has("U"), "UNKNOWN").when(has("W"), "HIGH_RISK").otherwise("ELIGIBLE")
 
 

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from admitflow.functions.text import mapped
 from admitflow.operators.browse import range_contains, ranges_overlap
 from admitflow.operators.retrieve import cosine_top, keyword_evidence, keyword_top, match_reason, merge_hits
-from admitflow.operators.rules import PARTS, applicant_facts, course_facts, decide, gate_checks, major_words, minimum_average, missing_fields, reasons, requirement_summary, short, strictest_band, summary, with_facts
+from admitflow.operators.rules import PARTS, applicant_facts, course_facts, decide, gate_checks, gate_effects, major_words, minimum_average, missing_fields, reasons, requirement_summary, short, strictest_band, summary, with_facts
+from admitflow.session import cut
 
 #: Weights, band limits and what a plan takes.
 AVERAGE_WEIGHT, LANGUAGE_WEIGHT, REACH_BELOW, MATCH_TO, LEAST_RELEVANCE, PER_BAND = 0.7, 0.3, 0.95, 1.1, 0.05, 5
@@ -103,6 +104,8 @@ def plan(scored: DataFrame, applicant: str, course: str, n: int = PER_BAND) -> D
 
 
 FIELDS = {"course_name": "course_name", "cricos": "cricos", "academic_requirement_text": "academic_text", "raw_english_requirement": "english_text"}
+#: Hits of all queries that are broadcast to the applicants at most; more are joined by shuffling.
+MAX_BROADCAST_ROWS = 100_000
 #: Course columns that a pair is judged by; texts stay behind.
 JUDGED = ("course_id", "course_name", "fee", "intakes", "degree", "faculty", "school", "campus", "study_mode", "duration_min", "duration_max", "need_overall", "need_band", *PARTS)
 
@@ -128,21 +131,25 @@ def candidates(applicants: DataFrame, courses: DataFrame, k: int = 30, vectors:
         told = hits.select("spec_id", "course_id", "hit_fields", reason.alias("said"))
         by_vector = F.when(F.col("vector_score") > 0, F.concat(F.lit("Semantic similarity "), F.format_number("vector_score", 3)))
         found = merged.join(told, ["spec_id", "course_id"], "left").select("spec_id", "course_id", F.col("combined_score").alias("relevance"), F.concat_ws("; ", "said", by_vector).alias("reason"), "hit_fields", "degraded")
-    facts = with_facts(courses, course_facts())
-    known = facts.select(*JUDGED, *course_facts(), "academic_text", "english_text")
-    rows = found.join(known, "course_id").join(specs, "spec_id").withColumnRenamed("spec_words", "keywords")
+    found = cut(found)  # a bounded number of rows a query; the search behind it is the dear part and is used twice below
+    few = F.broadcast if specs.count() * max(k, n) <= MAX_BROADCAST_ROWS else lambda x: x
+    wanted = courses.join(few(found.select("course_id").distinct()), "course_id", "left_semi")  # texts are searched for facts only where a query has found them
+    known = with_facts(wanted, course_facts()).select(*JUDGED, *course_facts(), "academic_text", "english_text")
+    rows = known.join(few(found), "course_id").join(specs, "spec_id").withColumnRenamed("spec_words", "keywords")
     evidence = keyword_evidence(F.coalesce("hit_fields", F.array().cast("array<string>")), F.col("keywords"), {k: v for k, v in FIELDS.items() if v != "cricos"})
     rows = rows.withColumns({"major_words": major_words(), "evidence": evidence}).drop("keywords", "academic_text", "english_text")
-    return asked.join(rows, "spec_id").drop("spec_id")
+    # every applicant becomes k pairs: dealt by applicant first, the pairs are judged and ranked where they arise, without a shuffle of their own
+    dealt = asked.repartition(int(asked.sparkSession.conf.get("spark.sql.shuffle.partitions")), "applicant_id")
+    return dealt.join(few(rows), "spec_id").drop("spec_id")
 
 
-def judged(pairs: DataFrame) -> DataFrame:
-    """Pairs with thresholds, checks, status, score, band and exclusion."""
+def judged(pairs: DataFrame, tell: bool = True) -> DataFrame:
+    """Pairs with thresholds, status, score, band and exclusion, and with ``tell`` the checks with their values and reasons."""
     if "has_text" not in pairs.columns:  # pairs made elsewhere, with their texts
         pairs = with_facts(pairs, course_facts() | applicant_facts() | {"major_words": major_words()})
     out = pairs.withColumn("gpa_min", minimum_average(F.col("category"), F.col("business_core")))
-    out = out.withColumn("need_band", strictest_band(F.col("need_band"), *map(F.col, PARTS))).withColumn("checks", gate_checks())
-    out = out.withColumn("status", decide(F.col("checks"))).withColumn("parts", score_parts(F.col("gpa"), F.col("gpa_min"), F.col("overall"), F.col("need_overall")))
+    out = out.withColumn("need_band", strictest_band(F.col("need_band"), *map(F.col, PARTS))).withColumns({"effects": gate_effects()} | ({"checks": gate_checks()} if tell else {}))
+    out = out.withColumn("status", decide(F.col("effects"))).withColumn("parts", score_parts(F.col("gpa"), F.col("gpa_min"), F.col("overall"), F.col("need_overall")))
     out = out.withColumn("score", F.col("parts.score")).withColumn("band", band_of(F.col("score")))
     return out.withColumn("exclusion", F.when(F.col("score").isNull(), "scoring_failed").otherwise(plan_exclusion()))
 
@@ -175,7 +182,7 @@ def program_rows(planned: DataFrame) -> DataFrame:
     )
 
 
-def recommend(applicants: DataFrame, courses: DataFrame, n: int = PER_BAND, k: int = 30, vectors: DataFrame | None = None, queries: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(plan of the eligible, all decisions with stage and reasons)."""
-    decided = judged(candidates(applicants, courses, k, vectors, queries))
-    return plan(decided.where("status = 'ELIGIBLE'"), "applicant_id", "course_id", n), decisions(decided)
+def recommend(applicants: DataFrame, courses: DataFrame, n: int = PER_BAND, k: int = 30, vectors: DataFrame | None = None, queries: DataFrame | None = None, tell: bool = True) -> tuple[DataFrame, DataFrame | None]:
+    """(plan of the eligible, all decisions with stage and reasons, if asked to tell them)."""
+    pairs = candidates(applicants, courses, k, vectors, queries)
+    return plan(judged(pairs, tell=False).where("status = 'ELIGIBLE'"), "applicant_id", "course_id", n), decisions(judged(pairs)) if tell else None

@@ -816,14 +816,14 @@ GATE = {
 CHECKED = f"{PAIRS}, checked AS (SELECT *, concat_ws('|', {', '.join(GATE.values())}) AS checks FROM ready), decided AS (SELECT *, CASE WHEN contains(checks, '/B/') THEN 'INELIGIBLE' WHEN contains(checks, '/P/') THEN 'PATHWAY_REQUIRED' WHEN contains(checks, '/U/') THEN 'UNKNOWN' WHEN contains(checks, '/W/') THEN 'HIGH_RISK' ELSE 'ELIGIBLE' END AS status FROM checked)"
 
 
-def decided(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return K.judged(K.candidates(applicants(spark, sf_dir), courses(spark, sf_dir)))
+def decided(spark: SparkSession, sf_dir: str, tell: bool = False) -> DataFrame:
+    return K.judged(K.candidates(applicants(spark, sf_dir), courses(spark, sf_dir)), tell)
 
 
 @query(f"{CHECKED} SELECT applicant_id, course_id, checks FROM decided")
 def gate_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     written = F.transform("checks", lambda c: F.concat_ws("/", c["status"], c["effect"], F.coalesce(c["missing"], F.lit(""))))
-    return decided(spark, sf_dir).select("applicant_id", "course_id", joined(written).alias("checks"))
+    return decided(spark, sf_dir, tell=True).select("applicant_id", "course_id", joined(written).alias("checks"))
 
 
 @query(f"{CHECKED} SELECT applicant_id, course_id, status FROM decided")
@@ -842,13 +842,13 @@ def gate_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"{CHECKED} SELECT applicant_id, course_id, field FROM (SELECT applicant_id, course_id, unnest(list_transform(string_split(checks, '|'), lambda c: string_split(c, '/')[3])) AS field FROM decided) WHERE field <> ''")
 def gate_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The checklist as rows: what is missing for a decision."""
-    return decided(spark, sf_dir).select("applicant_id", "course_id", F.explode(G.missing_fields(C("checks"))).alias("field"))
+    return decided(spark, sf_dir, tell=True).select("applicant_id", "course_id", F.explode(G.missing_fields(C("checks"))).alias("field"))
 
 
 @query(f"{CHECKED} SELECT applicant_id, course_id, CAST(place AS INTEGER) AS place, string_split(c, '/')[1] AS status, string_split(c, '/')[2] AS effect FROM (SELECT applicant_id, course_id, unnest(string_split(checks, '|')) AS c, unnest(range(1, 15)) AS place FROM decided)")
 def gate_checklist(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The checks as rows, in their order."""
-    return G.checklist(decided(spark, sf_dir), "applicant_id", "course_id").select("applicant_id", "course_id", "place", "status", "effect")
+    return G.checklist(decided(spark, sf_dir, tell=True), "applicant_id", "course_id").select("applicant_id", "course_id", "place", "status", "effect")
 
 
 RATIO = "0.7::DOUBLE * (gpa / gpa_min) + 0.3::DOUBLE * (overall / need_overall)"
@@ -885,7 +885,7 @@ def plan_topn(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{SCORED} SELECT applicant_id, course_id, band, round_even(score, 4) AS score, {RANKED} FROM banded WHERE status = 'ELIGIBLE' AND exclusion IS NULL AND band IS NOT NULL QUALIFY rank <= 5")
 def recommend_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    plan, _ = K.recommend(applicants(spark, sf_dir), courses(spark, sf_dir))
+    plan, _ = K.recommend(applicants(spark, sf_dir), courses(spark, sf_dir), tell=False)
     return plan.select("applicant_id", "course_id", "band", F.bround("score", 4).alias("score"), "rank")
 
 
@@ -897,7 +897,7 @@ SHORT = lambda x: f"regexp_replace(CAST({x} AS VARCHAR), '\\.0$', '')"  # noqa:
 {COUNTED('B')} AS blocking, {COUNTED('W')} + {COUNTED('P')} AS warnings, array_to_string(list_filter(list_transform(string_split(checks, '|'), lambda c: string_split(c, '/')[3]), lambda f: f <> ''), ',') AS missing FROM banded""")
 def decision_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All decisions with their stage, counted reasons and missing fields."""
-    rows = K.decisions(decided(spark, sf_dir))
+    rows = K.decisions(decided(spark, sf_dir, tell=True))
     size = lambda c: F.size(c).cast("long").alias(c.removesuffix("_reasons"))
     return rows.select("applicant_id", "course_id", "status", "stage", size("blocking_reasons"), size("warnings"), F.array_join("missing_fields", ",").alias("missing"))
 
@@ -910,7 +910,7 @@ concat('GPA: user ', {SHORT('gpa')}, ' vs required ', {SHORT('gpa_min')}, '. IEL
 FROM (SELECT *, {RANKED} FROM banded WHERE status = 'ELIGIBLE' AND exclusion IS NULL AND band IS NOT NULL) WHERE rank <= 5""")
 def program_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The texts of the planned programs; the reason up to its relevance."""
-    planned, _ = K.recommend(applicants(spark, sf_dir), courses(spark, sf_dir))
+    planned, _ = K.recommend(applicants(spark, sf_dir), courses(spark, sf_dir), tell=False)
     rows = K.program_rows(planned)
     return rows.select("applicant_id", "course_id", "duration", "ielts_requirement", F.regexp_extract("recommendation_reason", r"^(.*?)\. Relevance: ", 1).alias("reason"))
 
@@ -922,7 +922,7 @@ def recommend_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
     people = applicants(spark, sf_dir)
     specs = people.select(F.array_join("keywords", "|").alias("spec_id")).distinct().withColumn("query_id", -F.row_number().over(Window.orderBy("spec_id")).cast("long"))
     asked = specs.join(vectors.withColumn("query_id", -C("vec_id")).select("query_id", "embedding"), "query_id")
-    planned, _ = K.recommend(people, courses(spark, sf_dir), vectors=vectors, queries=asked)
+    planned, _ = K.recommend(people, courses(spark, sf_dir), vectors=vectors, queries=asked, tell=False)
     return planned.select("applicant_id", "course_id", "band", F.bround("score", 4).alias("score"), F.round("relevance", 6).alias("relevance"), "rank")
 
 
