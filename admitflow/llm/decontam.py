@@ -10,8 +10,13 @@ within the band. Nothing within the edit budget is missed.
 Both sides are compared in lower case with each white-space character as a
 space, character by character, so that places are those of the given text. The
 budget is ``EDITS`` of an item's length, less for items so short that the bound
-would fall below ``LEAST_SHARED``; items under q + LEAST_SHARED - 1 characters
-say too little and match nothing.
+would fall below ``LEAST_SHARED``. Items under q + LEAST_SHARED - 1 characters have
+no such bound: they are found exactly, as whole words, by one automaton.
+
+Many items of one frame ("Question: ... Answer: ...") share its q-grams with every
+text that has the frame. Their bands are then aligned side by side, as rows of
+one array, and leave it once they exceed their budget; texts are looked at in
+parts, so that the shared q-grams at hand stay below ``MAX_POSTINGS``.
 
 The items of at most ``block_chars`` characters are broadcast at a time; a larger
 benchmark is dealt by a hash of the item into blocks that pass one by one.
@@ -27,7 +32,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import cache
+from functools import cache, cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +41,9 @@ from pyspark.sql import functions as F
 
 Q, EDITS, LEAST_SHARED = 8, 0.10, 3
 #: Characters of items in one broadcast, and of texts that are looked at together.
-BLOCK_CHARS, CHUNK_CHARS = 8 << 20, 1 << 17
+BLOCK_CHARS, CHUNK_CHARS = 2 << 20, 1 << 17
+#: Shared q-grams of a part of the texts (a single text is always one part), and cells of one alignment array.
+MAX_POSTINGS, MAX_CELLS = 1 << 20, 1 << 20
 BASE = np.uint64(0x9E3779B97F4A7C15)
 FILTER_BITS = 20
 SPACES = {c: " " for c in (*range(0, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)}
@@ -92,6 +99,23 @@ class Items:
     first: np.ndarray
     item: np.ndarray
     place: np.ndarray
+    brief: list[tuple]  # (id, text) of the items too short for the bound
+
+    @cached_property
+    def automaton(self):
+        import ahocorasick
+
+        found = ahocorasick.Automaton()
+        by_text: dict[str, list] = {}
+        for i, text in self.brief:
+            by_text.setdefault(text, []).append(i)
+        for text, ids in by_text.items():
+            found.add_word(text, (len(text), ids))
+        found.make_automaton()
+        return found
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "automaton"}
 
 
 def index(rows: list[tuple]) -> Items:
@@ -107,7 +131,8 @@ def index(rows: list[tuple]) -> Items:
     grams, first = np.unique(h[order], return_index=True)
     seen = np.zeros(1 << FILTER_BITS, bool)
     seen[slots(grams)] = True
-    return Items([i for i, _ in kept], texts, edits, lengths - Q + 1 - edits * Q, seen, grams, np.append(first, len(h)), item[order], place[order])
+    brief = [(i, normal(t.strip())) for i, t in rows if t and 0 < len(t.strip()) < Q + LEAST_SHARED - 1]
+    return Items([i for i, _ in kept], texts, edits, lengths - Q + 1 - edits * Q, seen, grams, np.append(first, len(h)), item[order], place[order], brief)
 
 
 def align(pattern: np.ndarray, text: np.ndarray, low: int, high: int, budget: int) -> tuple[int, int, int] | None:
@@ -143,9 +168,60 @@ def align(pattern: np.ndarray, text: np.ndarray, low: int, high: int, budget: in
     return max(begin, 0), min(end, len(text)), int(cost[best])
 
 
-def find(texts: list[str | None], items: Items) -> list[list[tuple]]:
-    """For each text its hits: (item_id, start, end, edits)."""
+def budgets_left(patterns: list[np.ndarray], windows: list[np.ndarray], widths: np.ndarray, budgets: np.ndarray) -> np.ndarray:
+    """Which patterns align with their window within their budget: row by row for all of one array, and rows beyond their budget leave.
+
+    A window holds the text under diagonal 0 first; ``widths`` are the diagonals of each band.
+    """
+    good = np.zeros(len(patterns), bool)
+    lengths = np.array([len(p) for p in patterns])
+    order = np.lexsort((lengths, widths))
+    at = 0
+    while at < len(order):
+        width = int(widths[order[at]])
+        most = max(1, MAX_CELLS // (int(lengths.max()) + width))
+        own = order[at : at + most]
+        own = own[widths[own] == width]
+        at += len(own)
+        longest = int(lengths[own].max())
+        p, t = np.full((len(own), longest), OUTSIDE, np.uint32), np.full((len(own), longest + width), OUTSIDE - 1, np.uint32)
+        for row, k in enumerate(own.tolist()):
+            p[row, : lengths[k]] = patterns[k]
+            t[row, : min(len(windows[k]), longest + width)] = windows[k][: longest + width]
+        cost, steps, alive = np.zeros((len(own), width), np.int64), np.arange(width), np.arange(len(own))
+        for i in range(longest):
+            new = cost + (t[alive, i : i + width] != p[alive, i, None])
+            new[:, :-1] = np.minimum(new[:, :-1], cost[:, 1:] + 1)
+            cost = np.minimum.accumulate(new - steps, axis=1) + steps
+            over = cost.min(axis=1) > budgets[own[alive]]
+            done = ~over & (lengths[own[alive]] == i + 1)
+            good[own[alive[done]]] = True
+            if (over | done).any():
+                left = ~(over | done)
+                alive, cost = alive[left], cost[left]
+                if not len(alive):
+                    break
+    return good
+
+
+def whole_words(text: str, items: Items) -> list[tuple]:
+    """Exact places of the brief items that begin and end with a word."""
+    inside = lambda k: 0 <= k < len(text) and text[k].isalnum()
+    found = []
+    for last, (size, ids) in items.automaton.iter(text):
+        first = last - size + 1
+        if not (inside(first - 1) and inside(first)) and not (inside(last) and inside(last + 1)):
+            found += [(i, first, last + 1, 0) for i in ids]
+    return found
+
+
+def find(texts: list[str | None], items: Items, brief: bool = True) -> list[list[tuple]]:
+    """For each text its hits: (item_id, start, end, edits); without ``brief`` the items too short for the bound are left out."""
     found: list[list[tuple]] = [[] for _ in texts]
+    if brief and items.brief:
+        for row, text in enumerate(texts):
+            if text:
+                found[row] += whole_words(normal(text), items)
     if not items.ids:
         return found
     chunk: list[int] = []
@@ -174,6 +250,11 @@ def look(rows: list[int], texts: list[str], items: Items, found: list[list[tuple
     if not len(at):
         return
     many = items.first[gram + 1] - items.first[gram]
+    if many.sum() > MAX_POSTINGS and len(rows) > 1:
+        half = len(rows) // 2
+        look(rows[:half], texts[:half], items, found)
+        look(rows[half:], texts[half:], items, found)
+        return
     posting = np.repeat(items.first[gram], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
     doc = np.repeat(np.searchsorted(starts, at, side="right") - 1, many)
     item = items.item[posting]
@@ -191,6 +272,7 @@ def look(rows: list[int], texts: list[str], items: Items, found: list[list[tuple
     keys, counts = np.unique(np.unique(np.stack([bands, places]), axis=1)[0], return_counts=True)
     keys = keys[counts >= items.shared[keys // (2 * span) % len(items.ids)]]
     hits: dict[tuple[int, int], list] = {}
+    asked: list[tuple] = []  # doc, item, low, high, pattern, window
     for k in keys.tolist():
         pair, band = divmod(k, 2 * span)
         doc, item = divmod(pair, len(items.ids))
@@ -198,11 +280,18 @@ def look(rows: list[int], texts: list[str], items: Items, found: list[list[tuple
         low = (band - span) * (budget + 1)
         high = low + 2 * (budget + 1) - 1
         begin = max(low, 0)
-        same = characters(text[begin : max(high, 0) + len(wanted) + 1]).find(wanted)
+        near = text[begin : max(high, 0) + len(wanted) + 1]
+        same = characters(near).find(wanted)
         if same >= 0:
             hits.setdefault((doc, item), []).append((0, begin + same, begin + same + len(wanted)))
-        elif place := align(codes(wanted), text, low, high, budget):
-            hits.setdefault((doc, item), []).append((place[2], place[0], place[1]))
+        elif budget:
+            window = np.concatenate([np.full(begin - low, OUTSIDE, np.uint32), near]) if low < 0 else near
+            asked.append((doc, item, low, high, codes(wanted), window))
+    if asked:
+        good = budgets_left([x[4] for x in asked], [x[5] for x in asked], np.array([x[3] - x[2] + 1 for x in asked]), items.edits[[x[1] for x in asked]])
+        for doc, item, low, high, pattern, _ in (x for x, g in zip(asked, good.tolist(), strict=True) if g):
+            if place := align(pattern, chars[starts[doc] : starts[doc + 1] - 1], low, high, int(items.edits[item])):
+                hits.setdefault((doc, item), []).append((place[2], place[0], place[1]))
     for (doc, item), places in sorted(hits.items()):
         kept: list[tuple] = []
         for edits, a, b in sorted(places):
@@ -241,14 +330,14 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """The documents in which no item is found, with all their columns."""
+    """The documents in which no item is found, with all their columns. Items too short for the bound are no evidence and remove nothing."""
     place = docs.columns.index(text_col)
     for items in blocks(benchmark, item_col, item_text_col, block_chars):
         shared = docs.sparkSession.sparkContext.broadcast(items)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                clean = [not hits for hits in find(batch.column(place).to_pylist(), shared.value)]
+                clean = [not hits for hits in find(batch.column(place).to_pylist(), shared.value, brief=False)]
                 yield batch.filter(pa.array(clean, pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)

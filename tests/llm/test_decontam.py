@@ -1,4 +1,5 @@
 import random
+import time
 
 from admitflow.llm.decontam import EDITS, decontaminate, find, find_leaks, index, normal
 from admitflow.session import read
@@ -78,3 +79,24 @@ def test_whole_table(spark, sf_dir):
     wanted = [(r.item_id, normal(r.text)) for r in items.collect()]
     for r in docs.select("doc_id", "text").collect():
         assert {i for i, t in wanted if r.text and t in normal(r.text)} <= {i for d, i in hits if d == r.doc_id}
+
+
+def test_brief_items_are_found_as_whole_words(spark):
+    items = spark.createDataFrame([(1, "Ab cd", 0), (2, "x", 0), (3, "Ab cd", 0), (4, "¿no?", 0)], ITEMS)
+    docs = spark.createDataFrame([(1, "an AB\ncd ab cdx, zab cd", 0, ""), (2, "y x.", 0, ""), (3, "Sí ¿NO? va", 0, ""), (4, "axa", 0, "")], DOCS)
+    got = sorted((r.doc_id, r.item_id, r.start, r.end, r.edits) for r in find_leaks(docs, items).collect())
+    assert got == [(1, 1, 3, 8, 0), (1, 3, 3, 8, 0), (2, 2, 2, 3, 0), (3, 4, 3, 7, 0)]
+    assert decontaminate(docs, items).count() == 4
+
+
+def test_items_of_one_frame():
+    """Thousands of items share a frame with the text; only the one that is in it is found, and soon."""
+    rng = random.Random(6)
+    frame = "Question: what is the {} of {}? Answer: {}"
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(9))
+    items = [(k, frame.format(word(), word(), word())) for k in range(4000)]
+    ready = index(items)
+    texts = [f"{frame.format(word(), word(), word())} and {edit(rng, items[77 + k][1], 2)} so" for k in range(4)]
+    began = time.perf_counter()
+    assert [[h[0] for h in hits] for hits in find(texts, ready)] == [[77], [78], [79], [80]]
+    assert time.perf_counter() - began < 20
