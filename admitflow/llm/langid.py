@@ -5,10 +5,12 @@ falls back to the longest of its character n-grams that the model knows, from
 ``LONGEST`` characters down to one, with less weight for shorter ones.
 
 The classifier is fitted on a bounded sample: about ``sample_docs`` labelled
-documents of each language, taken by a hash of the id, and at most
-``max_entries`` words and n-grams of a language go into the model, so its
-broadcast is bounded by languages x kinds x ``max_entries``. Every document is
-predicted from its whole text.
+documents of each language, taken by a hash of the id. The model holds at most
+``MAX_MODEL`` entries (a term's count in a language), dealt evenly to languages
+and kinds, and at most ``max_entries`` of a kind in a language, the most frequent
+ones; the rest of the sample's terms back off as unseen words do. It is kept
+sparse, so that is the size of its broadcast, whatever the number of languages.
+Every document is predicted from its whole text.
 
 Defined results: null text, or text without letters, is ``und`` with score 0;
 so is every text where nothing could be learned. Ties go to the language first
@@ -34,9 +36,9 @@ LETTERS = re.compile(r"[^\W\d_]+")
 LONGEST = 4
 #: Weight of a score from an n-gram, by its length; a word's own weight is 1.
 WEIGHTS = {n: 0.7 ** (LONGEST + 1 - n) for n in range(1, LONGEST + 1)}
-SAMPLE_DOCS, MAX_ENTRIES, MAX_LANGS = 3000, 40_000, 400
-#: Words whose scores a task remembers, and words that count towards the confidence.
-REMEMBERED, CONFIDENT_WORDS = 200_000, 50
+SAMPLE_DOCS, MAX_ENTRIES, MAX_MODEL, MAX_LANGS = 3000, 40_000, 4_000_000, 400
+#: Scores that a task remembers (words times languages), and words that count towards the confidence.
+REMEMBERED, CONFIDENT_WORDS = 4_000_000, 50
 UNKNOWN = "und"
 
 
@@ -69,25 +71,33 @@ def count_terms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 class Model:
-    """Log frequencies by language: for each kind the terms' rows in one matrix, and a bounded memory of scored words."""
+    """Log frequencies by language, sparse: for each kind the terms' places, and what their languages have above an unseen term."""
 
     def __init__(self, langs: list[str], kinds: Iterator[tuple[int, pd.DataFrame]]):
         """kinds: the terms of one kind at a time, as lang, term and n."""
         self.langs = sorted(langs)
-        self.tables: dict[int, tuple[dict[str, int], np.ndarray]] = {}
+        self.tables: dict[int, tuple[dict[str, int], np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = {}
         for kind, own in kinds:
-            rows, terms = pd.factorize(own["term"])
-            counts = np.zeros((len(terms), len(self.langs)))
-            np.add.at(counts, (rows, np.searchsorted(self.langs, own["lang"].to_numpy(str))), own["n"].to_numpy(float))
             if kind == 0:  # a word seen once says less than its n-grams
-                often = counts.sum(axis=1) > 1
-                counts, terms = counts[often], terms[often]
-            values = counts + 0.5
-            scores = np.log(values / values.sum(axis=0)) if len(values) else values
-            scores = scores - scores.max(axis=1, keepdims=True) if len(scores) else scores
-            self.tables[kind] = dict(zip(terms, range(len(terms)), strict=True)), scores.astype(np.float32)
+                own = own[own.groupby("term")["n"].transform("sum") > 1]
+            own = own.sort_values("term", kind="stable")
+            names = own["term"].to_numpy(object)
+            first = np.flatnonzero(np.append(True, names[1:] != names[:-1])[: len(names)])
+            terms = names[first]
+            lang, n = np.searchsorted(self.langs, own["lang"].to_numpy(str)), own["n"].to_numpy(float)
+            total = np.bincount(lang, n, minlength=len(self.langs)) + 0.5 * len(terms)
+            unseen = np.log(0.5) - np.log(np.maximum(total, 0.5))
+            more = (np.log(n + 0.5) - np.log(0.5)).astype(np.float32)
+            self.tables[kind] = dict(zip(terms.tolist(), range(len(terms)), strict=True)), np.append(first, len(own)), lang.astype(np.int32), more, unseen
         self.forget()
 
+    def score(self, kind: int, place: int) -> np.ndarray:
+        """A term's log frequencies relative to its likeliest language."""
+        _, first, lang, more, unseen = self.tables[kind]
+        out = unseen.copy()
+        out[lang[first[place] : first[place + 1]]] += more[first[place] : first[place + 1]]
+        return out - out.max()
+
     def forget(self) -> None:
         self.memory: dict[str, int] = {}
         self.remembered = np.zeros((0, len(self.langs)), np.float32)
@@ -95,14 +105,14 @@ class Model:
     def word(self, word: str) -> np.ndarray:
         """Log frequencies relative to the likeliest language."""
         for n in (0, *range(min(LONGEST, len(word) + 2), 0, -1)):
-            places, scores = self.tables.get(n, ({}, None))
+            places = self.tables[n][0] if n in self.tables else {}
             found = [k for gram in ([word] if n == 0 else grams(word, n)) if (k := places.get(gram)) is not None]
             if found:
-                return scores[found[0]] if n == 0 else WEIGHTS[n] * scores[found].mean(axis=0)
+                return self.score(0, found[0]) if n == 0 else WEIGHTS[n] * np.mean([self.score(n, k) for k in found], axis=0)
         return np.zeros(len(self.langs), np.float32)
 
     def words(self, words: np.ndarray) -> np.ndarray:
-        if len(self.memory) > REMEMBERED:
+        if len(self.memory) * len(self.langs) > REMEMBERED:
             self.forget()
         new = [w for w in words if w not in self.memory]
         if new:
@@ -130,7 +140,7 @@ class Model:
         return langs, scores
 
 
-def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, max_entries: int = MAX_ENTRIES, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
+def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, max_entries: int = MAX_ENTRIES, max_model: int = MAX_MODEL, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """Learns from text and lang of labelled documents outside the test fold."""
     known = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     known = known.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
@@ -144,6 +154,7 @@ def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, max_entries: int = MAX_
     wanted = F.create_map(*[F.lit(x) for pair in share.items() for x in pair])
     sample = known.where(dealt < F.element_at(wanted, F.col("lang"))).select("text", "lang")
     counts = sample.mapInPandas(count_terms, "lang string, kind int, term string, n long").groupBy("lang", "kind", "term").agg(F.sum("n").alias("n"))
+    max_entries = min(max_entries, max(1, max_model // (len(sizes) * (LONGEST + 1))))
     top = Window.partitionBy("lang", "kind").orderBy(F.desc("n"), "term")
     counts = counts.withColumn("rank", F.row_number().over(top)).where(F.col("rank") <= max_entries).drop("rank")
     table = counts.toArrow()

@@ -1,8 +1,11 @@
+import math
+import random
 import zlib
+from collections import Counter
 
 import pandas as pd
 
-from admitflow.llm.langid import Model, identify
+from admitflow.llm.langid import LETTERS, LONGEST, WEIGHTS, Model, fit, grams, identify, predict
 from admitflow.session import read
 
 SCHEMA = "doc_id long, text string, lang string, score int"
@@ -39,3 +42,58 @@ def test_held_out_accuracy(spark, sf_dir):
     truth = {r.doc_id: r.lang for r in docs.select("doc_id", "lang").collect()}
     held = [r for r in identify(docs).collect() if r.held_out and r.lang_pred != "und" and truth[r.doc_id]]
     assert sum(truth[r.doc_id] == r.lang_pred for r in held) > 0.9 * len(held)
+
+
+def brute_predict(rows, text, sample):
+    """The language of the highest score by plain dictionaries. rows: (text, lang) of the training fold."""
+    counts: dict = {}
+    for t, lang in sample:
+        for w in LETTERS.findall(t.lower()):
+            counts.setdefault(0, Counter())[w, lang] += 1
+            for n in range(1, LONGEST + 1):
+                for g in grams(w, n):
+                    counts.setdefault(n, Counter())[g, lang] += 1
+    langs = sorted({lang for _, lang in sample})
+    often = Counter()
+    for (w, _), n in counts[0].items():
+        often[w] += n
+    counts[0] = Counter({k: n for k, n in counts[0].items() if often[k[0]] > 1})
+    vocabulary = {k: {t for t, _ in c} for k, c in counts.items()}
+    size = {k: {la: sum(n for (_, x), n in c.items() if x == la) + 0.5 * len(vocabulary[k]) for la in langs} for k, c in counts.items()}
+
+    def of(kind, term):
+        row = [math.log((counts[kind][term, la] + 0.5) / size[kind][la]) for la in langs]
+        return [x - max(row) for x in row]
+
+    total = [0.0] * len(langs)
+    for w in LETTERS.findall(text.lower()):
+        for n in (0, *range(min(LONGEST, len(w) + 2), 0, -1)):
+            found = [g for g in ([w] if n == 0 else grams(w, n)) if g in vocabulary[n]]
+            if found:
+                each = [of(n, g) for g in found]
+                total = [a + (1 if n == 0 else WEIGHTS[n]) * sum(e[k] for e in each) / len(each) for k, a in enumerate(total)]
+                break
+    return langs[max(range(len(langs)), key=lambda k: total[k])], total
+
+
+def test_against_brute_force(spark):
+    rng = random.Random(4)
+    roots = {"en": ["house", "river", "thing", "walk"], "de": ["haus", "fluss", "ding", "gang"], "fr": ["maison", "fleuve", "chose", "marche"]}
+    rows = []
+    for i in range(90):
+        lang = ["en", "de", "fr"][i % 3]
+        rows.append((i, " ".join(rng.choice(roots[lang]) + rng.choice(["", "s", "en", "er", "e"]) for _ in range(8)), lang, 0))
+    rows += [(200 + k, " ".join(rng.choice(sum(roots.values(), [])) + rng.choice("xyz") for _ in range(6)), None, 0) for k in range(20)]
+    sample = [(t, la) for i, t, la, _ in rows if la and zlib.crc32(str(i).encode()) % 5]
+    for r in identify(spark.createDataFrame(rows, SCHEMA)).collect():
+        lang, total = brute_predict(rows, dict((i, t) for i, t, _, _ in rows)[r.doc_id], sample)
+        if sorted(total)[-1] - sorted(total)[-2] > 1e-4:
+            assert r.lang_pred == lang
+
+
+def test_many_languages_are_bounded(spark):
+    rows = [(i, f"word{chr(97 + i % 26)}{chr(97 + i // 26 % 26)} common", f"l{i % 300:03d}", 0) for i in range(1800)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    model = fit(docs, max_model=3000)
+    assert len(model.langs) == 300 and sum(len(t[2]) for t in model.tables.values()) <= 3000
+    assert predict(docs, model).where("lang_pred = 'und'").count() == 0
