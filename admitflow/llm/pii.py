@@ -1,8 +1,12 @@
 """Surrogates for personal data, in DataFrame expressions alone.
 
-Emails, phone numbers, IPv4 addresses, payment cards (with a right check digit),
-social security numbers and names of persons (after a form of address, or by a
-known given name) are found in the whole text. Each entity gets a surrogate from a keyed hash of
+Emails, phone numbers (national of ten digits, and international), IPv4 and IPv6
+addresses, bank accounts (IBAN with right check digits), payment cards (with a
+right check digit), social security numbers and names of persons are found in
+the whole text. A person is found after a form of address in any case, after a
+phrase that names someone ("my name is"), or by a known given name; a family
+name found so is then found everywhere in that text, where it stands alone with
+a capital. A name that none of these gives away stays. Each entity gets a surrogate from a keyed hash of
 its type and canonical form: the same entity gets the same surrogate in every
 document and format (coreference), digits take the place of digits, letters of
 letters of their script, given names end as their gender's do, cards keep
@@ -10,7 +14,7 @@ their check digit and letter case is kept.
 
 Collision checks over all distinct entities keep them distinct: a surrogate
 that two entities share stays with the first in order, and one that is itself an entity of the corpus goes;
-those affected get the next attempt, from the fifth on with longer words, until no collision is left.
+those affected get the next attempt, from the fifth on with longer words (and 192.168 addresses from the wider 10 range), until no collision is left.
 Attempts above 0 are rare: up to ``MAX_LATER`` travel with the expressions, more
 are joined back by document. Number spaces can't grow, so over ``MAX_ROUNDS`` rounds are an error.
 
@@ -27,31 +31,46 @@ from pyspark.sql import functions as F
 from admitflow.llm.spans import clean, let, matches, replace_spans
 from admitflow.session import cut
 
-KEY = "surrogates-1"
 MAX_ROUNDS, LONGER_FROM = 40, 4
 #: Entities with a later attempt that travel with the expressions; more are joined to the documents that have them.
 MAX_LATER = 4000
 ENTITIES = "array<struct<start:bigint,rank:int,end:bigint,kind:string,canon:string,value:string>>"
 
-#: Forms of address by gender, and common given names by gender.
+#: Forms of address by gender, phrases that name someone, and common given names by gender.
 ADDRESS = {
-    "f": ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "Госпожа", "Κυρία"),
-    "m": ("Mr", "Herr", "Monsieur", "Señor", "Sr", "Господин", "Κύριος"),
+    "f": ("Mrs", "Ms", "Miss", "Madam", "Lady", "Frau", "Madame", "Mme", "Mlle", "Señora", "Señorita", "Sra", "Signora", "Госпожа", "Κυρία"),
+    "m": ("Mr", "Mister", "Sir", "Lord", "Herr", "Monsieur", "Señor", "Sr", "Signor", "Господин", "Κύριος"),
+    "": ("Dr", "Doctor", "Prof", "Professor", "Docteur", "Doktor", "Dra"),
 }
+PHRASES = ("my name is", "his name is", "her name is", "i am called", "signed by", "attention of", "je m'appelle", "mon nom est", "ich heiße", "mein name ist", "me llamo", "mi nombre es", "mi chiamo", "меня зовут")
 GIVEN = {
-    "f": ("Mary", "Patricia", "Jennifer", "Linda", "Elizabeth", "Barbara", "Susan", "Jessica", "Sarah", "Karen", "Anna", "Maria", "Laura", "Julia", "Sophie", "Claire", "Camille", "Ursula", "Sabine", "Monika", "Carmen", "Lucía", "Isabel", "Анна", "Мария", "Ольга", "Елена"),
-    "m": ("James", "Robert", "John", "Michael", "David", "William", "Richard", "Joseph", "Thomas", "Charles", "Daniel", "Peter", "Paul", "Hans", "Jürgen", "Klaus", "Wolfgang", "Pierre", "Jean", "Jacques", "Carlos", "José", "Antonio", "Иван", "Пётр", "Сергей", "Дмитрий"),
-}
+    "f": (
+        "Mary", "Patricia", "Jennifer", "Linda", "Elizabeth", "Barbara", "Susan", "Jessica", "Sarah", "Karen", "Emily", "Emma", "Olivia", "Sophia", "Anna", "Maria", "Laura", "Julia", "Sophie", "Claire", "Camille", "Marie", "Isabelle",
+        "Ursula", "Sabine", "Monika", "Petra", "Heike", "Carmen", "Lucía", "Isabel", "Ana", "Sofia", "Elena", "Olga", "Natalia", "Svetlana", "Irina", "Tatiana", "Priya", "Anjali", "Lakshmi", "Aisha", "Fatima", "Zainab", "Leila", "Yasmin",
+        "Mei", "Xiu", "Yuki", "Sakura", "Keiko", "Ingrid", "Astrid", "Chiara", "Giulia", "Francesca", "Анна", "Мария", "Ольга", "Елена", "Наталья", "Ирина", "Μαρία", "Ελένη",
+    ),
+    "m": (
+        "James", "Robert", "John", "Michael", "David", "William", "Richard", "Joseph", "Thomas", "Charles", "Daniel", "Matthew", "Andrew", "George", "Henry", "Peter", "Paul", "Hans", "Jürgen", "Klaus", "Wolfgang", "Stefan", "Dieter",
+        "Pierre", "Jean", "Jacques", "François", "Michel", "Carlos", "José", "Antonio", "Juan", "Miguel", "Pablo", "Diego", "Ivan", "Sergei", "Dmitri", "Vladimir", "Alexei", "Raj", "Rahul", "Amit", "Arjun", "Sanjay", "Ahmed", "Mohammed",
+        "Muhammad", "Ali", "Omar", "Hassan", "Wei", "Jun", "Hiroshi", "Kenji", "Takashi", "Lars", "Sven", "Erik", "Marco", "Giuseppe", "Giovanni", "Иван", "Пётр", "Сергей", "Дмитрий", "Владимир", "Γιώργος", "Νίκος",
+    ),
+}
 ONE_NAME = r"\p{Lu}[\p{L}'’-]*\p{L}"
-EVERYONE = "|".join((*ADDRESS["f"], *ADDRESS["m"]))
-PERSON = rf"(?<![\p{{L}}])(?:(?:{EVERYONE})\.? +{ONE_NAME}(?: +{ONE_NAME})?|(?:{'|'.join((*GIVEN['f'], *GIVEN['m']))}) +{ONE_NAME})(?![\p{{L}}])"
+EVERYONE = "|".join(title for titles in ADDRESS.values() for title in titles)
+BEFORE = rf"(?iu:{EVERYONE})\.? +|(?iu:{'|'.join(PHRASES)})[,:]? +"
+PERSON = rf"(?<![\p{{L}}])(?:(?:{BEFORE}){ONE_NAME}(?: +{ONE_NAME}){{0,2}}|(?:{'|'.join((*GIVEN['f'], *GIVEN['m']))}) +{ONE_NAME})(?![\p{{L}}])"
 PATTERNS = {
     "email": r"[\p{L}\p{N}._%+-]+@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)*\.\p{L}{2,}",
     "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\d|\.\d)",
+    "ip6": r"(?<![\p{L}\p{N}:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6})(?![\p{L}\p{N}:])",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
-    "phone": r"(?<![\d.-])(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?![\d-])",
+    "phone": r"(?<![\d.+-])(?:(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?![\d-])|\+\d{1,3}(?:[ .-]?\(?\d{1,4}\)?){2,6}(?!\d))",
     "card": r"(?<![\d.-])\d(?:[ -]?\d){12,18}(?![\d-])",
+    "iban": r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?: ?[A-Z0-9]){11,30}(?![\p{L}\p{N}])",
 }
+LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+#: Fixed value: country codes of phone numbers with one or two digits; the others have three.
+COUNTRY = r"^\+(1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
 #: Scripts: class of its letters, letters for even places, letters for odd places, endings of a feminine and a masculine given name.
 SCRIPTS = (
     (r"\p{IsCyrillic}", "бвгдзклмнпрст", "аеиоу", "а", "н"),
@@ -81,40 +100,78 @@ def numbers(value: Column) -> Column:
     return F.transform(F.split(digits(value), ""), lambda c: c.cast("int"))
 
 
+def rest_97(account: Column) -> Column:
+    """The remainder by 97 of an account number whose country and check digits stand last, with letters as numbers from 10."""
+
+    def step(acc: Column, c: Column) -> Column:
+        letter = F.position(c, F.lit(LETTERS))
+        return F.when(letter > 0, (acc * 100 + letter + 9) % 97).otherwise((acc * 10 + c.cast("int")) % 97)
+
+    return F.aggregate(F.split(account, ""), F.lit(0), step)
+
+
+def account_holds(value: Column) -> Column:
+    plain = F.replace(value, F.lit(" "), F.lit(""))
+    return F.length(plain).between(15, 34) & (rest_97(F.concat(F.substring(plain, F.lit(5), F.lit(40)), F.substring(plain, F.lit(1), F.lit(4)))) == 1)
+
+
+def phone_canon(value: Column) -> Column:
+    """A number of ten digits, also after +1, is one; other numbers keep their country code."""
+    number = digits(value)
+    foreign = value.startswith("+") & ~(number.startswith("1") & (F.length(number) == 11))
+    return F.when(foreign, F.concat(F.lit("+"), number)).otherwise(F.right(number, F.lit(10)))
+
+
 def entities(text: Column) -> Column:
     """Non-overlapping entities of a :func:`clean` text, by start."""
 
     def plain(kind: str, rank: int, keep=None) -> Column:
         def entity(m: Column) -> Column:
-            canon = F.lower(m["value"]) if kind in ("email", "ip") else (F.right(digits(m["value"]), F.lit(10)) if kind == "phone" else digits(m["value"]))
+            value = m["value"]
+            canon = F.lower(value) if kind in ("email", "ip", "ip6") else phone_canon(value) if kind == "phone" else F.replace(value, F.lit(" "), F.lit("")) if kind == "iban" else digits(value)
             return F.struct(m["start"].alias("start"), F.lit(rank).alias("rank"), m["end"].alias("end"), F.lit(kind).alias("kind"), canon.alias("canon"), m["value"].alias("value"))
 
         return F.transform(matches(text, PATTERNS[kind], keep), entity).cast(ENTITIES)
 
-    def person(m: Column) -> Column:
-        words = F.split(m["value"], " +")
-        titled = F.get(words, 0).rlike(rf"^(?:{EVERYONE})\.?$")
-        female = F.when(titled, F.get(words, 0).rlike(rf"^(?:{'|'.join(ADDRESS['f'])})\.?$")).otherwise(F.get(words, 0).isin(*GIVEN["f"]))
-        given = F.when(~titled, F.get(words, 0)).when(F.size(words) == 3, F.get(words, 1))
-        family = F.element_at(words, -1)
-
-        def part(kind: Column, value: Column, start: Column) -> Column:
-            return F.struct(start.alias("start"), F.lit(9).alias("rank"), (start + F.length(value)).alias("end"), kind.alias("kind"), F.lower(value).alias("canon"), value.alias("value"))
+    def part(kind: Column, value: Column, start: Column, rank: int = 9) -> Column:
+        return F.struct(start.alias("start"), F.lit(rank).alias("rank"), (start + F.length(value)).alias("end"), kind.alias("kind"), F.lower(value).alias("canon"), value.alias("value"))
 
-        by_gender = F.when(female, F.lit("given_f")).otherwise(F.lit("given_m"))
+    def person(m: Column) -> Column:
+        rest = F.regexp_replace(m["value"], f"^(?:{BEFORE})", "")
+        title = F.regexp_replace(F.lower(F.substring_index(m["value"], " ", 1)), r"\.$", "")
+        names = F.split(rest, " +")
+        first = F.get(names, F.lit(0))
+        told = F.when(title.isin(*(t.lower() for t in ADDRESS["f"])), "given_f").when(title.isin(*(t.lower() for t in ADDRESS["m"])), "given_m")
+        kind = F.coalesce(told, F.when(first.isin(*GIVEN["f"]), "given_f").when(first.isin(*GIVEN["m"]), "given_m").otherwise("given"))
+        start = m["end"] - F.length(rest)
+        behind = F.regexp_replace(rest, "^[^ ]+ +", "")
         places = F.array(
-            part(by_gender, given, m["start"] + F.when(titled, F.length(F.regexp_extract(m["value"], r"^[^ ]+ +", 0))).otherwise(0)),
-            part(F.lit("family"), family, m["end"] - F.length(family)),
+            F.when(F.size(names) > 1, part(kind, first, start)),
+            F.when(F.size(names) > 2, part(F.lit("given"), F.get(names, F.lit(1)), m["end"] - F.length(behind))),
+            part(F.lit("family"), F.element_at(names, -1), m["end"] - F.length(F.element_at(names, -1))),
         ).cast(ENTITIES)
-        return F.filter(places, lambda p: p["value"].isNotNull())
+        return F.filter(places, lambda p: p.isNotNull())
 
     none = F.array().cast(ENTITIES)
     card = lambda v: check_sum(numbers(v), 1) == 0
-    numeric = F.concat(plain("ip", 1), plain("ssn", 2), plain("phone", 3), plain("card", 4, card))
+    dialled = lambda v: F.length(digits(v)).between(8, 15)
+    hexes = lambda v: v.rlike("[0-9]") & (F.length(v) - F.length(F.replace(v, F.lit(":"), F.lit(""))) > 2)
+    numeric = F.concat(
+        F.when(text.rlike(r"[0-9]\.[0-9]"), plain("ip", 1)).otherwise(none), F.when(text.rlike("[0-9A-Fa-f]:[0-9A-Fa-f:]"), plain("ip6", 1, hexes)).otherwise(none), plain("ssn", 2), plain("phone", 3, dialled),
+        plain("card", 4, card), F.when(text.rlike("[A-Z]{2}[0-9]{2}"), plain("iban", 0, account_holds)).otherwise(none),
+    )
+
+    def with_bare_families(persons: Column) -> Column:
+        """The family names of a text's persons, wherever they stand alone with a capital."""
+        families = F.array_distinct(F.transform(F.filter(persons, lambda p: (p["kind"] == "family") & (F.length(p["value"]) > 2)), lambda p: p["value"]))
+        pattern = F.concat(F.lit(r"(?<![\p{L}'’-])(?iu:"), F.array_join(families, "|"), F.lit(r")(?![\p{L}])"))
+        bare = F.transform(matches(text, pattern, lambda v: v.rlike(r"^\p{Lu}")), lambda m: part(F.lit("family"), m["value"], m["start"], 10))
+        return F.when(F.size(families) > 0, F.concat(persons, bare.cast(ENTITIES))).otherwise(persons)
+
     found = F.concat(
         F.when(text.contains("@"), plain("email", 0)).otherwise(none),
         F.when(text.rlike("[0-9]{2}"), numeric).otherwise(none),
-        F.flatten(F.transform(matches(text, PERSON), person)),
+        let(F.flatten(F.transform(matches(text, PERSON), person)), with_bare_families),
     )
 
     def first_only(ordered: Column) -> Column:
@@ -156,11 +213,18 @@ def surrogate(kind: Column, canon: Column, attempt: Column, key: str) -> Column:
 
     def made(h: Column) -> Column:
         at = lambda n, least=0: (least + number_at(h, F.lit(n)) % (10 - least)).cast("string")
-        phone = F.concat(*(at(n, 2 if n in (0, 3) else 0) for n in range(10)))
+        random = lambda first, size: F.array_join(F.transform(F.sequence(F.lit(first), first + size - 1), lambda i: (number_at(h, i) % 10).cast("string")), "")
+        country = F.regexp_extract(canon, COUNTRY, 1)
+        abroad = F.concat(country, at(0, 2), random(1, F.length(canon) - F.length(country) - 2))
+        phone = F.when(canon.startswith("+"), abroad).otherwise(F.concat(*(at(n, 2 if n in (0, 3) else 0) for n in range(10))))
+        hexed = F.array_join(F.transform(F.split(canon, ""), lambda c, i: F.when(c == ":", c).otherwise(F.lower(F.hex(number_at(h, i) % 16)))), "")
+        like = F.transform(F.split(F.substring(canon, F.lit(5), F.lit(40)), ""), lambda c, i: F.when(c.rlike("[0-9]"), (number_at(h, i) % 10).cast("string")).otherwise(pick(LETTERS, h, i)))
+        land = F.substring(canon, F.lit(1), F.lit(2))
+        account = let(F.array_join(like, ""), lambda body: F.concat(land, F.lpad((98 - rest_97(F.concat(body, land, F.lit("00")))).cast("string"), 2, "0"), body))
         social = F.concat(F.lit("9"), *(at(n) for n in range(8)))
         octet = lambda n: number_at(h, F.lit(n)).cast("string")
         private = F.regexp_extract(canon, r"^(?:10\.|192\.168\.)", 0)
-        ip = F.when(private == "10.", F.concat_ws(".", F.lit("10"), octet(1), octet(2), octet(3))).when(private != "", F.concat_ws(".", F.lit("192.168"), octet(2), octet(3)))
+        ip = F.when(private == "10.", F.concat_ws(".", F.lit("10"), octet(1), octet(2), octet(3))).when(private != "", F.concat_ws(".", F.when(longer > 0, F.concat(F.lit("10."), octet(1))).otherwise("192.168"), octet(2), octet(3)))
         ip = ip.otherwise(F.concat_ws(".", (11 + number_at(h, F.lit(0)) % 116).cast("string"), octet(1), octet(2), octet(3)))
         body = F.concat(F.substring(canon, 1, 1), F.array_join(F.transform(F.sequence(F.lit(1), F.length(canon) - 2), lambda i: (number_at(h, i) % 10).cast("string")), ""))
         card = let(body, lambda b: F.concat(b, ((10 - check_sum(numbers(b), 0)) % 10).cast("string")))
@@ -176,7 +240,7 @@ def surrogate(kind: Column, canon: Column, attempt: Column, key: str) -> Column:
             ending = F.when(F.right(canon, F.lit(1)).rlike(f"^{script}$"), last).otherwise(ending)
         base = like_letters(F.concat(canon, F.when(longer > 0, F.repeat(F.right(canon, F.lit(1)), longer.cast("int"))).otherwise("")), h)
         name = F.when(ending.isNull() | (F.length(base) < 3), base).otherwise(F.concat(F.substring(base, F.lit(1), F.length(base) - 1), ending))
-        return F.when(kind == "phone", phone).when(kind == "ssn", social).when(kind == "ip", ip).when(kind == "card", card).when(kind == "email", email).otherwise(name)
+        return F.when(kind == "phone", phone).when(kind == "ssn", social).when(kind == "ip", ip).when(kind == "ip6", hexed).when(kind == "iban", account).when(kind == "card", card).when(kind == "email", email).otherwise(name)
 
     return let(F.sha2(F.concat_ws("|", F.lit(key), kind, canon, attempt.cast("string")), 512), made)
 
@@ -190,13 +254,18 @@ def in_format(kind: Column, value: Column, core: Column) -> Column:
         replaced = F.substring(core, (F.length(core) - from_end + 1).cast("int"), F.lit(1))
         return F.when(c.rlike("^[0-9]$") & (from_end <= F.length(core)), replaced).otherwise(c)
 
+    def alike(c: Column, i: Column) -> Column:
+        place = F.length(F.replace(F.substring(value, F.lit(1), (i + 1).cast("int")), F.lit(" "), F.lit("")))
+        return F.when(c == " ", c).otherwise(F.substring(core, place, F.lit(1)))
+
     number = F.array_join(F.transform(F.split(value, ""), char), "")
+    account = F.array_join(F.transform(F.split(value, ""), alike), "")
     upper = (value == F.upper(value)) & (value != F.lower(value))
     cased = F.when(upper & (F.length(value) > 1), F.upper(core)).when(kind == "email", core).otherwise(F.concat(F.upper(F.substring(core, 1, 1)), F.substring(core, 2, 1000)))
-    return F.when(kind.isin("phone", "ssn", "card") & (own != ""), number).when(kind == "ip", core).otherwise(cased)
+    return F.when(kind.isin("phone", "ssn", "card") & (own != ""), number).when(kind.isin("ip", "ip6"), core).when(kind == "iban", account).otherwise(cased)
 
 
-def attempts(found: DataFrame, key: str = KEY) -> DataFrame:
+def attempts(found: DataFrame, key: str) -> DataFrame:
     """(kind, canon, attempt) of the entities whose first surrogate collides. found: a column ``entities``."""
     family = F.when(F.col("kind").startswith("given"), F.lit("given")).otherwise(F.col("kind"))
     every = cut(found.select(F.explode("entities").alias("e")).select("e.kind", "e.canon").distinct())
@@ -214,7 +283,7 @@ def attempts(found: DataFrame, key: str = KEY) -> DataFrame:
     raise RuntimeError(f"surrogates still collide after {MAX_ROUNDS} rounds: a kind has more entities than its format allows")
 
 
-def pseudonymise(docs: DataFrame, key: str = KEY, id_col: str = "doc_id", text_col: str = "text", max_later: int = MAX_LATER) -> DataFrame:
+def pseudonymise(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text", max_later: int = MAX_LATER) -> DataFrame:
     """doc_id, text with surrogates, n_entities and kinds (in order of the text, comma-joined) of every document."""
     given = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("original"))
     found = given.withColumn("entities", entities(clean(F.col("original"))))

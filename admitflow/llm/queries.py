@@ -86,4 +86,4 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from admitflow.llm.pii import pseudonymise
 
-    return pseudonymise(read(spark, sf_dir, "documents"))
+    return pseudonymise(read(spark, sf_dir, "documents"), key="the key of this corpus")

@@ -26,15 +26,16 @@ def clean(text: Column) -> Column:
     return F.replace(F.coalesce(text.cast("string"), F.lit("")), F.lit(MARK), F.lit(MARK_AS))
 
 
-def pieces(text: Column, pattern: str) -> Column:
+def pieces(text: Column, pattern: str | Column) -> Column:
     """Other text and matches of ``pattern`` in turn, beginning with other text (maybe empty)."""
-    return F.split(F.regexp_replace(text, f"(?:{pattern})", f"{MARK}$0{MARK}"), MARK)
+    found = F.concat(F.lit("(?:"), pattern, F.lit(")")) if isinstance(pattern, Column) else F.lit(f"(?:{pattern})")
+    return F.split(F.regexp_replace(text, found, F.lit(f"{MARK}$0{MARK}")), MARK)
 
 
-def matches(text: Column, pattern: str, keep: Callable[[Column], Column] | None = None) -> Column:
+def matches(text: Column, pattern: str | Column, keep: Callable[[Column], Column] | None = None) -> Column:
     """array<struct<start, end, value>> of the non-overlapping matches that ``keep`` accepts, by start.
 
-    ``text`` must be :func:`clean`, and ``pattern`` without numbered back references.
+    ``text`` must be :func:`clean`, and ``pattern`` (a column where each row has its own) without numbered back references.
     """
     kind = "array<struct<start:bigint,end:bigint,value:string>>"
     state = f"struct<at:bigint,odd:boolean,found:{kind}>"
@@ -47,7 +48,7 @@ def matches(text: Column, pattern: str, keep: Callable[[Column], Column] | None
 
     start = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit(False).alias("odd"), F.array().cast(kind).alias("found")).cast(state)
     found = F.aggregate(pieces(text, pattern), start, step, lambda acc: acc["found"])
-    return F.when(text.rlike(pattern), found).otherwise(F.array().cast(kind))
+    return F.when(F.rlike(text, pattern if isinstance(pattern, Column) else F.lit(pattern)), found).otherwise(F.array().cast(kind))
 
 
 def replace_spans(text: Column, spans: Column, value: Callable[[Column], Column]) -> Column:

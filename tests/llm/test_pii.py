@@ -1,6 +1,6 @@
+import random
 import re
 
-import admitflow.llm.pii as pii
 from admitflow.llm.pii import pseudonymise
 from admitflow.session import read
 
@@ -9,7 +9,7 @@ SCHEMA = "doc_id long, text string, entities int, later string"
 
 def rewrite(spark, rows, **options):
     docs = spark.createDataFrame([(*r, 1, "c") for r in rows], SCHEMA)
-    return {r.doc_id: r for r in pseudonymise(docs, **options).collect()}
+    return {r.doc_id: r for r in pseudonymise(docs, **({'key': 'k1'} | options)).collect()}
 
 
 def luhn(s):
@@ -31,8 +31,8 @@ def test_types_and_formats(spark):
 
 def test_persons_keep_gender_script_case_and_coreference(spark):
     got = rewrite(spark, [(1, "Mrs. Jane Doe met MR DOE and John Doe."), (2, "Госпожа Анна Петрова"), (3, "Herr Müller ist da"), (4, "the mr and Mary had"), (5, "Anna Doe")])
-    m = re.fullmatch(r"Mrs\. (\w+a) (\w+) met MR DOE and (\w+n) (\w+)\.", got[1].text)
-    assert m and m[2] == m[4] and m[2] not in ("Doe", "DOE") and len(m[2]) == 3
+    m = re.fullmatch(r"Mrs\. (\w+a) (\w+) met MR ([A-Z]+) and (\w+n) (\w+)\.", got[1].text)
+    assert m and m[2] == m[5] and m[3] == m[2].upper() and m[2] not in ("Doe", "DOE") and len(m[2]) == 3
     n = re.fullmatch(r"Госпожа ([А-Яа-яё]+а) ([А-Яа-яё]+)", got[2].text)
     assert n and n[1] != "Анна" and n[2] != "Петрова"
     assert re.fullmatch(r"Herr [A-Z][a-z]{5} ist da", got[3].text) and "Müller" not in got[3].text
@@ -47,22 +47,55 @@ def test_collisions_are_resolved(spark):
     assert len(after) == len(before) and not after & before
     joined = rewrite(spark, rows, max_later=0)
     assert all(joined[i].text == got[i].text for i, _ in rows)
-    assert rewrite(spark, [(999, rows[3][1]), *rows], key=pii.KEY)[999].text == got[3].text
+    assert rewrite(spark, [(999, rows[3][1]), *rows], key='k1')[999].text == got[3].text
 
 
 def test_empty_and_repeated(spark):
     assert rewrite(spark, []) == {}
     docs = spark.createDataFrame([(1, "a@b.org"), (1, "a@b.org"), (None, "a@b.org")], "doc_id long, text string")
-    assert len({r.text for r in pseudonymise(docs).collect()}) == 1
+    assert len({r.text for r in pseudonymise(docs, 'k1').collect()}) == 1
 
 
 def test_whole_table(spark, sf_dir):
     docs = {r.doc_id: r.text for r in read(spark, sf_dir, "documents").collect()}
     email, phone = re.compile(r"[\w.]+@[\w.]+\.\w+"), re.compile(r"\+1 \(\d{3}\) \d{3}-\d{4}")
-    got = pseudonymise(read(spark, sf_dir, "documents")).collect()
+    got = pseudonymise(read(spark, sf_dir, "documents"), "k1").collect()
     assert len(got) == len(docs)
     for r in got:
         assert (r.text == docs[r.doc_id]) == (r.n_entities == 0)
         for p in (email, phone):
             old, new = p.findall(docs[r.doc_id] or ""), p.findall(r.text or "")
             assert len(old) == len(new) and not set(old) & set(new)
+
+
+def test_nothing_of_the_probe_stays(spark):
+    text = "MR SMITH, Dr. Olga Petrova, Priya Sharma and Wei Zhang met John Smith; later Smith and SHARMA left. My name is Tarek El-Amin. Blacksmith smiths smith."
+    numbers = "Ring +44 20 7946 0958, +1 521 555 6210, +33 521 555 6210 or 521 555 6210; DE89 3704 0044 0532 0130 00, 2001:db8:0:1:1:1:1:1 and fe80::1ff:fe23:4567:890a at 12:34:56."
+    got = rewrite(spark, [(1, text), (2, numbers), (3, "DE88 3704 0044 0532 0130 00 is none, nor std::cout or +123")])
+    for name in ("SMITH", "Smith", "Olga", "Petrova", "Priya", "Sharma", "SHARMA", "Wei", "Zhang", "John", "Tarek", "Amin"):
+        assert not re.search(rf"\b{name}\b", got[1].text), name
+    assert got[1].text.endswith("Blacksmith smiths smith.")
+    m = re.fullmatch(r"Ring (\+44 \d\d \d{4} \d{4}), (\+1 \d{3} \d{3} \d{4}), (\+33 \d{3} \d{3} \d{4}) or (\d{3} \d{3} \d{4}); (DE\d\d(?: \d{4}){4} \d\d), ([0-9a-f:]+) and (\S+) at 12:34:56\.", got[2].text)
+    assert m and m[1] != "+44 20 7946 0958" and m[2] == f"+1 {m[4]}" and m[3][4:] != m[4] and m[4] != "521 555 6210"
+    assert int(re.sub("[A-Z]", lambda c: str(ord(c[0]) - 55), m[5].replace(" ", "")[4:] + m[5][:4])) % 97 == 1
+    assert m[6] != "2001:db8:0:1:1:1:1:1" and "fe23" not in m[7] and m[6].count(":") == 7
+    assert got[3].n_entities == 0
+
+
+def test_against_brute_force(spark):
+    """Equal entities get equal surrogates, different ones different, in every document; text around them stays."""
+    rng = random.Random(2)
+    emails = [f"{a}{b}.{c}@mail{d}.org" for a in "abc" for b in "xy" for c in "qr" for d in (1, 22)]
+    phones = [f"({rng.randrange(200, 999)}) {rng.randrange(200, 999)}-{rng.randrange(1000, 9999)}" for _ in range(30)]
+    rows, parts = [], {}
+    for k in range(60):
+        parts[k] = [rng.choice(emails + phones) for _ in range(rng.randrange(6))]
+        rows.append((k, "".join(f"w{i} é: {p} " for i, p in enumerate(parts[k])) + "end"))
+    got = rewrite(spark, rows)
+    known: dict = {}
+    for k, found in parts.items():
+        split = re.fullmatch("".join(f"w{i} é: (.+?) " for i in range(len(found))) + "end", got[k].text)
+        assert split and got[k].n_entities == len(found)
+        for old, new in zip(found, split.groups(), strict=True):
+            assert known.setdefault(old, new) == new != old
+    assert len(set(known.values())) == len(known) and not set(known.values()) & set(known)
