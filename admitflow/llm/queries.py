@@ -10,22 +10,55 @@ QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
 
 
-def query(f):
+def query(f=None, sql: str | None = None):
+    if f is None:
+        return lambda g: query(g, sql)
     QUERIES[f.__name__] = f
+    if sql:
+        ORACLE[f.__name__] = sql
     return f
 
 
-@query
+#: Places and words of every text; ASCII white space alone divides words, so all other spaces are part of one.
+WORDS = r"w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \t\n\x0b\x0c\r]+'), lambda x: x <> '') AS words FROM documents)"
+
+REPEATS = rf"""WITH {WORDS}, t AS (SELECT doc_id, unnest(words) AS word, unnest(range(len(words))) AS pos FROM w),
+s AS (SELECT doc_id, pos, word, CASE WHEN count(*) OVER ahead = 50 THEN string_agg(word, ' ') OVER ahead END AS win FROM t WINDOW ahead AS (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 49 FOLLOWING)),
+f AS (SELECT win, min(doc_id) AS least FROM s WHERE win IS NOT NULL GROUP BY 1), r AS (SELECT s.doc_id, s.pos, s.word, coalesce(f.least < s.doc_id, false) AS starts FROM s LEFT JOIN f USING (win)),
+k AS (SELECT doc_id, pos, word, bool_or(starts) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS gone FROM r),
+g AS (SELECT doc_id, count(*) FILTER (gone) AS n_removed, sha256(coalesce(string_agg(word, ' ' ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256 FROM k GROUP BY 1)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, coalesce(kept_sha256, sha256('')) AS kept_sha256 FROM w LEFT JOIN g USING (doc_id)"""
+
+ESCAPED = r"length(x) + length(x) - length(replace(replace(replace(replace(x, '<', ''), '[', ''), '|', ''), '', ''))"
+CHATS = rf"""WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text, role AS r, text AS t FROM conversations UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]', 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]', 'assistant', '</s>[INST] ok [/INST]')
+SELECT CAST(conv_id AS BIGINT) AS conv_id, count(*) AS n_turns, sha256(string_agg(concat(role, chr(10), text, chr(10)), '' ORDER BY turn NULLS FIRST, r NULLS FIRST, t NULLS FIRST)) AS turns_sha256,
+CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, r NULLS FIRST, t NULLS FIRST) FILTER (role = 'assistant'), '')) AS loss_sha256,
+CAST(sum(8 + {ESCAPED.replace('x', 'role')} + 8 + {ESCAPED.replace('x', 'text')} + 7) AS BIGINT) AS formatted_chars FROM c GROUP BY conv_id"""
+
+LETTERS = lambda kind: rf"length(text) - length(regexp_replace(text, '\p{{{kind}}}', '', 'g'))"
+QUALITY = rf"""WITH {WORDS}, d AS (SELECT doc_id, words, coalesce(text, '') AS text, string_split(coalesce(text, ''), chr(10)) AS lines FROM w JOIN documents USING (doc_id)),
+t AS (SELECT doc_id, unnest(range(len(words) - 2)) AS pos, unnest(list_zip(words, words[2:], words[3:])[1:len(words) - 2]) AS win FROM w WHERE len(words) >= 3),
+r AS (SELECT doc_id, pos, count(*) OVER (PARTITION BY doc_id, win) > 1 AS twice FROM t), p AS (SELECT doc_id, unnest([pos, pos + 1, pos + 2]) AS pos FROM r WHERE twice), n AS (SELECT doc_id, count(DISTINCT pos) AS n_repeat_words FROM p GROUP BY 1),
+m AS (SELECT doc_id, text, lines, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(words, lambda x: length(x))), 0) AS BIGINT) AS word_chars, length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+list_filter(lines, lambda x: regexp_matches(x, '[^ 	
+
+]')) AS filled FROM d),
+q AS (SELECT *, CAST(len(filled) - len(list_distinct(filled)) AS BIGINT) AS n_dup_lines, coalesce(n_repeat_words, 0) AS repeats FROM m LEFT JOIN n USING (doc_id)), b AS (SELECT *, n_words < 50 OR 100 * repeats > 50 * n_words AS base_failed FROM q)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, repeats AS n_repeat_words, base_failed, NOT (base_failed OR n_symbols > n_words OR word_chars < 2 * n_words OR word_chars > 40 * n_words OR 2 * n_dup_lines > len(lines)
+OR 2 * ({LETTERS('Lu')}) > ({LETTERS('L')}) OR 2 * ({LETTERS('L')}) < word_chars OR 2 * len(list_filter(lines, lambda x: regexp_matches(x, '(\.\.\.|…)[ 	]*$'))) > len(lines)) AS kept FROM b"""
+
+
+@query(sql=CHATS)
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     from admitflow.llm.chat import digest_chats, format_chats
 
     chats = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
     extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
-    return digest_chats(format_chats(chats.unionByName(extra)))
+    return digest_chats(format_chats(chats.unionByName(extra))).drop("n_tokens", "n_loss_tokens")
 
 
-@query
+@query(sql=QUALITY)
 def op5_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     from admitflow.llm.quality import quality
 
@@ -75,7 +108,7 @@ def op10_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_text(read(spark, sf_dir, "pages"))
 
 
-@query
+@query(sql=REPEATS)
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from admitflow.llm.substring import remove_repeats
 

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from admitflow.llm.spans import clean, let, matches, replace_spans
-from admitflow.session import cut
+from admitflow.session import cut, fresh
 
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]+"""
 ASSIGN_VALUE = r"""^(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)$"""
@@ -166,13 +166,22 @@ def digest(scanned: DataFrame) -> DataFrame:
     )
 
 
-def redact(docs: DataFrame, text_col: str = "text", mask: str = "[SECRET]", fdr: float = FDR) -> DataFrame:
-    """``docs`` with every span replaced by ``mask``; all rows and columns stay, a null text stays null."""
-    text, base, more = "__secret_text", "__secret_base", "__secret_candidates"
+def redact(docs: DataFrame, text_col: str = "text", mask: str = "[SECRET]", fdr: float = FDR, length_col: str | None = None) -> DataFrame:
+    """``docs`` with every span replaced by ``mask``; all rows and columns stay, whatever their names, and a null text stays null.
+
+    ``length_col``: a column that holds the text's length, which follows where the text has changed.
+    """
+    own = fresh(docs)
+    text, base, more, new = (f"{own}{x}" for x in ("text", "base", "candidates", "masked"))
     based = docs.withColumn(text, clean(F.col(text_col))).withColumn(base, base_spans(F.col(text)))
     found = based.withColumn(more, candidates(F.col(text), F.col(base)))
     limits = thresholds(found.select(F.col(more).alias("candidates")), fdr)
     spans = spans_of(F.col(base), discovered(F.col(more), limits))
     original = F.col(text_col)
-    masked = let(spans, lambda s: F.when(F.size(s) == 0, original).otherwise(replace_spans(original, s, lambda _: F.lit(mask))))
-    return found.withColumn(text_col, F.when(original.isNull(), original).otherwise(masked)).select(*docs.columns)
+    masked = let(spans, lambda s: F.when((F.size(s) == 0) | original.isNull(), original).otherwise(replace_spans(original, s, lambda _: F.lit(mask))))
+    out = found.withColumn(new, masked)
+    changed = {text_col: F.col(new)}
+    if length_col is not None:
+        changed[length_col] = F.when(F.col(new) == original, F.col(length_col)).otherwise(F.length(new).cast(docs.schema[length_col].dataType))
+        changed[length_col] = F.when(original.isNull(), F.col(length_col)).otherwise(changed[length_col])
+    return out.withColumns(changed).select(*(f"`{c}`" for c in docs.columns))

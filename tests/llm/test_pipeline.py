@@ -80,3 +80,32 @@ def test_stages(spark, sf_dir, tmp_path):
     final = corpus_pipeline.run(spark, sf_dir)
     assert final.columns[: len(docs.columns)] == docs.columns
     assert {r.doc_id for r in final.collect()} <= set(masked)
+
+
+def test_stages_on_odd_tables(spark, sf_dir):
+    """Nulls in any column, empty and long texts, ties, repeated rows, clashing names and an empty table."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long, __row int, __secret_text string, __chars int, mix_tokens string"
+    stems = {"en": ["the", "house", "river", "walks"], "de": ["das", "haus", "fluss", "geht"]}
+
+    def say(lang, k):
+        rng = random.Random(k)
+        return " ".join(rng.choice(stems[lang]) + rng.choice(["", "a", "e", "i", "o"]) + rng.choice(["", "n", "r"]) for _ in range(40))
+
+    rows = [(k, say(la, k), la, f"s{k % 2}", None, k, "x", 1, "t") for k, la in enumerate(["en", "de"] * 12)]
+    rows += [(100, None, None, None, 0, 1, "x", 1, "t"), (101, "", "en", "s", 0, 1, "x", 1, "t"), (102, "12 34", "en", "s", 5, 1, "x", 1, "t"), (None, say("en", 50), None, None, None, 1, None, None, None)]
+    rows += [(7, say("de", 7), "de", "s1", None, 7, "x", 1, "t")] * 2 + [(103, 'token = "abcDEF123456789" ' + say("en", 77), "en", "s", 9, 1, "x", 1, "t"), (104, "the house " * 20_000, "en", "s", 9, 1, "x", 1, "t")]
+    docs = spark.createDataFrame(rows, schema)
+    frame = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        frame = stage(spark, frame, sf_dir)
+        assert frame.dtypes == docs.dtypes, name
+        empty = stage(spark, docs.limit(0), sf_dir)
+        assert empty.dtypes == docs.dtypes and empty.count() == 0
+    got = {r.doc_id: r for r in frame.collect()}
+    assert not {100, 101, 102} & set(got) and {103, 104, None} <= set(got) and got[7]["__row"] == 7
+    assert got[103].text.startswith("[SECRET]") or "abcDEF123456789" not in got[103].text
+    assert got[103].n_chars == len(got[103].text) and got[104].n_chars == 9 and got[103]["__secret_text"] == "x"
+    final = corpus_pipeline.STAGES[-1][1](spark, frame, sf_dir)
+    assert len({c.lower() for c in final.columns}) == len(final.columns)
+    assert {r.doc_id for r in final.collect()} <= set(got)
+    assert corpus_pipeline.STAGES[-1][1](spark, docs.limit(0), sf_dir).count() == 0
