@@ -4,6 +4,12 @@ Every stage takes (spark, docs, sf_dir) and returns a DataFrame; between stages
 the documents are written as Parquet and read again, so that a lost executor
 costs its own stage only. All stages but the last return the columns of
 ``documents``; the last adds the mixing columns to the documents it samples.
+
+Defined results of every stage: rows with null id, language, source or text are
+judged like any other (a null text goes in the first stage); rows that are equal
+in all columns are one from the near-dedup stage on, before it each stays; ties
+go to the smallest id; an empty table stays empty; further columns pass, whatever
+their names (but those named as a mixing result, which the last stage replaces).
 """
 
 from __future__ import annotations
@@ -11,7 +17,6 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from admitflow.llm.decontam import decontaminate
 from admitflow.llm.langid import keep_identified
@@ -22,12 +27,12 @@ from admitflow.session import checkpoint_dir, read
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a recognised language go."""
+    """Documents without a recognised language go: null and empty texts, texts without letters, and those under half a chance."""
     return keep_identified(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays."""
+    """One document of each group of near-duplicates stays (5-word shingles, similarity 0.8): the one of the smallest id."""
     return keep_one(docs)
 
 
@@ -37,16 +42,12 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are masked; n_chars follows the text. No document goes."""
-    if "n_chars" not in docs.columns:
-        return redact(docs)
-    masked = redact(docs.withColumn("__chars", F.length("text")))
-    chars = F.when(F.length("text") == F.col("__chars"), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType))
-    return masked.withColumn("n_chars", chars).select(*docs.columns)
+    """Secrets are masked, and n_chars follows the text where it has changed. No document goes."""
+    return redact(docs, length_col="n_chars" if "n_chars" in docs.columns else None)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents sampled towards the target weights."""
+    """Documents sampled towards the target weights, with the mixing columns."""
     return mix(docs).where("mix_sampled").drop("mix_sampled")
 
 
