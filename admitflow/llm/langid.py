@@ -24,6 +24,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -39,6 +40,8 @@ WEIGHTS = {n: 0.7 ** (LONGEST + 1 - n) for n in range(1, LONGEST + 1)}
 SAMPLE_DOCS, MAX_ENTRIES, MAX_MODEL, MAX_LANGS = 3000, 40_000, 4_000_000, 400
 #: Scores that a task remembers (words times languages), and words that count towards the confidence.
 REMEMBERED, CONFIDENT_WORDS = 4_000_000, 50
+#: Terms times languages of a kind that a task writes out at most (4 bytes each).
+DENSE = 4_000_000
 UNKNOWN = "und"
 
 
@@ -91,12 +94,33 @@ class Model:
             self.tables[kind] = dict(zip(terms.tolist(), range(len(terms)), strict=True)), np.append(first, len(own)), lang.astype(np.int32), more, unseen
         self.forget()
 
-    def score(self, kind: int, place: int) -> np.ndarray:
-        """A term's log frequencies relative to its likeliest language."""
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k not in ("full", "memory", "remembered")}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self.forget()
+
+    @cached_property
+    def full(self) -> dict[int, np.ndarray]:
+        """The kinds whose terms x languages are few enough to be written out in a task; the others are scored from their entries."""
+        out = {}
+        for kind, (terms, first, lang, more, unseen) in self.tables.items():
+            if len(terms) * len(self.langs) <= DENSE:
+                scores = np.tile(unseen.astype(np.float32), (len(terms), 1))
+                scores[np.repeat(np.arange(len(terms)), np.diff(first)), lang] += more
+                out[kind] = scores - scores.max(axis=1, keepdims=True) if len(terms) else scores
+        return out
+
+    def scores(self, kind: int, places: list[int]) -> np.ndarray:
+        """The terms' log frequencies relative to each one's likeliest language."""
+        if (full := self.full.get(kind)) is not None:
+            return full[places]
         _, first, lang, more, unseen = self.tables[kind]
-        out = unseen.copy()
-        out[lang[first[place] : first[place + 1]]] += more[first[place] : first[place + 1]]
-        return out - out.max()
+        out = np.tile(unseen.astype(np.float32), (len(places), 1))
+        for row, k in enumerate(places):
+            out[row, lang[first[k] : first[k + 1]]] += more[first[k] : first[k + 1]]
+        return out - out.max(axis=1, keepdims=True)
 
     def forget(self) -> None:
         self.memory: dict[str, int] = {}
@@ -108,7 +132,7 @@ class Model:
             places = self.tables[n][0] if n in self.tables else {}
             found = [k for gram in ([word] if n == 0 else grams(word, n)) if (k := places.get(gram)) is not None]
             if found:
-                return self.score(0, found[0]) if n == 0 else WEIGHTS[n] * np.mean([self.score(n, k) for k in found], axis=0)
+                return WEIGHTS.get(n, 1.0) * self.scores(n, found).mean(axis=0)
         return np.zeros(len(self.langs), np.float32)
 
     def words(self, words: np.ndarray) -> np.ndarray:

@@ -1,8 +1,10 @@
 import math
+import pickle
 import random
 import zlib
 from collections import Counter
 
+import numpy as np
 import pandas as pd
 
 from admitflow.llm.langid import LETTERS, LONGEST, WEIGHTS, Model, fit, grams, identify, predict
@@ -97,3 +99,7 @@ def test_many_languages_are_bounded(spark):
     model = fit(docs, max_model=3000)
     assert len(model.langs) == 300 and sum(len(t[2]) for t in model.tables.values()) <= 3000
     assert predict(docs, model).where("lang_pred = 'und'").count() == 0
+    sparse = pickle.loads(pickle.dumps(model))
+    sparse.full = {}
+    for word in ("wordaa", "common", "worzz", "q", "commons"):
+        assert np.allclose(model.word(word), sparse.word(word), atol=1e-4)
