@@ -147,11 +147,12 @@ def judged(pairs: DataFrame, tell: bool = True) -> DataFrame:
     """Pairs with thresholds, status, score, band and exclusion, and with ``tell`` the checks with their values and reasons."""
     if "has_text" not in pairs.columns:  # pairs made elsewhere, with their texts
         pairs = with_facts(pairs, course_facts() | applicant_facts() | {"major_words": major_words()})
-    out = pairs.withColumn("gpa_min", minimum_average(F.col("category"), F.col("business_core")))
-    out = out.withColumn("need_band", strictest_band(F.col("need_band"), *map(F.col, PARTS))).withColumns({"effects": gate_effects()} | ({"checks": gate_checks()} if tell else {}))
-    out = out.withColumn("status", decide(F.col("effects"))).withColumn("parts", score_parts(F.col("gpa"), F.col("gpa_min"), F.col("overall"), F.col("need_overall")))
-    out = out.withColumn("score", F.col("parts.score")).withColumn("band", band_of(F.col("score")))
-    return out.withColumn("exclusion", F.when(F.col("score").isNull(), "scoring_failed").otherwise(plan_exclusion()))
+    out = pairs.withColumns({"gpa_min": minimum_average(F.col("category"), F.col("business_core")), "need_band": strictest_band(F.col("need_band"), *map(F.col, PARTS))})
+    parts = score_parts(F.col("gpa"), F.col("gpa_min"), F.col("overall"), F.col("need_overall"))
+    out = out.withColumns({"effects": gate_effects(), "parts": parts} | ({"checks": gate_checks()} if tell else {}))
+    score = F.col("parts.score")
+    exclusion = F.when(score.isNull(), "scoring_failed").otherwise(plan_exclusion())
+    return out.withColumns({"status": decide(F.col("effects")), "score": score, "band": band_of(score), "exclusion": exclusion})
 
 
 def decisions(decided: DataFrame) -> DataFrame:

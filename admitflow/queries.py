@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from admitflow.functions import pages as P
 from admitflow.functions import text as T
 from admitflow.operators import browse as B
+from admitflow.operators import catalog as N
 from admitflow.operators import index as I
 from admitflow.operators import link as L
 from admitflow.operators import maintain as M
@@ -93,36 +94,34 @@ def scd2_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT c_custkey, c_name, o_orderkey, o_orderstatus FROM customer LEFT JOIN (SELECT * FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1) o ON c_custkey = o_custkey AND o_orderstatus <> 'P'")
 def current_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     last = M.latest(read(spark, sf_dir, "orders"), "o_custkey", [F.desc("o_orderdate"), F.desc("o_orderkey")])
-    rows = read(spark, sf_dir, "customer").join(last, (C("c_custkey") == C("o_custkey")) & (C("o_orderstatus") != "P"), "left")
-    return rows.select("c_custkey", "c_name", "o_orderkey", "o_orderstatus").orderBy("c_name", "c_custkey")
+    rows = N.snapshot(read(spark, sf_dir, "customer"), last, C("c_custkey") == C("o_custkey"), C("o_orderstatus") != "P", ["c_name", "c_custkey"])
+    return rows.select("c_custkey", "c_name", "o_orderkey", "o_orderstatus")
 
 
 @query("SELECT o_orderkey, c_name, o_orderpriority FROM orders JOIN customer ON o_custkey = c_custkey")
 def listing_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = read(spark, sf_dir, "orders").join(read(spark, sf_dir, "customer"), C("o_custkey") == C("c_custkey"))
-    return rows.select("o_orderkey", "c_name", "o_orderpriority").orderBy("c_name", "o_orderkey")
+    return N.listing(read(spark, sf_dir, "orders"), read(spark, sf_dir, "customer"), C("o_custkey") == C("c_custkey"), ["o_orderkey", "c_name", "o_orderpriority"], ["c_name", "o_orderkey"])
 
 
 @query("SELECT d.doc_id, d.source, l.quality FROM documents d JOIN labels l USING (doc_id) WHERE trim(d.text) <> '' AND d.lang = 'en'")
 def index_record_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
-    return docs.where("trim(text) <> '' and lang = 'en'").join(labels, "doc_id").select("doc_id", "source", "quality").orderBy("source", F.desc("doc_id"))
+    return N.index_records(docs.join(labels, "doc_id"), ["text"], ("lang", "en"), ["source", F.desc("doc_id")]).select("doc_id", "source", "quality")
 
 
 @query("""SELECT c_custkey, coalesce(o.url, e.event) AS url, coalesce(o.has_open, false) AS has_open, coalesce(e.failed, false) AS failed FROM customer
 LEFT JOIN (SELECT o_custkey, max(CASE WHEN o_orderstatus = 'F' THEN o_orderkey END) AS url, bool_or(o_orderstatus = 'O') AS has_open FROM orders GROUP BY 1) o ON o_custkey = c_custkey
 LEFT JOIN (SELECT user_id, max(event_id) AS event, bool_or(value < 5) AS failed FROM events GROUP BY 1) e ON user_id = c_custkey WHERE NOT coalesce(o.has_open, false) OR coalesce(e.failed, false)""")
 def seed_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = read(spark, sf_dir, "orders").groupBy(C("o_custkey").alias("c_custkey")).agg(F.max(F.when(C("o_orderstatus") == "F", C("o_orderkey"))).alias("order_url"), F.bool_or(C("o_orderstatus") == "O").alias("o"))
-    e = read(spark, sf_dir, "events").groupBy(C("user_id").alias("c_custkey")).agg(F.max("event_id").alias("event"), F.bool_or(C("value") < 5).alias("f"))
-    seeds = read(spark, sf_dir, "customer").select("c_custkey").join(o, "c_custkey", "left").join(e, "c_custkey", "left")
-    seeds = seeds.select("c_custkey", F.coalesce("order_url", "event").alias("url"), F.coalesce("o", F.lit(False)).alias("has_open"), F.coalesce("f", F.lit(False)).alias("failed"))
-    return seeds.where("not has_open or failed").orderBy("c_custkey")
+    orders = read(spark, sf_dir, "orders").withColumnRenamed("o_custkey", "c_custkey")
+    events = read(spark, sf_dir, "events").withColumnRenamed("user_id", "c_custkey")
+    seeds = N.seed_rows(read(spark, sf_dir, "customer"), orders, events, "c_custkey", "o_orderkey", "event_id", C("o_orderstatus") == "F", C("o_orderstatus") == "O", C("value") < 5)
+    return N.choose_seeds(seeds, "missing_or_retry", "c_custkey")
 
 
 @query("SELECT user_id, array_to_string(list_sort(list_distinct(list(event_type))), '|') AS kinds, count(*) AS n FROM events GROUP BY 1")
 def ordered_list_agg(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "events").groupBy("user_id").agg(joined(F.array_sort(F.collect_set("event_type"))).alias("kinds"), F.count("*").alias("n"))
+    return N.distinct_lists(read(spark, sf_dir, "events"), "user_id", "event_type", "kinds").withColumn("kinds", joined("kinds"))
 
 
 RULES = {"bad_value": "value >= 10", "bad_type": "event_type <> 'error'", "no_user": "user_id % 7 <> 0"}
@@ -305,7 +304,7 @@ def nested_json_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT event_id, key, value FROM (SELECT event_id, unnest(['type', 'k']) AS key, unnest([event_type, json_extract_string(props, '$.k')]) AS value FROM events)")
 def explode_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = F.create_map(F.lit("type"), C("event_type"), F.lit("k"), F.get_json_object("props", "$.k"))
-    return read(spark, sf_dir, "events").select("event_id", F.explode(made))
+    return N.map_rows(read(spark, sf_dir, "events"), "event_id", made)
 
 
 # --- what pages and their JSON say
@@ -501,13 +500,7 @@ def child_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def courses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Courses with parsed durations, intakes and scores."""
-    d, s = T.parse_duration(C("duration_text")), T.parse_score_text(C("english_text"))
-    raw = S.raw_courses(spark, sf_dir).withColumns({"d": d, "s": s, "intakes": T.parse_intakes(C("intake_text"))["months"], "degree": T.degree_type(C("course_name"))})
-    parts = [C(f"s.{p}").alias(p) for p in G.PARTS]
-    return raw.select(
-        "course_id", "course_name", "cricos", "academic_text", "english_text", "fee", "campus", "faculty", "school", "study_mode", "intakes", "degree", "tests_text",
-        C("d.min").alias("duration_min"), C("d.max").alias("duration_max"), C("s.overall").alias("need_overall"), C("s.min_band").alias("need_band"), *parts,
-    )
+    return N.course_records(S.raw_courses(spark, sf_dir)).drop("duration_text", "intake_text")
 
 
 NUMBERS = r"list_transform(regexp_extract_all(duration_text, '([0-9]+(?:\.[0-9]+)?)', 1), lambda x: CAST(x AS DOUBLE))"
@@ -585,9 +578,7 @@ def csv_export(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{COURSES} SELECT course_id, course_name FROM courses WHERE list_contains(intakes, 'FEB')")
 def open_in_intake(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = courses(spark, sf_dir)
-    months = rows.select("course_id", F.explode("intakes").alias("month")).where("month = 'FEB'")
-    return rows.join(months, "course_id").select("course_id", "course_name").orderBy("course_name", "course_id")
+    return N.open_in(courses(spark, sf_dir), "course_id", "FEB").select("course_id", "course_name")
 
 
 BROKEN = ", ".join(f"CASE WHEN NOT coalesce({v}, false) THEN '{k}' END" for k, v in CONSTRAINTS.items())
@@ -926,7 +917,7 @@ def recommend_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return planned.select("applicant_id", "course_id", "band", F.bround("score", 4).alias("score"), F.round("relevance", 6).alias("relevance"), "rank")
 
 
-@query(f"{SCORED} SELECT applicant_id, count(*) AS candidates, count_if(status = 'ELIGIBLE' AND exclusion IS NULL) AS planned, count_if(coalesce(band, '') = 'MATCH') AS match, count_if(coalesce(band, '') = 'SAFETY') AS safety FROM banded GROUP BY 1")
+@query(f"{SCORED} SELECT applicant_id, count(*) AS candidates, count_if(status = 'ELIGIBLE' AND exclusion IS NULL) AS planned, count_if(coalesce(band, '') = 'REACH') AS reach, count_if(coalesce(band, '') = 'MATCH') AS match, count_if(coalesce(band, '') = 'SAFETY') AS safety FROM banded GROUP BY 1")
 def response_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     planned = F.count_if((C("status") == "ELIGIBLE") & C("exclusion").isNull())
-    return decided(spark, sf_dir).groupBy("applicant_id").agg(F.count("*").alias("candidates"), planned.alias("planned"), F.count_if(C("band") == "MATCH").alias("match"), F.count_if(C("band") == "SAFETY").alias("safety"))
+    return decided(spark, sf_dir).groupBy("applicant_id").agg(F.count("*").alias("candidates"), planned.alias("planned"), F.count_if(C("band") == "REACH").alias("reach"), F.count_if(C("band") == "MATCH").alias("match"), F.count_if(C("band") == "SAFETY").alias("safety"))

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from admitflow.operators import browse as B
+from admitflow.operators import catalog as N
 from admitflow.operators import index as I
 from admitflow.operators import link as L
 from admitflow.operators import maintain as M
@@ -185,3 +186,21 @@ def test_embedder_is_deterministic_and_unit(spark):
     rows = spark.createDataFrame([(1, "a b c"), (2, "c b a"), (3, None)], "id long, text string")
     got = {r.id: np.array(r.embedding) for r in I.embed(rows, "id", "text").collect()}
     assert np.allclose(got[1], got[2]) and np.linalg.norm(got[1]) == pytest.approx(1) and not got[3].any()
+
+
+def test_catalogue(spark):
+    seeds = spark.createDataFrame([(1, "u", True, False), (2, None, False, False), (3, "v", True, True)], "k int, url string, has_open boolean, failed boolean")
+    assert [[r.k for r in N.choose_seeds(seeds, m, "k").collect()] for m in N.MODES] == [[1, 2, 3], [2], [3], [2, 3]]
+    assert N.choose_seeds(seeds, "all", "k", 2).count() == 2
+    texts = spark.createDataFrame([(1, " ", None), (2, "x", None), (3, None, "y")], "k int, a string, b string")
+    assert [r.k for r in N.index_records(texts, ["a", "b"], order=["k"], limit=5).collect()] == [2, 3]
+    documents = spark.createDataFrame([('{"a":"x"}',), ('{"a":["x","y"]}',), ('{"a":2}',), ("{}",), (None,)], "j string")
+    assert [r.t for r in documents.select(N.metadata_text(F.col("j"), "a").alias("t")).collect()] == ["x", "x, y", "2", None, None]
+
+
+def test_every_sort_puts_nulls_last(spark):
+    rows = spark.createDataFrame([(1, "b", 2.0, 1.0, 2.0, 6.5), (2, "a", None, None, None, None), (3, "c", 1.0, 2.0, 3.0, 7.0)], "id int, course_name string, fee double, duration_min double, duration_max double, overall double")
+    got = {o: [r.id for r in B.browse(rows, o, "id").collect()] for o in B.SORTS}
+    assert got == {"name": [2, 1, 3], "name_desc": [3, 1, 2], "fee": [3, 1, 2], "fee_desc": [1, 3, 2], "duration": [1, 3, 2], "duration_desc": [3, 1, 2], "score": [1, 3, 2], "score_desc": [3, 1, 2]}
+    flagged = spark.createDataFrame([(1, True, True), (2, True, None), (3, False, True)], "id int, a boolean, b boolean")
+    assert [r.id for r in B.facets(flagged, flags=("a", "b")).collect()] == [1]
