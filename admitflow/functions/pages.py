@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from admitflow.functions.text import FLAGS, NOTES, blank_to_null, collapse, contains_any, dedupe_folded, first_place, language_tests, let, normal_text, strip_html
+from admitflow.functions.text import FLAGS, NOTES, blank_to_null, collapse, contains_any, dedupe_folded, first_place, language_tests, let, normal_text, section_window, strip_html
 
 #: The parts of a page's JSON that are read, as schemas; other fields are skipped by the reader.
 MODEL = "struct<link:string,`:items`:struct<`nd-qualifications-pg`:struct<description:string,additionalText:string>,`nd-before-how-to-apply`:struct<description:string>,`nd-submit-how-to-apply`:struct<customOpenText:string>>>"
@@ -33,6 +33,32 @@ PARTS = ("listening", "reading", "speaking", "writing")
 TEST = "struct<test_name:string,overall:string,component_scores:map<string,string>,raw_text:string,source_url:string,source_type:string,source_priority:int>"
 
 
+#: Start and end markers of a page's blocks. (One end marker of the application block names a place; pass it in ``more_ends``.)
+BLOCKS = {
+    "academic": (
+        ("admission requirement", "admission requirements", "academic requirements", "entry requirements", "admission to candidature"),
+        ("credit for previous study", "how to apply", "fees", "careers", "what you'll study", "what you will study", "requirements for award"),
+    ),
+    "language": (
+        ("english language proficiency", "english language requirement", "english requirements", "english language skills"),
+        ("how to apply", "fees", "credit for previous study", "admission requirement"),
+    ),
+    "application": (
+        ("how to apply", "applications are made", "additional admission criteria", "limited places", "quota applies", "supplementary form", "portfolio"),
+        ("careers", "what you'll study", "fees"),
+    ),
+}
+
+
+def blocks(text: Column, more_ends: tuple[str, ...] = (), length: int = 2400) -> Column:
+    """struct<academic, language, application>: each from its earliest start marker to the earliest end marker behind it, else ``length`` characters; empty without a start."""
+
+    def of(clean: Column) -> Column:
+        return F.struct(*(section_window(clean, starts, ends + (more_ends if name == "application" else ()), length).alias(name) for name, (starts, ends) in BLOCKS.items()))
+
+    return let(normal_text(text), of)
+
+
 def fallback_academic(text: Column, length: int = 2400) -> Column:
     """From the earliest marker (else the start) to "requirements for award", else ``length`` characters."""
     low = F.lower(text)

@@ -210,14 +210,21 @@ def url_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "pages").select("page_id", T.canonical_url(C("url")).alias("canonical"), F.expr("parse_url(url, 'HOST')").alias("host"))
 
 
-PAGE = "concat('About ', course_name, '. Entry requirements: ', academic_text, CASE WHEN course_id % 3 = 0 THEN ' How to apply: online. ' ELSE ' ' END, 'Fees are due. ', academic_text)"
-STARTS, ENDS = ("admission requirement", "academic requirements", "entry requirements"), ("how to apply", "fees", "careers")
+PAGE = "concat('About ', course_name, '. Entry requirements: ', academic_text, ' English requirements: ', tests_text, CASE WHEN course_id % 3 = 0 THEN ' How to apply: online. ' ELSE ' ' END, CASE WHEN course_id % 4 = 0 THEN 'Fees are due. ' ELSE '' END, academic_text)"
 
 
-@query(WITH_COURSE + f""", t AS (SELECT course_id, {PAGE} AS text FROM course), a AS (SELECT *, least({', '.join(f"nullif(instr(lower(text), '{m}'), 0)" for m in STARTS)}) AS s FROM t),
-b AS (SELECT *, least({', '.join(f"nullif(instr(substr(lower(text), s + 1), '{m}'), 0)" for m in ENDS)}) + s AS e FROM a) SELECT course_id, coalesce(trim(substr(text, s, coalesce(e, s + 2400) - s)), '') AS academic FROM b""")
+def window_of(name: str) -> str:
+    """SQL: one block of the page text ``t``."""
+    starts, ends = P.BLOCKS[name]
+    quoted = [[m.replace("'", "''") for m in ms] for ms in (starts, ends)]
+    s = f"least({', '.join(f"nullif(instr(lower(t), '{m}'), 0)" for m in quoted[0])})"
+    e = f"(least({', '.join(f"nullif(instr(substr(lower(t), {s} + 1), '{m}'), 0)" for m in quoted[1])}) + {s})"
+    return f"coalesce(trim(substr(t, {s}, coalesce({e}, {s} + 2400) - {s})), '')"
+
+
+@query(WITH_COURSE + f", p AS (SELECT course_id, {duck_text(PAGE)} AS t FROM course) SELECT course_id, {', '.join(f'{window_of(n)} AS {n}' for n in P.BLOCKS)} FROM p")
 def section_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.raw_courses(spark, sf_dir).select("course_id", F.expr(PAGE).alias("text")).select("course_id", T.section_window(C("text"), STARTS, ENDS).alias("academic"))
+    return S.raw_courses(spark, sf_dir).select("course_id", P.blocks(F.expr(PAGE)).alias("b")).select("course_id", "b.*")
 
 
 @query(r"SELECT doc_id, trim(regexp_extract(text, '(?i)[^.]*licensed[^.]*\.?', 0)) AS sentence FROM documents WHERE text IS NOT NULL")
