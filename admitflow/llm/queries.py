@@ -47,6 +47,18 @@ q AS (SELECT *, CAST(len(filled) - len(list_distinct(filled)) AS BIGINT) AS n_du
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, repeats AS n_repeat_words, base_failed, NOT (base_failed OR n_symbols > n_words OR word_chars < 2 * n_words OR word_chars > 40 * n_words OR 2 * n_dup_lines > len(lines)
 OR 2 * ({LETTERS('Lu')}) > ({LETTERS('L')}) OR 2 * ({LETTERS('L')}) < word_chars OR 2 * len(list_filter(lines, lambda x: regexp_matches(x, '(\.\.\.|…)[ 	]*$'))) > len(lines)) AS kept FROM b"""
 
+PHRASES = r"""WITH d AS (SELECT coalesce(lang, 'und') AS lang, regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\n\x0b\x0c\r]') AS pieces FROM documents),
+p AS (SELECT lang, unnest(pieces) AS piece FROM d), w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[ \t]+'), lambda x: x <> '') AS ws FROM p),
+g AS (SELECT lang, m, unnest(list_transform(range(1, len(ws) - m + 2), lambda i: array_to_string(ws[i:i + m - 1], ' '))) AS phrase FROM w, (SELECT unnest([1, 2, 3, 4, 5]) AS m) WHERE len(ws) >= m),
+f AS (SELECT lang, m, phrase, count(*) AS a FROM g GROUP BY ALL HAVING count(*) >= 100), n AS (SELECT lang, sum(len(ws))::HUGEINT AS n FROM w GROUP BY 1),
+s AS (SELECT lang, a, string_split(phrase, ' ') AS ws, m AS size, unnest(range(2, m)) AS m FROM f WHERE m >= 3),
+h AS (SELECT lang, unnest(list_transform(range(1, size - m + 2), lambda i: array_to_string(ws[i:i + m - 1], ' '))) AS phrase, a FROM s), i AS (SELECT lang, phrase, max(a) AS held FROM h GROUP BY ALL),
+k AS (SELECT f.lang, f.phrase, f.a, string_split(f.phrase, ' ') AS ws, unnest(range(1, f.m)) AS k FROM f LEFT JOIN i USING (lang, phrase) WHERE f.m >= 2 AND (i.held IS NULL OR 100 * i.held < 100 * f.a)),
+c AS (SELECT k.lang, k.phrase, k.a, k.k, x.a AS l, y.a AS r, n.n, (1000::HUGEINT * k.a * n.n) // (x.a::HUGEINT * y.a) AS score FROM k JOIN n USING (lang)
+JOIN f x ON x.lang = k.lang AND x.phrase = array_to_string(ws[1:k.k], ' ') JOIN f y ON y.lang = k.lang AND y.phrase = array_to_string(ws[k.k + 1:], ' ')),
+b AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS cut FROM c), r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM b WHERE cut = 1)
+SELECT lang, rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score FROM r WHERE rank <= 2000"""
+
 
 @query(sql=CHATS)
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -120,3 +132,24 @@ def op2_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from admitflow.llm.pii import pseudonymise
 
     return pseudonymise(read(spark, sf_dir, "documents"), key="the key of this corpus")
+
+
+@query
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from admitflow.llm.whitening import whiten
+
+    return whiten(read(spark, sf_dir, "embeddings"), keep=["vec_id"])
+
+
+@query(sql=PHRASES)
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from admitflow.llm.collocations import collocations
+
+    return collocations(read(spark, sf_dir, "documents"))
+
+
+@query
+def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from admitflow.llm.licenses import scan_licenses
+
+    return scan_licenses(read(spark, sf_dir, "documents"))
