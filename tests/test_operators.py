@@ -1,4 +1,5 @@
 import random
+import re
 from difflib import SequenceMatcher
 from pathlib import Path
 
@@ -137,21 +138,60 @@ def test_positions_and_export(spark, tmp_path):
     assert spark.createDataFrame([(" ",), (" x ",)], "n string").select(S.clean_course_name(F.col("n")).alias("c")).select("c.*").collect() == [("", " ", "empty_course_name"), ("x", " x ", None)]
 
 
-def test_best_urls_against_brute_force(spark):
-    rng = random.Random(8)
-    words = ["master", "of", "data", "science", "art", "history", "law", "physics", "design", "research"]
-    names = [" ".join(rng.sample(words, 3)).title() for _ in range(60)]
-    urls = [f"https://x/courses/courses/{rng.choice(['pc', 'pr'])}/{'-'.join(n.lower().split())[: rng.choice([-1, None])]}.html" for n in rng.sample(names, 40)]
-    got = {r.name: (r.url, r.score) for r in L.best_urls(spark.createDataFrame([(n,) for n in names], "name string"), spark.createDataFrame([(u,) for u in urls], "url string")).collect()}
+def best_by_brute_force(names, urls):
+    out = {}
     for n in set(names):
-        research = "research" in n.lower()
-        scored = []
+        key, research, best = re.sub(r"\bthe\b", " ", n.lower()).split(), "research" in n.lower(), (0.0, "")
+        key = " ".join(key)
         for u in set(urls):
             slug = u.rsplit("/", 1)[1].removesuffix(".html").replace("-", " ")
-            score = SequenceMatcher(None, n.lower(), slug).ratio() + 0.08 * len(set(n.lower().split()) & set(slug.split()))
-            scored.append((-round(score + (0.25 if research and "/pr/" in u else 0.05 if not research and "/pc/" in u else 0), 6), u))
-        best = min(scored)
-        assert (got[n] == (best[1], -best[0])) if -best[0] >= 0.72 else n not in got
+            score = SequenceMatcher(None, key, slug).ratio() + 0.08 * len(set(key.split()) & set(slug.split()))
+            score += 0.25 if research and "/pr/" in u else 0.05 if not research and "/pc/" in u else 0
+            best = min(best, (-round(score, 6), u))
+        if -best[0] >= 0.72:
+            out[n] = best[1], -best[0]
+    return out
+
+
+def misspelt(rng, text):
+    """Every fourth letter changed, or letters lost, doubled or swapped."""
+    how = rng.randrange(4)
+    if how == 0:
+        return "".join(rng.choice("abcdefghij") if k % 4 == 3 and c != " " else c for k, c in enumerate(text))
+    out = list(text)
+    for _ in range(rng.randrange(1, 6)):
+        k = rng.randrange(len(out))
+        out[k] = ["", out[k] * 2, rng.choice("aeiou")][how - 1]
+    return "".join(out)
+
+
+def test_best_urls_lose_no_match(spark):
+    """1,000 misspelt names of one to six words, as :func:`best_by_brute_force` finds them."""
+    rng = random.Random(8)
+    words = "master of data science art history law physics design research nursing the applied music food health land water urban".split()
+    titles = [" ".join(rng.sample(words, rng.randrange(1, 7))) for _ in range(150)] + [" ".join(rng.choices(words, k=14)) for _ in range(5)]
+    urls = [f"https://x/courses/courses/{rng.choice(['pc', 'pr', 'other'])}/{'-'.join(n.replace('the', '').split())}.html" for n in titles if n != "the"]
+    names = [misspelt(rng, rng.choice(titles)).title() for _ in range(1000)]
+    frames = spark.createDataFrame([(n,) for n in [*names, None, "", names[0]]], "name string"), spark.createDataFrame([(u,) for u in [*urls, None, urls[0]]], "url string")
+    want = best_by_brute_force(names, urls)
+    assert 500 < len(want)
+    for block in (2048, 300):
+        assert {r.name: (r.url, r.score) for r in L.best_urls(*frames, block=block).collect()} == want
+    assert L.best_urls(frames[0], frames[1].limit(0)).count() == L.best_urls(frames[0].limit(0), frames[1]).count() == 0
+
+
+def test_bounds_of_the_ratio():
+    rng = random.Random(5)
+    texts = ["".join(rng.choices("abcd é", k=rng.randrange(1, 70))) for _ in range(300)]
+    a, b = texts[::2], texts[1::2]
+    for x, y, n in zip(a, b, L.subsequence_lengths(a, b).tolist(), strict=True):
+        table = [0] * (len(y) + 1)
+        for c in x:
+            last = 0
+            for j, d in enumerate(y, 1):
+                last, table[j] = table[j], last + 1 if c == d else max(table[j], table[j - 1])
+        assert n == (table[-1] if max(len(x), len(y)) <= 63 else min(len(x), len(y)))
+        assert 2 * n / (len(x) + len(y)) >= SequenceMatcher(None, x, y).ratio() - 1e-12
 
 
 def test_currency(spark):
