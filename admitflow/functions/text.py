@@ -172,8 +172,8 @@ def snippet(text: Column, keywords: Column, limit: int = 240, before: int = 80)
     return let(collapse(text), of)
 
 
-#: Degree types in the order of their test; the longer of two that overlap comes first.
-DEGREES = ("master", "graduate diploma", "graduate certificate", "juris doctor", "doctor", "phd")
+#: Degree types in the order of their test.
+DEGREES = ("master", "graduate diploma", "graduate certificate", "doctor", "juris doctor", "phd")
 
 
 def degree_type(name: Column) -> Column:

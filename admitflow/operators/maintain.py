@@ -29,8 +29,8 @@ def upsert(base: DataFrame, delta: DataFrame, key: str, keep: Sequence[str] = ()
     return joined.select(*(touched.get(c, value(c)).alias(c) for c in base.columns))
 
 
-def replace_requirements(base: DataFrame, delta: DataFrame, parent: str, source: str, only_source: bool = True) -> DataFrame:
-    """Versions of the parents in ``delta`` go (of ``source`` alone, or with ``only_source=False`` all), and its rows come as current version 1 of ``source``.
+def replace_requirements(base: DataFrame, delta: DataFrame, parent: str, source: str, only_source: bool = False) -> DataFrame:
+    """All versions of the parents in ``delta`` go (with ``only_source`` those of ``source`` alone), and its rows come as current version 1 of ``source``.
 
     base: parent, requirement_version, requirement_source, is_current and content; delta: parent and content.
     """

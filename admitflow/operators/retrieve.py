@@ -8,11 +8,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from admitflow.functions.text import snippet
 
-#: Query vectors in one broadcast block, and keywords looked for at once; more pass block by block.
-QUERY_BLOCK, KEYWORD_BLOCK = 4096, 4096
+#: Query vectors in one broadcast block, and keywords of one automaton; more pass block by block.
+QUERY_BLOCK, KEYWORD_BLOCK = 4096, 100_000
 #: Weights of a keyword's field.
 FIELD_WEIGHTS = {"course_name": 0.55, "course_name_raw": 0.45, "cricos": 0.30, "academic_requirement_text": 0.25, "raw_english_requirement": 0.15}
 EVIDENCE = "array<struct<text:string,source_url:string,source:string>>"
@@ -31,21 +32,48 @@ def keyword_score(mask: Column, fields: dict[str, str], weights: dict[str, float
 def keyword_hits(rows: DataFrame, words: DataFrame, fields: dict[str, str], keep: Sequence[str], block: int = KEYWORD_BLOCK) -> DataFrame:
     """(keep, keyword, mask): the rows that hold each of ``words`` (keyword) in a field, any case; bit k of the mask is the k-th field.
 
-    A row's fields are lower-cased once and searched for a block of keywords at a time, so any number of keywords passes.
+    A row's fields are lower-cased once and pass one automaton of all keywords of a
+    block, so the cost of a row is its length and its hits, whatever the number of keywords; any number passes, in blocks.
+    The empty keyword is in every field.
     """
-    words = words.select("keyword").where("keyword is not null").distinct()
+    import ahocorasick
+
+    words = words.select("keyword", F.lower("keyword").alias("low")).where("keyword is not null").distinct()
     blocks = max(1, -(-words.count() // block))
     lows = rows.select(*keep, *(F.lower(F.coalesce(F.col(c).cast("string"), F.lit(""))).alias(f"__low_{k}") for k, c in enumerate(fields.values())))
+    kinds = [f for f in lows.schema.fields if f.name in keep]
     out = None
     for b in range(blocks):
-        own = [r["keyword"] for r in words.where(F.pmod(F.xxhash64("keyword"), F.lit(blocks)) == b).orderBy("keyword").collect()]
-
-        def found(w: Column) -> Column:
-            mask = sum(F.when(F.contains(F.col(f"__low_{k}"), F.lower(w)), 1 << k).otherwise(0) for k in range(len(fields)))
-            return F.struct(w.alias("keyword"), mask.cast("int").alias("mask"))
+        own: dict[str, list[str]] = {}
+        for r in words.where(F.pmod(F.xxhash64("keyword"), F.lit(blocks)) == b).orderBy("keyword").collect():
+            own.setdefault(r["low"], []).append(r["keyword"])
+        shared = rows.sparkSession.sparkContext.broadcast(own)
 
-        hits = F.filter(F.transform(F.array(*map(F.lit, own)).cast("array<string>"), found), lambda h: h["mask"] > 0)
-        part = lows.select(*keep, F.inline(hits))
+        def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            own = shared.value
+            automaton = ahocorasick.Automaton()
+            for low, names in own.items():
+                if low:
+                    automaton.add_word(low, names)
+            automaton.make_automaton()
+            every = dict.fromkeys(own.get("", []), (1 << len(fields)) - 1)
+            for batch in batches:
+                at, keywords, masks = [], [], []
+                texts = [batch.column(len(keep) + k).to_pylist() for k in range(len(fields))]
+                for row in range(batch.num_rows):
+                    found = dict(every)
+                    for k in range(len(fields)):
+                        if len(automaton):
+                            for _, names in automaton.iter(texts[k][row]):
+                                for name in names:
+                                    found[name] = found.get(name, 0) | 1 << k
+                    at += [row] * len(found)
+                    keywords += found
+                    masks += found.values()
+                rows_hit = pa.array(at, pa.int64())
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(rows_hit) for c in range(len(keep))), pa.array(keywords, pa.string()), pa.array(masks, pa.int32())], [*keep, "keyword", "mask"])
+
+        part = lows.mapInArrow(search, StructType([*kinds, StructField("keyword", StringType()), StructField("mask", IntegerType())]))
         out = part if out is None else out.unionAll(part)
     return out
 
@@ -72,11 +100,11 @@ def match_reason(hits: Column, keywords: Column) -> Column:
     return F.concat(F.lit("Keyword matched "), F.array_join(hits, ", "), F.lit(" for: "), F.array_join(keywords, ", "))
 
 
-def keyword_evidence(hits: Column, keywords: Column, fields: dict[str, str], url: Column | None = None) -> Column:
-    """Snippets of the hit fields that hold text: array<struct<text, source_url, source>>."""
+def keyword_evidence(keywords: Column, fields: dict[str, str], url: Column | None = None) -> Column:
+    """A snippet of every field that holds text, around its first keyword or else its start: array<struct<text, source_url, source>>."""
     where = F.lit(None).cast("string") if url is None else url
     made = F.array(*(F.struct(snippet(F.col(c), keywords).alias("text"), where.alias("source_url"), F.lit(n).alias("source")) for n, c in fields.items())).cast(EVIDENCE)
-    return F.filter(made, lambda e: (e["text"] != "") & F.array_contains(hits, e["source"]))
+    return F.filter(made, lambda e: e["text"] != "")
 
 
 def dedupe_evidence(evidence: Column, limit: int = 3) -> Column:
@@ -206,26 +234,37 @@ def of_model(vectors: DataFrame, model: str) -> DataFrame:
 def merge_hits(keyword: DataFrame, vector: DataFrame | None, key: Sequence[str], n: int = 50, bonus: float = 0.15, most: float = 1.5, evidence_limit: int = 3) -> DataFrame:
     """Hybrid candidates: keyword_score, vector_score (best of a course), combined_score, degraded and rank <= ``n``.
 
-    Both above 0 add up with a bonus, ``most`` at most; else the larger counts. Without
-    vectors the keyword hits go on alone and are marked as degraded. keyword and
-    vector: the key columns (query first) and their score, and in both or neither ``reason`` and
-    ``evidence``: reasons are joined, keyword first, then chunks by score; snippets are deduplicated.
+    Both above 0 add up with a bonus, ``most`` at most; else the larger counts, which is 0 at least but for a
+    course that one vector hit alone has found: it keeps a negative score. Ties go by arrival: keyword hits in the order of their ``place``, then courses by their first
+    vector hit's ``place``, then by key (a missing place counts as last). Without vectors the keyword
+    hits go on alone and are marked as degraded. keyword and vector: the key columns (query
+    first), their score, perhaps ``place``, and in both or neither ``reason`` and ``evidence``: reasons are joined in arrival order, and snippets are
+    those of the keyword hit, then of each vector hit, of different texts without regard to case, the first ``evidence_limit``.
     """
     told = {"reason", "evidence"} <= set(keyword.columns)
     more = ["reason", "evidence"] if told else []
-    k = keyword.select(*key, "keyword_score", *(F.col(c).alias(f"keyword_{c}") for c in more))
+    arrived = lambda df: F.col("place").cast("long") if "place" in df.columns else F.lit(None).cast("long")
+    last = F.lit((1 << 62) - 1)
+    k = keyword.select(*key, "keyword_score", arrived(keyword).alias("keyword_place"), *(F.col(c).alias(f"keyword_{c}") for c in more))
     none = F.array().cast(EVIDENCE)
     if vector is None:
-        merged = k.withColumn("vector_score", F.lit(0.0)).withColumns({"chunks": F.array().cast("array<struct<reason:string,evidence:" + EVIDENCE + ">>")} if told else {})
+        merged = k.withColumns({"vector_score": F.lit(0.0), "vector_place": F.lit(None).cast("long")} | ({"chunks": F.array().cast("array<struct<reason:string,evidence:" + EVIDENCE + ">>")} if told else {}))
     else:
-        chunks = F.transform(F.sort_array(F.collect_list(F.struct((-F.col("vector_score")).alias("at"), "reason", "evidence"))), lambda c: F.struct(c["reason"].alias("reason"), c["evidence"].alias("evidence"))) if told else None
-        best = vector.groupBy(*key).agg(F.max("vector_score").alias("vector_score"), *([chunks.alias("chunks")] if told else []))
-        merged = k.join(best, list(key), "full_outer").na.fill(0.0, ["keyword_score", "vector_score"])
+        v = vector.select(*key, "vector_score", arrived(vector).alias("vector_place"), *more)
+        order = F.struct(F.coalesce("vector_place", last).alias("at"), (-F.col("vector_score")).alias("score"), *more)
+        chunks = [F.transform(F.sort_array(F.collect_list(order)), lambda c: F.struct(c["reason"].alias("reason"), c["evidence"].alias("evidence"))).alias("chunks")] if told else []
+        best = v.groupBy(*key).agg(F.max("vector_score").alias("vector_score"), F.count("*").alias("__n"), F.min("vector_place").alias("vector_place"), *chunks)
+        merged = k.withColumn("__hit", F.lit(True)).join(best, list(key), "full_outer").na.fill(0.0, ["keyword_score"])
+        # beside a keyword hit a vector counts from 0
+        merged = merged.withColumn("vector_score", F.when(F.col("__hit"), F.greatest(F.coalesce("vector_score", F.lit(0.0)), F.lit(0.0))).otherwise(F.col("vector_score")))
     both = (F.col("keyword_score") > 0) & (F.col("vector_score") > 0)
-    score = F.when(both, F.least(F.col("keyword_score") + F.col("vector_score") + bonus, F.lit(most))).otherwise(F.greatest("keyword_score", "vector_score"))
+    alone = F.col("__hit").isNull() & (F.col("__n") == 1) if vector is not None else F.lit(False)
+    score = F.when(both, F.least(F.col("keyword_score") + F.col("vector_score") + bonus, F.lit(most))).when(alone, F.col("vector_score")).otherwise(F.greatest("keyword_score", "vector_score"))
     merged = merged.withColumn("combined_score", F.round(score, 6)).withColumn("degraded", F.lit(vector is None))
-    rank = F.row_number().over(Window.partitionBy(key[0]).orderBy(F.desc("combined_score"), *key[1:]))
-    merged = merged.withColumn("rank", rank).where(F.col("rank") <= n)
+    late = [F.col("__hit").isNull()] if vector is not None else []
+    order = [F.desc("combined_score"), *late, F.coalesce("keyword_place", last), F.coalesce("vector_place", last), *key[1:]]
+    rank = F.row_number().over(Window.partitionBy(key[0]).orderBy(*order))
+    merged = merged.withColumn("rank", rank).where(F.col("rank") <= n).drop("keyword_place", "vector_place", "__hit", "__n")
     if told:
         spoken = F.concat_ws("; ", "keyword_reason", F.nullif(F.array_join(F.col("chunks.reason"), "; "), F.lit("")))
         snippets = F.concat(F.coalesce("keyword_evidence", none), F.coalesce(F.flatten(F.col("chunks.evidence")), none))

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from admitflow.functions.text import mapped
+from admitflow.functions.text import mapped, trimmed
 from admitflow.operators.browse import range_contains, ranges_overlap
-from admitflow.operators.retrieve import cosine_top, keyword_evidence, keyword_top, match_reason, merge_hits
+from admitflow.operators.retrieve import EVIDENCE, cosine_top, dedupe_evidence, keyword_evidence, keyword_top, match_reason, merge_hits
 from admitflow.operators.rules import PARTS, applicant_facts, course_facts, decide, gate_checks, gate_effects, major_words, minimum_average, missing_fields, reasons, requirement_summary, short, strictest_band, summary, with_facts
 from admitflow.session import cut
 
@@ -95,15 +95,25 @@ def plan_exclusion() -> Column:
     )
 
 
+def plan_order() -> list[Column]:
+    """Keys of a plan's order: closeness to what the band aims at, relevance, language margin, then whether budget, duration and intake fit."""
+    c = F.col
+    aim = F.when(c("band") == "REACH", REACH_BELOW).when(c("band") == "MATCH", (REACH_BELOW + MATCH_TO) / 2).otherwise(MATCH_TO)
+    wish = F.coalesce(F.size("want_intakes"), F.lit(0))
+    intake = (wish <= 0) | F.coalesce(F.arrays_overlap("want_intakes", "intakes"), F.lit(False))
+    fits = [range_contains(c("budget_min"), c("budget_max"), c("fee")), ranges_overlap(c("want_min"), c("want_max"), c("duration_min"), c("duration_max")), intake]
+    return [F.round(F.abs(c("score") - aim), 12), F.desc("relevance"), F.desc_nulls_last(c("overall") - c("need_overall")), *(F.desc(f.cast("int")) for f in fits)]
+
+
 def plan(scored: DataFrame, applicant: str, course: str, n: int = PER_BAND) -> DataFrame:
-    """The first ``n`` of each applicant's band: closest to what the band aims at, then relevance, score, fee, name, id."""
-    aim = F.when(F.col("band") == "REACH", REACH_BELOW).when(F.col("band") == "MATCH", (REACH_BELOW + MATCH_TO) / 2).otherwise(MATCH_TO)
-    order = [F.round(F.abs(F.col("score") - aim), 12), F.desc("relevance"), F.desc("score"), F.asc_nulls_last("fee"), F.col("course_name"), F.col(course)]
-    rank = F.row_number().over(Window.partitionBy(applicant, "band").orderBy(*order))
+    """The first ``n`` of each applicant's band in :func:`plan_order`, then by id."""
+    rank = F.row_number().over(Window.partitionBy(applicant, "band").orderBy(*plan_order(), F.col(course)))
     return scored.where("exclusion is null and band is not null").withColumn("rank", rank).where(F.col("rank") <= n)
 
 
-FIELDS = {"course_name": "course_name", "cricos": "cricos", "academic_requirement_text": "academic_text", "raw_english_requirement": "english_text"}
+FIELDS = {"course_name": "course_name", "course_name_raw": "course_name_raw", "cricos": "cricos", "academic_requirement_text": "academic_text", "raw_english_requirement": "english_text"}
+#: Fields that a keyword hit shows snippets of.
+SHOWN = ("course_name", "academic_requirement_text", "raw_english_requirement")
 #: Hits of all queries that are broadcast to the applicants at most; more are joined by shuffling.
 MAX_BROADCAST_ROWS = 100_000
 #: Course columns that a pair is judged by; texts stay behind.
@@ -115,29 +125,36 @@ def candidates(applicants: DataFrame, courses: DataFrame, k: int = 30, vectors:
 
     Only ids, names and scores are ranked; the facts on texts (of courses and of
     applicants) are worked out before the two meet, and the pairs hold no texts but short ones.
-    vectors (vec_id the course, embedding) and queries (spec_id, query_id, embedding) add
-    the vector arm: its hits are merged with the keyword hits, ``n`` a query.
+    vectors (vec_id, embedding, and where the vectors are of chunks course_id, content, kind and source_url; without course_id the vec_id is the
+    course's) and queries (spec_id, query_id, embedding, perhaps semantic_query) add the vector arm: its hits are merged
+    with the keyword hits, ``n`` a query, with the reasons and snippets of both.
     """
     asked = with_facts(applicants, applicant_facts()).withColumn("spec_id", F.array_join("keywords", "|"))
     specs = asked.groupBy("spec_id").agg(F.first("keywords").alias("spec_words"))
     hits = keyword_top(courses, specs.withColumnRenamed("spec_words", "keywords"), FIELDS, "course_name", "course_id", k).join(specs, "spec_id")
     reason = match_reason(F.col("hit_fields"), F.col("spec_words"))
+    none = F.array().cast(EVIDENCE)
     if vectors is None:
-        found = hits.select("spec_id", "course_id", F.col("keyword_score").alias("relevance"), reason.alias("reason"), "hit_fields", F.lit(True).alias("degraded"))
+        found = hits.select("spec_id", "course_id", F.col("keyword_score").alias("relevance"), reason.alias("reason"), F.lit(True).alias("by_keyword"), none.alias("evidence"), F.lit(True).alias("degraded"))
     else:
-        near = cosine_top(vectors, queries.select("query_id", "embedding"), k).join(queries.select("query_id", "spec_id"), "query_id")
-        near = near.join(courses.select(F.col("course_id").alias("vec_id")), "vec_id", "left_semi").select("spec_id", F.col("vec_id").alias("course_id"), F.col("similarity").alias("vector_score"))
-        merged = merge_hits(hits.select("spec_id", "course_id", "keyword_score"), near, ["spec_id", "course_id"], n)
-        told = hits.select("spec_id", "course_id", "hit_fields", reason.alias("said"))
-        by_vector = F.when(F.col("vector_score") > 0, F.concat(F.lit("Semantic similarity "), F.format_number("vector_score", 3)))
-        found = merged.join(told, ["spec_id", "course_id"], "left").select("spec_id", "course_id", F.col("combined_score").alias("relevance"), F.concat_ws("; ", "said", by_vector).alias("reason"), "hit_fields", "degraded")
+        own = {"course_id": F.col("vec_id"), "content": F.lit(None).cast("string"), "kind": F.lit("chunk"), "source_url": F.lit(None).cast("string")}
+        chunks = vectors.select("vec_id", *((F.col(c) if c in vectors.columns else v).alias(c) for c, v in own.items()))
+        words = queries.select("query_id", "spec_id", *(["semantic_query"] if "semantic_query" in queries.columns else [])).join(specs, "spec_id")
+        meant = F.col("semantic_query") if "semantic_query" in queries.columns else F.array_join("spec_words", ", ")
+        near = cosine_top(vectors.select("vec_id", "embedding"), queries.select("query_id", "embedding"), k).join(words, "query_id").join(chunks, "vec_id")
+        near = near.join(courses.select("course_id"), "course_id", "left_semi")
+        shown = F.filter(F.array(F.struct(trimmed(F.coalesce("content", F.lit(""))).alias("text"), F.col("source_url"), F.col("kind").alias("source"))).cast(EVIDENCE), lambda e: e["text"] != "")
+        near = near.select("spec_id", "course_id", F.col("similarity").alias("vector_score"), F.col("rank").alias("place"), F.concat(F.lit("Semantic admissions chunk matched query: "), meant).alias("reason"), shown.alias("evidence"))
+        known = hits.select("spec_id", "course_id", "keyword_score", "place", reason.alias("reason"), none.alias("evidence"))
+        merged = merge_hits(known, near, ["spec_id", "course_id"], n)
+        found = merged.select("spec_id", "course_id", F.col("combined_score").alias("relevance"), "reason", (F.col("keyword_score") > 0).alias("by_keyword"), "evidence", "degraded")
     found = cut(found)  # a bounded number of rows a query; the search behind it is the dear part and is used twice below
     few = F.broadcast if specs.count() * max(k, n) <= MAX_BROADCAST_ROWS else lambda x: x
     wanted = courses.join(few(found.select("course_id").distinct()), "course_id", "left_semi")  # texts are searched for facts only where a query has found them
     known = with_facts(wanted, course_facts()).select(*JUDGED, *course_facts(), "academic_text", "english_text")
     rows = known.join(few(found), "course_id").join(specs, "spec_id").withColumnRenamed("spec_words", "keywords")
-    evidence = keyword_evidence(F.coalesce("hit_fields", F.array().cast("array<string>")), F.col("keywords"), {k: v for k, v in FIELDS.items() if v != "cricos"})
-    rows = rows.withColumns({"major_words": major_words(), "evidence": evidence}).drop("keywords", "academic_text", "english_text")
+    own = F.when(F.col("by_keyword"), keyword_evidence(F.col("keywords"), {k: FIELDS[k] for k in SHOWN})).otherwise(none)
+    rows = rows.withColumns({"major_words": major_words(), "evidence": dedupe_evidence(F.concat(own, "evidence"))}).drop("keywords", "academic_text", "english_text", "by_keyword")
     # every applicant becomes k pairs: dealt by applicant first, the pairs are judged and ranked where they arise, without a shuffle of their own
     dealt = asked.repartition(int(asked.sparkSession.conf.get("spark.sql.shuffle.partitions")), "applicant_id")
     return dealt.join(few(rows), "spec_id").drop("spec_id")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import zlib
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from admitflow.functions import pages as P
@@ -15,6 +17,7 @@ from admitflow.operators import maintain as M
 from admitflow.operators import payload as V
 from admitflow.operators import retrieve as R
 from admitflow.operators import rules as G
+from admitflow.operators import vector_index as X
 from admitflow.plans import recommend as K
 from admitflow.session import checkpoint_dir, read
 from admitflow.sources import tables as S
@@ -280,7 +283,7 @@ def fuzzy_name_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.best_urls(part.select(C("p_name").alias("name")), part.select(F.expr(SLUG).alias("url")))
 
 
-DEGREE = "CASE " + " ".join(f"WHEN contains(lower(course_name), '{d}') THEN '{d.title() if d != 'phd' else 'Phd'}'" for d in T.DEGREES) + " END"
+DEGREE = "CASE WHEN contains(lower(course_name), 'master') THEN 'Master' WHEN contains(lower(course_name), 'graduate diploma') THEN 'Graduate Diploma' WHEN contains(lower(course_name), 'graduate certificate') THEN 'Graduate Certificate' WHEN contains(lower(course_name), 'doctor') THEN 'Doctor' WHEN contains(lower(course_name), 'juris doctor') THEN 'Juris Doctor' WHEN contains(lower(course_name), 'phd') THEN 'Phd' END"
 
 
 @query(f"{WITH_COURSE} SELECT course_id, {DEGREE} AS degree, regexp_matches(lower(course_name), 'doctor of philosophy|master of philosophy|research') AS research FROM course")
@@ -450,18 +453,31 @@ def dashboard_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown.select("course_id", "has_crawled_admissions", "admission_source_label", "academic_summary", "requires_portfolio", "limited_places")
 
 
-@query("""SELECT o_custkey, 1 AS requirement_version, 'seed' AS requirement_source, true AS is_current, min(o_orderkey) AS content FROM orders WHERE o_orderkey % 2 = 0 GROUP BY 1
-UNION ALL SELECT o_custkey, 2, 'crawl', o_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey % 2 = 0), o_orderkey FROM orders WHERE o_orderkey % 4 = 1
-UNION ALL SELECT o_custkey, 1, 'seed', false, o_orderkey FROM orders WHERE o_orderkey % 4 = 3 AND o_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey % 2 = 0)""")
-def replace_requirements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A re-import replaces the versions of its own source; crawled ones stay, no longer current."""
+def requirement_versions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Seed and crawled versions of the customers' requirements, and a re-import for some of them."""
     orders = read(spark, sf_dir, "orders")
     crawl = C("o_orderkey") % 4 == 1
     base = orders.where("o_orderkey % 2 = 1").select("o_custkey", F.when(crawl, 2).otherwise(1).alias("requirement_version"), F.when(crawl, "crawl").otherwise("seed").alias("requirement_source"), crawl.alias("is_current"), C("o_orderkey").alias("content"))
-    delta = orders.where("o_orderkey % 2 = 0").groupBy("o_custkey").agg(F.min("o_orderkey").alias("content"))
+    return base, orders.where("o_orderkey % 2 = 0").groupBy("o_custkey").agg(F.min("o_orderkey").alias("content"))
+
+
+@query("""SELECT o_custkey, 1 AS requirement_version, 'seed' AS requirement_source, true AS is_current, min(o_orderkey) AS content FROM orders WHERE o_orderkey % 2 = 0 GROUP BY 1
+UNION ALL SELECT o_custkey, CASE WHEN o_orderkey % 4 = 1 THEN 2 ELSE 1 END, CASE WHEN o_orderkey % 4 = 1 THEN 'crawl' ELSE 'seed' END, o_orderkey % 4 = 1, o_orderkey FROM orders WHERE o_orderkey % 2 = 1 AND o_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey % 2 = 0)""")
+def replace_all_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A re-import by default: every version of its customers goes, crawled ones too."""
+    base, delta = requirement_versions(spark, sf_dir)
     return M.replace_requirements(base, delta, "o_custkey", "seed")
 
 
+@query("""SELECT o_custkey, 1 AS requirement_version, 'seed' AS requirement_source, true AS is_current, min(o_orderkey) AS content FROM orders WHERE o_orderkey % 2 = 0 GROUP BY 1
+UNION ALL SELECT o_custkey, 2, 'crawl', o_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey % 2 = 0), o_orderkey FROM orders WHERE o_orderkey % 4 = 1
+UNION ALL SELECT o_custkey, 1, 'seed', false, o_orderkey FROM orders WHERE o_orderkey % 4 = 3 AND o_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey % 2 = 0)""")
+def replace_requirements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A re-import that replaces the versions of its own source; crawled ones stay, no longer current."""
+    base, delta = requirement_versions(spark, sf_dir)
+    return M.replace_requirements(base, delta, "o_custkey", "seed", only_source=True)
+
+
 @query("""WITH f AS (SELECT p_partkey AS seed_id, p_name, CAST(p_size % 7 AS VARCHAR) AS cricos, unnest([concat('https://a.example/courses/courses/pc/', replace(p_name, ' ', '-'), '.html?x=1'), concat('https://a.example/courses/courses/pr/', CAST(p_size AS VARCHAR), '.html'), concat('https://a.example/other/', p_brand)]) AS url FROM part),
 c AS (SELECT *, regexp_replace(regexp_replace(url, '[?#].*$', ''), ';[^/]*$', '') AS u FROM f), g AS (SELECT *, string_split(replace(replace(lower(string_split(u, '/')[-1]), '.html', ''), '-', ' '), ' ') AS slug FROM c),
 s AS (SELECT seed_id, url, length(u) AS n, CASE WHEN contains(u, '/courses/courses/pc/') THEN 20 ELSE 0 END + CASE WHEN contains(lower(u), cricos) THEN 5 ELSE 0 END + len(list_intersect(list_distinct(string_split(lower(p_name), ' ')), slug)) AS score FROM g)
@@ -685,10 +701,26 @@ def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.cosine_top(read(spark, sf_dir, "embeddings").select("vec_id", "embedding"), vector_queries(spark, sf_dir))
 
 
+def indexed_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All vectors written to a stored index, and the query set searched in it."""
+    import uuid
+
+    vectors, path = read(spark, sf_dir, "embeddings").select("vec_id", "embedding"), f"{checkpoint_dir(spark)}/vectors-{uuid.uuid4().hex}"
+    quantiser = X.fit_quantiser(vectors)
+    X.write_index(vectors, path, quantiser)
+    return X.search_index(spark, path, vector_queries(spark, sf_dir), quantiser)
+
+
 @query()
 def cosine_lsh(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The approximate search, by inverted lists of clusters."""
-    return R.cosine_clusters(read(spark, sf_dir, "embeddings").select("vec_id", "embedding"), vector_queries(spark, sf_dir))
+    """The approximate search, in the stored index."""
+    return indexed_search(spark, sf_dir).drop("vectors_read")
+
+
+@query()
+def cosine_index_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recall of the stored index against the exact search, and the share of all vectors that it read, of each query."""
+    return X.measured(indexed_search(spark, sf_dir), cosine_topk(spark, sf_dir), read(spark, sf_dir, "embeddings").count())
 
 
 @query(f"WITH {TOP} SELECT top.query_id, top.vec_id, top.similarity, top.rank, d.source FROM top JOIN documents d ON d.doc_id = top.vec_id")
@@ -698,7 +730,7 @@ def semantic_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SPEC_ROWS = (("it", ["computer", "data science"]), ("trade", ["commerce", "accounting", "business"]), ("arts", ["architecture"]))
-FIELDS = {"course_name": "course_name", "cricos": "cricos", "academic_requirement_text": "academic_text", "raw_english_requirement": "english_text"}
+FIELDS = {"course_name": "course_name", "course_name_raw": "course_name_raw", "cricos": "cricos", "academic_requirement_text": "academic_text", "raw_english_requirement": "english_text"}
 
 
 def spec_table(spark: SparkSession) -> DataFrame:
@@ -725,21 +757,21 @@ def keyword_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "source")
     hits = R.keyword_top(docs, specs, {"text": "text", "source": "source"}, "source", "doc_id", 30, weights={"text": 0.55, "source": 0.45})
     asked = vector_queries(spark, sf_dir).select("query_id", F.lit("licence").alias("spec_id"))
-    return asked.join(hits.select("spec_id", "doc_id", "keyword_score"), "spec_id").select("query_id", "doc_id", "keyword_score")
+    return asked.join(hits.select("spec_id", "doc_id", "keyword_score", "place"), "spec_id").select("query_id", "doc_id", "keyword_score", "place")
 
 
-KEYWORD_DOCS = "kd AS (SELECT doc_id, 0.55::DOUBLE AS keyword_score FROM documents WHERE contains(lower(coalesce(text, '')), 'licensed') OR contains(lower(coalesce(text, '')), 'copyright') ORDER BY source, doc_id LIMIT 30), ks AS (SELECT vec_id AS query_id, doc_id, keyword_score FROM embeddings, kd WHERE vec_id % 100 = 0)"
-MERGED = "j AS (SELECT coalesce(ks.query_id, top.query_id) AS query_id, coalesce(doc_id, vec_id) AS doc_id, coalesce(keyword_score, 0) AS keyword_score, coalesce(similarity, 0) AS vector_score FROM ks FULL JOIN top ON ks.query_id = top.query_id AND doc_id = vec_id), s AS (SELECT *, round(CASE WHEN keyword_score > 0 AND vector_score > 0 THEN least(keyword_score + vector_score + 0.15, 1.5) ELSE greatest(keyword_score, vector_score) END, 6) AS combined_score FROM j)"
+KEYWORD_DOCS = "kd AS (SELECT doc_id, 0.55::DOUBLE AS keyword_score, row_number() OVER (ORDER BY source, doc_id) AS place FROM documents WHERE contains(lower(coalesce(text, '')), 'licensed') OR contains(lower(coalesce(text, '')), 'copyright') ORDER BY source, doc_id LIMIT 30), ks AS (SELECT vec_id AS query_id, doc_id, keyword_score, place FROM embeddings, kd WHERE vec_id % 100 = 0)"
+MERGED = "j AS (SELECT coalesce(ks.query_id, top.query_id) AS query_id, coalesce(doc_id, vec_id) AS doc_id, coalesce(keyword_score, 0) AS keyword_score, coalesce(similarity, 0) AS vector_score, place, top.rank AS hit FROM ks FULL JOIN top ON ks.query_id = top.query_id AND doc_id = vec_id), s AS (SELECT *, round(CASE WHEN keyword_score > 0 AND vector_score > 0 THEN least(keyword_score + vector_score + 0.15, 1.5) ELSE greatest(keyword_score, vector_score) END, 6) AS combined_score FROM j)"
 
 
-@query(f"WITH {TOP}, {KEYWORD_DOCS}, {MERGED} SELECT *, false AS degraded, row_number() OVER (PARTITION BY query_id ORDER BY combined_score DESC, doc_id) AS rank FROM s QUALIFY rank <= 50")
+@query(f"WITH {TOP}, {KEYWORD_DOCS}, {MERGED} SELECT * EXCLUDE (place, hit), false AS degraded, row_number() OVER (PARTITION BY query_id ORDER BY combined_score DESC, place NULLS LAST, hit, doc_id) AS rank FROM s QUALIFY rank <= 50")
 def hybrid_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = keyword_docs(spark, sf_dir)
-    v = cosine_topk(spark, sf_dir).select("query_id", C("vec_id").alias("doc_id"), C("similarity").alias("vector_score"))
+    v = cosine_topk(spark, sf_dir).select("query_id", C("vec_id").alias("doc_id"), C("similarity").alias("vector_score"), C("rank").alias("place"))
     return R.merge_hits(k, v, ["query_id", "doc_id"])
 
 
-@query(f"WITH {KEYWORD_DOCS} SELECT query_id, doc_id, keyword_score, 0.0::DOUBLE AS vector_score, keyword_score AS combined_score, true AS degraded, row_number() OVER (PARTITION BY query_id ORDER BY doc_id) AS rank FROM ks")
+@query(f"WITH {KEYWORD_DOCS} SELECT query_id, doc_id, keyword_score, 0.0::DOUBLE AS vector_score, keyword_score AS combined_score, true AS degraded, row_number() OVER (PARTITION BY query_id ORDER BY place) AS rank FROM ks")
 def degraded_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.merge_hits(keyword_docs(spark, sf_dir), None, ["query_id", "doc_id"])
 
@@ -872,7 +904,8 @@ def unscorable(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 AIM = "abs(score - CASE band WHEN 'REACH' THEN 0.95 WHEN 'MATCH' THEN (0.95 + 1.1) / 2 ELSE 1.1 END::DOUBLE)"
-RANKED = "row_number() OVER (PARTITION BY applicant_id, band ORDER BY round(" + AIM + ", 12), relevance DESC, score DESC, fee NULLS LAST, course_name, course_id) AS rank"
+RANKED = f"""row_number() OVER (PARTITION BY applicant_id, band ORDER BY round({AIM}, 12), relevance DESC, overall - need_overall DESC NULLS LAST, CAST(coalesce(fee >= budget_min, true) AND coalesce(fee <= budget_max, true) AS INTEGER) DESC,
+CAST(coalesce(want_max >= duration_min, true) AND coalesce(want_min <= duration_max, true) AS INTEGER) DESC, CAST(len(want_intakes) = 0 OR coalesce(list_has_any(want_intakes, intakes), false) AS INTEGER) DESC, course_id) AS rank"""
 
 
 @query(f"{SCORED} SELECT applicant_id, course_id, band, {RANKED} FROM banded WHERE exclusion IS NULL AND band IS NOT NULL QUALIFY rank <= 5")
@@ -913,13 +946,19 @@ def program_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("applicant_id", "course_id", "duration", "ielts_requirement", F.regexp_extract("recommendation_reason", r"^(.*?)\. Relevance: ", 1).alias("reason"))
 
 
-@query()
+HYBRID = SCORED.replace(f"hits AS ({top_hits(ALL_SPECS)})", f"""words AS (SELECT * FROM (VALUES {", ".join(f"('{i}', {zlib.crc32(i.encode())})" for i, _ in ALL_SPECS)}) AS v(spec_id, crc)), kh AS (SELECT *, row_number() OVER (PARTITION BY spec_id ORDER BY (SELECT course_name FROM courses c WHERE c.course_id = h.course_id), course_id) AS place FROM ({top_hits(ALL_SPECS)}) h),
+asked AS (SELECT spec_id, embedding FROM words JOIN embeddings ON vec_id = crc % (SELECT count(*) FROM embeddings)), sims AS (SELECT spec_id, v.vec_id, {SIM} AS similarity FROM asked q CROSS JOIN embeddings v),
+vh AS (SELECT *, row_number() OVER (PARTITION BY spec_id ORDER BY similarity DESC, vec_id) AS hit FROM sims QUALIFY hit <= 30), jh AS (SELECT coalesce(kh.spec_id, vh.spec_id) AS spec_id, coalesce(course_id, vec_id) AS course_id, coalesce(keyword_score, 0) AS k, coalesce(similarity, 0) AS v, place, hit FROM kh FULL JOIN (SELECT * FROM vh WHERE vec_id IN (SELECT course_id FROM courses)) vh ON kh.spec_id = vh.spec_id AND course_id = vec_id),
+hits AS (SELECT spec_id, course_id, round(CASE WHEN k > 0 AND v > 0 THEN least(k + v + 0.15, 1.5) ELSE greatest(k, v) END, 6) AS keyword_score FROM jh QUALIFY row_number() OVER (PARTITION BY spec_id ORDER BY round(CASE WHEN k > 0 AND v > 0 THEN least(k + v + 0.15, 1.5) ELSE greatest(k, v) END, 6) DESC, place NULLS LAST, hit, course_id) <= 50)""")
+
+
+@query(f"{HYBRID} SELECT applicant_id, course_id, band, round_even(score, 4) AS score, round(relevance, 6) AS relevance, {RANKED} FROM banded WHERE status = 'ELIGIBLE' AND exclusion IS NULL AND band IS NOT NULL QUALIFY rank <= 5")
 def recommend_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole recommendation with the vector arm: courses and distinct queries have the vectors of the table, by number."""
+    """The whole recommendation with the vector arm: courses have the vectors of their number, distinct queries those of their checksum."""
     vectors = read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     people = applicants(spark, sf_dir)
-    specs = people.select(F.array_join("keywords", "|").alias("spec_id")).distinct().withColumn("query_id", -F.row_number().over(Window.orderBy("spec_id")).cast("long"))
-    asked = specs.join(vectors.withColumn("query_id", -C("vec_id")).select("query_id", "embedding"), "query_id")
+    specs = people.select(F.array_join("keywords", "|").alias("spec_id")).distinct()
+    asked = specs.withColumns({"query_id": F.xxhash64("spec_id"), "vec_id": F.crc32("spec_id") % vectors.count()}).join(vectors, "vec_id").drop("vec_id")
     planned, _ = K.recommend(people, courses(spark, sf_dir), vectors=vectors, queries=asked, tell=False)
     return planned.select("applicant_id", "course_id", "band", F.bround("score", 4).alias("score"), F.round("relevance", 6).alias("relevance"), "rank")
 

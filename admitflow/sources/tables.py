@@ -20,9 +20,11 @@ def choice(on: str, *values: str) -> str:
     return f"CASE {on} % {len(values)} {cases} ELSE {values[-1]} END"
 
 
+NAME = "concat(" + choice("p_partkey", "'Master of Computer Science'", "'Master of Commerce'", "'Graduate Diploma in Data Science'", "'Master of Professional Accounting'", "'Juris Doctor'", "'Graduate Certificate in Architecture'", "'Doctor of Philosophy'", "'Master of Business Analytics'") + ", ' ', p_name)"
 COURSE = {
     "course_id": "p_partkey",
-    "course_name": "concat(" + choice("p_partkey", "'Master of Computer Science'", "'Master of Commerce'", "'Graduate Diploma in Data Science'", "'Master of Professional Accounting'", "'Juris Doctor'", "'Graduate Certificate in Architecture'", "'Doctor of Philosophy'", "'Master of Business Analytics'") + ", ' ', p_name)",
+    "course_name": NAME,
+    "course_name_raw": f"concat(' ', {NAME}, '  ')",
     "cricos": "concat(lpad(CAST(p_partkey % 90000 AS STRING), 6, '0'), 'A')",
     "duration_text": choice("p_partkey", "'2'", "'3 4'", "'1.5'", "concat(CAST(p_size % 4 + 1 AS STRING), ' years, ', p_name)", "concat(CAST(p_size % 3 + 1 AS STRING), '-', CAST(p_size % 5 + 1 AS STRING))", "''", "'1 2 3'"),
     "intake_text": choice("p_size", "'Feb/Aug'", "'Mar/July'", "'Jan, Mar'", "'S9'", "''", "'October / Feb'"),
