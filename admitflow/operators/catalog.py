@@ -55,14 +55,6 @@ def distinct_lists(rows: DataFrame, key: str, value: str, name: str) -> DataFram
     return rows.groupBy(key).agg(F.array_sort(F.collect_set(value)).alias(name), F.count("*").alias("n"))
 
 
-def metadata_text(document: Column, key: str) -> Column:
-    """A field of a JSON document as text: a string as it is, a list joined, null if absent or empty."""
-    value = F.get_json_object(document, f"$.{key}")
-    items = F.from_json(value, "array<string>", {"mode": "PERMISSIVE"})
-    text = F.when(value.startswith("["), F.array_join(items, ", ")).otherwise(value)
-    return F.nullif(F.trim(text), F.lit(""))
-
-
 def course_records(raw: DataFrame) -> DataFrame:
     """Courses with parsed durations, intakes, scores and degree. raw: duration_text, intake_text, english_text, course_name and more."""
     rows = raw.withColumns({"d": parse_duration(F.col("duration_text")), "s": parse_score_text(F.col("english_text")), "intakes": parse_intakes(F.col("intake_text"))["months"], "degree": degree_type(F.col("course_name"))})

@@ -15,7 +15,7 @@ reading, speaking, writing, intakes, fee, duration_min/max, degree, faculty, sch
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
@@ -113,18 +113,24 @@ def filled(text: Column) -> Column:
     return F.coalesce(text, F.lit(""))
 
 
-def course_facts() -> dict[str, Column]:
-    """What the checks ask of a course's texts."""
+def course_facts(columns: Sequence[str] = ()) -> dict[str, Column]:
+    """What the checks ask of a course's texts, and of its documents (JSON texts) where ``columns`` has them: academic_requirements_json and application_details_json."""
+    from admitflow.operators import documents as D
+
+    academic, details = (D.document(F.col(c)) if c in columns else None for c in ("academic_requirements_json", "application_details_json"))
     text = filled(F.col("academic_text"))
+    if academic is not None:
+        text = D.academic_text(text, D.json_text(academic))
     low = F.lower(text)
-    spoken = F.concat_ws(" ", F.col("course_name"), text)
+    spoken = F.concat_ws(" ", F.col("course_name"), text, F.col("english_text"))
+    way = D.pathway_open(text, academic) if academic is not None else F.struct(pathway_available(text).alias("available"), pathway_evidence(text).alias("evidence"))
     return {
         "has_text": F.trim(text) != "",
         "asks_prerequisites": contains_any(low, PREREQUISITES),
         "named_subjects": F.filter(F.array(*map(F.lit, SUBJECTS)), lambda s: F.contains(low, s)),
-        "pathway_open": pathway_available(text),
-        "pathway_sentence": pathway_evidence(text),
-        "deadline_found": deadline_text(spoken),
+        "pathway_open": way["available"],
+        "pathway_sentence": way["evidence"],
+        "deadline_found": deadline_text(spoken) if details is None else D.deadline_text(details, spoken),
         "business_core": contains_any(F.lower(F.col("course_name")), BUSINESS_CORE),
         "evidence_text": trimmed(F.coalesce(blank_to_null(text), filled(F.col("english_text")))),
     }
@@ -142,8 +148,8 @@ def applicant_facts() -> dict[str, Column]:
 
 
 def major_words(include_reason: bool = True) -> Column:
-    """The keywords found in a candidate's text; with the retrieval reason, which lists them, every keyword hit passes."""
-    text = F.lower(F.concat_ws(" ", "course_name", "academic_text", *(["reason"] if include_reason else [])))
+    """The keywords found in a candidate's texts; with the retrieval reason, which lists them, every keyword hit passes."""
+    text = F.lower(F.concat_ws(" ", "course_name", "academic_text", "english_text", *(["reason"] if include_reason else [])))
     return F.filter("keywords", lambda k: F.contains(text, F.lower(k)))
 
 

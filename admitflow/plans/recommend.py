@@ -151,7 +151,7 @@ def candidates(applicants: DataFrame, courses: DataFrame, k: int = 30, vectors:
     found = cut(found)  # a bounded number of rows a query; the search behind it is the dear part and is used twice below
     few = F.broadcast if specs.count() * max(k, n) <= MAX_BROADCAST_ROWS else lambda x: x
     wanted = courses.join(few(found.select("course_id").distinct()), "course_id", "left_semi")  # texts are searched for facts only where a query has found them
-    known = with_facts(wanted, course_facts()).select(*JUDGED, *course_facts(), "academic_text", "english_text")
+    known = with_facts(wanted, course_facts(wanted.columns)).select(*JUDGED, *course_facts(), "academic_text", "english_text")
     rows = known.join(few(found), "course_id").join(specs, "spec_id").withColumnRenamed("spec_words", "keywords")
     own = F.when(F.col("by_keyword"), keyword_evidence(F.col("keywords"), {k: FIELDS[k] for k in SHOWN})).otherwise(none)
     rows = rows.withColumns({"major_words": major_words(), "evidence": dedupe_evidence(F.concat(own, "evidence"))}).drop("keywords", "academic_text", "english_text", "by_keyword")
@@ -163,7 +163,7 @@ def candidates(applicants: DataFrame, courses: DataFrame, k: int = 30, vectors:
 def judged(pairs: DataFrame, tell: bool = True) -> DataFrame:
     """Pairs with thresholds, status, score, band and exclusion, and with ``tell`` the checks with their values and reasons."""
     if "has_text" not in pairs.columns:  # pairs made elsewhere, with their texts
-        pairs = with_facts(pairs, course_facts() | applicant_facts() | {"major_words": major_words()})
+        pairs = with_facts(pairs, course_facts(pairs.columns) | applicant_facts() | {"major_words": major_words()})
     out = pairs.withColumns({"gpa_min": minimum_average(F.col("category"), F.col("business_core")), "need_band": strictest_band(F.col("need_band"), *map(F.col, PARTS))})
     parts = score_parts(F.col("gpa"), F.col("gpa_min"), F.col("overall"), F.col("need_overall"))
     out = out.withColumns({"effects": gate_effects(), "parts": parts} | ({"checks": gate_checks()} if tell else {}))

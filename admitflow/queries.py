@@ -11,6 +11,7 @@ from admitflow.functions import pages as P
 from admitflow.functions import text as T
 from admitflow.operators import browse as B
 from admitflow.operators import catalog as N
+from admitflow.operators import documents as D
 from admitflow.operators import index as I
 from admitflow.operators import link as L
 from admitflow.operators import maintain as M
@@ -518,6 +519,132 @@ def child_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("c_custkey", joined(C("orders").cast("array<string>")).alias("orders"))
 
 
+# --- free-form documents
+
+#: JSON of many shapes, some of it broken, made from the course's texts by SQL that both engines read; names are plain words.
+METADATA_JSON = S.choice(
+    "p_partkey", """concat('{"campus":" ', p_name, '   north ","study_mode":["On campus"," ",2,null,true,{"a":1}],"faculty":', CAST(p_size AS STRING), '}')""", """'{"campus":["", " "],"study_mode":false,"faculty":null}'""", "NULL",
+    """concat('{"campus":{"name":"', p_name, '"},"study_mode":"  ","faculty":2.5,"rpl_detected":true}')""", "'no JSON {'", "'[1, 2]'", """concat('{"study_mode":["', p_name, '  evening"],"rpl_detected":"no"}')""",
+)
+DETAILS_JSON = S.choice(
+    "p_partkey", """concat('{"deadline":"  1 May   ', CAST(p_size AS STRING), '","limited_places":true,"required_documents":["CV","", null,"', p_name, '"]}')""", """'{"deadline":"","application_deadline":0,"closing_date":["a","b"],"quota_applies":1}'""", "NULL",
+    """concat('{"raw_text":"See ', p_name, '. Applications close in ', CAST(p_size AS STRING), ' days. End","requires_portfolio":"yes","requires_references":false}')""", """'{"raw_text":5,"selection_notes":["first", "Apply by June. x"],"required_documents":"CV"}'""", "'null'",
+    """concat('{"close_date":{"day":', CAST(p_size AS STRING), '},"requires_cv_or_resume":[]}')""", "'broken'",
+)
+ACADEMIC_JSON = S.choice(
+    "p_size", """concat('{"pathways":[{"summary":"A ', p_name, ' degree"},3,{"summary":7},{"summary":"Alternative entry by ', p_name, '. More"}]}')""", "NULL", "'{}'", """'{"pathways":{"summary":"bridging"}}'""", "'[\"premaster\"]'", """'{"pathways":[]}'""",
+)
+SCORES_JSON = S.choice(
+    "p_partkey", """concat('{"ielts_subscores":{"listening":"', CAST(p_size % 4 + 5 AS STRING), '.5","reading":7,"speaking":"n/a","writing":null},"language_tests":[{"test_name":"IELTS","overall":7,"component_scores":{"listening":6.5,"writing":"6"},"source_type":"page"},"x",{"test_name":"', p_name, '"},{"overall":"9"}]}')""",
+    """'{"ielts_subscores":[6,7],"language_tests":{"test_name":"IELTS"}}'""", "NULL", """'{"ielts_subscores":{"speaking":true,"writing":8.5}}'""", "'{]'", """'{"language_tests":[{"test_name":"","overall":"5"},{"test_name":"PTE","overall":0,"component_scores":[1]}]}'""",
+)
+SOURCES_JSON = S.choice("p_partkey", """concat('{"academic":"https://pages.example.edu/', CAST(p_size AS STRING), '","english":null,"other":["u"]}')""", "NULL", "'[\"u\"]'", "'{}'")
+DOCUMENTS = {"metadata": METADATA_JSON, "details": DETAILS_JSON, "academic": ACADEMIC_JSON, "scores": SCORES_JSON, "sources": SOURCES_JSON}
+WITH_DOCUMENTS = f"{WITH_COURSE}, doc AS (SELECT p_partkey AS course_id, {', '.join(f'TRY_CAST({v} AS JSON) AS {k}' for k, v in DOCUMENTS.items())} FROM part)"
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Courses with their documents as VARIANT."""
+    made = read(spark, sf_dir, "part").selectExpr("p_partkey AS course_id", *(f"{v} AS {k}" for k, v in DOCUMENTS.items()))
+    return made.select("course_id", *(D.document(C(k)).alias(k) for k in DOCUMENTS))
+
+
+#: SQL of a JSON value as text, of what counts as nothing, and of a text without needless white space.
+SAID = lambda x: f"CASE json_type({x}) WHEN 'BOOLEAN' THEN CASE WHEN CAST({x} AS VARCHAR) = 'true' THEN 'True' ELSE 'False' END WHEN 'NULL' THEN 'None' WHEN 'VARCHAR' THEN json_extract_string({x}, '$') ELSE CAST({x} AS VARCHAR) END"
+TRUTHY = lambda x: f"coalesce(CASE json_type({x}) WHEN 'NULL' THEN false WHEN 'BOOLEAN' THEN CAST({x} AS VARCHAR) = 'true' WHEN 'VARCHAR' THEN json_extract_string({x}, '$') <> '' WHEN 'ARRAY' THEN json_array_length({x}) > 0 WHEN 'OBJECT' THEN len(json_keys({x})) > 0 ELSE CAST(CAST({x} AS VARCHAR) AS DOUBLE) <> 0 END, false)"
+CLEAN = lambda x: f"trim(regexp_replace({x}, '\\s+', ' ', 'g'))"
+OF = lambda v, f: f"json_extract({v}, '$.{f}')"
+LISTED = lambda v, f: f"(CASE WHEN json_type({v}, '$.{f}') = 'ARRAY' THEN json_extract({v}, '$.{f}[*]') ELSE [] END)"
+
+
+def metadata_sql(name: str) -> str:
+    v = OF("metadata", name)
+    parts = f"list_filter(list_transform({LISTED('metadata', name)}, lambda x: {CLEAN(SAID('x'))}), lambda x: x <> '')"
+    return f"CASE json_type({v}) WHEN 'VARCHAR' THEN nullif({CLEAN(SAID(v))}, '') WHEN 'ARRAY' THEN nullif(array_to_string({parts}, ', '), '') WHEN 'NULL' THEN NULL ELSE {SAID(v)} END AS {name}"
+
+
+@query(f"{WITH_DOCUMENTS} SELECT course_id, {', '.join(map(metadata_sql, ('campus', 'study_mode', 'faculty', 'school')))} FROM doc")
+def metadata_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metadata fields of any kind as text."""
+    return documents(spark, sf_dir).select("course_id", *(D.metadata_text(C("metadata"), f).alias(f) for f in ("campus", "study_mode", "faculty", "school")))
+
+
+PHRASE = lambda x: f"coalesce(nullif({CLEAN(f'''regexp_extract({x}, '(?i)[^.]{{0,80}}(?:deadline|closing date|applications close|apply by)[^.]{{0,100}}', 0)''')}, ''), nullif({CLEAN(f'''regexp_extract({x}, '(?i)[^.]{{0,80}}(?:rolling basis)[^.]{{0,80}}', 0)''')}, ''))"
+RAW_NOTES = f"concat(coalesce({SAID(OF('details', 'raw_text'))}, ''), array_to_string(list_transform({LISTED('details', 'selection_notes')}, lambda n: concat(' ', {SAID('n')})), ''))"
+
+
+@query(f"""{WITH_DOCUMENTS} SELECT course_id, coalesce({', '.join(f"CASE WHEN {TRUTHY(OF('details', f))} THEN {CLEAN(SAID(OF('details', f)))} END" for f in ('deadline', 'application_deadline', 'closing_date', 'close_date'))}, CASE WHEN json_type(details) = 'OBJECT' THEN {PHRASE(RAW_NOTES)} END, {PHRASE("concat(course_name, ' ', academic_text)")}, '') AS deadline FROM doc JOIN course USING (course_id)""")
+def deadline_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Deadlines of the application details, their notes, or the course's text."""
+    texts = S.raw_courses(spark, sf_dir).select("course_id", F.concat_ws(" ", "course_name", "academic_text").alias("t"))
+    return documents(spark, sf_dir).join(texts, "course_id").select("course_id", D.deadline_text(C("details"), C("t")).alias("deadline"))
+
+
+WAYS = ("pathway", "graduate certificate", "graduate diploma", "pre-master", "premaster", "qualifying program", "bridging", "alternative entry")
+ANY_WAY = lambda x: "(" + " OR ".join(f"contains(lower({x}), '{m}')" for m in WAYS) + ")"
+SUMMARIES = f"list_filter(list_transform(list_filter({LISTED('academic', 'pathways')}, lambda p: json_type(p) = 'OBJECT'), lambda p: coalesce({SAID('''json_extract(p, '$.summary')''')}, '')), lambda s: {ANY_WAY('s')})"
+
+
+@query(f"""{WITH_DOCUMENTS}, t AS (SELECT course_id, trim(academic_text) AS x, {SUMMARIES} AS found FROM doc JOIN course USING (course_id))
+SELECT course_id, CASE WHEN {ANY_WAY('x')} OR len(found) > 0 THEN true WHEN x <> '' THEN false END AS available, CASE {' '.join(f"WHEN contains(lower(x), '{m}') THEN {CLEAN(f'''regexp_extract(x, '(?i)[^.]*{m}[^.]*[.]?', 0)''')}" for m in WAYS)} WHEN len(found) > 0 THEN {CLEAN('found[1]')} WHEN x <> '' THEN 'No explicit pathway evidence found.' ELSE '' END AS evidence FROM t""")
+def pathway_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Other ways in, of the course's text and of its pathway documents."""
+    texts = S.raw_courses(spark, sf_dir).select("course_id", F.trim("academic_text").alias("t"))
+    return documents(spark, sf_dir).join(texts, "course_id").select("course_id", D.pathway_open(C("t"), C("academic")).alias("p")).select("course_id", "p.*")
+
+
+SUB = lambda p: f"CASE WHEN json_type(scores, '$.ielts_subscores') = 'OBJECT' THEN CASE json_type(scores, '$.ielts_subscores.{p}') WHEN 'BOOLEAN' THEN CAST(CAST(json_extract_string(scores, '$.ielts_subscores.{p}') AS BOOLEAN) AS DOUBLE) ELSE TRY_CAST(json_extract_string(scores, '$.ielts_subscores.{p}') AS DOUBLE) END END"
+STORED = {"overall": "CASE WHEN course_id % 3 = 0 THEN 7.5 END", "min_band": "CASE WHEN course_id % 4 = 1 THEN 6.0 END", "listening": "CASE WHEN course_id % 5 = 2 THEN 8.0 END", "reading": "CAST(NULL AS DOUBLE)", "speaking": "CASE WHEN course_id % 7 = 0 THEN 5.0 END", "writing": "CAST(NULL AS DOUBLE)"}
+
+
+@query(f"""{WITH_DOCUMENTS.replace("WITH course", "WITH course", 1)}, {SCORES}, st AS (SELECT course_id, need_overall, need_band, listening AS p_listening, reading AS p_reading, speaking AS p_speaking, writing AS p_writing, scores, {', '.join(f'CAST({v} AS DOUBLE) AS s_{k}' for k, v in STORED.items())} FROM scored JOIN doc USING (course_id)),
+sb AS (SELECT *, {', '.join(f'{SUB(p)} AS d_{p}' for p in G.PARTS)} FROM st), b AS (SELECT *, greatest(s_min_band, need_band, {', '.join(f'{k}_{p}' for k in 'sdp' for p in G.PARTS)}) AS band FROM sb)
+SELECT course_id, coalesce(s_overall, need_overall) AS overall, band, {', '.join(f'coalesce(s_{p}, d_{p}, p_{p}, s_min_band, band) AS {p}' for p in G.PARTS)} FROM b""")
+def stored_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language thresholds: stored values, then the document's sub-scores, then those parsed from the text."""
+    parsed = S.raw_courses(spark, sf_dir).select("course_id", T.parse_score_text(C("english_text")).alias("parsed"))
+    rows = documents(spark, sf_dir).join(parsed, "course_id").withColumns({f"s_{k}": F.expr(v).cast("double") for k, v in STORED.items()})
+    return rows.select("course_id", D.thresholds({k: C(f"s_{k}") for k in STORED}, C("scores"), C("parsed")).alias("t")).select("course_id", "t.*")
+
+
+TEST_FIELDS = {"test_name": "test_name", "overall": "overall", **{p: f"component_scores.{p}" for p in G.PARTS}, "source_type": "source_type"}
+
+
+@query(f"""{WITH_DOCUMENTS}, e AS (SELECT course_id, unnest({LISTED('scores', 'language_tests')}) AS e, unnest(range(len({LISTED('scores', 'language_tests')}))) AS place FROM doc)
+SELECT course_id, CAST(place AS INTEGER) AS place, {', '.join(f"coalesce({SAID(OF('e', path))}, '') AS {name}" for name, path in TEST_FIELDS.items())} FROM e WHERE json_type(e) = 'OBJECT'""")
+def language_test_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tests of the detail documents as rows."""
+    return D.test_rows(documents(spark, sf_dir), "course_id", "scores")
+
+
+@query(f"""{WITH_DOCUMENTS}, k AS (SELECT course_id, sources, unnest(json_keys(sources)) AS field FROM doc WHERE json_type(sources) = 'OBJECT') SELECT course_id, field, {SAID("json_extract(sources, concat('$.', field))")} AS url FROM k""")
+def source_map_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The source maps as rows."""
+    return D.source_rows(documents(spark, sf_dir), "course_id", "sources")
+
+
+SHOWN_FLAGS = {"limited_places": "Limited places", "quota_applies": "Quota applies", "requires_portfolio": "Portfolio", "requires_personal_statement": "Personal statement", "requires_supplementary_form": "Supplementary form", "requires_cv_or_resume": "CV/Resume", "requires_references": "References", "requires_work_experience": "Work experience"}
+
+
+@query(f"""{WITH_DOCUMENTS} SELECT course_id, array_to_string(list_transform(list_filter({LISTED('scores', 'language_tests')}, lambda t: {TRUTHY(OF('t', 'test_name'))}), lambda t: concat_ws(' ', {SAID(OF('t', 'test_name'))}, CASE WHEN {TRUTHY(OF('t', 'overall'))} THEN {SAID(OF('t', 'overall'))} END)), ' | ') AS language_tests_display,
+array_to_string(list_transform(list_filter({LISTED('details', 'required_documents')}, lambda d: {TRUTHY('d')}), lambda d: {SAID('d')}), ', ') AS required_documents_display,
+concat_ws(', ', {', '.join(f"CASE WHEN {TRUTHY(OF('details', f))} THEN '{label}' END" for f, label in SHOWN_FLAGS.items())}, CASE WHEN {TRUTHY(OF('metadata', 'rpl_detected'))} THEN 'RPL / Credit' END) AS application_flags_display FROM doc""")
+def listing_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tests, documents and flags as a listing shows them."""
+    return documents(spark, sf_dir).select("course_id", *(v.alias(k) for k, v in D.listing_texts(C("scores"), C("details"), C("metadata")).items()))
+
+
+@query(f"""{WITH_COURSE} SELECT course_id, n AS name, s AS status, CASE WHEN course_id % 4 = 0 THEN concat('Own ', course_name) ELSE {CLEAN('academic_text')} END AS text, CASE WHEN course_id % 4 = 0 AND course_id % 8 <> 0 THEN 'own' WHEN course_id % 3 = 0 THEN '' ELSE 'page' END AS source_url,
+CASE WHEN course_id % 4 = 0 THEN 'language' WHEN academic_text <> '' THEN 'eligibility' ELSE 'language' END AS source FROM course, (VALUES ('average', 'fail'), ('language', 'unknown'), ('tuition', 'warning')) AS c(n, s) WHERE course_id % 4 = 0 OR academic_text <> '' OR course_id % 3 <> 0""")
+def check_evidence_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Evidence of the checks that are not passed, with the stand-ins for address and kind."""
+    own = F.when(C("course_id") % 4 == 0, F.array(F.struct(F.concat(F.lit("Own "), C("course_name")).alias("text"), F.when(C("course_id") % 8 != 0, "own").alias("source_url"), F.lit("").alias("source"))))
+    url = F.when(C("course_id") % 3 != 0, "page").otherwise("")
+    checks = F.array(*(F.struct(F.lit(n).alias("name"), F.lit(s).alias("status")) for n, s in (("average", "fail"), ("language", "unknown"), ("tuition", "warning"), ("intake", "pass"))))
+    rows = S.raw_courses(spark, sf_dir).withColumns({"check_url": url, "check_type": F.lit("language"), "evidence": D.check_evidence(own, C("academic_text"), url)})
+    return D.evidence_rows(rows.select("course_id", "check_url", "check_type", "evidence", F.inline(checks)), "course_id")
+
+
 # --- browsing
 
 

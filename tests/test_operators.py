@@ -234,8 +234,6 @@ def test_catalogue(spark):
     assert N.choose_seeds(seeds, "all", "k", 2).count() == 2
     texts = spark.createDataFrame([(1, " ", None), (2, "x", None), (3, None, "y")], "k int, a string, b string")
     assert [r.k for r in N.index_records(texts, ["a", "b"], order=["k"], limit=5).collect()] == [2, 3]
-    documents = spark.createDataFrame([('{"a":"x"}',), ('{"a":["x","y"]}',), ('{"a":2}',), ("{}",), (None,)], "j string")
-    assert [r.t for r in documents.select(N.metadata_text(F.col("j"), "a").alias("t")).collect()] == ["x", "x, y", "2", None, None]
 
 
 def test_every_sort_puts_nulls_last(spark):
