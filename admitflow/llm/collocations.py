@@ -6,8 +6,8 @@ those into words ``[^\\x20\\x09]+``; everything counts by language (null: und).
 1. A first pass adds up, for every length of 1 to ``LONGEST`` words, how many
    phrases fall into each bucket of a hash. A bucket's sum is at least the count
    of each phrase in it, so a phrase is *safe* to leave out if its own bucket, or
-   that of any phrase inside it (Apriori), stays below ``least``. Tasks give
-   their buckets as saturated bytes, which Spark adds up by range of buckets.
+   that of any phrase inside it (Apriori), stays below ``least``. Blocks of text give
+   their filled buckets as saturated bytes, which are added up by range of buckets.
 2. A second pass lists the phrases that are left, once a task. They are a little
    more than the frequent phrases, and hold every part of each of them.
 3. The candidates are dealt into shards of a bounded size; each shard becomes a
@@ -15,7 +15,9 @@ those into words ``[^\\x20\\x09]+``; everything counts by language (null: und).
    the states of all positions of a text block at once, a word a level, and
    counts accepting states by ``bincount``; the tasks' counts are added up.
 
-The buckets follow the size of the texts between 2**16 and 2**26 (``buckets``);
+What tasks hand on is packed by range, so it is few rows, and grows with their texts.
+
+The buckets follow the size of the texts (one for 16 bytes) between 2**16 and 2**26 (``buckets``);
 beyond that they say less, so more candidates and shards come, with the same
 results. What is broadcast is the buckets' bits (at most 5 * 8 MB) and one shard
 (``shard_phrases`` candidates). Texts are read once for their size and three
@@ -34,7 +36,6 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
@@ -50,8 +51,8 @@ LONGEST = 5
 SHARD_PHRASES = 500_000
 #: Bytes of text that a task takes at once, but for longer documents.
 BLOCK_BYTES = 6_000_000
-#: Buckets that travel together.
-RANGE = 1 << 14
+#: Buckets or candidates that travel together, ranges of a length's buckets at most, and ranges of the listed phrases.
+RANGE, PLACES, LISTS = 1 << 14, 1 << 20, 256
 
 _BREAK, _SPACE = 10, 32
 _CHARS = np.array([c + 32 if 65 <= c <= 90 else _BREAK if chr(c) in ".,;:!?" or 10 <= c <= 13 else _SPACE if c == 9 else c for c in range(256)], np.uint8)
@@ -113,53 +114,82 @@ def _bucket(g: np.ndarray, bits: int) -> np.ndarray:
     return ((g * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - bits)).astype(np.int64)
 
 
+def _packed(kind: int, where: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Numbers of places, a row for each range of RANGE places that has any: offsets of two bytes, then the numbers. They grow with the texts of a task, however many places there are."""
+    if not len(where):
+        return
+    cuts = np.flatnonzero(np.diff(where // RANGE, prepend=-1))
+    for at, end in zip(cuts, [*cuts[1:], len(where)], strict=True):
+        data = (where[at:end] % RANGE).astype("<u2").tobytes() + n[at:end].tobytes()
+        yield pa.RecordBatch.from_arrays([pa.array([kind * PLACES + int(where[at]) // RANGE]), pa.array([data], pa.binary())], ["place", "data"])
+
+
+def _unpacked(data: bytes, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets and numbers of a packed row."""
+    size = len(data) // (2 + np.dtype(kind).itemsize)
+    return np.frombuffer(data, "<u2", size), np.frombuffer(data, kind, size, 2 * size)
+
+
+def dealt(packed: DataFrame) -> DataFrame:
+    """Rows of the same range in one task, in which a task holds the sums of its ranges and never all rows of one."""
+    return packed.repartition(int(packed.sparkSession.conf.get("spark.sql.shuffle.partitions")), "place")
+
+
 def _add_up(bits: int, least: int):
-    """Saturated bucket sums of a task's texts, a row for each range of buckets that isn't empty."""
+    """Saturated bucket sums of each block of texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros((LONGEST, 1 << bits), np.uint8)
         for lang, words in blocks(batches):
             for k, g in hashes(lang, words):
                 where, n = np.unique(_bucket(g[words.whole(k)], bits), return_counts=True)
-                sums[k - 1, where] = np.minimum(sums[k - 1, where] + np.minimum(n, least), least)
-        ranges = sums.reshape(-1, min(RANGE, 1 << bits))
-        for at in np.flatnonzero(ranges.any(axis=1)):
-            yield pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([ranges[at].tobytes()], pa.binary())], ["place", "sums"])
+                yield from _packed(k - 1, where, np.minimum(n, least).astype(np.uint8))
 
     return run
 
 
 def _total(least: int):
-    """Bits of the buckets that reach ``least``, of all rows of a range; a task holds its own ranges, never all rows of one."""
+    """Bits of the buckets that reach ``least``, of all rows of a range."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[int, np.ndarray] = {}
         for batch in batches:
-            for place, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                sums = np.frombuffer(raw, np.uint8)
-                found[place] = np.minimum(found[place] + sums, least).astype(np.uint8) if place in found else sums
+            for place, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                where, n = _unpacked(data, np.uint8)
+                sums = found.setdefault(place, np.zeros(RANGE, np.uint8))
+                sums[where] = np.minimum(sums[where] + n, least)
         for place, sums in found.items():
-            yield pa.RecordBatch.from_arrays([pa.array([place], pa.int64()), pa.array([np.packbits(sums >= least).tobytes()], pa.binary())], ["place", "bits"])
+            if (sums >= least).any():
+                yield pa.RecordBatch.from_arrays([pa.array([place], pa.int64()), pa.array([np.packbits(sums >= least).tobytes()], pa.binary())], ["place", "bits"])
 
     return run
 
 
 def full_buckets(rows: DataFrame, bits: int, least: int) -> np.ndarray:
     """For each length a bit array (packed) of the buckets that hold ``least`` or more phrases; at most 5 * 2**26 bits come to the driver."""
-    sums = rows.mapInArrow(_add_up(bits, least), "place bigint, sums binary").repartition("place")
-    ranges = np.zeros((LONGEST << bits) // min(RANGE, 1 << bits) * (min(RANGE, 1 << bits) // 8), np.uint8).reshape(-1, min(RANGE, 1 << bits) // 8)
+    ranges = np.zeros((LONGEST, max(1, (1 << bits) // RANGE), RANGE // 8), np.uint8)
+    sums = dealt(rows.mapInArrow(_add_up(bits, least), "place bigint, data binary"))
     for r in sums.mapInArrow(_total(least), "place bigint, bits binary").toLocalIterator(prefetchPartitions=True):
-        ranges[r.place] = np.frombuffer(r.bits, np.uint8)
+        ranges[r.place // PLACES, r.place % PLACES] = np.frombuffer(r.bits, np.uint8)
     return ranges.reshape(LONGEST, -1)
 
 
 def _list(bits: int, full):
-    """(language, phrase, words) of the safe phrases, once a task where they fit; and (language, null, n) for its words."""
+    """The safe phrases of each task by range of their hash (language, tab, phrase; a line feed between them), each once where they fit, and the words of each language at place -1."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[tuple[str, bytes]] = set()
+        seen: set[bytes] = set()
+        many: dict[str, int] = {}
+        waiting: dict[int, list[bytes]] = {}
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            if waiting:
+                yield pa.RecordBatch.from_arrays([pa.array(list(waiting)), pa.array([b"\n".join(v) for v in waiting.values()], pa.binary())], ["place", "data"])
+            waiting.clear()
+            seen.clear()
+
         for lang, words in blocks(batches):
-            good, out = None, []
+            many[lang] = many.get(lang, 0) + len(words)
+            good, start = None, lang.encode() + b"\t"
             for k, g in hashes(lang, words):
                 where = _bucket(g, bits)
                 hit = words.whole(k) & ((full.value[k - 1, where >> 3] >> (7 - (where & 7)).astype(np.uint8)) & 1).astype(bool)
@@ -172,18 +202,38 @@ def _list(bits: int, full):
                 for j in range(1, k):
                     code = np.unique(code * len(words.values) + words.ids[at + j], return_inverse=True)[1]
                 for place in at[np.unique(code, return_index=True)[1]]:
-                    phrase = b" ".join([words.values[w] for w in words.ids[place : place + k]])
-                    if (lang, phrase) not in seen:
-                        seen.add((lang, phrase))
-                        out.append(phrase)
-            n = len(out)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * (n + 1)), pa.array([*out, None], pa.binary()).cast(pa.string()), pa.array([0] * n + [len(words)], pa.int64())], ["lang", "phrase", "n"])
+                    phrase = start + b" ".join([words.values[w] for w in words.ids[place : place + k]])
+                    if phrase not in seen:
+                        seen.add(phrase)
+                        waiting.setdefault(xxhash.xxh32_intdigest(phrase) % LISTS, []).append(phrase)
             if len(seen) > SHARD_PHRASES:
-                seen.clear()
+                yield from flush()
+        yield from flush()
+        if many:
+            yield pa.RecordBatch.from_arrays([pa.array([-1] * len(many)), pa.array([f"{n}\t{lang}".encode() for lang, n in many.items()], pa.binary())], ["place", "data"])
 
     return run
 
 
+def _different(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(language, phrase, null) once each, and (language, null, words)."""
+    found: dict[int, set[bytes]] = {}
+    many: dict[str, int] = {}
+    for batch in batches:
+        for place, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            if place < 0:
+                n, lang = data.decode().split("\t", 1)
+                many[lang] = many.get(lang, 0) + int(n)
+            else:
+                found.setdefault(place, set()).update(data.split(b"\n"))
+    names = ["lang", "phrase", "n"]
+    for phrases in found.values():
+        pairs = [p.decode().rsplit("\t", 1) for p in phrases]
+        yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs]), pa.array([p[1] for p in pairs]), pa.nulls(len(pairs), pa.int64())], names)
+    if many:
+        yield pa.RecordBatch.from_arrays([pa.array(list(many)), pa.nulls(len(many), pa.string()), pa.array(list(many.values()), pa.int64())], names)
+
+
 class Trie:
     """Double-array trie of phrases: from state s word w leads to ``base[s] + w`` where ``check`` there is s.
 
@@ -192,21 +242,28 @@ class Trie:
     those with one next word fill the gaps.
     """
 
-    def __init__(self, langs: list[str], phrases: list[bytes]):
-        self.langs = {lang: k for k, lang in enumerate(dict.fromkeys(langs), 1)}
-        split = [p.split(b" ") for p in phrases]
-        self.words = {w: k for k, w in enumerate(dict.fromkeys(w for p in split for w in p), len(self.langs) + 1)}
-        size = np.array([len(p) + 1 for p in split], np.int64)
-        table = np.full((len(split), LONGEST + 1), -1, np.int64)
-        for row, (lang, p) in enumerate(zip(langs, split, strict=True)):
-            table[row, 0] = self.langs[lang]
-            table[row, 1 : len(p) + 1] = [self.words[w] for w in p]
+    def __init__(self, langs: pa.Array, phrases: pa.Array):
+        """Languages and phrases (words joined by single spaces) of the same rows; a phrase's number is its row."""
+        coded = langs.dictionary_encode()
+        self.langs = {lang: k for k, lang in enumerate(coded.dictionary.to_pylist(), 1)}
+        split = pc.split_pattern(phrases, " ")
+        flat = split.flatten().dictionary_encode()
+        # words of many phrases get the small symbols, so that the places of one state's next words lie close together
+        often = np.argsort(-np.bincount(np.asarray(flat.indices), minlength=len(flat.dictionary)), kind="stable")
+        symbol = np.empty(len(often), np.int64)
+        symbol[often] = np.arange(len(self.langs) + 1, len(self.langs) + 1 + len(often))
+        self.words = dict(zip(flat.dictionary.cast(pa.binary()).to_pylist(), symbol.tolist(), strict=True))
+        words, size = np.diff(np.asarray(split.offsets)), len(phrases)
+        table = np.full((size, LONGEST + 1), -1, np.int64)
+        table[:, 0] = np.asarray(coded.indices) + 1
+        row = np.repeat(np.arange(size), words)
+        table[row, 1 + np.arange(len(row)) - np.repeat(np.cumsum(words) - words, words)] = symbol[np.asarray(flat.indices)]
         # nodes: 0 is the root; a node is told by its parent and its symbol
-        node = np.zeros(len(split), np.int64)
+        node, ends = np.zeros(size, np.int64), np.zeros(size, np.int64)
         symbols = len(self.words) + len(self.langs) + 1
-        parents, letters, ends, n = [], [], np.zeros(len(split), np.int64), 1
+        parents, letters, n = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 1
         for level in range(LONGEST + 1):
-            here = np.flatnonzero(size > level)
+            here = np.flatnonzero(words >= level)
             if not len(here):
                 break
             keys, inverse = np.unique(node[here] * symbols + table[here, level], return_inverse=True)
@@ -214,37 +271,37 @@ class Trie:
             parents.append(keys // symbols)
             letters.append(keys % symbols)
             n += len(keys)
-            done = here[size[here] == level + 1]
+            done = here[words[here] == level]
             ends[done] = node[done]
-        self._place(np.concatenate(parents) if parents else np.zeros(0, np.int64), np.concatenate(letters) if letters else np.zeros(0, np.int64), n, symbols)
+        slot = self._place(np.concatenate(parents), np.concatenate(letters), n, symbols)
         self.accept = np.full(len(self.check), -1, np.int32)
-        self.accept[self.state[ends]] = np.arange(len(split))
-        del self.state
+        self.accept[slot[ends]] = np.arange(size)
 
-    def _place(self, parents: np.ndarray, letters: np.ndarray, n: int, symbols: int) -> None:
+    def _place(self, parents: np.ndarray, letters: np.ndarray, n: int, symbols: int) -> np.ndarray:
+        """Fills ``base`` and ``check``; gives the state of each node."""
         order = np.lexsort((letters, parents))
         parents, letters, children = parents[order], letters[order], order + 1
         owners, begins, counts = np.unique(parents, return_index=True, return_counts=True)
         used = np.zeros(2 * n + 2 * symbols + 64, bool)
         used[0] = True  # the root's own place
         base, slot = np.zeros(n, np.int64), np.zeros(n, np.int64)
-        first = 1
+        # states of about as many next words look for their places one behind the other, so none looks at the full part again
+        begun: dict[int, int] = {}
         for k in np.argsort(-counts, kind="stable"):
             if counts[k] < 2:
                 break
             c = letters[begins[k] : begins[k] + counts[k]]
-            while used[first]:
-                first += 1
-            at = first - c[0]
+            kind = int(counts[k]).bit_length()
+            at = max(begun.get(kind, 0), 1 - int(c[0]))
             while True:
                 if at + 64 + symbols >= len(used):
                     used = np.concatenate([used, np.zeros(len(used), bool)])
-                tried = used[(at + np.arange(64))[:, None] + c]
-                free = np.flatnonzero(~tried.any(axis=1))
+                free = np.flatnonzero(~used[(at + np.arange(64))[:, None] + c].any(axis=1))
                 if len(free):
                     at += int(free[0])
                     break
                 at += 64
+            begun[kind] = at
             used[at + c] = True
             base[owners[k]] = at
             slot[children[begins[k] : begins[k] + counts[k]]] = at + c
@@ -256,9 +313,10 @@ class Trie:
         base[owners[single]] = gaps - letters[begins[single]]
         slot[children[begins[single]]] = gaps
         length = int(np.flatnonzero(used)[-1]) + 1
-        self.base, self.check, self.state = np.zeros(length, np.int64), np.full(length, -1, np.int64), slot
+        self.base, self.check = np.zeros(length, np.int32), np.full(length, -1, np.int32)
         self.base[slot] = base
         self.check[slot[children]] = slot[parents]
+        return slot
 
     def step(self, states: np.ndarray, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(which of the states go on, their next states)."""
@@ -287,12 +345,30 @@ class Trie:
 
 
 def _count(trie, n: int):
+    """Counts of the candidates in a task's texts."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(n, np.int64)
         for lang, words in blocks(batches):
             trie.value.count(lang, words, counts)
         some = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(counts[some])], ["place", "a"])
+        yield from _packed(0, some, counts[some])
+
+    return run
+
+
+def _sum(least: int):
+    """(candidate, count) of those that reach ``least``, of all rows of a range."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for place, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                where, n = _unpacked(data, np.int64)
+                found.setdefault(place, np.zeros(RANGE, np.int64))[where] += n
+        for place, sums in found.items():
+            some = np.flatnonzero(sums >= least)
+            yield pa.RecordBatch.from_arrays([pa.array(some + place * RANGE), pa.array(sums[some])], ["place", "a"])
 
     return run
 
@@ -309,10 +385,10 @@ def frequent_phrases(docs: DataFrame, least: int = 100, text_col: str = "text",
     bits = buckets
     if bits is None:
         size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-        bits = min(26, max(16, (size // 128).bit_length()))
+        bits = min(26, max(16, (size // 16).bit_length()))
     full = spark.sparkContext.broadcast(full_buckets(rows, bits, least))
     folder = f"{checkpoint_dir(spark)}/phrases-{uuid.uuid4().hex}"
-    listed = rows.mapInArrow(_list(bits, full), "lang string, phrase string, n bigint").groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
+    listed = dealt(rows.mapInArrow(_list(bits, full), "place bigint, data binary")).mapInArrow(_different, "lang string, phrase string, n bigint")
     listed.write.parquet(f"{folder}/candidates")
     listed = spark.read.parquet(f"{folder}/candidates")
     totals = listed.where("phrase IS NULL").select("lang", "n")
@@ -321,11 +397,13 @@ def frequent_phrases(docs: DataFrame, least: int = 100, text_col: str = "text",
     shard = F.pmod(F.xxhash64("lang", "phrase"), F.lit(shards))
     schema = "lang string, phrase string, a bigint"
     for k in range(shards):
-        mine = candidates.where(shard == k).toPandas() if shards > 1 else candidates.toPandas()
-        trie = spark.sparkContext.broadcast(Trie(mine["lang"].tolist(), [p.encode() for p in mine["phrase"]]))
-        counted = rows.mapInArrow(_count(trie, len(mine)), "place bigint, a bigint").groupBy("place").agg(F.sum("a").alias("a")).where(F.col("a") >= least).toPandas()
-        mine = mine.iloc[counted["place"].to_numpy(dtype=np.int64)].assign(a=counted["a"].to_numpy(dtype=np.int64)) if len(counted) else mine.iloc[:0].assign(a=pd.Series(dtype=np.int64))
-        spark.createDataFrame(pa.Table.from_pandas(mine[["lang", "phrase", "a"]], schema=pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("a", pa.int64())]), preserve_index=False)).write.mode("append").parquet(f"{folder}/counts")
+        mine = (candidates.where(shard == k) if shards > 1 else candidates).toArrow().combine_chunks()
+        langs, phrases = (pa.concat_arrays(c.chunks) if c.num_chunks else pa.array([], pa.string()) for c in (mine.column(0), mine.column(1)))
+        trie = spark.sparkContext.broadcast(Trie(langs, phrases))
+        counted = dealt(rows.mapInArrow(_count(trie, len(phrases)), "place bigint, data binary")).mapInArrow(_sum(least), "place bigint, a bigint").toArrow()
+        place = counted.column(0).combine_chunks()
+        found = pa.table({"lang": langs.take(place), "phrase": phrases.take(place), "a": counted.column(1)}, schema=pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("a", pa.int64())]))
+        spark.createDataFrame(found).write.mode("append").parquet(f"{folder}/counts")
         trie.destroy()
     counts = spark.read.schema(schema).parquet(f"{folder}/counts")
     return counts.join(totals, "lang").select("lang", "phrase", F.size(F.split("phrase", " ")).cast("bigint").alias("m"), "a", "n")

@@ -87,7 +87,7 @@ def test_trie_holds_its_phrases_and_no_others():
     letters = "a b c d e f g h".split()
     phrases = [" ".join(p) for m in (1, 2, 3) for k, p in enumerate(product(letters, repeat=m)) if k % 3 == 0] + ["a b c d e", "z"]
     langs = ["x" if k % 2 else "y" for k in range(len(phrases))]
-    trie = Trie(langs, [p.encode() for p in phrases])
+    trie = Trie(pa.array(langs), pa.array(phrases))
     for lang in ("x", "y", "none"):
         import numpy as np
 
