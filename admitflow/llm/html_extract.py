@@ -18,7 +18,10 @@ A host of several layouts has a class, and so a slot, for each. ``article`` and
 page's data they aren't taken), and menus, headers, footers, sidebars, notices,
 adverts, forms and comments are known by element, role or name, as no count
 tells reader comments from an article. Only containers are judged by name,
-never paragraphs, and not if they are named as content too.
+never paragraphs: by the last part of a name that isn't only a place, whatever
+it says of content besides, so ``post-comments`` go and ``social-impact``
+stays. Names that are subjects too (a menu, related work, reactions) count
+outside of ``article`` and ``main`` alone, or with links for most of their text.
 
 A page whose host has no template (one page, or other containers than the rest)
 is its own template. Containers nest by their paths; the order of siblings isn't
@@ -63,27 +66,55 @@ PARAGRAPHS = frozenset("p li h1 h2 h3 h4 h5 h6".split())
 CONTAINERS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form header hgroup html main menu nav ol pre section summary table tbody td tfoot th thead tr ul button head".split())
 BOILERPLATE = frozenset("nav footer aside form menu dialog button head".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
-NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertorial|sponsor(?:ed)?|promo(?:tion)?s?|banner|nav|navbar|navigation|menu|breadcrumbs?|sidebar|side-bar|rail|widget|"
-    r"footer|site-header|page-header|masthead|topbar|cookies?|consent|gdpr|notice|notification|alert|popup|modal|overlay|newsletter|subscribe|subscription|signup|"
-    r"login|social|share|sharing|related|recommended|comments?|comment-list|respond|disqus|reactions?|replies|toolbar|pagination|pager|skip-link)(?:$|[\s_-])",
-    re.IGNORECASE,
+#: What a container is called that is no part of an article; whatever else its name says of content.
+STRANGE = frozenset(
+    "ad ads advert adverts advertisement advertisements advertising advertorial sponsor sponsors sponsored promo promos banner banners nav navbar breadcrumb breadcrumbs sidebar widget widgets footer masthead topbar cookie cookies consent gdpr "
+    "notice notices notification notifications alert alerts popup modal overlay newsletter subscribe signup login social share shares sharing comment comments commenting respond disqus reply replies toolbar pagination pager skiplink siteheader pageheader".split()
 )
-CONTENT = re.compile(r"(?:^|[\s_-])(?:article|post|entry|content|main|story)(?:$|[\s_-])", re.IGNORECASE)
+#: Names that are subjects too: they count outside of ``article`` and ``main``, and where at least LINKED of the text is links.
+DOUBTFUL = frozenset("menu navigation related recommended recommendations reactions promotion promotions subscription rail".split())
+#: Parts of a name that say where or how something stands, but not what it is.
+PLACED = frozenset(
+    "area article bar block body bottom box btn button buttons center col column container content count counter custom entry footer group header heading holder icon icons inner item items label left link links list main meta outer page panel post primary region right row secondary section "
+    "section single site slot small story strip text title top unit view wrap wrapper".split()
+) - {"footer"}
+#: Names that begin so tell of what is elsewhere.
+MODIFIERS = frozenset("no has with without hide show is non not".split())
+COMMENTS = frozenset("comment comments reply replies".split())
+LINKED = 0.5
+PART = re.compile(r"[-_:.]+|(?<=[a-z])(?=[A-Z])")
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?>\"[^\"]*\"|'[^']*'|[^>\"'])*+)>", re.DOTALL)
 ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECASE)
 
 
+def meant(name: str) -> str:
+    """What a class or id calls its element: ``strange``, ``doubtful`` or nothing. The last part that isn't only a place decides: ``post-comments`` are comments, ``social-impact`` is an impact."""
+    parts = [p.lower().rstrip("0123456789") for p in PART.split(name)]
+    parts = [p for p in parts if p]
+    if not parts or parts[0] in MODIFIERS:
+        return ""
+    for k in range(len(parts) - 1, 0, -1):
+        if parts[k - 1] + parts[k] in STRANGE:  # side-bar, page-header
+            parts[k - 1 : k + 1] = [parts[k - 1] + parts[k]]
+            break
+    while parts and parts[-1] in PLACED:
+        parts.pop()
+    return "" if not parts else "strange" if parts[-1] in STRANGE else "doubtful" if parts[-1] in DOUBTFUL else ""
+
+
 @lru_cache(maxsize=4096)
-def judged(tag: str, attributes: str) -> tuple[str, bool, bool]:
-    """(label, hidden, boilerplate by element, role or name) of a start tag."""
+def judged(tag: str, attributes: str) -> tuple[str, bool, bool, str]:
+    """(label, hidden, boilerplate by element or role, what its names say) of a start tag."""
     names = {m[1].lower(): (m[2] or m[3] or m[4] or "").strip() for m in ATTRIBUTE.finditer(attributes)} if attributes else {}
     label = tag + "".join(f".{c}" for c in sorted(names.get("class", "").split())) + (f"#{names['id']}" if names.get("id") else "")
     hidden = "hidden" in names or names.get("aria-hidden") == "true" or bool(HIDDEN.search(names.get("style", "")))
-    named = f"{names.get('class', '')} {names.get('id', '')}"
-    by_name = tag not in ("article", "main", "body", "html") and bool(NAMES.search(named)) and not CONTENT.search(named)
-    return label, hidden, tag in BOILERPLATE or names.get("role", "").lower() in ROLES or by_name
+    called = f"{names.get('class', '')} {names.get('id', '')}".split()
+    if tag == "article":
+        said = "strange" if any(COMMENTS & {p.lower() for p in PART.split(c)} and meant(c) for c in called) else ""
+    else:
+        said = "" if tag in ("main", "body", "html") else max(map(meant, called), key=["", "doubtful", "strange"].index, default="")
+    return label, hidden, tag in BOILERPLATE or names.get("role", "").lower() in ROLES, said
 
 
 def mixed(parent: int, text: str) -> int:
@@ -96,6 +127,7 @@ class Page:
     def __init__(self, html: str):
         self.tags, self.labels, self.parents, self.paths = [""], [""], [-1], [0]
         self.blocks: list[tuple[int, str, int, bool]] = []  # container, text, characters in links, whether it is a main heading
+        self.named: list[tuple[int, str, bool]] = []  # container, what its names say, whether it is within article or main
         self.open: list[tuple[str, int, bool, bool]] = [("", 0, False, False)]  # element, container, excluded, within article or main
         self.many: Counter = Counter()  # open elements by name, so that a stray end tag costs nothing
         self.words: list[str] = []
@@ -119,6 +151,26 @@ class Page:
                 self.start(tag, token[3])
         self.text(html[at:])
         self.flush()
+        if self.named:
+            self.drop_named()
+
+    def drop_named(self) -> None:
+        """Takes out the blocks of containers that are boilerplate by name.
+
+        A container around ``main`` or a main heading never is. One of a doubtful name is if it stands outside of the page's ``article`` or ``main``, or
+        holds mostly links.
+        """
+        sums, framed = self.sums(), any(t in ("article", "main") for t in self.tags)
+        around = [t == "main" for t in self.tags]
+        for node in range(len(around) - 1, 0, -1):
+            around[self.parents[node]] |= around[node]
+        gone = [False] * len(self.tags)
+        for node, said, inside in self.named:
+            chars, linked, heads = sums[node]
+            gone[node] = not (around[node] or heads) and (said == "strange" or (framed and not inside) or linked >= LINKED * max(chars, 1))
+        for node in range(1, len(gone)):
+            gone[node] |= gone[self.parents[node]]
+        self.blocks = [b for b in self.blocks if not gone[b[0]]]
 
     def text(self, text: str) -> None:
         if text and not self.open[-1][2]:
@@ -148,13 +200,15 @@ class Page:
             self.flush()
             if self.open[-1][0] == "p":  # only hidden ones are kept open
                 self.pop()
-        label, hidden, named = judged(tag, attributes)
+        label, hidden, named, said = judged(tag, attributes)
         _, node, excluded, inside = self.open[-1]
         if container:
             self.tags.append(tag)
             self.labels.append(label)
             self.parents.append(node)
             self.paths.append(mixed(self.paths[node], label))
+            if said:
+                self.named.append((len(self.tags) - 1, said, inside))
             self.push(tag, len(self.tags) - 1, excluded or hidden or named or (tag == "header" and not inside), inside or tag in ("article", "main"))
         elif excluded or hidden:
             self.push(tag, node, True, inside)

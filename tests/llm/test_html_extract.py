@@ -1,6 +1,8 @@
 import re
 from html import unescape
 
+import pytest
+
 from admitflow.llm.html_extract import extract, main_text
 from admitflow.session import read
 
@@ -75,6 +77,37 @@ def test_names_judge_containers_only():
     assert extract(html) == "Up\n\nMoved\n\nso x=2\n\nkept"
 
 
+STRANGE = "post-comments article-comments content-sidebar entry-share article-footer story-ads comment-body sidebar-content main-nav post_share shareButtons ad-container cookie-bar newsletter-box side-bar ad-2 articleComments entry-meta-share".split()
+KEPT = "social-impact share-price ad-hoc no-sidebar has-comments main-content entry-content login-security navigation-systems article-header footer-design comment-culture story post".split()
+
+
+@pytest.mark.parametrize("name", STRANGE)
+def test_boilerplate_named_as_content_too_goes(name):
+    for attribute in ("class", "id"):
+        assert extract(f"<article><h1>T</h1><p>Text of it.</p><div {attribute}='{name}'><p>Strange words.</p></div></article>") == "T\n\nText of it."
+        assert extract(f"<body><div class=post><h1>T</h1><p>Text of it, long enough.</p><div {attribute}='x {name}'><p>Strange words.</p></div></div></body>") == "T\n\nText of it, long enough."
+
+
+@pytest.mark.parametrize("name", KEPT)
+def test_subjects_stay(name):
+    for attribute in ("class", "id"):
+        assert extract(f"<article><h1>T</h1><p>Text.</p><section {attribute}='{name}'><p>More of it.</p></section></article>") == "T\n\nText.\n\nMore of it."
+
+
+def test_doubtful_names_need_links_or_a_place_outside():
+    for name in ("id='reactions'", "class='related work'", "class=menu", "id=related", "class='post-related'"):
+        assert extract(f"<article><h1>T</h1><section {name}><p>Acid meets base.</p></section></article>") == "T\n\nAcid meets base."
+        assert extract(f"<article><h1>T</h1><p>Text.</p><section {name}><p><a href=x>Acid</a> and <a href=y>base</a></p></section></article>") == "T\n\nText."
+        assert extract(f"<body><article><h1>T</h1><p>Text.</p></article><section {name}><p>Acid meets base.</p></section></body>") == "T\n\nText."
+        assert extract(f"<body><div class=x><h1>T</h1><p>A paper without an article element.</p><section {name}><p>Acid meets base.</p></section></div></body>") == "T\n\nA paper without an article element.\n\nAcid meets base."
+
+
+def test_a_name_never_takes_the_article_away():
+    assert extract("<div class='content-sidebar-wrap'><main><h1>T</h1><p>Text.</p></main><div class=sidebar>no</div></div>") == "T\n\nText."
+    assert extract("<div id=widget><h1>T</h1><p>Text.</p></div>") == "T\n\nText."
+    assert extract("<div class=comments-page><h1>T</h1><p>Text.</p><div class=comments><article class=comment-body><p>First!</p></article></div></div>") == "T\n\nText."
+
+
 def test_deep_nesting_is_linear():
     assert extract("<div>" * 100_000 + "x" + "</b></div>" * 100_000) == "x"
     assert extract("<article>" + "<p>a</i>" * 50_000 + "</article>").count("a") == 50_000
