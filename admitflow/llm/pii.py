@@ -9,8 +9,12 @@ name found so is then found everywhere in that text, where it stands alone with
 a capital. A name that none of these gives away stays. Each entity gets a surrogate from a keyed hash of
 its type and canonical form: the same entity gets the same surrogate in every
 document and format (coreference), digits take the place of digits, letters of
-letters of their script, given names end as their gender's do, cards keep
-their check digit and letter case is kept.
+letters of their script, cards keep their check digit and letter case is kept.
+Given names end as their gender's do: it chooses the ending alone, and is one for a
+name in the whole corpus (what its titles and the known names say of it, neutral
+where they disagree), so "Dr. Oksana" and "Mrs Oksana" stay one person. IPv6
+addresses are one in all their abbreviations. "Family, Given" is read as the name
+it is, and a name that stands with capitals once is found in small letters too.
 
 Collision checks over all distinct entities keep them distinct: a surrogate
 that two entities share stays with the first in order, and one that is itself an entity of the corpus goes;
@@ -58,13 +62,13 @@ GIVEN = {
 ONE_NAME = r"\p{Lu}[\p{L}'’-]*\p{L}"
 EVERYONE = "|".join(title for titles in ADDRESS.values() for title in titles)
 BEFORE = rf"(?iu:{EVERYONE})\.? +|(?iu:{'|'.join(PHRASES)})[,:]? +"
-PERSON = rf"(?<![\p{{L}}])(?:(?:{BEFORE}){ONE_NAME}(?: +{ONE_NAME}){{0,2}}|(?:{'|'.join((*GIVEN['f'], *GIVEN['m']))}) +{ONE_NAME})(?![\p{{L}}])"
+PERSON = rf"(?<![\p{{L}}])(?:(?:{BEFORE}){ONE_NAME}(?: +{ONE_NAME}){{0,2}}|(?:{'|'.join((*GIVEN['f'], *GIVEN['m']))}) +{ONE_NAME}|{ONE_NAME}, +(?:{'|'.join((*GIVEN['f'], *GIVEN['m']))}))(?![\p{{L}}])"
 PATTERNS = {
     "email": r"[\p{L}\p{N}._%+-]+@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)*\.\p{L}{2,}",
     "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\d|\.\d)",
     "ip6": r"(?<![\p{L}\p{N}:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6})(?![\p{L}\p{N}:])",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
-    "phone": r"(?<![\d.+-])(?:(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?![\d-])|\+\d{1,3}(?:[ .-]?\(?\d{1,4}\)?){2,6}(?!\d))",
+    "phone": r"(?<![\d.+-])(?:(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?![\d-])|\+\d{1,3}(?:[ .-]?\(?\d{1,4}\)?){2,6}(?!\d)|0\d{2,4}[ /-]\d{5,8}(?![\d-]))",
     "card": r"(?<![\d.-])\d(?:[ -]?\d){12,18}(?![\d-])",
     "iban": r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?: ?[A-Z0-9]){11,30}(?![\p{L}\p{N}])",
 }
@@ -119,7 +123,15 @@ def phone_canon(value: Column) -> Column:
     """A number of ten digits, also after +1, is one; other numbers keep their country code."""
     number = digits(value)
     foreign = value.startswith("+") & ~(number.startswith("1") & (F.length(number) == 11))
-    return F.when(foreign, F.concat(F.lit("+"), number)).otherwise(F.right(number, F.lit(10)))
+    return F.when(foreign, F.concat(F.lit("+"), number)).when(number.startswith("0"), number).otherwise(F.right(number, F.lit(10)))
+
+
+def ip6_canon(value: Column) -> Column:
+    """All eight groups, in small letters, without leading zeros."""
+    groups = lambda t: F.filter(F.split(F.lower(t), ":"), lambda g: g != "")
+    left, right = groups(F.substring_index(value, "::", 1)), groups(F.when(F.contains(value, F.lit("::")), F.substring_index(value, "::", -1)).otherwise(""))
+    filled = F.concat(left, F.array_repeat(F.lit("0"), F.greatest(8 - F.size(left) - F.size(right), F.lit(0))), right)
+    return F.array_join(F.transform(filled, lambda g: F.regexp_replace(g, "^0+(?=.)", "")), ":")
 
 
 def entities(text: Column) -> Column:
@@ -128,7 +140,7 @@ def entities(text: Column) -> Column:
     def plain(kind: str, rank: int, keep=None) -> Column:
         def entity(m: Column) -> Column:
             value = m["value"]
-            canon = F.lower(value) if kind in ("email", "ip", "ip6") else phone_canon(value) if kind == "phone" else F.replace(value, F.lit(" "), F.lit("")) if kind == "iban" else digits(value)
+            canon = F.lower(value) if kind in ("email", "ip") else ip6_canon(value) if kind == "ip6" else phone_canon(value) if kind == "phone" else F.replace(value, F.lit(" "), F.lit("")) if kind == "iban" else digits(value)
             return F.struct(m["start"].alias("start"), F.lit(rank).alias("rank"), m["end"].alias("end"), F.lit(kind).alias("kind"), canon.alias("canon"), m["value"].alias("value"))
 
         return F.transform(matches(text, PATTERNS[kind], keep), entity).cast(ENTITIES)
@@ -138,6 +150,7 @@ def entities(text: Column) -> Column:
 
     def person(m: Column) -> Column:
         rest = F.regexp_replace(m["value"], f"^(?:{BEFORE})", "")
+        turned = F.contains(m["value"], F.lit(","))
         title = F.regexp_replace(F.lower(F.substring_index(m["value"], " ", 1)), r"\.$", "")
         names = F.split(rest, " +")
         first = F.get(names, F.lit(0))
@@ -150,7 +163,11 @@ def entities(text: Column) -> Column:
             F.when(F.size(names) > 2, part(F.lit("given"), F.get(names, F.lit(1)), m["end"] - F.length(behind))),
             part(F.lit("family"), F.element_at(names, -1), m["end"] - F.length(F.element_at(names, -1))),
         ).cast(ENTITIES)
-        return F.filter(places, lambda p: p.isNotNull())
+        given = F.substring_index(rest, " ", -1)
+        told_by = F.when(given.isin(*GIVEN["f"]), "given_f").otherwise("given_m")
+        reverse = F.array(part(F.lit("family"), F.substring_index(rest, ",", 1), start), part(told_by, given, m["end"] - F.length(given))).cast(ENTITIES)
+        whole = turned & F.lit(True) & F.substring_index(rest, ",", -1).rlike(f"^ +{ONE_NAME}$") & ~m["value"].rlike(f"^(?:{BEFORE})")
+        return F.when(whole, reverse).otherwise(F.filter(places, lambda p: p.isNotNull()))
 
     none = F.array().cast(ENTITIES)
     card = lambda v: check_sum(numbers(v), 1) == 0
@@ -166,7 +183,18 @@ def entities(text: Column) -> Column:
         families = F.array_distinct(F.transform(F.filter(persons, lambda p: (p["kind"] == "family") & (F.length(p["value"]) > 2)), lambda p: p["value"]))
         pattern = F.concat(F.lit(r"(?<![\p{L}'’-])(?iu:"), F.array_join(families, "|"), F.lit(r")(?![\p{L}])"))
         bare = F.transform(matches(text, pattern, lambda v: v.rlike(r"^\p{Lu}")), lambda m: part(F.lit("family"), m["value"], m["start"], 10))
-        return F.when(F.size(families) > 0, F.concat(persons, bare.cast(ENTITIES))).otherwise(persons)
+        # whole names in small letters: a given name and the family name behind it
+        follows = lambda p, i: F.coalesce(p["kind"].startswith("given") & (F.get(persons, i + 1)["kind"] == "family") & (F.get(persons, i + 1)["start"] == p["end"] + 1), F.lit(False))
+        pairs = F.filter(F.transform(persons, lambda p, i: F.struct(follows(p, i).alias("ok"), F.concat(p["canon"], F.lit(" "), F.get(persons, i + 1)["canon"]).alias("name"), p["kind"].alias("kind"))), lambda x: x["ok"])
+        names = F.concat(F.lit(r"(?<![\p{L}'’-])(?:"), F.array_join(F.array_distinct(pairs["name"]), "|"), F.lit(r")(?![\p{L}])"))
+
+        def small(m: Column) -> Column:
+            given = F.substring_index(m["value"], " ", 1)
+            kind = F.get(F.filter(pairs, lambda x: x["name"] == m["value"]), F.lit(0))["kind"]
+            return F.array(part(kind, given, m["start"]), part(F.lit("family"), F.substring_index(m["value"], " ", -1), m["start"] + F.length(given) + 1)).cast(ENTITIES)
+
+        lower = F.when(F.size(pairs) > 0, F.flatten(F.transform(matches(text, names), small))).otherwise(none)
+        return F.when(F.size(families) > 0, F.concat(persons, bare.cast(ENTITIES), lower)).otherwise(persons)
 
     found = F.concat(
         F.when(text.contains("@"), plain("email", 0)).otherwise(none),
@@ -207,6 +235,11 @@ def like_letters(value: Column, stream: Column) -> Column:
     return F.array_join(F.transform(F.split(value, ""), char), "")
 
 
+def space(kind: Column) -> Column:
+    """Kinds that share their surrogates: given names of any gender are one."""
+    return F.when(kind.startswith("given"), "given").otherwise(kind)
+
+
 def surrogate(kind: Column, canon: Column, attempt: Column, key: str) -> Column:
     """The canonical surrogate of an entity."""
     longer = F.greatest(attempt - (LONGER_FROM - 1), F.lit(0))
@@ -217,7 +250,7 @@ def surrogate(kind: Column, canon: Column, attempt: Column, key: str) -> Column:
         country = F.regexp_extract(canon, COUNTRY, 1)
         abroad = F.concat(country, at(0, 2), random(1, F.length(canon) - F.length(country) - 2))
         phone = F.when(canon.startswith("+"), abroad).otherwise(F.concat(*(at(n, 2 if n in (0, 3) else 0) for n in range(10))))
-        hexed = F.array_join(F.transform(F.split(canon, ""), lambda c, i: F.when(c == ":", c).otherwise(F.lower(F.hex(number_at(h, i) % 16)))), "")
+        hexed = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.lower(F.hex(4096 * (1 + number_at(h, 2 * i) % 15) + 16 * number_at(h, 2 * i + 1) + number_at(h, i + 20) % 16))), ":")
         like = F.transform(F.split(F.substring(canon, F.lit(5), F.lit(40)), ""), lambda c, i: F.when(c.rlike("[0-9]"), (number_at(h, i) % 10).cast("string")).otherwise(pick(LETTERS, h, i)))
         land = F.substring(canon, F.lit(1), F.lit(2))
         account = let(F.array_join(like, ""), lambda body: F.concat(land, F.lpad((98 - rest_97(F.concat(body, land, F.lit("00")))).cast("string"), 2, "0"), body))
@@ -242,7 +275,7 @@ def surrogate(kind: Column, canon: Column, attempt: Column, key: str) -> Column:
         name = F.when(ending.isNull() | (F.length(base) < 3), base).otherwise(F.concat(F.substring(base, F.lit(1), F.length(base) - 1), ending))
         return F.when(kind == "phone", phone).when(kind == "ssn", social).when(kind == "ip", ip).when(kind == "ip6", hexed).when(kind == "iban", account).when(kind == "card", card).when(kind == "email", email).otherwise(name)
 
-    return let(F.sha2(F.concat_ws("|", F.lit(key), kind, canon, attempt.cast("string")), 512), made)
+    return let(F.sha2(F.concat_ws("|", F.lit(key), space(kind), canon, attempt.cast("string")), 512), made)
 
 
 def in_format(kind: Column, value: Column, core: Column) -> Column:
@@ -266,19 +299,23 @@ def in_format(kind: Column, value: Column, core: Column) -> Column:
 
 
 def attempts(found: DataFrame, key: str) -> DataFrame:
-    """(kind, canon, attempt) of the entities whose first surrogate collides. found: a column ``entities``."""
-    family = F.when(F.col("kind").startswith("given"), F.lit("given")).otherwise(F.col("kind"))
+    """(kind, canon, as_kind, attempt) of the entities whose first surrogate collides, or that the corpus gives another gender than their kind. found: a column ``entities``."""
     every = cut(found.select(F.explode("entities").alias("e")).select("e.kind", "e.canon").distinct())
-    known = every.select(family.alias("space"), F.col("canon").alias("core")).distinct()
-    table = every.withColumn("attempt", F.lit(0))
+    said = lambda g: F.max((F.col("kind") == g).cast("int"))
+    genders = every.where(F.col("kind").startswith("given")).groupBy("canon").agg((said("given_f") - said("given_m")).alias("gender")).withColumn("space", F.lit("given"))
+    one = F.when(F.col("gender") > 0, "given_f").when(F.col("gender") < 0, "given_m").when(F.col("gender") == 0, "given").otherwise(F.col("kind"))
+    every = cut(every.withColumn("space", space(F.col("kind"))).join(genders, ["space", "canon"], "left").select("kind", "canon", one.alias("as_kind"), "space"))
+    known = every.select("space", F.col("canon").alias("core")).distinct()
+    table = every.select(F.col("as_kind").alias("kind"), "canon").distinct().withColumn("attempt", F.lit(0))
     for _ in range(MAX_ROUNDS):
-        table = cut(table.withColumns({"core": surrogate(F.col("kind"), F.col("canon"), F.col("attempt"), key), "space": family}))
+        table = cut(table.withColumns({"core": surrogate(F.col("kind"), F.col("canon"), F.col("attempt"), key), "space": space(F.col("kind"))}))
         shared = table.groupBy("space", "core").agg(F.min(F.struct("attempt", "kind", "canon")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
         losers = table.join(shared, ["space", "core"]).where("first.kind != kind or first.canon != canon").select("kind", "canon")
         taken = table.join(known, ["space", "core"], "left_semi").select("kind", "canon")
         bad = cut(losers.union(taken).distinct().withColumn("again", F.lit(1)))
         if bad.isEmpty():
-            return table.where("attempt > 0").select("kind", "canon", "attempt")
+            tried = table.where("attempt > 0").select(F.col("kind").alias("as_kind"), "canon", "attempt")
+            return every.join(tried, ["as_kind", "canon"], "left").where("attempt > 0 or kind != as_kind").select("kind", "canon", "as_kind", F.coalesce("attempt", F.lit(0)).alias("attempt"))
         table = table.join(bad, ["kind", "canon"], "left").select("kind", "canon", (F.col("attempt") + F.coalesce("again", F.lit(0))).alias("attempt"))
     raise RuntimeError(f"surrogates still collide after {MAX_ROUNDS} rounds: a kind has more entities than its format allows")
 
@@ -290,18 +327,21 @@ def pseudonymise(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: st
     later = cut(attempts(found, key))
     few = later.limit(max_later + 1).collect()
     if len(few) <= max_later:
-        pairs = [F.lit(x) for r in few for x in (f"{r['kind']}|{r['canon']}", r["attempt"])]
-        attempt_of = F.create_map(*pairs) if pairs else F.lit(None).cast("map<string,int>")
+        pairs = [x for r in few for x in (F.lit(f"{r['kind']}|{r['canon']}"), F.struct(F.lit(r["as_kind"]).alias("as_kind"), F.lit(r["attempt"]).alias("attempt")))]
+        attempt_of = F.create_map(*pairs) if pairs else F.lit(None).cast("map<string,struct<as_kind:string,attempt:int>>")
     else:
         each = found.select("doc_id", F.explode("entities").alias("e")).select("doc_id", "e.kind", "e.canon").distinct()
-        pair = F.struct(F.concat_ws("|", "kind", "canon"), "attempt")
+        pair = F.struct(F.concat_ws("|", "kind", "canon"), F.struct("as_kind", "attempt"))
         by_doc = each.join(later, ["kind", "canon"]).groupBy(F.col("doc_id").alias("__id")).agg(F.map_from_entries(F.collect_set(pair)).alias("later"))
         found = found.join(by_doc, F.col("doc_id").eqNullSafe(F.col("__id")), "left").drop("__id")
         attempt_of = F.col("later")
 
     def value(e: Column) -> Column:
-        attempt = F.coalesce(F.try_element_at(attempt_of, F.concat_ws("|", e["kind"], e["canon"])), F.lit(0))
-        return let(surrogate(e["kind"], e["canon"], attempt, key), lambda core: in_format(e["kind"], e["value"], core))
+        def with_later(later: Column) -> Column:
+            kind, attempt = F.coalesce(later["as_kind"], e["kind"]), F.coalesce(later["attempt"], F.lit(0))
+            return let(surrogate(kind, e["canon"], attempt, key), lambda core: in_format(e["kind"], e["value"], core))
+
+        return let(F.try_element_at(attempt_of, F.concat_ws("|", e["kind"], e["canon"])), with_later)
 
     return found.select(
         "doc_id",

@@ -99,3 +99,25 @@ def test_against_brute_force(spark):
         for old, new in zip(found, split.groups(), strict=True):
             assert known.setdefault(old, new) == new != old
     assert len(set(known.values())) == len(known) and not set(known.values()) & set(known)
+
+
+def test_one_identity_in_every_form(spark):
+    texts = [
+        "Dr. Oksana Petrova came. Mrs Oksana Petrova left.", "Prof. Oksana Petrova", "Ask John Smith or john smith; Smith, John is blacksmith john.", "Garcia, Maria wrote as Maria Garcia.",
+        "2001:db8::1 is 2001:0db8:0:0:0:0:0:1 and 2001:DB8:0::1", "Call 030 1234567 or 030/1234567.", "Mr Kim Lee", "Mrs Kim Lee",
+    ]
+    got = rewrite(spark, list(enumerate(texts)))
+    m = re.fullmatch(r"Dr\. (\w+) (\w+) came\. Mrs (\w+) (\w+) left\.", got[0].text)
+    assert m[1] == m[3] != "Oksana" and m[2] == m[4] != "Petrova" and m[1].endswith("a") and got[1].text == f"Prof. {m[1]} {m[2]}"
+    m = re.fullmatch(r"Ask (\w+) (\w+) or (\w+) (\w+); (\w+), (\w+) is blacksmith john\.", got[2].text)
+    assert m and (m[3].title(), m[4].title()) == (m[1], m[2]) == (m[6], m[5]) and not {"John", "Smith"} & {m[1], m[2]}
+    m = re.fullmatch(r"(\w+), (\w+) wrote as (\w+) (\w+)\.", got[3].text)
+    assert m[1] == m[4] != "Garcia" and m[2] == m[3] != "Maria"
+    m = re.fullmatch(r"(\S+) is (\S+) and (\S+)", got[4].text)
+    assert m[1] == m[2] == m[3] != "2001:db8::1" and m[1].count(":") == 7
+    m = re.fullmatch(r"Call (\d{3} \d{7}) or (\d{3}/\d{7})\.", got[5].text)
+    assert m[1].replace(" ", "/") == m[2] != "030/1234567"
+    # titles that disagree: one neutral surrogate
+    assert got[6].text.removeprefix("Mr ") == got[7].text.removeprefix("Mrs ") != "Kim Lee"
+    joined = rewrite(spark, list(enumerate(texts)), max_later=0)
+    assert all(joined[i].text == got[i].text for i in got)
