@@ -46,21 +46,32 @@ def replace_children(base: DataFrame, delta: DataFrame, parent: str) -> DataFram
     return base.join(delta.select(parent).distinct(), parent, "left_anti").unionByName(delta)
 
 
-def version_rows(base: DataFrame, delta: DataFrame, key: str, content: Sequence[str], as_of: Column) -> DataFrame:
-    """Next snapshot of a versioned table (key, content, fingerprint, version, is_current, verified_at).
+def version_rows(base: DataFrame, delta: DataFrame, key: str, content: Sequence[str], as_of: Column, order: Sequence[str] = (), renew: Sequence[str] = ()) -> DataFrame:
+    """Next snapshot of a versioned table (key, content, renewed columns, fingerprint, version, is_current, verified_at).
 
-    A delta row equal to the current version only renews verified_at; another one
-    closes it and becomes version max + 1. ``delta`` has one row a key.
+    The delta's rows of a key are replayed in ``order`` (one row a key needs none): a row equal to the version before it
+    only renews verified_at (``as_of``, an expression on the delta's row) and the columns ``renew``, as notes or an address, another one closes that version and becomes
+    the next. So a run of equal rows is one version, known by a running count of the changes, and no row is replayed on its own.
     """
-    own = [key, *content]
-    new = delta.select(*own, row_hash(content).alias("new_print"))
-    last = base.groupBy(key).agg(F.max("version").alias("last"), F.max(F.when(F.col("is_current"), F.col("fingerprint"))).alias("now_print"))
-    judged = new.join(last, key, "left").withColumn("same", F.coalesce(F.col("new_print") == F.col("now_print"), F.lit(False)))
-    touched = base.join(judged.select(key, "same"), key, "left")
-    kept = touched.select(
-        *own, "fingerprint", "version", (F.col("is_current") & F.coalesce("same", F.lit(True))).alias("is_current"), F.when(F.col("is_current") & F.col("same"), as_of).otherwise(F.col("verified_at")).alias("verified_at")
-    )
-    added = judged.where("not same").select(*own, F.col("new_print").alias("fingerprint"), (F.coalesce("last", F.lit(0)) + 1).alias("version"), F.lit(True).alias("is_current"), as_of.alias("verified_at"))
+    own, more = [key, *content], list(renew)
+    new = delta.select(*own, *more, *(c for c in order if c not in own + more), row_hash(content).alias("__print"), as_of.alias("__at"))
+    last = base.groupBy(key).agg(F.max("version").alias("__last"), F.max(F.when(F.col("is_current"), F.col("fingerprint"))).alias("__now"))
+    turn = Window.partitionBy(key).orderBy(*(order or [F.lit(1)]))
+    before = F.when(F.row_number().over(turn) == 1, F.col("__now")).otherwise(F.lag("__print").over(turn))
+    judged = new.join(last, key, "left").withColumns({"__turn": F.row_number().over(turn), "__new": (~before.eqNullSafe(F.col("__print"))).cast("int")})
+    judged = judged.withColumn("__run", F.sum("__new").over(turn.rowsBetween(Window.unboundedPreceding, 0)))
+    late = F.max_by(F.struct(*own, *more, "__print", "__at", "__last"), "__turn").alias("r")
+    runs = judged.groupBy(key, "__run").agg(late).withColumn("__top", F.max("__run").over(Window.partitionBy(key)))
+    # the run that goes on with the current version, and whether another follows
+    on = runs.groupBy(key).agg(F.max("__top").alias("__top"), F.max(F.when(F.col("__run") == 0, F.struct("r"))).alias("__on"))
+    touched = base.join(on, key, "left")
+    goes_on = F.col("is_current") & F.col("__on").isNotNull()
+    renewed = [F.when(goes_on, F.col(f"__on.r.{c}")).otherwise(F.col(c)).alias(c) for c in more]
+    kept = touched.select(*own, *renewed, "fingerprint", "version", (F.col("is_current") & (F.coalesce("__top", F.lit(0)) == 0)).alias("is_current"), F.when(goes_on, F.col("__on.r.__at")).otherwise(F.col("verified_at")).alias("verified_at"))
+    added = runs.where("__run > 0").select(
+        *(F.col(f"r.{c}").alias(c) for c in own + more), F.col("r.__print").alias("fingerprint"), (F.coalesce("r.__last", F.lit(0)) + F.col("__run")).cast("int").alias("version"), (F.col("__run") == F.col("__top")).alias("is_current"),
+        F.col("r.__at").alias("verified_at"),
+    )
     return kept.unionByName(added)
 
 

@@ -33,6 +33,26 @@ def test_versions_are_idempotent(spark):
     assert sorted((r.id, r.version, r.is_current, r.text) for r in third.collect()) == [(1, 1, False, "a"), (1, 2, True, "c"), (2, 1, True, "b")]
 
 
+def test_versions_of_several_rows_a_key_are_replayed(spark):
+    """As row by row, on 1 to 20 rows a key: notes and addresses are renewed where the content is the same."""
+    rng = random.Random(6)
+    base = [(k, rng.choice("ab"), f"n{k}", v, v == 3, "t0") for k in range(0, 20, 2) for v in (1, 2, 3)]
+    delta = [(k, rng.choice("ab"), f"m{k}-{i}", i) for k in range(25) for i in range(rng.randrange(1, 21))]
+    versions = spark.createDataFrame(base, "id int, text string, note string, version int, is_current boolean, verified_at string").withColumn("fingerprint", M.row_hash(["text"]))
+    got = M.version_rows(versions, spark.createDataFrame(delta, "id int, text string, note string, step int").repartition(3), "id", ["text"], F.concat(F.lit("t"), F.col("step")), order=["step"], renew=["note"])
+    want = [list(r) for r in base]
+    for k, text, note, step in delta:
+        own = [r for r in want if r[0] == k]
+        now = next((r for r in own if r[4]), None)
+        if now and now[1] == text:
+            now[2], now[5] = note, f"t{step}"
+        else:
+            if now:
+                now[4] = False
+            want.append([k, text, note, max([r[3] for r in own], default=0) + 1, True, f"t{step}"])
+    assert sorted((r.id, r.text, r.note, r.version, r.is_current, r.verified_at) for r in got.collect()) == sorted(map(tuple, want))
+
+
 def test_upsert_and_children(spark):
     base = spark.createDataFrame([(1, "a", "x"), (2, "b", "x")], "k int, v string, made string")
     delta = spark.createDataFrame([(2, "B", "y"), (3, "C", "y")], "k int, v string, made string")
