@@ -52,7 +52,7 @@ SHARD_PHRASES = 500_000
 #: Bytes of text that a task takes at once, but for longer documents.
 BLOCK_BYTES = 6_000_000
 #: Buckets or candidates that travel together, ranges of a length's buckets at most, and ranges of the listed phrases.
-RANGE, PLACES, LISTS = 1 << 14, 1 << 20, 256
+RANGE, PLACES, LISTS = 1 << 16, 1 << 20, 256
 
 _BREAK, _SPACE = 10, 32
 _CHARS = np.array([c + 32 if 65 <= c <= 90 else _BREAK if chr(c) in ".,;:!?" or 10 <= c <= 13 else _SPACE if c == 9 else c for c in range(256)], np.uint8)
@@ -119,9 +119,9 @@ def _packed(kind: int, where: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBa
     if not len(where):
         return
     cuts = np.flatnonzero(np.diff(where // RANGE, prepend=-1))
-    for at, end in zip(cuts, [*cuts[1:], len(where)], strict=True):
-        data = (where[at:end] % RANGE).astype("<u2").tobytes() + n[at:end].tobytes()
-        yield pa.RecordBatch.from_arrays([pa.array([kind * PLACES + int(where[at]) // RANGE]), pa.array([data], pa.binary())], ["place", "data"])
+    offsets = (where % RANGE).astype("<u2")
+    data = [offsets[at:end].tobytes() + n[at:end].tobytes() for at, end in zip(cuts, [*cuts[1:], len(where)], strict=True)]
+    yield pa.RecordBatch.from_arrays([pa.array(kind * PLACES + where[cuts] // RANGE, pa.int64()), pa.array(data, pa.binary())], ["place", "data"])
 
 
 def _unpacked(data: bytes, kind: type) -> tuple[np.ndarray, np.ndarray]:
@@ -157,9 +157,8 @@ def _total(least: int):
                 where, n = _unpacked(data, np.uint8)
                 sums = found.setdefault(place, np.zeros(RANGE, np.uint8))
                 sums[where] = np.minimum(sums[where] + n, least)
-        for place, sums in found.items():
-            if (sums >= least).any():
-                yield pa.RecordBatch.from_arrays([pa.array([place], pa.int64()), pa.array([np.packbits(sums >= least).tobytes()], pa.binary())], ["place", "bits"])
+        full = {place: np.packbits(sums >= least).tobytes() for place, sums in found.items() if (sums >= least).any()}
+        yield pa.RecordBatch.from_arrays([pa.array(list(full), pa.int64()), pa.array(list(full.values()), pa.binary())], ["place", "bits"])
 
     return run
 
