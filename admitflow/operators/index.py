@@ -6,13 +6,12 @@ import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from admitflow.functions.text import collapse
+from admitflow.functions.text import collapse, let
 
 
 def sections(records: DataFrame, key: str, parts: dict[str, tuple[str, str]]) -> DataFrame:
@@ -87,19 +86,79 @@ def chunk_spans(text: str, size: int = 1200, overlap: int = 160) -> list[tuple[i
     return spans
 
 
+SPANS = "array<struct<a:int,b:int>>"
+#: A code point that Unicode keeps out of texts: it marks where sentences part.
+MARK = "\ufdd0"
+
+
+def span_array(text: Column, size: int = 1200, overlap: int = 160) -> Column:
+    """The spans of :func:`chunk_spans` as an expression: one fold over the sentences of a text with single spaces.
+
+    The state is the start of the open chunk, the last sentence end in it (0: none) and the spans so far. A sentence that fits is added; else the chunk is closed
+    and the next one begins in its overlap, where the sentence then fits, or with the sentence; a sentence of over ``size`` is cut on its own.
+    """
+    state = f"struct<off:int,at:int,last:int,spans:{SPANS}>"
+    at_char = lambda i: F.substring(text, (i + 1).cast("int"), F.lit(1))
+    span = lambda a, b: F.array(F.struct(a.cast("int").alias("a"), b.cast("int").alias("b"))).cast(SPANS)
+    now = lambda off, at, last, spans: F.struct(off.cast("int").alias("off"), at.cast("int").alias("at"), last.cast("int").alias("last"), spans.alias("spans")).cast(state)
+    none = F.array().cast(SPANS)
+
+    def again(at: Column, last: Column, end: Column) -> Column:
+        """Where the next chunk starts behind (at, last)."""
+
+        def from_low(low: Column) -> Column:
+            tail = F.substring(text, (low + 1).cast("int"), (last - low).cast("int"))
+            word = F.instr(tail, " ") - 1  # from low on
+            start = F.when(word > 0, low + word + 1).otherwise(low)
+            return F.when(end - start <= size, start).otherwise(last + 1)
+
+        lapped = let(last - overlap + F.when(at_char(last - overlap) == " ", 1).otherwise(0), from_low)
+        return F.when(last == 0, at).when(F.lit(overlap > 0) & (last - at > overlap), lapped).otherwise(last + 1)
+
+    def pieces(start: Column, end: Column) -> Column:
+        """Spans of a sentence of over ``size``: cut at the last space of each ``size`` characters."""
+        kind = f"struct<at:int,spans:{SPANS}>"
+
+        def cut(acc: Column, _: Column) -> Column:
+            at = acc["at"]
+            window = F.substring(text, (at + 2).cast("int"), F.lit(size - 1))  # characters at + 1 up to at + size
+            space = F.length(window) - F.instr(F.reverse(window), " ")  # place in the window, if there is any
+            place = F.when(F.instr(window, " ") > 0, at + 1 + space).otherwise(at + size)
+
+            def onward(p: Column) -> Column:
+                go = F.greatest(p - overlap, at + 1)
+                return F.struct((go + F.when(at_char(go) == " ", 1).otherwise(0)).cast("int").alias("at"), F.concat(acc["spans"], span(at, p)).alias("spans")).cast(kind)
+
+            return F.when(end - at <= size, acc).otherwise(let(place, onward))
+
+        done = F.aggregate(F.sequence(F.lit(1), F.greatest(end - start - size, F.lit(1))), F.struct(start.cast("int").alias("at"), none.alias("spans")).cast(kind), cut)
+        return let(done, lambda d: F.concat(d["spans"], span(d["at"], end)))
+
+    def step(acc: Column, sentence: Column) -> Column:
+        start = acc["off"]
+        end = start + F.length(sentence)
+
+        def closed(at: Column) -> Column:
+            before = F.when(acc["last"] > 0, F.concat(acc["spans"], span(acc["at"], acc["last"]))).otherwise(acc["spans"])
+            return F.when(end - at <= size, now(end + 1, at, end, before)).when(end - start <= size, now(end + 1, start, end, before)).otherwise(now(end + 1, end + 1, F.lit(0), F.concat(before, pieces(start, end))))
+
+        return F.when(end - acc["at"] <= size, now(end + 1, acc["at"], end, acc["spans"])).otherwise(let(again(acc["at"], acc["last"], end), closed))
+
+    sentences = F.split(F.regexp_replace(text, "(?<=[.!?]) (?=[A-Z0-9])", MARK), MARK)
+    begin = now(F.lit(0), F.lit(0), F.lit(0), none)
+    folded = F.aggregate(sentences, begin, step, lambda acc: F.when(acc["last"] > 0, F.concat(acc["spans"], span(acc["at"], acc["last"]))).otherwise(acc["spans"]))
+    return F.when(text == "", none).when(F.length(text) <= size, span(F.lit(0), F.length(text))).otherwise(folded)
+
+
 def sentence_chunks(rows: DataFrame, key: str, size: int = 1200, overlap: int = 160) -> DataFrame:
     """(key, kind, chunk_index, content, content_hash) of sections with course and code as a header."""
     if not 0 <= overlap < size:
         raise ValueError("overlap must be at least 0 and below size")
-
-    @F.pandas_udf("array<string>")
-    def split(text: pd.Series) -> pd.Series:
-        clean = text.fillna("").str.replace(r"\s+", " ", regex=True).str.strip()
-        return clean.map(lambda t: [t[a:b] for a, b in chunk_spans(t, size, overlap)])
-
     header = F.concat_ws(" ", F.concat(F.lit("Course: "), F.col("course_name")), F.concat(F.lit("CRICOS: "), F.col("cricos")), F.concat(F.lit("Section: "), F.col("title")), F.col("body"))
-    made = rows.select(key, "kind", split(header).alias("chunks"))
-    return made.select(key, "kind", F.posexplode("chunks").alias("chunk_index", "content")).withColumn("content_hash", F.sha2("content", 256))
+    clean = rows.select(key, "kind", F.replace(collapse(header), F.lit(MARK), F.lit("")).alias("text"))
+    made = clean.select(key, "kind", "text", F.posexplode(span_array(F.col("text"), size, overlap)).alias("chunk_index", "s"))
+    content = F.substring("text", F.col("s.a") + 1, F.col("s.b") - F.col("s.a"))
+    return made.select(key, "kind", "chunk_index", content.alias("content")).withColumn("content_hash", F.sha2("content", 256))
 
 
 def is_current(chunks: DataFrame, index: DataFrame, key: str, model: str) -> DataFrame:

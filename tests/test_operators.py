@@ -103,6 +103,18 @@ def test_chunks_are_slices_that_cover_the_text():
                 assert b - overlap <= a <= b + 1 and not text[b:a].strip()
 
 
+def test_packing_in_the_jvm_gives_the_same_spans(spark, sf_dir):
+    rng = random.Random(4)
+    texts = [" ".join(rng.choice(["Ab", "cd.", "E", "ffffffffff", "g!", "é9.", "x" * rng.randrange(1, 40)]) for _ in range(rng.randrange(1, 90))) for _ in range(150)] + ["", "a", "w " * 40 + "w", "y" * 130, "One two. Three four. Five six."]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, t string").repartition(4)
+    for size, overlap in ((50, 10), (30, 29), (20, 0)):
+        for r in rows.select("id", I.span_array(F.col("t"), size, overlap).alias("s")).collect():
+            assert [tuple(x) for x in r.s] == I.chunk_spans(texts[r.id], size, overlap), (texts[r.id], size, overlap)
+    docs = read(spark, sf_dir, "documents").select("doc_id", F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"(?U)\\s+", " ")).alias("t"))
+    for r in docs.select("doc_id", "t", I.span_array(F.col("t")).alias("s")).collect():
+        assert [tuple(x) for x in r.s] == I.chunk_spans(r.t), r.doc_id
+
+
 def test_flat_metadata(spark):
     row = spark.createDataFrame([("a \"q\"", 2, None, [1, 2], True)], "s string, n int, none string, l array<int>, b boolean")
     flat = row.select(I.flat_metadata({c: F.col(c) for c in row.columns}).alias("m")).first().m
