@@ -51,8 +51,8 @@ LONGEST = 5
 SHARD_PHRASES = 500_000
 #: Bytes of text that a task takes at once, but for longer documents.
 BLOCK_BYTES = 6_000_000
-#: Buckets or candidates that travel together, ranges of a length's buckets at most, and ranges of the listed phrases.
-RANGE, PLACES, LISTS = 1 << 16, 1 << 20, 256
+#: Buckets or candidates of a range, groups of a length's ranges that travel together, groups at most, and groups of the listed phrases.
+RANGE, GROUPS, PLACES, LISTS = 1 << 16, 32, 1 << 20, 256
 
 _BREAK, _SPACE = 10, 32
 _CHARS = np.array([c + 32 if 65 <= c <= 90 else _BREAK if chr(c) in ".,;:!?" or 10 <= c <= 13 else _SPACE if c == 9 else c for c in range(256)], np.uint8)
@@ -114,20 +114,27 @@ def _bucket(g: np.ndarray, bits: int) -> np.ndarray:
     return ((g * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def _packed(kind: int, where: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Numbers of places, a row for each range of RANGE places that has any: offsets of two bytes, then the numbers. They grow with the texts of a task, however many places there are."""
+def parts_of(bits: int) -> int:
+    """Ranges of buckets that go in one row, so that a length has GROUPS rows at most, whatever the number of buckets."""
+    return max(1, (1 << bits) // (RANGE * GROUPS))
+
+
+def _packed(kind: int, where: np.ndarray, n: np.ndarray, parts: int = 1) -> Iterator[pa.RecordBatch]:
+    """Numbers of places, a row for each group of ``parts`` ranges that has any: how many in each range, offsets of two bytes, then the numbers. They grow with the texts of a task, however many places there are."""
     if not len(where):
         return
-    cuts = np.flatnonzero(np.diff(where // RANGE, prepend=-1))
-    offsets = (where % RANGE).astype("<u2")
-    data = [offsets[at:end].tobytes() + n[at:end].tobytes() for at, end in zip(cuts, [*cuts[1:], len(where)], strict=True)]
-    yield pa.RecordBatch.from_arrays([pa.array(kind * PLACES + where[cuts] // RANGE, pa.int64()), pa.array(data, pa.binary())], ["place", "data"])
+    group, size = where // (RANGE * parts), RANGE * parts
+    cuts = np.flatnonzero(np.diff(group, prepend=-1))
+    offsets, ranges = (where % RANGE).astype("<u2"), where % size // RANGE
+    data = [np.bincount(ranges[at:end], minlength=parts).astype("<u4").tobytes() + offsets[at:end].tobytes() + n[at:end].tobytes() for at, end in zip(cuts, [*cuts[1:], len(where)], strict=True)]
+    yield pa.RecordBatch.from_arrays([pa.array(kind * PLACES + group[cuts], pa.int64()), pa.array(data, pa.binary())], ["place", "data"])
 
 
-def _unpacked(data: bytes, kind: type) -> tuple[np.ndarray, np.ndarray]:
-    """Offsets and numbers of a packed row."""
-    size = len(data) // (2 + np.dtype(kind).itemsize)
-    return np.frombuffer(data, "<u2", size), np.frombuffer(data, kind, size, 2 * size)
+def _unpacked(data: bytes, kind: type, parts: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """Places within its group and numbers of a packed row."""
+    many = np.frombuffer(data, "<u4", parts)
+    size = int(many.sum())
+    return np.frombuffer(data, "<u2", size, 4 * parts) + np.repeat(np.arange(parts) * RANGE, many), np.frombuffer(data[4 * parts + 2 * size :], kind, size)
 
 
 def dealt(packed: DataFrame) -> DataFrame:
@@ -142,20 +149,20 @@ def _add_up(bits: int, least: int):
         for lang, words in blocks(batches):
             for k, g in hashes(lang, words):
                 where, n = np.unique(_bucket(g[words.whole(k)], bits), return_counts=True)
-                yield from _packed(k - 1, where, np.minimum(n, least).astype(np.uint8))
+                yield from _packed(k - 1, where, np.minimum(n, least).astype(np.uint8), parts_of(bits))
 
     return run
 
 
-def _total(least: int):
+def _total(bits: int, least: int):
     """Bits of the buckets that reach ``least``, of all rows of a range."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[int, np.ndarray] = {}
         for batch in batches:
             for place, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                where, n = _unpacked(data, np.uint8)
-                sums = found.setdefault(place, np.zeros(RANGE, np.uint8))
+                where, n = _unpacked(data, np.uint8, parts_of(bits))
+                sums = found.setdefault(place, np.zeros(RANGE * parts_of(bits), np.uint8))
                 sums[where] = np.minimum(sums[where] + n, least)
         full = {place: np.packbits(sums >= least).tobytes() for place, sums in found.items() if (sums >= least).any()}
         yield pa.RecordBatch.from_arrays([pa.array(list(full), pa.int64()), pa.array(list(full.values()), pa.binary())], ["place", "bits"])
@@ -165,9 +172,10 @@ def _total(least: int):
 
 def full_buckets(rows: DataFrame, bits: int, least: int) -> np.ndarray:
     """For each length a bit array (packed) of the buckets that hold ``least`` or more phrases; at most 5 * 2**26 bits come to the driver."""
-    ranges = np.zeros((LONGEST, max(1, (1 << bits) // RANGE), RANGE // 8), np.uint8)
+    size = RANGE * parts_of(bits)
+    ranges = np.zeros((LONGEST, max(1, (1 << bits) // size), size // 8), np.uint8)
     sums = dealt(rows.mapInArrow(_add_up(bits, least), "place bigint, data binary"))
-    for r in sums.mapInArrow(_total(least), "place bigint, bits binary").toLocalIterator(prefetchPartitions=True):
+    for r in sums.mapInArrow(_total(bits, least), "place bigint, bits binary").toLocalIterator(prefetchPartitions=True):
         ranges[r.place // PLACES, r.place % PLACES] = np.frombuffer(r.bits, np.uint8)
     return ranges.reshape(LONGEST, -1)
 
