@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from admitflow.functions.text import FLAGS, NOTES, blank_to_null, collapse, contains_any, dedupe_folded, first_place, language_tests, let, normal_text, section_window, strip_html
+from admitflow.functions.text import FLAGS, NOTES, blank_to_null, collapse, contains_any, first_place, language_tests, let, normal_text, section_window, strip_html, trimmed
+from admitflow.session import fresh
 
 #: The parts of a page's JSON that are read, as schemas; other fields are skipped by the reader.
 MODEL = "struct<link:string,`:items`:struct<`nd-qualifications-pg`:struct<description:string,additionalText:string>,`nd-before-how-to-apply`:struct<description:string>,`nd-submit-how-to-apply`:struct<customOpenText:string>>>"
@@ -119,7 +120,9 @@ def structured_tests(coredata: Column) -> Column:
     """array of tests with their scores from the structured requirements of the first year."""
 
     def test(r: Column) -> Column:
-        code, text = F.lower(normal_text(r["codeDesc"])), normal_text(r["description"])
+        return let(F.transform(F.array(r["codeDesc"], r["description"]), normal_text), lambda x: read(F.lower(F.get(x, F.lit(0))), F.get(x, F.lit(1))))
+
+    def read(code: Column, text: Column) -> Column:
         name = F.when(code.contains("ielts"), "IELTS Academic").when(code.contains("toefl"), "TOEFL iBT").when(contains_any(code, ("pearsons", "pte")), "PTE Academic")
 
         def of(numbers: Column) -> Column:
@@ -163,40 +166,43 @@ def derived_notes(text: Column, fell_back: Column) -> Column:
     return F.array_compact(F.array(*mentions, F.when(fell_back, FALLBACK_NOTE)))
 
 
-def page_requirements(model: Column, explorer: Column, coredata: Column, page_text: Column, central: Column, central_url: Column) -> Column:
-    """The requirement texts of a page's JSON, each with where it comes from; what the JSON lacks is taken from the page's text.
+def page_requirements(rows: DataFrame, model: Column, explorer: Column, coredata: Column, page_text: Column, central: Column, central_url: Column, name: str = "r") -> DataFrame:
+    """``rows`` with a struct of the requirement texts of a page's JSON, each with where it comes from; what the JSON lacks is taken from the page's text.
 
-    model, explorer and coredata: JSON text (null where a file is missing).
+    model, explorer and coredata: JSON text (null where a file is missing). The files are parsed in a first step, their texts freed of markup in a
+    second, and chosen from in the next ones, so that nothing is worked out again for each text that it goes into.
     """
-    m, e, c = F.from_json(model, MODEL), F.from_json(explorer, EXPLORER), F.from_json(coredata, COREDATA)
-    items, content = m[":items"], e["content"]
-    admission, applying = content["course-admission-requirement-rte"]["summary"], content["course-applying-for-admission-rte"]["summary"]
+    own, col = fresh(rows), lambda x: F.col(f"{own}{x}")
+    files = rows.withColumns({f"{own}m": F.from_json(model, MODEL), f"{own}e": F.from_json(explorer, EXPLORER), f"{own}c": F.from_json(coredata, COREDATA)})
+    files = files.withColumns({f"{own}page": page_text, f"{own}central": F.coalesce(central, F.lit("")), f"{own}central_url": central_url})
+    items, content = col("m")[":items"], col("e")["content"]
     quality = [source["nd-qualifications-pg"][f] for source in (items, content) for f in ("description", "additionalText")]
-    academic = best_text(F.transform(F.array(admission, *quality), strip_html))
     how = content["course-how-to-apply"]
-    chunks = [items["nd-before-how-to-apply"]["description"], items["nd-submit-how-to-apply"]["customOpenText"], applying, how["intHowToApply"], how["intDateForSemester"]]
-    link = F.coalesce(m["link"], F.lit(""))
+    admission, applying, chances = (content[f"course-{x}-rte"]["summary"] for x in ("admission-requirement", "applying-for-admission", "opportunities"))
+    html = [admission, *quality, items["nd-before-how-to-apply"]["description"], items["nd-submit-how-to-apply"]["customOpenText"], applying, how["intHowToApply"], how["intDateForSemester"], chances]
+    asked = F.array_join(F.transform(first_year(col("c")), lambda r: r["description"]), " ")
+    texts = files.withColumns({
+        f"{own}texts": F.transform(F.array(*html), strip_html), f"{own}own": normal_text(asked), f"{own}link": F.coalesce(col("m")["link"], F.lit("")), f"{own}tests": structured_tests(col("c")),
+    })
+    text_at = lambda k: F.get(col("texts"), F.lit(k))
+    n = 1 + len(quality)
+    chosen = texts.withColumns({
+        f"{own}academic": best_text(F.slice(col("texts"), 1, n)),
+        f"{own}language": F.coalesce(blank_to_null(col("own")), blank_to_null(english_section(text_at(0))), col("central")),
+    })
+    more = application_sentences(F.array(col("academic"), text_at(len(html) - 1), text_at(n + 2)))
+    parts = F.filter(F.concat(F.slice(col("texts"), n + 1, 5), F.array(more)), lambda x: x != "")
+    joined = chosen.withColumn(f"{own}application", normal_text(F.array_join(parts, " ")))
+    link = col("link")
     beside = lambda suffix: F.when(link.endswith(".html"), F.concat(F.regexp_replace(link, r"\.html$", ""), F.lit(suffix))).otherwise(link)
-    own = normal_text(F.array_join(F.transform(first_year(c), lambda r: r["description"]), " "))
-    language = F.coalesce(blank_to_null(own), blank_to_null(english_section(strip_html(admission))), central, F.lit(""))
-
-    def of(text: Column) -> Column:
-        more = application_sentences(F.array(text, strip_html(content["course-opportunities-rte"]["summary"]), strip_html(applying)))
-        parts = F.filter(F.array(*map(strip_html, chunks), more), lambda x: x != "")
-
-        def with_application(application: Column) -> Column:
-            tests = structured_tests(c)
-            return F.struct(
-                F.coalesce(blank_to_null(text), fallback_academic(page_text)).alias("academic_text"), language.alias("language_text"),
-                F.coalesce(blank_to_null(application), fallback_application(page_text)).alias("application_text"), tests.alias("language_tests"),
-                normal_text(F.array_join(F.filter(F.array(text, application), lambda x: x != ""), " ")).alias("supplementary_text"),
-                beside(".coredata.json").alias("academic_source_url"), beside(".model.json").alias("application_source_url"),
-                F.when(link.endswith(".html") & (F.size(tests) > 0), beside(".explorer.json")).otherwise(F.when(F.coalesce(central, F.lit("")) != "", central_url).otherwise(link)).alias("language_source_url"),
-            )
-
-        return let(normal_text(F.array_join(parts, " ")), with_application)
-
-    return let(academic, of)
+    told = F.struct(
+        F.coalesce(blank_to_null(col("academic")), fallback_academic(col("page"))).alias("academic_text"), col("language").alias("language_text"),
+        F.coalesce(blank_to_null(col("application")), fallback_application(col("page"))).alias("application_text"), col("tests").alias("language_tests"),
+        normal_text(F.array_join(F.filter(F.array(col("academic"), col("application")), lambda x: x != ""), " ")).alias("supplementary_text"),
+        beside(".coredata.json").alias("academic_source_url"), beside(".model.json").alias("application_source_url"),
+        F.when(link.endswith(".html") & (F.size(col("tests")) > 0), beside(".explorer.json")).otherwise(F.when(col("central") != "", col("central_url")).otherwise(link)).alias("language_source_url"),
+    )
+    return joined.select(*(F.col(f"`{c}`") for c in rows.columns), told.alias(name))
 
 
 def requirement_details(tests: Column, pathways: Column, details: Column, metadata: Column, source_map: Column, notes: Column) -> Column:
@@ -226,19 +232,29 @@ def backfilled_parts(details: Column, min_band: Column) -> Column:
     return F.struct(*(F.when(has, F.coalesce(F.get_json_object(details, f"$.ielts_subscores.{p}").try_cast("double"), min_band)).alias(p) for p in PARTS))
 
 
-def dashboard_columns(source: Column, crawl_source: str, text: Column, tests: Column, details: Column, url: Column, limit: int = 140, labels: tuple[str, str] = ("官网爬取", "Excel / 原始导入")) -> dict[str, Column]:
-    """What a listing shows beside a course: where its data is from, short texts, and a column a flag."""
+#: Labels of the flags in a listing, in order.
+LISTING_FLAGS = {
+    "limited_places": "Limited places", "quota_applies": "Quota applies", "requires_portfolio": "Portfolio", "requires_personal_statement": "Personal statement", "requires_supplementary_form": "Supplementary form",
+    "requires_cv_or_resume": "CV/Resume", "requires_references": "References", "requires_work_experience": "Work experience",
+}
+
+
+def dashboard_columns(
+    source: Column, crawl_source: str, text: Column, tests: Column, details: Column, url: Column, rpl: Column | None = None, limit: int = 140, labels: tuple[str, str] = ("官网爬取", "Excel / 原始导入")
+) -> dict[str, Column]:
+    """What a listing shows beside a course: where its data is from, short texts, and a column a flag. rpl: whether earlier learning counts."""
     crawled = F.coalesce(source == crawl_source, F.lit(False))
-    clean = collapse(text)
-    shown = F.array_join(F.transform(tests, lambda t: F.concat_ws(" ", t["test_name"], t["overall"])), "; ")
-    flags = F.array_join(F.array_compact(F.array(*(F.when(F.coalesce(details[f], F.lit(False)), lab) for f, lab in FLAG_LABELS.items()))), ", ")
+    shown = F.array_join(F.transform(F.filter(tests, lambda t: F.coalesce(t["test_name"], F.lit("")) != ""), lambda t: F.concat_ws(" ", t["test_name"], blank_to_null(t["overall"]))), " | ")
+    flags = [F.when(F.coalesce(details[f], F.lit(False)), lab) for f, lab in LISTING_FLAGS.items()]
+    flags += [] if rpl is None else [F.when(rpl, "RPL / Credit")]
+    papers = F.filter(F.coalesce(details["required_documents"], F.array().cast("array<string>")), lambda d: d != "")
     return {
         "has_crawled_admissions": crawled,
         "admission_source_label": F.when(crawled, labels[0]).otherwise(labels[1]),
         "language_tests_display": shown,
-        "required_documents_display": F.array_join(dedupe_folded(F.coalesce(details["required_documents"], F.array().cast("array<string>"))), ", "),
-        "application_flags_display": flags,
-        "academic_summary": F.when(F.length(clean) > limit, F.concat(F.rtrim(F.substring(clean, 1, limit - 1)), F.lit("…"))).otherwise(clean),
+        "required_documents_display": F.array_join(papers, ", "),
+        "application_flags_display": F.array_join(F.array_compact(F.array(*flags)), ", "),
+        "academic_summary": trimmed(text, limit, "…"),
         "source_url_display": F.coalesce(url, F.lit("")),
         **{f: F.coalesce(details[f], F.lit(False)) for f in FLAGS},
     }

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from html.entities import html5
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -24,16 +25,59 @@ def collapse(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)\s+", " "))
 
 
-def unescape_common(text: Column) -> Column:
-    """The character references that the page tables hold; ``&amp;`` last, so that nothing is decoded twice."""
-    for name, char in (("&nbsp;", " "), ("&middot;", "·"), ("&copy;", "©"), ("&quot;", '"'), ("&lt;", "<"), ("&gt;", ">"), ("&#39;", "'"), ("&amp;", "&")):
-        text = F.replace(text, F.lit(name), F.lit(char))
-    return text
+#: Character references by name, with and without a semicolon, as HTML has them.
+NAMED = "\x01".join(f"{name}\x02{value}" for name, value in html5.items())
+BARE = {name: value for name, value in html5.items() if not name.endswith(";")}
+#: References that most texts hold; they are looked for before the table.
+OFTEN = {n: html5[n] for n in ("amp;", "nbsp;", "quot;")}
+#: Numbers that stand for another character: those of Windows-1252.
+OTHER_CHARACTER = {0: "\ufffd", 0x0D: "\r"} | {n: bytes([n]).decode("cp1252", "ignore") or chr(n) for n in range(0x80, 0xA0)}
+
+
+def numbered(digits: Column, base: int) -> Column:
+    """The character of a number in text."""
+    plain = F.regexp_replace(digits, "^0+(?=.)", "")
+    number = F.when(F.length(plain) <= 8, F.conv(plain, base, 10).cast("long")).otherwise(1 << 40)
+
+    def of(n: Column) -> Column:
+        other = F.str_to_map(F.lit("\x02".join(f"{k}\x03{v}" for k, v in OTHER_CHARACTER.items())), F.lit("\x02"), F.lit("\x03"))
+        out = F.when((n > 0x10FFFF) | n.between(0xD800, 0xDFFF), "\ufffd").when((n < 160) & F.map_contains_key(other, n.cast("string")), F.try_element_at(other, n.cast("string")))
+        none = n.between(1, 31) & ~n.isin(9, 10, 12, 13) | n.between(0x7F, 0x9F) | n.between(0xFDD0, 0xFDEF) | (n.bitwiseAND(F.lit(0xFFFE)) == 0xFFFE)
+        return out.when(none, "").otherwise(F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32"))
+
+    return let(number, of)
+
+
+def unescape(text: Column) -> Column:
+    """All character references decoded, once: named ones (also the old ones without a semicolon, the longest that fits) and numbers."""
+    table = F.str_to_map(F.lit(NAMED), F.lit("\x01"), F.lit("\x02"))
+    bare = F.str_to_map(F.lit("\x01".join(f"{k}\x02{v}" for k, v in BARE.items())), F.lit("\x01"), F.lit("\x02"))
+
+    def name(m: Column) -> Column:
+        out = F.when(m == "amp;", OFTEN["amp;"]).when(m == "nbsp;", OFTEN["nbsp;"]).when(m == "quot;", OFTEN["quot;"])
+        longest = F.get(F.filter(F.transform(F.sequence(F.least(F.length(m) - 1, F.lit(max(map(len, BARE)))), F.lit(2), F.lit(-1)), lambda n: F.substring(m, F.lit(1), n)), lambda x: F.map_contains_key(bare, x)), F.lit(0))
+        begun = let(longest, lambda x: F.when(x.isNotNull(), F.concat(F.element_at(bare, x), F.substring(m, F.length(x) + 1, F.length(m)))))
+        tail = F.coalesce(F.try_element_at(table, m), F.when(F.length(m) > 2, begun), F.concat(F.lit("&"), m))
+        return out.otherwise(tail)
+
+    def piece(p: Column) -> Column:
+        found = F.regexp_extract(p, "^(#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\\t\\n\\f <&#;]{1,32};?)", 1)
+
+        def decoded(m: Column) -> Column:
+            char = F.when(m.startswith("#x") | m.startswith("#X"), numbered(F.regexp_extract(m, "[0-9a-fA-F]+", 0), 16)).when(m.startswith("#"), numbered(F.regexp_extract(m, "[0-9]+", 0), 10)).otherwise(name(m))
+            return F.when(m == "", F.concat(F.lit("&"), p)).otherwise(F.concat(char, F.substring(p, F.length(m) + 1, F.length(p))))
+
+        return let(found, decoded)
+
+    def of(parts: Column) -> Column:
+        return F.concat(F.get(parts, F.lit(0)), F.array_join(F.transform(F.slice(parts, 2, F.greatest(F.size(parts), F.lit(1))), piece), ""))
+
+    return F.when(F.contains(text, F.lit("&")), let(F.split(text, "&"), of)).otherwise(text)
 
 
 def normal_text(text: Column) -> Column:
     """Page text: references decoded, white space collapsed, trimmed of spaces, dashes and colons."""
-    return F.btrim(F.regexp_replace(unescape_common(F.coalesce(text, F.lit(""))), r"(?U)\s+", " "), F.lit(TRIM))
+    return F.btrim(F.regexp_replace(unescape(F.coalesce(text, F.lit(""))), r"(?U)\s+", " "), F.lit(TRIM))
 
 
 def strip_html(html: Column) -> Column:
@@ -246,11 +290,16 @@ NOTES = ("limited places", "quota applies", "rolling basis", "approval and avail
 
 
 def application_details(text: Column) -> Column:
-    """struct of the flags, required_documents and selection_notes."""
-    low = F.lower(text)
-    documents = F.array_compact(F.array(*(F.when(low.contains(word), label) for word, label in DOCUMENTS.items())))
-    notes = F.array_compact(F.array(*(F.when(low.contains(m), sentence_around(text, m)) for m in NOTES)))
-    return F.struct(*(contains_any(low, words).alias(flag) for flag, words in FLAGS.items()), dedupe_folded(documents).alias("required_documents"), notes.alias("selection_notes"))
+    """struct of the flags, required_documents, selection_notes and raw_text, of the text as :func:`normal_text` gives it."""
+
+    def of(clean: Column) -> Column:
+        low = F.lower(clean)
+        documents = F.array_compact(F.array(*(F.when(low.contains(word), label) for word, label in DOCUMENTS.items())))
+        notes = F.array_compact(F.array(*(F.when(low.contains(m), sentence_around(clean, m)) for m in NOTES)))
+        flags = (contains_any(low, words).alias(flag) for flag, words in FLAGS.items())
+        return F.struct(*flags, dedupe_folded(documents).alias("required_documents"), notes.alias("selection_notes"), clean.alias("raw_text"))
+
+    return let(normal_text(text), of)
 
 
 #: Words of a sentence on admission, and the patterns of its signals in order.

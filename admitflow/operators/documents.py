@@ -9,16 +9,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from admitflow.functions.pages import LISTING_FLAGS
 from admitflow.functions.text import blank_to_null, collapse, contains_any, let, sentence_around, trimmed
 from admitflow.operators.rules import DEADLINE_WORDS, PARTS, PATHWAYS, deadline_phrase, strictest_band
 
 #: Fields of the application details that name a deadline, in order.
 DEADLINE_FIELDS = ("deadline", "application_deadline", "closing_date", "close_date")
-#: Labels of the flags in a listing, in order.
-LISTING_FLAGS = {
-    "limited_places": "Limited places", "quota_applies": "Quota applies", "requires_portfolio": "Portfolio", "requires_personal_statement": "Personal statement", "requires_supplementary_form": "Supplementary form",
-    "requires_cv_or_resume": "CV/Resume", "requires_references": "References", "requires_work_experience": "Work experience",
-}
 
 
 def document(text: Column) -> Column:

@@ -226,6 +226,15 @@ def cosine_clusters(vectors: DataFrame, queries: DataFrame, k: int = 10, cluster
     return cosine_top(vectors, queries, k, centres=fit_centres(vectors, clusters), probes=probes)
 
 
+#: The fewest and most hits of a search for browsing.
+LEAST_HITS, MOST_HITS = 3, 20
+
+
+def browse_search(vectors: DataFrame, queries: DataFrame, texts: DataFrame, k: int = 10, key: str = "vec_id") -> DataFrame:
+    """The nearest chunks of each query with the columns of ``texts`` (by ``key``); ``k`` is brought within LEAST_HITS and MOST_HITS. A hit without a text drops out."""
+    return cosine_top(vectors, queries, max(LEAST_HITS, min(MOST_HITS, k))).join(texts, key)
+
+
 def of_model(vectors: DataFrame, model: str) -> DataFrame:
     """The index rows of one embedding model; vectors of different models can't be compared."""
     return vectors.where(F.col("model") == model)

@@ -338,8 +338,8 @@ def crawled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def page_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = P.page_requirements(C("model"), C("explorer"), C("coredata"), C("page_text"), F.expr(CENTRAL), F.lit(f"{DOMAIN}english.html"))
-    return crawled(spark, sf_dir).select("course_id", found.alias("r"))
+    found = P.page_requirements(crawled(spark, sf_dir), C("model"), C("explorer"), C("coredata"), C("page_text"), F.expr(CENTRAL), F.lit(f"{DOMAIN}english.html"))
+    return found.select("course_id", "r")
 
 
 STRIP = lambda x: duck_text(f"regexp_replace(regexp_replace(regexp_replace(coalesce({x}, ''), '<br\\s*/?>', ' ', 'gi'), '</(?:p|div|li|h[1-6]|tr)>', chr(10), 'gi'), '<[^>]+>', ' ', 'g')")
@@ -445,13 +445,15 @@ def backfill_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""{WITH_COURSE} SELECT course_id, course_id % 2 = 0 AS has_crawled_admissions, CASE WHEN course_id % 2 = 0 THEN '官网爬取' ELSE 'Excel / 原始导入' END AS admission_source_label, CASE WHEN length(t) > 140 THEN concat(rtrim(substr(t, 1, 139)), '…') ELSE t END AS academic_summary,
+concat_ws(', ', CASE WHEN contains(lower(academic_text), 'limited places') THEN 'Limited places' END, CASE WHEN contains(lower(academic_text), 'quota applies') THEN 'Quota applies' END, CASE WHEN contains(lower(academic_text), 'portfolio') THEN 'Portfolio' END, CASE WHEN contains(lower(academic_text), 'cv') OR contains(lower(academic_text), 'resume') THEN 'CV/Resume' END, CASE WHEN contains(lower(academic_text), 'work experience') THEN 'Work experience' END, CASE WHEN course_id % 3 = 0 THEN 'RPL / Credit' END) AS application_flags_display,
+concat_ws(' | ', CASE WHEN contains(tests_text, 'IELTS Academic overall 6.5') THEN 'IELTS Academic 6.5' WHEN contains(tests_text, 'or IELTS 7') THEN 'IELTS Academic 7' END, CASE WHEN contains(tests_text, 'TOEFL iBT 90') THEN 'TOEFL iBT 90' END, CASE WHEN contains(tests_text, 'PTE Academic 61') THEN 'PTE Academic 61' END, CASE WHEN contains(tests_text, 'C1') THEN 'Cambridge C1 Advanced 185 | Cambridge C2 Proficiency 190' END) AS language_tests_display,
 contains(lower(academic_text), 'portfolio') AS requires_portfolio, contains(lower(academic_text), 'limited places') AS limited_places FROM (SELECT *, trim(regexp_replace(academic_text, '\\s+', ' ', 'g')) AS t FROM course)""")
 def dashboard_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A listing's columns beside a course."""
     rows = S.raw_courses(spark, sf_dir).withColumns({"d": T.application_details(C("academic_text")), "source": F.when(C("course_id") % 2 == 0, "crawl").otherwise("seed")})
     tests = P.tests_with_fallback(C("tests_text"), F.lit(None).cast("string"), F.lit(""), F.lit(""))
-    shown = rows.withColumns(P.dashboard_columns(C("source"), "crawl", C("academic_text"), tests, C("d"), F.lit(None).cast("string")))
-    return shown.select("course_id", "has_crawled_admissions", "admission_source_label", "academic_summary", "requires_portfolio", "limited_places")
+    shown = rows.withColumns(P.dashboard_columns(C("source"), "crawl", C("academic_text"), tests, C("d"), F.lit(None).cast("string"), C("course_id") % 3 == 0))
+    return shown.select("course_id", "has_crawled_admissions", "admission_source_label", "academic_summary", "application_flags_display", "language_tests_display", "requires_portfolio", "limited_places")
 
 
 def requirement_versions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -853,7 +855,15 @@ def cosine_index_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {TOP} SELECT top.query_id, top.vec_id, top.similarity, top.rank, d.source FROM top JOIN documents d ON d.doc_id = top.vec_id")
 def semantic_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hits with the source of their text; a hit without a document drops out."""
-    return cosine_topk(spark, sf_dir).join(read(spark, sf_dir, "documents").select(C("doc_id").alias("vec_id"), "source"), "vec_id")
+    texts = read(spark, sf_dir, "documents").select(C("doc_id").alias("vec_id"), "source")
+    return R.browse_search(read(spark, sf_dir, "embeddings").select("vec_id", "embedding"), vector_queries(spark, sf_dir), texts)
+
+
+@query(f"WITH {TOP} SELECT top.query_id, top.vec_id, top.rank FROM top JOIN documents d ON d.doc_id = top.vec_id WHERE rank <= 3")
+def semantic_search_least(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A search for one hit gives three, the fewest there are."""
+    texts = read(spark, sf_dir, "documents").select(C("doc_id").alias("vec_id"), "source")
+    return R.browse_search(read(spark, sf_dir, "embeddings").select("vec_id", "embedding"), vector_queries(spark, sf_dir), texts, k=1).select("query_id", "vec_id", "rank")
 
 
 SPEC_ROWS = (("it", ["computer", "data science"]), ("trade", ["commerce", "accounting", "business"]), ("arts", ["architecture"]))

@@ -174,3 +174,16 @@ def test_structured_requirements(spark):
     ]
     for none in (None, "{}", '{"attributes":{"entryRequirements":{"entryRequirementsByYear":[]}}}'):
         assert one(spark, none, lambda c: P.structured_tests(F.from_json(c, P.COREDATA))) == []
+
+
+def test_all_character_references(spark):
+    """As the standard library decodes them: every name with and without its semicolon, odd numbers, and what is no reference."""
+    import html
+    from html.entities import html5
+
+    odd = [0, 1, 8, 9, 11, 13, 31, 65, 127, 128, 129, 153, 159, 160, 0xD7FF, 0xD800, 0xDFFF, 0xFDD0, 0xFFFE, 0xFFFF, 0x1F600, 0x10FFFE, 0x10FFFF, 0x110000, 10**12]
+    texts = [f"a &{n} b&{n.rstrip(';')}x" for n in html5] + [f"&#{n};&#{n}z&#x{n:x};&#X{n:X} &#00{n};" for n in odd]
+    texts += ["", "&", "&&", "&;", "&#;", "&#x;", "&#xg", "a&b;c", "&notit; &notin; &amp;lt; &AMP &ampamp; AT&T &" + "n" * 40 + ";", "& amp;", "&\tlt;", "no reference"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, t string").repartition(4)
+    for r in rows.select("id", T.unescape(F.col("t")).alias("u")).collect():
+        assert r.u == html.unescape(texts[r.id]), texts[r.id]
