@@ -29,11 +29,13 @@ their own; an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from admitflow.llm.spans import clean, let, matches, replace_spans
-from admitflow.session import cut
+from admitflow.session import checkpoint_dir, cut
 
 MAX_ROUNDS, LONGER_FROM = 40, 4
 #: Entities with a later attempt that travel with the expressions; more are joined to the documents that have them.
@@ -323,7 +325,10 @@ def attempts(found: DataFrame, key: str) -> DataFrame:
 def pseudonymise(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text", max_later: int = MAX_LATER) -> DataFrame:
     """doc_id, text with surrogates, n_entities and kinds (in order of the text, comma-joined) of every document."""
     given = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("original"))
-    found = given.withColumn("entities", entities(clean(F.col("original"))))
+    # found once: texts and their entities are written, and read for the collisions (entities alone) and for the rewriting
+    path = f"{checkpoint_dir(docs.sparkSession)}/entities-{uuid.uuid4().hex}"
+    given.withColumn("entities", entities(clean(F.col("original")))).write.option("compression", "zstd").parquet(path)
+    found = docs.sparkSession.read.parquet(path)
     later = cut(attempts(found, key))
     few = later.limit(max_later + 1).collect()
     if len(few) <= max_later:
