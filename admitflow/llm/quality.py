@@ -19,6 +19,7 @@ from __future__ import annotations
 import time
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -111,8 +112,8 @@ class Measured:
         return self.rejected / max(self.cost, 1e-3)
 
 
-def measure_rules(sample: DataFrame, rules: tuple[Rule, ...] = RULES, runs: int = RUNS) -> list[Measured]:
-    """Each rule's seconds, less those of testing nothing, and share of rejections on the sample."""
+def measure_rules(sample: DataFrame, rules: tuple[Rule, ...] = RULES, runs: int = RUNS) -> tuple[list[Measured], dict[int, int]]:
+    """Each rule's seconds, less those of testing nothing, and share of rejections on the sample; and how many rows each set of rules rejects together (bit k for the k-th rule)."""
     sample = sample.cache()
     try:
         total = max(1, sample.count())
@@ -128,14 +129,31 @@ def measure_rules(sample: DataFrame, rules: tuple[Rule, ...] = RULES, runs: int
         seconds("n_words < 0")  # compiles and reads once, so that the first rule doesn't pay for it
         nothing = seconds("n_words < 0")[0]
         found = [(rule, *seconds(rule.rejects)) for rule in rules]
+        together = reduce(lambda a, x: a.bitwiseOR(x), (F.when(F.expr(r.rejects), 1 << k).otherwise(0) for k, r in enumerate(rules)), F.lit(0))
+        masks = {r["mask"]: r["n"] for r in sample.groupBy(together.alias("mask")).agg(F.count("*").alias("n")).collect()}
     finally:
         sample.unpersist()
-    return [Measured(rule, max(0.0, took - nothing), n / total) for rule, took, n in found]
+    return [Measured(rule, max(0.0, took - nothing), n / total) for rule, took, n in found], masks
 
 
-def order_rules(measured: list[Measured]) -> list[Rule]:
-    """Most rejection per cost first; ties keep the given order."""
-    return [x.rule for x in sorted(measured, key=lambda x: -x.rank)]
+def order_rules(measured: list[Measured], masks: dict[int, int] | None = None) -> list[Rule]:
+    """Most rejection per cost first; ties keep the given order.
+
+    With ``masks`` a rule counts with what it rejects of the rows that the rules before it have left, so one that only
+    rejects what another has rejected already comes last; without, each counts alone.
+    """
+    if masks is None:
+        return [x.rule for x in sorted(measured, key=lambda x: -x.rank)]
+    left, order = list(range(len(measured))), []
+    gone = 0
+    total = max(1, sum(masks.values()))
+    while left:
+        caught = {k: sum(n for m, n in masks.items() if m >> k & 1 and not m & gone) / total for k in left}  # noqa: B023
+        best = max(left, key=lambda k: Measured(measured[k].rule, measured[k].cost, caught[k]).rank)  # noqa: B023
+        order.append(measured[best].rule)
+        gone |= 1 << best
+        left.remove(best)
+    return order
 
 
 def cascade(rules: list[Rule]) -> Column:
@@ -152,7 +170,8 @@ BASE_FAILED = "n_words < 50 or 100 * n_repeat_words > 50 * n_words"
 def quality(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """doc_id, the base counts, base_failed, and kept: neither the base nor a rule rejects."""
     share = min(1.0, sample_rows / max(1, docs.count()))
-    order = order_rules(measure_rules(measures(docs.sample(share, SEED), id_col, text_col), rules))
+    # the cascade sees what the base leaves, so its rules are measured on that
+    order = order_rules(*measure_rules(measures(docs.sample(share, SEED), id_col, text_col).where(f"not ({BASE_FAILED})"), rules))
     judged = measures(docs, id_col, text_col).withColumn("base_failed", F.expr(BASE_FAILED))
     return judged.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",

@@ -59,10 +59,22 @@ def test_order_is_by_rejection_per_cost_and_leaves_the_verdict(spark):
     rules = [Rule(x, "false") for x in "abc"]
     assert [r.name for r in order_rules([Measured(rules[0], 1, 0.1), Measured(rules[1], 1, 0.5), Measured(rules[2], 0.1, 0.2)])] == ["c", "b", "a"]
     docs = spark.createDataFrame([(i, f"w{i} *** && a b") for i in range(30)], "doc_id long, text string")
-    assert len(measure_rules(measures(docs))) == len(RULES)
+    assert len(measure_rules(measures(docs))[0]) == len(RULES)
     assert quality(docs).exceptAll(quality(docs, tuple(reversed(RULES)))).count() == 0
 
 
+def test_order_counts_what_is_left(spark):
+    """By data: b rejects most, c only rows of b's, so c comes last although it rejects more than a."""
+    rules = tuple(Rule(*x) for x in (("a", "n_words % 10 = 3"), ("b", "n_words % 10 < 3"), ("c", "n_words % 10 < 2")))
+    docs = spark.createDataFrame([(i, "w " * (60 + i)) for i in range(40)], "doc_id long, text string")
+    measured, masks = measure_rules(measures(docs), rules)
+    assert [m.rejected for m in measured] == [0.1, 0.3, 0.2] and masks == {0: 24, 1: 4, 2: 4, 6: 8}
+    even = [Measured(m.rule, 1.0, m.rejected) for m in measured]
+    assert [r.name for r in order_rules(even, masks)] == ["b", "a", "c"] and [r.name for r in order_rules(even)] == ["b", "c", "a"]
+    dear = [Measured(m.rule, 1.0 if m.rule.name != "b" else 10.0, m.rejected) for m in measured]
+    assert [r.name for r in order_rules(dear, masks)] == ["c", "a", "b"]
+
+
 def test_whole_table(spark, sf_dir):
     docs = read(spark, sf_dir, "documents")
     check([(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()], quality(docs).collect())
