@@ -162,12 +162,18 @@ def sentence_chunks(rows: DataFrame, key: str, size: int = 1200, overlap: int =
 
 
 def is_current(chunks: DataFrame, index: DataFrame, key: str, model: str) -> DataFrame:
-    """(key, current): every expected chunk is in the index with its hash, model and vector, and the index has no other of the key."""
-    want = chunks.select(key, "id", "content_hash", F.lit(True).alias("wanted"))
-    have = index.select(F.col(key).alias("have_key"), F.col("id").alias("have_id"), F.col("content_hash").alias("have_hash"), "model", F.col("embedding").isNotNull().alias("embedded"))
-    joined = want.join(have, (F.col(key) == F.col("have_key")) & (F.col("id") == F.col("have_id")), "full_outer")
-    good = F.coalesce((F.col("content_hash") == F.col("have_hash")) & (F.col("model") == model) & F.col("embedded"), F.lit(False))
-    return joined.groupBy(F.coalesce(F.col(key), F.col("have_key")).alias(key)).agg(F.bool_and(good).alias("current"))
+    """(key, current): every expected chunk is in the index with its hash, model and vector, and the index has no other of the key.
+
+    Both sides are grouped by the key alone, to the sets of (id, hash) of one document, and then joined by it: one shuffle a side,
+    none where both are bucketed by the key. A chunk without id is never current; rows without a key are of no document and left out.
+    """
+    pairs = F.sort_array(F.collect_set(F.struct("id", "content_hash")))
+    named = F.bool_and(F.col("id").isNotNull() & F.col("content_hash").isNotNull())
+    want = chunks.where(F.col(key).isNotNull()).groupBy(key).agg(pairs.alias("want"), named.alias("want_named"))
+    good = F.bool_and(F.coalesce((F.col("model") == model) & F.col("embedding").isNotNull(), F.lit(False)))
+    have = index.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("have_key")).agg(pairs.alias("have"), good.alias("good"))
+    same = F.coalesce((F.col("want") == F.col("have")) & F.col("want_named") & F.col("good"), F.lit(False))
+    return want.join(have, F.col(key) == F.col("have_key"), "full_outer").select(F.coalesce(F.col(key), F.col("have_key")).alias(key), same.alias("current"))
 
 
 def replace_chunks(index: DataFrame, new: DataFrame, key: str) -> DataFrame:

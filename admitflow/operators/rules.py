@@ -303,6 +303,10 @@ def gate_effects() -> Column:
     return F.array(*(c.effect() for c in gate()))
 
 
+#: What :func:`decide` gives.
+STATUSES = ("ELIGIBLE", "HIGH_RISK", "UNKNOWN", "PATHWAY_REQUIRED", "INELIGIBLE")
+
+
 def decide(effects: Column) -> Column:
     """The effects decide in this order: blocking, pathway, unknown, warning."""
     has = lambda e: F.array_contains(effects, e)

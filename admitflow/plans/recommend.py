@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from admitflow.functions.text import mapped, trimmed
 from admitflow.operators.browse import range_contains, ranges_overlap
 from admitflow.operators.retrieve import EVIDENCE, cosine_top, dedupe_evidence, keyword_evidence, keyword_top, match_reason, merge_hits
-from admitflow.operators.rules import PARTS, applicant_facts, course_facts, decide, gate_checks, gate_effects, major_words, minimum_average, missing_fields, reasons, requirement_summary, short, strictest_band, summary, with_facts
+from admitflow.operators.rules import PARTS, STATUSES, applicant_facts, course_facts, decide, gate_checks, gate_effects, major_words, minimum_average, missing_fields, reasons, requirement_summary, short, strictest_band, summary, with_facts
 from admitflow.session import cut
 
 #: Weights, band limits and what a plan takes.
 AVERAGE_WEIGHT, LANGUAGE_WEIGHT, REACH_BELOW, MATCH_TO, LEAST_RELEVANCE, PER_BAND = 0.7, 0.3, 0.95, 1.1, 0.05, 5
+BANDS = ("REACH", "MATCH", "SAFETY")
 
 #: Names of intakes in a request.
 INTAKES = {
@@ -204,3 +205,26 @@ def recommend(applicants: DataFrame, courses: DataFrame, n: int = PER_BAND, k: i
     """(plan of the eligible, all decisions with stage and reasons, if asked to tell them)."""
     pairs = candidates(applicants, courses, k, vectors, queries)
     return plan(judged(pairs, tell=False).where("status = 'ELIGIBLE'"), "applicant_id", "course_id", n), decisions(judged(pairs)) if tell else None
+
+
+def observed_counts() -> list[Column]:
+    """What a run tells of its pairs: how many, how many planned, of each status and each band."""
+    c = F.col
+    of = lambda name, values: [F.count_if(F.coalesce(c(name) == v, F.lit(False))).alias(v.lower()) for v in values]
+    planned = F.count_if(F.coalesce((c("status") == "ELIGIBLE") & c("exclusion").isNull(), F.lit(False)))
+    return [F.count("*").alias("candidates"), planned.alias("planned"), *of("status", STATUSES), *of("band", BANDS)]
+
+
+def recommend_to(folder: str, applicants: DataFrame, courses: DataFrame, n: int = PER_BAND, k: int = 30, vectors: DataFrame | None = None, queries: DataFrame | None = None) -> dict[str, int]:
+    """The plan and all decisions as Parquet under ``folder``, from pairs that are judged once, and the run's counts.
+
+    The counts are observed while the judged pairs are written, and the plan's rows while the plan is: no job of their own.
+    Written tables are read again, so a lost executor costs no judgement twice. Without a pair, all counts are 0.
+    """
+    spark = applicants.sparkSession
+    pairs, rows = Observation(), Observation()
+    judged(candidates(applicants, courses, k, vectors, queries)).observe(pairs, *observed_counts()).write.parquet(f"{folder}/judged")
+    known = spark.read.parquet(f"{folder}/judged")
+    plan(known.where("status = 'ELIGIBLE'"), "applicant_id", "course_id", n).observe(rows, F.count("*").alias("plan_rows")).write.parquet(f"{folder}/plan")
+    decisions(known).write.parquet(f"{folder}/decisions")
+    return pairs.get | rows.get

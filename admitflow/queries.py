@@ -18,6 +18,7 @@ from admitflow.operators import maintain as M
 from admitflow.operators import payload as V
 from admitflow.operators import retrieve as R
 from admitflow.operators import rules as G
+from admitflow.operators import stored as W
 from admitflow.operators import vector_index as X
 from admitflow.plans import recommend as K
 from admitflow.session import checkpoint_dir, read
@@ -194,6 +195,10 @@ def score_text_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.raw_courses(spark, sf_dir).select("course_id", T.parse_score_text(C("english_text")).alias("s")).select("course_id", "s.*")
 
 
+def quoted(pattern: str) -> str:
+    return pattern.replace("'", "''")
+
+
 def duck_text(x: str) -> str:
     for name, char in (("&nbsp;", " "), ("&middot;", "·"), ("&copy;", "©"), ("&quot;", '"'), ("&lt;", "<"), ("&gt;", ">"), ("&#39;", "''"), ("&amp;", "&")):
         x = f"replace({x}, '{name}', '{char}')"
@@ -252,7 +257,16 @@ def flag_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.raw_courses(spark, sf_dir).select("course_id", T.application_details(C("academic_text")).alias("d")).select("course_id", *(f"d.{f}" for f in T.FLAGS), joined("d.required_documents").alias("documents"))
 
 
-@query()
+# sentences by the line feeds that the collapsed text can't hold; the signals' patterns in their order
+SIGNAL_SQL = ", ".join("coalesce(" + ", ".join(f"nullif(regexp_extract(s, '(?i){quoted(p)}', 0), '')" for p in patterns) + f") AS {name}" for name, patterns in T.SIGNALS.items())
+TOPIC_SQL = "(" + " OR ".join(f"contains(lower(s), '{w}')" for w in T.PATHWAY_WORDS) + ")"
+PATHWAY_SQL = rf"""{WITH_COURSE}, t AS (SELECT course_id, regexp_replace({duck_text("coalesce(academic_text, '')")}, '(?i)\s+or\s+', '. OR ', 'g') AS marked FROM course),
+x AS (SELECT course_id, trim(unnest(string_split(regexp_replace(marked, '([.;])\s+', '\1' || chr(10), 'g'), chr(10))), ' ' || chr(10) || chr(9) || '-:') AS s FROM t),
+y AS (SELECT course_id, s AS summary, {SIGNAL_SQL}, 'OR' AS logic FROM x WHERE length(s) >= 24 AND NOT contains(lower(s), 'requirements for award') AND NOT contains(lower(s), 'credit points') AND {TOPIC_SQL})
+SELECT * FROM y WHERE coalesce({", ".join(T.SIGNALS)}) IS NOT NULL"""
+
+
+@query(PATHWAY_SQL)
 def pathway_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.raw_courses(spark, sf_dir).select("course_id", F.explode(T.academic_pathways(C("academic_text"))).alias("p")).select("course_id", "p.*")
 
@@ -789,6 +803,31 @@ def index_currency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.is_current(wanted_chunks(spark, sf_dir), stored_index(spark, sf_dir), "doc_id", "new")
 
 
+@query(f"{CHUNKS} SELECT DISTINCT doc_id, doc_id % 4 <> 0 AND doc_id % 3 <> 0 AS current FROM c")
+def index_currency_bucketed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As index_currency, of chunks and index in tables bucketed by document: nothing is shuffled once they are written."""
+    import uuid
+
+    name = f"run_{uuid.uuid4().hex}"
+    tables = {"wanted": wanted_chunks(spark, sf_dir), "stored": stored_index(spark, sf_dir)}
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    wanted, stored = (W.save_bucketed(rows, f"{kind}_{name}", "doc_id", n, f"{checkpoint_dir(spark)}/{kind}_{name}") for kind, rows in tables.items())
+    return I.is_current(wanted, stored, "doc_id", "new")
+
+
+@query(f"{CHUNKS} SELECT doc_id, count(*) AS n, CASE WHEN doc_id % 3 = 0 THEN 'new' WHEN doc_id % 4 = 0 THEN 'none' ELSE 'new' END AS model FROM c WHERE doc_id % 4 <> 0 OR doc_id % 3 = 0 GROUP BY 1, 3")
+def index_replace_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As index_replace, of an index stored in slots by document."""
+    import uuid
+
+    path = f"{checkpoint_dir(spark)}/index-{uuid.uuid4().hex}"
+    index = stored_index(spark, sf_dir)
+    W.save_slots(index, path, "doc_id", 16)
+    new = wanted_chunks(spark, sf_dir).where("doc_id % 3 = 0").withColumns({"model": F.lit("new"), "embedding": F.array(F.lit(1.0))}).select(*index.columns)
+    W.replace_in_slots(path, new, "doc_id", 16)
+    return spark.read.parquet(path).groupBy("doc_id", "model").agg(F.count("*").alias("n")).select("doc_id", "n", "model")
+
+
 @query(f"{CHUNKS} SELECT doc_id, count(*) AS n, CASE WHEN doc_id % 3 = 0 THEN 'new' WHEN doc_id % 4 = 0 THEN 'none' ELSE 'new' END AS model FROM c WHERE doc_id % 4 <> 0 OR doc_id % 3 = 0 GROUP BY 1, 3")
 def index_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = stored_index(spark, sf_dir)
@@ -998,7 +1037,7 @@ def gate_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decided(spark, sf_dir).select("applicant_id", "course_id", "status")
 
 
-STATUSES = ("ELIGIBLE", "HIGH_RISK", "UNKNOWN", "PATHWAY_REQUIRED", "INELIGIBLE")
+STATUSES = G.STATUSES
 
 
 @query(f"{CHECKED} SELECT applicant_id, count(*) AS total, " + ", ".join(f"count_if(status = '{s}') AS {s.lower()}" for s in STATUSES) + " FROM decided GROUP BY 1")
@@ -1104,3 +1143,15 @@ def recommend_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
 def response_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     planned = F.count_if((C("status") == "ELIGIBLE") & C("exclusion").isNull())
     return decided(spark, sf_dir).groupBy("applicant_id").agg(F.count("*").alias("candidates"), planned.alias("planned"), F.count_if(C("band") == "REACH").alias("reach"), F.count_if(C("band") == "MATCH").alias("match"), F.count_if(C("band") == "SAFETY").alias("safety"))
+
+
+@query(f"""{SCORED}, in_plan AS (SELECT 1 FROM banded WHERE status = 'ELIGIBLE' AND exclusion IS NULL AND band IS NOT NULL QUALIFY row_number() OVER (PARTITION BY applicant_id, band ORDER BY course_id) <= 5)
+SELECT count(*) AS candidates, count_if(status = 'ELIGIBLE' AND exclusion IS NULL) AS planned, {", ".join(f"count_if(coalesce(status, '') = '{v}') AS {v.lower()}" for v in ("ELIGIBLE", "HIGH_RISK", "UNKNOWN", "PATHWAY_REQUIRED", "INELIGIBLE"))},
+{", ".join(f"count_if(coalesce(band, '') = '{v}') AS {v.lower()}" for v in ("REACH", "MATCH", "SAFETY"))}, (SELECT count(*) FROM in_plan) AS plan_rows, count(*) AS decision_rows FROM banded""")
+def recommend_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts of a run that writes plan and decisions, observed on the way; the decisions are counted as written."""
+    import uuid
+
+    folder = f"{checkpoint_dir(spark)}/run-{uuid.uuid4().hex}"
+    counts = K.recommend_to(folder, applicants(spark, sf_dir), courses(spark, sf_dir))
+    return spark.read.parquet(f"{folder}/decisions").agg(*(F.lit(n).cast("long").alias(name) for name, n in counts.items()), F.count("*").alias("decision_rows"))

@@ -13,6 +13,7 @@ from admitflow.operators import index as I
 from admitflow.operators import link as L
 from admitflow.operators import maintain as M
 from admitflow.operators import retrieve as R
+from admitflow.operators import stored as W
 from admitflow.operators import vector_index as X
 from admitflow.session import read
 from admitflow.sources import tables as S
@@ -233,6 +234,55 @@ def test_currency(spark):
     assert {r.req: r.current for r in I.is_current(chunks, index, "req", "m").collect()} == {"r1": True, "r2": False, "r3": False}
 
 
+def test_currency_of_odd_rows(spark):
+    """Repeated rows are one, a chunk without id or vector is never current, rows without a key are left out."""
+    kind = "req string, id string, content_hash string"
+    chunks = spark.createDataFrame([("r1", "a", "h"), ("r1", "a", "h"), ("r2", None, "h"), ("r3", "a", "h"), ("r5", "a", "h"), (None, "a", "h")], kind)
+    index = spark.createDataFrame([("r1", "a", "h", "m", [1.0]), ("r1", "a", "h", "m", [1.0]), ("r2", None, "h", "m", [1.0]), ("r3", "a", "h", "m", None), ("r4", "a", "h", "m", [1.0]), ("r5", "a", "h", None, [1.0]), (None, "a", "h", "m", [1.0])], f"{kind}, model string, embedding array<double>")
+    assert {r.req: r.current for r in I.is_current(chunks, index, "req", "m").collect()} == {"r1": True, "r2": False, "r3": False, "r4": False, "r5": False}
+    assert I.is_current(chunks.where("false"), index.where("false"), "req", "m").count() == 0
+
+
+def test_bucketed_currency_shuffles_nothing(spark, tmp_path):
+    rows = spark.range(0, 3000).selectExpr("id % 200 AS req", "cast(id AS string) AS id", "sha2(cast(id AS string), 256) AS content_hash")
+    stored = rows.where("req % 3 > 0 or id > 2500").withColumns({"model": F.lit("m"), "embedding": F.array(F.lit(1.0))})
+    a, b = W.save_bucketed(rows, "wanted_rows", "req", 6, f"{tmp_path}/a"), W.save_bucketed(stored, "stored_rows", "req", 6, f"{tmp_path}/b")
+    try:
+        assert len(list(Path(f"{tmp_path}/a").glob("*.parquet"))) <= 6
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+        got = I.is_current(a, b, "req", "m")
+        found = {tuple(r) for r in got.collect()}
+        assert found == {tuple(r) for r in I.is_current(rows, stored, "req", "m").collect()} and {c for _, c in found} == {True, False}
+        assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        for t in ("wanted_rows", "stored_rows"):
+            spark.sql(f"DROP TABLE {t}")
+
+
+def test_replacement_rewrites_touched_slots_only(spark, tmp_path):
+    path = f"{tmp_path}/index"
+    rows = spark.range(0, 1000).selectExpr("id % 100 AS parent", "id AS child", "cast(null AS string) AS note").unionByName(spark.sql("SELECT cast(null AS long) AS parent, -1L AS child, 'none' AS note"))
+    W.save_slots(rows, path, "parent", 16)
+    files = lambda: {p.parent.name: sorted(x.name for x in p.parent.glob("*.parquet")) for p in Path(path).glob("slot=*/*.parquet")}
+    before = files()
+    new = spark.createDataFrame([(7, 5000, "a"), (7, 5001, None), (1234, 5002, "b")], "parent long, child long, note string")
+    touched = W.replace_in_slots(path, new, "parent", 16)
+    after = files()
+    assert 1 <= len(touched) <= 2 and {k for k in after if after[k] != before.get(k)} == {f"slot={s}" for s in touched}
+    want = M.replace_children(rows, new, "parent")
+    assert sorted(map(tuple, spark.read.parquet(path).select(*rows.columns).collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr)
+    assert W.replace_in_slots(path, new.where("false"), "parent", 16) == [] and files() == after
+
+
+def test_run_counts_without_pairs(spark, sf_dir, tmp_path):
+    from admitflow.plans import recommend as K
+    from admitflow.queries import applicants, courses
+
+    got = K.recommend_to(f"{tmp_path}/run", applicants(spark, sf_dir).where("false"), courses(spark, sf_dir))
+    assert set(got.values()) == {0} and spark.read.parquet(f"{tmp_path}/run/plan").count() == 0
+
+
 def test_cosine_blocks_agree_and_cluster_recall(spark, sf_dir):
     vectors = read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     queries = vectors.where("vec_id % 10 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
