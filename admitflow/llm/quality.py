@@ -170,8 +170,13 @@ BASE_FAILED = "n_words < 50 or 100 * n_repeat_words > 50 * n_words"
 def quality(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """doc_id, the base counts, base_failed, and kept: neither the base nor a rule rejects."""
     share = min(1.0, sample_rows / max(1, docs.count()))
-    # the cascade sees what the base leaves, so its rules are measured on that
-    order = order_rules(*measure_rules(measures(docs.sample(share, SEED), id_col, text_col).where(f"not ({BASE_FAILED})"), rules))
+    # the cascade sees what the base leaves, so its rules are measured on that; the sample's counts are kept before the base
+    # is asked, as a filter right on them would be pushed below and split a text anew for each of its words
+    sample = measures(docs.sample(share, SEED), id_col, text_col).cache()
+    try:
+        order = order_rules(*measure_rules(sample.where(f"not ({BASE_FAILED})"), rules))
+    finally:
+        sample.unpersist()
     judged = measures(docs, id_col, text_col).withColumn("base_failed", F.expr(BASE_FAILED))
     return judged.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
