@@ -7,13 +7,15 @@ per token, calibrated to the wanted number of tokens. Probabilities stop at 1;
 what a cell lacks by that is its documents' ``weight`` (1 elsewhere), so that
 weighted tokens meet the targets.
 
-Topics are groups of terms that stand in the same documents. On a sample of
-about ``SAMPLE_ROWS`` rows, spread over the whole table, the ``TERMS`` most frequent
-terms that stand in RARE to COMMON of the documents get a vector each: how often
-they stand beside each of the others. Spherical k-means on these vectors (they
+Topics are groups of terms that stand in the same documents. Counted over all rows
+of the table, the ``TERMS`` most frequent terms that stand in RARE to COMMON of the
+documents get a vector each: how often they stand beside each of the others, again
+in all rows. Spherical k-means on these vectors (they
 are at most TERMS x TERMS numbers) gives ``TOPICS`` centroids; a topic is named by
 its most frequent term. A document has the topic whose terms weigh most in it
-(each by how rare it is). A column can take its place.
+(each by how rare it is). A column can take its place. Each text is read for the counts
+of all terms, then once more, when the places of its frequent ones are written beside the rows
+(Parquet, in the shared checkpoint folder); pairs and topics come from these.
 
 Targets that aren't given are the marginals of the cells' shares to the power
 ``FLATTEN``: so they agree with each other, and the cells that there are can always
@@ -33,19 +35,23 @@ gives no rows; other columns pass, those named as a result are replaced.
 from __future__ import annotations
 
 import math
+import uuid
 import warnings
+import zlib
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from admitflow.llm.spans import let
-from admitflow.session import cut, fresh
+from admitflow.session import checkpoint_dir, cut, fresh
 
 FLATTEN, SHARE_OF_TOKENS, SEED = 0.5, 0.5, 17
 TOLERANCE, ROUNDS_A_CHECK, ROUNDS_A_CUT, LEAST_PROGRESS = 1e-5, 48, 1, 0.01
-#: Topics, terms that they are made of at most, expected rows of the sample that these are taken from, and the shares of documents that they lie between.
-TOPICS, TERMS, SAMPLE_ROWS, RARE, COMMON = 12, 400, 4000, 0.004, 0.3
+#: Topics, terms that they are made of at most, and the shares of documents that these lie between.
+TOPICS, TERMS, RARE, COMMON = 12, 400, 0.004, 0.3
+#: Small maps that the frequent terms are looked up in, by checksum.
+TERM_MAPS = 512
 #: Cells of at most this number are raked as arrays of one row and broadcast; more are dealt and joined by shuffling.
 MAX_SMALL_CELLS = 20_000
 DIMS = ("source", "lang", "topic")
@@ -64,28 +70,52 @@ def terms(text: Column) -> Column:
 Topics = dict[str, tuple[str, float]]
 
 
-def fit_topics(docs: DataFrame, text_col: str = "text", n: int = TOPICS, most: int = TERMS, sample_rows: int = SAMPLE_ROWS, seed: int = SEED) -> Topics:
-    """term: (topic, weight), of the sample's terms."""
-    texts = docs.select(F.col(text_col).cast("string").alias("text"))
-    found = cut(texts.sample(min(1.0, sample_rows / max(1, texts.count())), seed).select(F.array_distinct(terms(F.col("text"))).alias("terms")))
-    rows = found.count()
-    df = found.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n"))
+def frequent_terms(docs: DataFrame, text_col: str = "text", most: int = TERMS) -> tuple[dict[str, int], int]:
+    """The number of rows of each of the ``most`` frequent terms between RARE and COMMON, by falling number, and the number of all rows."""
+    rows = docs.count()
+    df = docs.select(F.explode(F.array_distinct(terms(F.col(text_col)))).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
     top = df.where((F.col("n") > 1) & (F.col("n") >= RARE * rows) & (F.col("n") <= COMMON * rows)).orderBy(F.desc("n"), "term").limit(most)
-    many = {r["term"]: r["n"] for r in top.collect()}
-    if not many:
-        return {}
-    own = found.select(F.filter("terms", lambda w: w.isin(list(many))).alias("terms"))
-    pairs = own.select(F.explode("terms").alias("a"), "terms").select("a", F.explode("terms").alias("b")).groupBy("a", "b").agg(F.count("*").alias("n")).collect()
-    beside: dict[str, dict[str, float]] = {}
-    for r in pairs:
-        beside.setdefault(r["a"], {})[r["b"]] = r["n"] / math.sqrt(many[r["a"]] * many[r["b"]])
-    group = cluster(list(many), beside, n)
+    return {r["term"]: r["n"] for r in top.collect()}, rows
+
+
+def places(text: Column, names: list[str]) -> Column:
+    """The places in ``names`` of the text's terms that are there, in the text's order, repeats included."""
+    maps: list[list[Column]] = [[] for _ in range(TERM_MAPS)]
+    for k, name in enumerate(names):
+        maps[zlib.crc32(name.encode()) % TERM_MAPS] += [F.lit(name), F.lit(k)]
+    table = F.array(*(F.create_map(*m) if m else F.create_map(F.lit(""), F.lit(-1)) for m in maps))
+    known = F.filter(terms(text), lambda w: w.isin(names))
+    return F.transform(known, lambda w: F.element_at(F.get(table, F.pmod(F.crc32(w), F.lit(TERM_MAPS)).cast("int")), w))
+
+
+def pair_counts(found: DataFrame) -> DataFrame:
+    """(a, b, n): the rows whose ``places`` hold both a and b, a < b."""
+    own = found.select(F.sort_array(F.array_distinct("places")).alias("own"))
+    first = own.select(F.posexplode("own").alias("at", "a"), "own")
+    pairs = first.select("a", F.explode(F.slice("own", F.col("at") + 2, F.size("own"))).alias("b"))
+    return pairs.groupBy("a", "b").agg(F.count("*").alias("n"))
+
+
+def group_terms(found: DataFrame, many: dict[str, int], rows: int, n: int = TOPICS) -> Topics:
+    """term: (topic, weight). found: the ``places`` of every row among ``many``."""
+    names = list(many)
+    beside = {t: {t: 1.0} for t in names}
+    for r in pair_counts(found).orderBy("a", "b").collect():
+        a, b = names[r["a"]], names[r["b"]]
+        beside[a][b] = beside[b][a] = r["n"] / math.sqrt(many[a] * many[b])
+    group = cluster(names, beside, n)
     name: dict[int, str] = {}
-    for term in many:  # by frequency
+    for term in names:  # by frequency
         name.setdefault(group[term], term)
     return {t: (name[group[t]], math.log(rows / k)) for t, k in many.items()}
 
 
+def fit_topics(docs: DataFrame, text_col: str = "text", n: int = TOPICS, most: int = TERMS) -> Topics:
+    """term: (topic, weight), of the terms of all rows."""
+    many, rows = frequent_terms(docs, text_col, most)
+    return group_terms(docs.select(places(F.col(text_col), list(many)).alias("places")), many, rows, n) if many else {}
+
+
 def cluster(names: list[str], vectors: dict[str, dict[str, float]], n: int, rounds: int = 10) -> dict[str, int]:
     """Spherical k-means of sparse vectors into at most ``n`` groups. It begins with the first name and, in turn, the name least like the ones begun with (the earliest of those)."""
 
@@ -117,18 +147,21 @@ def cluster(names: list[str], vectors: dict[str, dict[str, float]], n: int, roun
     return own
 
 
-def topic(text: Column, known: Topics) -> Column:
-    """The topic whose terms weigh most in the text (the last by name of several); null without any term."""
-    if not known:
-        return F.lit(None).cast("string")
-    pairs = F.create_map(*[F.lit(x) for term, (name, weight) in known.items() for x in (term, F.struct(F.lit(name).alias("topic"), F.lit(weight).alias("weight")))])
-    found = F.transform(F.filter(terms(text), lambda w: w.isin(list(known))), lambda w: F.element_at(pairs, w))
+def topic_at(found: Column, known: Topics) -> Column:
+    """The topic whose terms weigh most among ``found``, the places in ``known`` (the last by name of several); null without any."""
+    names, weights = (F.array(*(F.lit(v[k]) for v in known.values())) for k in (0, 1))
+    each = F.transform(found, lambda i: F.struct(F.get(names, i).alias("topic"), F.get(weights, i).alias("weight")))
 
     def heaviest(own: Column) -> Column:
         sums = F.transform(F.array_distinct(own["topic"]), lambda t: F.struct(F.aggregate(own, F.lit(0.0), lambda acc, x: acc + F.when(x["topic"] == t, x["weight"]).otherwise(0.0)).alias("weight"), t.alias("topic")))
         return F.when(F.size(own) > 0, F.array_max(sums)["topic"])
 
-    return let(found, heaviest)
+    return let(each, heaviest)
+
+
+def topic(text: Column, known: Topics) -> Column:
+    """The topic whose terms weigh most in the text; null without any term."""
+    return topic_at(places(text, list(known)), known) if known else F.lit(None).cast("string")
 
 
 def rounds_at_once(cells: DataFrame, dims: tuple[str, ...], rounds: int) -> DataFrame:
@@ -233,11 +266,20 @@ def mix(
     strict: bool = False,
 ) -> DataFrame:
     """``docs`` with (or with new) mix_source, mix_lang, mix_topic, mix_tokens, mix_probability, mix_weight and mix_sampled."""
-    named = {"source": F.col(source_col), "lang": F.col(lang_col), "topic": topic(F.col(text_col), fit_topics(docs, text_col)) if topic_of is None else topic_of}
     own = fresh(docs)
     made = [*(f"mix_{d}" for d in DIMS), "mix_tokens", "mix_probability", "mix_weight", "mix_sampled"]
     rest = [c for c in docs.columns if c.lower() not in made]
-    given = docs.select(*(f"`{c}`" for c in rest), F.col(id_col).cast("string").alias(f"{own}id"), *(F.coalesce(c.cast("string"), F.lit("unknown")).alias(f"mix_{d}") for d, c in named.items()), tokens(F.col(text_col)).alias("mix_tokens"))
+    value = lambda c: F.coalesce(c.cast("string"), F.lit("unknown"))
+    kept = [*(f"`{c}`" for c in rest), F.col(id_col).cast("string").alias(f"{own}id"), value(F.col(source_col)).alias("mix_source"), value(F.col(lang_col)).alias("mix_lang"), tokens(F.col(text_col)).alias("mix_tokens")]
+    many, rows = frequent_terms(docs, text_col) if topic_of is None else ({}, 0)
+    if many:
+        path = f"{checkpoint_dir(docs.sparkSession)}/mixing-{uuid.uuid4().hex}"
+        docs.select(*kept, places(F.col(text_col), list(many)).alias(f"{own}places")).write.option("compression", "zstd").parquet(path)
+        given = docs.sparkSession.read.parquet(path)
+        found = F.col(f"{own}places")
+        given = given.withColumn("mix_topic", value(topic_at(found, group_terms(given.select(found.alias("places")), many, rows)))).drop(f"{own}places")
+    else:
+        given = docs.select(*kept, value(F.lit(None) if topic_of is None else topic_of).alias("mix_topic"))
     dims = tuple(f"mix_{d}" for d in DIMS)
     cells = given.groupBy(*dims).agg(F.sum("mix_tokens").alias("tokens"))
     fitted = rake(cells, dims, {f"mix_{d}": t for d, t in (targets or {}).items()}, flatten, small_cells, strict)

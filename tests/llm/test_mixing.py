@@ -1,8 +1,11 @@
+import math
+from collections import Counter
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from admitflow.llm.mixing import DIMS, fit_topics, mix, rake, topic
+from admitflow.llm.mixing import DIMS, fit_topics, frequent_terms, mix, pair_counts, places, rake, topic
 from admitflow.session import read
 
 SCHEMA = "doc_id long, text string, source string, lang string, share double, tokens string"
@@ -90,6 +93,22 @@ def test_topics_are_groups_of_terms(spark):
     assert all(got[i] == known[themes[i % 4][0]][0] for i in range(120)) and all(got[200 + i] == known[t[0]][0] for i, t in enumerate(themes)) and got[300] is None and got[301] is None
 
 
+def test_topics_are_counted_over_all_rows(spark):
+    """Counts of terms and of their pairs are those of the whole table, whatever its size."""
+    stems = ["alpha", "gamma", "delta", "theta", "kappa", "sigma", "omega"]
+    texts = [" ".join(s + "abcdefghi"[i // (k + 2) % 9] for k, s in enumerate(stems)) + " twice" * (2 * (i % 5 == 0)) for i in range(9001)] + [None, ""]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    found = [set((t or "").split()) for t in texts]
+    many = Counter(w for f in found for w in f)
+    known = fit_topics(docs, n=5)
+    assert {w: v[1] for w, v in known.items()} == {w: pytest.approx(math.log(len(texts) / k), rel=1e-12) for w, k in many.items()}
+    assert frequent_terms(docs) == ({w: many[w] for w in known}, len(texts))
+    names = list(known)
+    pairs = Counter((a, b) for f in found for a in f for b in f if names.index(a) < names.index(b))
+    got = pair_counts(docs.select(places(F.col("text"), names).alias("places"))).collect()
+    assert {(names[r.a], names[r.b]): r.n for r in got} == pairs
+
+
 def test_most_documents_have_a_topic(spark, sf_dir):
     got = mix(read(spark, sf_dir, "documents")).where("mix_tokens >= 50").groupBy().agg(F.avg(F.expr("if(mix_topic = 'unknown', 1, 0)")).alias("none"), F.countDistinct("mix_topic").alias("n")).first()
     assert got.none < 0.05 and got.n > 6
