@@ -76,6 +76,11 @@ def score_parts(gpa: Column, gpa_min: Column, overall: Column, need: Column) ->
     return F.struct(average.alias("average"), language.alias("language"), (AVERAGE_WEIGHT * average + LANGUAGE_WEIGHT * language).alias("score"))
 
 
+def told_score(score: Column) -> Column:
+    """To four places, ties of the scaled double to even (as the SQL's round_even); Spark's bround rounds the shortest decimal text instead, which may be a tie where the double isn't."""
+    return F.rint(score * 10_000) / 10_000
+
+
 def band_of(score: Column) -> Column:
     return F.when(score < REACH_BELOW, "REACH").when(score <= MATCH_TO, "MATCH").when(score.isNotNull(), "SAFETY")
 
@@ -197,7 +202,7 @@ def program_rows(planned: DataFrame) -> DataFrame:
     )
     return planned.select(
         "applicant_id", "course_id", "course_name", "band", "rank", F.coalesce(years, F.lit("")).alias("duration"), "intakes", "fee", needs.alias("ielts_requirement"), told.alias("academic_summary"),
-        F.bround("score", 4).alias("score"), why.alias("recommendation_reason"), evidence.alias("evidence"),
+        told_score(F.col("score")).alias("score"), why.alias("recommendation_reason"), evidence.alias("evidence"),
     )
 
 

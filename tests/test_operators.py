@@ -283,6 +283,18 @@ def test_run_counts_without_pairs(spark, sf_dir, tmp_path):
     assert set(got.values()) == {0} and spark.read.parquet(f"{tmp_path}/run/plan").count() == 0
 
 
+def test_told_scores_are_those_of_the_sql(spark):
+    """A score of 1.02625 is a little more as a double; all scores that averages and language results in the tables can give."""
+    import duckdb
+
+    from admitflow.plans import recommend as K
+
+    scores = {0.7 * (g / low) + 0.3 * (o / 2 / need) for g in range(60, 95) for low in (65.0, 75.0, 80.0, 87.0) for o in range(11, 18) for need in (5.5, 6.0, 6.5, 7.0, 7.5)} | {0.7 * (83.0 / 80.0) + 0.3}
+    want = dict(duckdb.execute("SELECT x, round_even(x, 4) FROM (SELECT unnest(?::DOUBLE[]) AS x)", [sorted(scores)]).fetchall())
+    got = {r.x: r.y for r in spark.createDataFrame([(x,) for x in scores], "x double").select("x", K.told_score(F.col("x")).alias("y")).collect()}
+    assert got == want and got[0.7 * (83.0 / 80.0) + 0.3] == 1.0263
+
+
 def test_cosine_blocks_agree_and_cluster_recall(spark, sf_dir):
     vectors = read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     queries = vectors.where("vec_id % 10 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
