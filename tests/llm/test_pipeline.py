@@ -109,3 +109,12 @@ def test_stages_on_odd_tables(spark, sf_dir):
     assert len({c.lower() for c in final.columns}) == len(final.columns)
     assert {r.doc_id for r in final.collect()} <= set(got)
     assert corpus_pipeline.STAGES[-1][1](spark, docs.limit(0), sf_dir).count() == 0
+
+
+def test_mixing_stage_counts_terms_over_all_rows(spark, sf_dir):
+    """A topic has the name of its most frequent term, be it by one row of 6,012."""
+    letters = "abcdefghijkl"
+    texts = [f"alpha{letters[i % 12] * 3} omega{letters[i % 12] * 3}" for i in range(6000)] + [f"omega{c * 3}" for c in letters]
+    docs = spark.createDataFrame([(i, t, "en", f"s{i % 2}") for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string")
+    got = corpus_pipeline.mixing(spark, docs, sf_dir).collect()
+    assert len(got) > 2000 and all(r.mix_topic == r.text.split()[-1] for r in got)
