@@ -5,10 +5,11 @@ falls back to the longest of its character n-grams that the model knows, from
 ``LONGEST`` characters down to one, with less weight for shorter ones.
 
 The classifier is fitted on a bounded sample: about ``sample_docs`` labelled
-documents of each language, taken by a hash of the id. The model holds at most
+documents of each language, taken by a hash of the id; where it is None, on all of
+them. The model holds at most
 ``MAX_MODEL`` entries (a term's count in a language), dealt evenly to languages
 and kinds, and at most ``max_entries`` of a kind in a language, the most frequent
-ones; the rest of the sample's terms back off as unseen words do. It is kept
+ones; the rest of the counted terms back off as unseen words do. It is kept
 sparse, so that is the size of its broadcast, whatever the number of languages.
 Every document is predicted from its whole text.
 
@@ -42,6 +43,8 @@ SAMPLE_DOCS, MAX_ENTRIES, MAX_MODEL, MAX_LANGS = 3000, 40_000, 4_000_000, 400
 REMEMBERED, CONFIDENT_WORDS = 4_000_000, 50
 #: Terms times languages of a kind that a task writes out at most (4 bytes each).
 DENSE = 4_000_000
+#: Parts that the terms of a kind in a language are first ranked in, where they come from all documents.
+PARTS = 64
 UNKNOWN = "und"
 
 
@@ -164,8 +167,8 @@ class Model:
         return langs, scores
 
 
-def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, max_entries: int = MAX_ENTRIES, max_model: int = MAX_MODEL, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
-    """Learns from text and lang of labelled documents outside the test fold."""
+def fit(docs: DataFrame, sample_docs: int | None = SAMPLE_DOCS, max_entries: int = MAX_ENTRIES, max_model: int = MAX_MODEL, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
+    """Learns from text and lang of labelled documents outside the test fold: about ``sample_docs`` of each language, or all where it is None."""
     known = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     known = known.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     sizes = known.groupBy("lang").count().limit(MAX_LANGS + 1).collect()  # one row a language
@@ -173,17 +176,21 @@ def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, max_entries: int = MAX_
         raise ValueError(f"over {MAX_LANGS} languages")
     if not sizes:
         return Model([], iter(()))
-    share = {r["lang"]: min(1.0, sample_docs / r["count"]) for r in sizes}
-    dealt = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / float(1 << 20)
-    wanted = F.create_map(*[F.lit(x) for pair in share.items() for x in pair])
-    sample = known.where(dealt < F.element_at(wanted, F.col("lang"))).select("text", "lang")
-    counts = sample.mapInPandas(count_terms, "lang string, kind int, term string, n long").groupBy("lang", "kind", "term").agg(F.sum("n").alias("n"))
+    if sample_docs is not None:
+        share = {r["lang"]: min(1.0, sample_docs / r["count"]) for r in sizes}
+        dealt = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / float(1 << 20)
+        wanted = F.create_map(*[F.lit(x) for pair in share.items() for x in pair])
+        known = known.where(dealt < F.element_at(wanted, F.col("lang")))
+    counts = known.select("text", "lang").mapInPandas(count_terms, "lang string, kind int, term string, n long").groupBy("lang", "kind", "term").agg(F.sum("n").alias("n"))
     max_entries = min(max_entries, max(1, max_model // (len(sizes) * (LONGEST + 1))))
-    top = Window.partitionBy("lang", "kind").orderBy(F.desc("n"), "term")
-    counts = counts.withColumn("rank", F.row_number().over(top)).where(F.col("rank") <= max_entries).drop("rank")
+    part = F.pmod(F.hash("term"), F.lit(PARTS))
+    # a term among the most frequent ones is also among those of its part, so no task ranks all terms of a language
+    for by in ([("lang", "kind", part)] if sample_docs is None else []) + [("lang", "kind")]:
+        top = Window.partitionBy(*by).orderBy(F.desc("n"), "term")
+        counts = counts.withColumn("rank", F.row_number().over(top)).where(F.col("rank") <= max_entries).drop("rank")
     table = counts.toArrow()
     by_kind = ((k, table.filter(pc.equal(table["kind"], k)).select(["lang", "term", "n"]).to_pandas()) for k in range(LONGEST + 1))
-    return Model(list(share), by_kind)
+    return Model([r["lang"] for r in sizes], by_kind)
 
 
 PREDICTED = "doc_id long, held_out boolean, lang_pred string, score double"

@@ -27,8 +27,8 @@ from admitflow.session import checkpoint_dir, read
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a recognised language go: null and empty texts, texts without letters, and those under half a chance."""
-    return keep_identified(docs)
+    """Documents without a recognised language go: null and empty texts, texts without letters, and those under half a chance. The classifier is fitted on all labelled ones outside the test fold."""
+    return keep_identified(docs, sample_docs=None)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

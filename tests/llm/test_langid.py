@@ -103,3 +103,17 @@ def test_many_languages_are_bounded(spark):
     sparse.full = {}
     for word in ("wordaa", "common", "worzz", "q", "commons"):
         assert np.allclose(model.word(word), sparse.word(word), atol=1e-4)
+
+
+def test_fit_on_all_documents(spark):
+    """Without a sample the model holds the counts of all labelled documents outside the test fold, the most frequent terms first."""
+    rng = random.Random(9)
+    rows = [(i, " ".join(f"w{chr(97 + rng.randrange(26))}{chr(97 + int(26 * rng.random() ** 2))}" for _ in range(3)), ["en", "de"][i % 2], 0) for i in range(9000)]
+    words = Counter((lang, w) for i, t, lang, _ in rows if zlib.crc32(str(i).encode()) % 5 for w in t.split())
+    docs = spark.createDataFrame(rows, SCHEMA)
+    for most in (40_000, 100):
+        ranked = {la: sorted((-n, w) for (x, w), n in words.items() if x == la)[:most] for la in ("de", "en")}
+        terms, first, lang, more, _ = fit(docs, sample_docs=None, max_entries=most).tables[0]
+        got = {(("de", "en")[lang[j]], w): more[j] for w, k in terms.items() for j in range(first[k], first[k + 1])}
+        assert got.keys() == {(la, w) for la, own in ranked.items() for _, w in own}
+        assert all(math.isclose(v, math.log((words[k] + 0.5) / 0.5), rel_tol=1e-5) for k, v in got.items())

@@ -1,4 +1,5 @@
 import random
+import zlib
 
 import corpus_pipeline
 from admitflow.llm.decontam import find, index
@@ -118,3 +119,10 @@ def test_mixing_stage_counts_terms_over_all_rows(spark, sf_dir):
     docs = spark.createDataFrame([(i, t, "en", f"s{i % 2}") for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string")
     got = corpus_pipeline.mixing(spark, docs, sf_dir).collect()
     assert len(got) > 2000 and all(r.mix_topic == r.text.split()[-1] for r in got)
+
+
+def test_language_stage_learns_from_all_documents(spark, sf_dir):
+    """A document of 3 x 4,000 in its own letters is known by them alone, if it was learned from."""
+    ids = [i for i in range(15_500) if zlib.crc32(str(i).encode()) % 5][:12_000]
+    docs = spark.createDataFrame([(i, f"{chr(0x4E00 + k)} " * 60, ["en", "de", "fr"][k % 3]) for k, i in enumerate(ids)], "doc_id long, text string, lang string")
+    assert {r.doc_id for r in corpus_pipeline.language_id(spark, docs, sf_dir).collect()} == set(ids)
