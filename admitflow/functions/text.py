@@ -80,11 +80,27 @@ def normal_text(text: Column) -> Column:
     return F.btrim(F.regexp_replace(unescape(F.coalesce(text, F.lit(""))), r"(?U)\s+", " "), F.lit(TRIM))
 
 
-def strip_html(html: Column) -> Column:
-    """Breaks to spaces, ends of blocks to line feeds, other tags to spaces, then :func:`normal_text`."""
+#: The references that SQL decodes, each with its semicolon, in this order; ``&amp;`` is last, so that nothing is decoded twice.
+COMMON = {"&nbsp;": " ", "&middot;": "·", "&copy;": "©", "&quot;": '"', "&lt;": "<", "&gt;": ">", "&#39;": "'", "&amp;": "&"}
+
+
+def common_text(text: Column) -> Column:
+    """:func:`normal_text` as SQL has it: the references of ``COMMON`` alone, and white space of ASCII."""
+    for reference, char in COMMON.items():
+        text = F.replace(text, F.lit(reference), F.lit(char))
+    return F.btrim(F.regexp_replace(text, r"[\t\n\f\r ]+", " "), F.lit(TRIM))
+
+
+def without_markup(html: Column) -> Column:
+    """Breaks to spaces, ends of blocks to line feeds, other tags to spaces."""
     text = F.regexp_replace(F.coalesce(html, F.lit("")), r"(?i)<br\s*/?>", " ")
     text = F.regexp_replace(text, r"(?i)</(?:p|div|li|h[1-6]|tr)>", "\n")
-    return normal_text(F.regexp_replace(text, "<[^>]+>", " "))
+    return F.regexp_replace(text, "<[^>]+>", " ")
+
+
+def strip_html(html: Column) -> Column:
+    """:func:`without_markup`, then :func:`normal_text`."""
+    return normal_text(without_markup(html))
 
 
 def canonical_url(url: Column) -> Column:

@@ -7,10 +7,12 @@ work grows with the data.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from admitflow.functions.text import canonical_number, collapse
+from admitflow.functions.text import canonical_number, canonical_url, collapse, normal_text, without_markup
 from admitflow.session import read
 
 
@@ -101,10 +103,9 @@ def clean_course_name(raw: Column) -> Column:
     return F.struct(name.alias("name"), raw.alias("raw"), F.when(name == "", "empty_course_name").alias("error"))
 
 
-def page_texts(pages: DataFrame) -> DataFrame:
-    from admitflow.functions.text import canonical_url, strip_html
-
-    return pages.select("page_id", canonical_url(F.col("url")).alias("url"), strip_html(F.col("html")).alias("text"))
+def page_texts(pages: DataFrame, normal: Callable[[Column], Column] = normal_text) -> DataFrame:
+    """Pages' addresses and texts; ``normal`` decodes and collapses a text freed of markup."""
+    return pages.select("page_id", canonical_url(F.col("url")).alias("url"), normal(without_markup(F.col("html"))).alias("text"))
 
 
 def by_position(rows: DataFrame, names: dict[str, str], within: int = 7) -> DataFrame:

@@ -377,3 +377,19 @@ def test_every_sort_puts_nulls_last(spark):
     assert got == {"name": [2, 1, 3], "name_desc": [3, 1, 2], "fee": [3, 1, 2], "fee_desc": [1, 3, 2], "duration": [1, 3, 2], "duration_desc": [3, 1, 2], "score": [1, 3, 2], "score_desc": [3, 1, 2]}
     flagged = spark.createDataFrame([(1, True, True), (2, True, None), (3, False, True)], "id int, a boolean, b boolean")
     assert [r.id for r in B.facets(flagged, flags=("a", "b")).collect()] == [1]
+
+
+def test_page_text_decodes_what_its_sql_does(spark, tmp_path):
+    """Cut and uncommon references stay, and only white space of ASCII is collapsed; the library's own texts decode all."""
+    import duckdb
+
+    from admitflow.queries import ORACLE, QUERIES
+
+    html = ["<title>a &amp;&amp</title><p>b</p>", "&quot x &copy &lt;b&gt; &amp;lt; &amp;amp;", "&euro; &#8217; &#39;q&#39; &NBSP; &hellip;", "a  b &nbsp; c  d\x0b\x0be", " - a<br\n/>b</LI>c : ", "&am<b>p;", "", None]
+    pages = spark.createDataFrame([(k, f"http://a.b/{k};p?q#f", x) for k, x in enumerate(html)], "page_id long, url string, html string")
+    pages.write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r.page_id: (r.url, r.text) for r in QUERIES["page_text"](spark, str(tmp_path)).collect()}
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    assert got == {r[0]: r[1:] for r in con.execute(ORACLE["page_text"]).fetchall()}
+    assert got[0][1] == "a &&amp b" and {r.page_id: r.text for r in S.page_texts(pages).collect()}[0] == "a && b"
