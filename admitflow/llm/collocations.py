@@ -8,20 +8,23 @@ those into words ``[^\\x20\\x09]+``; everything counts by language (null: und).
    of each phrase in it, so a phrase is *safe* to leave out if its own bucket, or
    that of any phrase inside it (Apriori), stays below ``least``. Blocks of text give
    their filled buckets as saturated bytes, which are added up by range of buckets.
-2. A second pass lists the phrases that are left, once a task. They are a little
-   more than the frequent phrases, and hold every part of each of them.
-3. The candidates are dealt into shards of a bounded size; each shard becomes a
-   double-array trie over words and is broadcast. A third pass lets numpy advance
-   the states of all positions of a text block at once, a word a level, and
-   counts accepting states by ``bincount``; the tasks' counts are added up.
-
-What tasks hand on is packed by range, so it is few rows, and grows with their texts.
-
-The buckets follow the size of the texts (one for 16 bytes) between 2**16 and 2**26 (``buckets``);
-beyond that they say less, so more candidates and shards come, with the same
-results. What is broadcast is the buckets' bits (at most 5 * 8 MB) and one shard
-(``shard_phrases`` candidates). Texts are read once for their size and three
-times for their words (once more for each further shard).
+2. A second pass takes from each position the longest phrase that is left, its
+   *window* (every shorter one that starts there is left as well), and the single
+   words. A task hands on each different one once, with its occurrences.
+3. Windows are dealt into shards by their first two words, so all that begin alike
+   meet. A shard puts the beginnings of its windows, which are its candidates, into
+   a double-array trie over words and lets numpy advance the states of all
+   windows at once, a word a level; accepting states add up the occurrences. Single
+   words, which more than one shard's windows begin with, are added up by themselves.
+
+So the texts are read once for their size and twice for their words, however many
+candidates there are, and tries are built side by side by the tasks that have
+their windows. What tasks hand on is packed by range or shard, so it is few rows, and grows
+with their texts; a shard is one of ``SHARDS`` or of as many as there are shuffle partitions.
+
+The buckets follow the size of the texts (``bucket_bits``): one for 16 bytes up to 2**26,
+and beyond 32 GB of text 2**27, as a bucket must hold fewer rare phrases than ``least`` to tell
+anything. What is broadcast is the buckets' bits (at most 5 * 16 MB).
 
 Defined results: null and empty texts have no words; a row's language is part of
 every count, and a literal language ``und`` is that of null; ties of the cut go
@@ -47,12 +50,14 @@ from admitflow.session import checkpoint_dir
 
 #: Words of the longest phrase.
 LONGEST = 5
-#: Candidates of a trie.
+#: Different windows that a task holds before it hands them on.
 SHARD_PHRASES = 500_000
 #: Bytes of text that a task takes at once, but for longer documents.
 BLOCK_BYTES = 6_000_000
-#: Buckets or candidates of a range, groups of a length's ranges that travel together, groups at most, and groups of the listed phrases.
-RANGE, GROUPS, PLACES, LISTS = 1 << 16, 32, 1 << 20, 256
+#: Buckets of a range, groups of a length's ranges that travel together, groups at most, and shards of the windows at least.
+RANGE, GROUPS, PLACES, SHARDS = 1 << 16, 32, 1 << 20, 256
+#: Parts of a language that are ranked side by side, and languages whose words are broadcast.
+RANKED, MOST_LANGS = 64, 100_000
 
 _BREAK, _SPACE = 10, 32
 _CHARS = np.array([c + 32 if 65 <= c <= 90 else _BREAK if chr(c) in ".,;:!?" or 10 <= c <= 13 else _SPACE if c == 9 else c for c in range(256)], np.uint8)
@@ -71,7 +76,9 @@ class Words:
         places = np.concatenate([[0], np.cumsum(ends - starts)]).astype(np.int32)
         found = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(places), pa.py_buffer(b[full])]).dictionary_encode()
         self.ids = np.asarray(found.indices)
-        self.values: list[bytes] = found.dictionary.to_pylist()
+        self.found = found.dictionary
+        # one text that is split again is several times as fast as a list of values
+        self.values: list[bytes] = pc.binary_join(pa.ListArray.from_arrays([0, len(self.found)], self.found), b"\n")[0].as_py().split(b"\n") if len(self.found) else []
         self.pieces = np.cumsum(b == _BREAK, dtype=np.int32)[starts]
 
     def __len__(self) -> int:
@@ -119,7 +126,7 @@ def parts_of(bits: int) -> int:
     return max(1, (1 << bits) // (RANGE * GROUPS))
 
 
-def _packed(kind: int, where: np.ndarray, n: np.ndarray, parts: int = 1) -> Iterator[pa.RecordBatch]:
+def _packed(kind: int, where: np.ndarray, n: np.ndarray, parts: int) -> Iterator[pa.RecordBatch]:
     """Numbers of places, a row for each group of ``parts`` ranges that has any: how many in each range, offsets of two bytes, then the numbers. They grow with the texts of a task, however many places there are."""
     if not len(where):
         return
@@ -130,11 +137,11 @@ def _packed(kind: int, where: np.ndarray, n: np.ndarray, parts: int = 1) -> Iter
     yield pa.RecordBatch.from_arrays([pa.array(kind * PLACES + group[cuts], pa.int64()), pa.array(data, pa.binary())], ["place", "data"])
 
 
-def _unpacked(data: bytes, kind: type, parts: int = 1) -> tuple[np.ndarray, np.ndarray]:
+def _unpacked(data: bytes, parts: int) -> tuple[np.ndarray, np.ndarray]:
     """Places within its group and numbers of a packed row."""
     many = np.frombuffer(data, "<u4", parts)
     size = int(many.sum())
-    return np.frombuffer(data, "<u2", size, 4 * parts) + np.repeat(np.arange(parts) * RANGE, many), np.frombuffer(data[4 * parts + 2 * size :], kind, size)
+    return np.frombuffer(data, "<u2", size, 4 * parts) + np.repeat(np.arange(parts) * RANGE, many), np.frombuffer(data[4 * parts + 2 * size :], np.uint8, size)
 
 
 def dealt(packed: DataFrame) -> DataFrame:
@@ -148,8 +155,8 @@ def _add_up(bits: int, least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, words in blocks(batches):
             for k, g in hashes(lang, words):
-                where, n = np.unique(_bucket(g[words.whole(k)], bits), return_counts=True)
-                yield from _packed(k - 1, where, np.minimum(n, least).astype(np.uint8), parts_of(bits))
+                where, n = np.unique(_bucket(g[words.whole(k)], bits).astype(np.uint32), return_counts=True)
+                yield from _packed(k - 1, where.astype(np.int64), np.minimum(n, least).astype(np.uint8), parts_of(bits))
 
     return run
 
@@ -161,7 +168,7 @@ def _total(bits: int, least: int):
         found: dict[int, np.ndarray] = {}
         for batch in batches:
             for place, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                where, n = _unpacked(data, np.uint8, parts_of(bits))
+                where, n = _unpacked(data, parts_of(bits))
                 sums = found.setdefault(place, np.zeros(RANGE * parts_of(bits), np.uint8))
                 sums[where] = np.minimum(sums[where] + n, least)
         full = {place: np.packbits(sums >= least).tobytes() for place, sums in found.items() if (sums >= least).any()}
@@ -171,74 +178,148 @@ def _total(bits: int, least: int):
 
 
 def full_buckets(rows: DataFrame, bits: int, least: int) -> np.ndarray:
-    """For each length a bit array (packed) of the buckets that hold ``least`` or more phrases; at most 5 * 2**26 bits come to the driver."""
+    """For each length a bit array (packed) of the buckets that hold ``least`` or more phrases; at most 5 * 2**27 bits come to the driver."""
     size = RANGE * parts_of(bits)
     ranges = np.zeros((LONGEST, max(1, (1 << bits) // size), size // 8), np.uint8)
     sums = dealt(rows.mapInArrow(_add_up(bits, least), "place bigint, data binary"))
-    for r in sums.mapInArrow(_total(bits, least), "place bigint, bits binary").toLocalIterator(prefetchPartitions=True):
+    for r in sums.mapInArrow(_total(bits, least), "place bigint, bits binary").collect():
         ranges[r.place // PLACES, r.place % PLACES] = np.frombuffer(r.bits, np.uint8)
     return ranges.reshape(LONGEST, -1)
 
 
-def _list(bits: int, full):
-    """The safe phrases of each task by range of their hash (language, tab, phrase; a line feed between them), each once where they fit, and the words of each language at place -1."""
+def windows(lang: str, words: Words, bits: int, full: np.ndarray) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
+    """(different phrases, a hash of their first two words, occurrences): all safe words, then the longest safe phrases of 2 words and more that start at a position."""
+    reach, good, begins = np.zeros(len(words), np.int8), None, []
+    for k, g in hashes(lang, words):
+        where = _bucket(g, bits)
+        hit = words.whole(k) & ((full[k - 1, where >> 3] >> (7 - (where & 7)).astype(np.uint8)) & 1).astype(bool)
+        good = hit if good is None else hit & good[:-1] & good[1:]
+        if not good.any():
+            break
+        reach[: len(good)] += good
+        if k <= 2:
+            begins.append(g)
+    size = len(words.values)
+    for m in range(1, LONGEST + 1):
+        at = np.flatnonzero(reach > 0 if m == 1 else reach == m)
+        if not len(at):
+            continue
+        if m == 1:
+            n, place = np.bincount(words.ids[at], minlength=size), np.zeros(size, np.int64)
+            place[words.ids[at]] = at
+            place, n = place[n > 0], n[n > 0]
+        else:
+            # exact numbers of the different phrases, made small again before they pass 64 bits
+            code, top = words.ids[at].astype(np.int64), size
+            for j in range(1, m):
+                if top * size >= 1 << 63:
+                    code = np.unique(code, return_inverse=True)[1]
+                    top = len(at)
+                code, top = code * size + words.ids[at + j], top * size
+            _, first, n = np.unique(code, return_index=True, return_counts=True)
+            place = at[first]
+        parts = [words.found.take(pa.array(words.ids[place + j])) for j in range(m)]
+        yield parts[0] if m == 1 else pc.binary_join_element_wise(*parts, b" "), begins[min(m, 2) - 1][place], n
+
+
+def _list(bits: int, full, shards: int, most: int):
+    """The windows of each task by shard and language, each once where they fit, as occurrences, offsets and bytes; and the words of each language in shard -1."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[bytes] = set()
         many: dict[str, int] = {}
-        waiting: dict[int, list[bytes]] = {}
+        waiting: list[pa.Table] = []
+
+        def rows(where: list[int], langs: list[str], sizes: list[int], data: list[bytes]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(where, pa.int64()), pa.array(langs, pa.string()), pa.array(sizes, pa.int64()), pa.array(data, pa.binary())], ["place", "lang", "size", "data"])
 
         def flush() -> Iterator[pa.RecordBatch]:
-            if waiting:
-                yield pa.RecordBatch.from_arrays([pa.array(list(waiting)), pa.array([b"\n".join(v) for v in waiting.values()], pa.binary())], ["place", "data"])
+            found = pa.concat_tables(waiting).group_by(["place", "phrase"], use_threads=False).aggregate([("n", "sum")])
             waiting.clear()
-            seen.clear()
+            found = found.take(np.argsort(found.column("place").to_numpy(), kind="stable")).combine_chunks()
+            place, n, phrase = found.column("place").to_numpy(), found.column("n_sum").to_numpy(), found.column("phrase").chunk(0)
+            offsets = np.frombuffer(phrase.buffers()[1], np.int32)[phrase.offset : phrase.offset + len(phrase) + 1]
+            cuts, text, langs = np.flatnonzero(np.diff(place, prepend=-1)), phrase.buffers()[2], list(many)
+            ends = [*cuts[1:], len(place)]
+            data = [n[at:end].tobytes() + (offsets[at : end + 1] - offsets[at]).tobytes() + text[offsets[at] : offsets[end]].to_pybytes() for at, end in zip(cuts, ends, strict=True)]
+            yield rows(place[cuts] % shards, [langs[k] for k in place[cuts] // shards], ends - cuts, data)
 
         for lang, words in blocks(batches):
             many[lang] = many.get(lang, 0) + len(words)
-            good, start = None, lang.encode() + b"\t"
-            for k, g in hashes(lang, words):
-                where = _bucket(g, bits)
-                hit = words.whole(k) & ((full.value[k - 1, where >> 3] >> (7 - (where & 7)).astype(np.uint8)) & 1).astype(bool)
-                good = hit if good is None else hit & good[:-1] & good[1:]
-                at = np.flatnonzero(good)
-                if not len(at):
-                    break
-                # exact numbers of the different phrases, a word at a time
-                code = words.ids[at].astype(np.int64)
-                for j in range(1, k):
-                    code = np.unique(code * len(words.values) + words.ids[at + j], return_inverse=True)[1]
-                for place in at[np.unique(code, return_index=True)[1]]:
-                    phrase = start + b" ".join([words.values[w] for w in words.ids[place : place + k]])
-                    if phrase not in seen:
-                        seen.add(phrase)
-                        waiting.setdefault(xxhash.xxh32_intdigest(phrase) % LISTS, []).append(phrase)
-            if len(seen) > SHARD_PHRASES:
+            mine = list(many).index(lang) * shards
+            for phrases, begin, n in windows(lang, words, bits, full.value):
+                waiting.append(pa.table({"place": mine + _bucket(begin, 32) % shards, "phrase": phrases, "n": n.astype(np.int64)}))
+            if sum(map(len, waiting)) > most:
                 yield from flush()
-        yield from flush()
+        if waiting:
+            yield from flush()
         if many:
-            yield pa.RecordBatch.from_arrays([pa.array([-1] * len(many)), pa.array([f"{n}\t{lang}".encode() for lang, n in many.items()], pa.binary())], ["place", "data"])
+            yield rows([-1] * len(many), list(many), [0] * len(many), [np.int64(n).tobytes() for n in many.values()])
 
     return run
 
 
-def _different(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(language, phrase, null) once each, and (language, null, words)."""
-    found: dict[int, set[bytes]] = {}
-    many: dict[str, int] = {}
-    for batch in batches:
-        for place, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            if place < 0:
-                n, lang = data.decode().split("\t", 1)
-                many[lang] = many.get(lang, 0) + int(n)
-            else:
-                found.setdefault(place, set()).update(data.split(b"\n"))
-    names = ["lang", "phrase", "n"]
-    for phrases in found.values():
-        pairs = [p.decode().rsplit("\t", 1) for p in phrases]
-        yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs]), pa.array([p[1] for p in pairs]), pa.nulls(len(pairs), pa.int64())], names)
-    if many:
-        yield pa.RecordBatch.from_arrays([pa.array(list(many)), pa.nulls(len(many), pa.string()), pa.array(list(many.values()), pa.int64())], names)
+def _unlisted(size: int, data: bytes) -> pa.Table:
+    buffer, at = pa.py_buffer(data), 8 * size
+    phrases = pa.Array.from_buffers(pa.binary(), size, [None, buffer.slice(at, 4 * (size + 1)), buffer.slice(at + 4 * (size + 1))])
+    return pa.table({"phrase": phrases, "n": np.frombuffer(data, np.int64, size)})
+
+
+def _shard(found: dict[str, list[pa.Table]], least: int) -> Iterator[pa.RecordBatch]:
+    """(language, phrase, count) of the phrases of a shard that reach ``least``."""
+    longer: dict[str, tuple[pa.Array, np.ndarray]] = {}
+    langs, begun = [], []
+    for lang, tables in found.items():
+        once = pa.concat_tables(tables).group_by("phrase", use_threads=False).aggregate([("n", "sum")]).combine_chunks()
+        phrase, n = once.column("phrase").chunk(0).cast(pa.string()), once.column("n_sum").to_numpy()
+        more = pc.match_substring(phrase, " ")
+        words = pc.and_(pc.invert(more), pa.array(n >= least))
+        yield _found(pa.array([lang] * pc.sum(words).as_py(), pa.string()), phrase.filter(words), n[words.to_numpy(zero_copy_only=False)])
+        phrase, n = phrase.filter(more), n[more.to_numpy(zero_copy_only=False)]
+        if len(phrase):
+            longer[lang] = phrase, n
+            split = pc.split_pattern(phrase, " ")
+            size = pc.list_value_length(split)
+            parts = [pc.binary_join(pc.list_slice(split.filter(pc.greater_equal(size, m)), 0, m), " ") for m in range(2, LONGEST + 1)]
+            begun.append(pc.unique(pa.concat_arrays(parts)))
+            langs += [lang] * len(begun[-1])
+    if not longer:
+        return
+    langs, begun = pa.array(langs, pa.string()), pa.concat_arrays(begun)
+    trie, counts = Trie(langs, begun), np.zeros(len(begun), np.int64)
+    for lang, (phrase, n) in longer.items():
+        trie.count(lang, Words(phrase), counts, n)
+    some = np.flatnonzero(counts >= least)
+    yield _found(langs.take(some), begun.take(some), counts[some])
+
+
+def _found(langs: pa.Array, phrases: pa.Array | None, numbers: np.ndarray) -> pa.RecordBatch:
+    """(language, phrase, its count, null), or (language, null, null, words)."""
+    nulls, numbers = pa.nulls(len(langs), pa.int64()), pa.array(numbers, pa.int64())
+    phrase = pa.nulls(len(langs), pa.string()) if phrases is None else phrases
+    return pa.RecordBatch.from_arrays([langs, phrase, *((nulls, numbers) if phrases is None else (numbers, nulls))], ["lang", "phrase", "a", "n"])
+
+
+def _count(least: int):
+    """The phrases that reach ``least`` of each shard, whose rows follow each other, and all words of each language."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        many: dict[str, int] = {}
+        found: dict[str, list[pa.Table]] = {}
+        last = None
+        for batch in batches:
+            for place, lang, size, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if place < 0:
+                    many[lang] = many.get(lang, 0) + int(np.frombuffer(data, np.int64)[0])
+                    continue
+                if place != last:
+                    yield from _shard(found, least)
+                    found, last = {}, place
+                found.setdefault(lang, []).append(_unlisted(size, data))
+        yield from _shard(found, least)
+        if many:
+            yield _found(pa.array(list(many)), None, np.array(list(many.values())))
+
+    return run
 
 
 class Trie:
@@ -332,52 +413,36 @@ class Trie:
         alive = inside & (self.check[np.where(inside, after, 0)] == states)
         return alive, after[alive]
 
-    def count(self, lang: str, words: Words, counts: np.ndarray) -> None:
-        """Adds the occurrences of the phrases in a block to ``counts``: the states of all positions advance a word a level."""
+    def count(self, lang: str, words: Words, counts: np.ndarray, times: np.ndarray | None = None) -> None:
+        """Adds the occurrences of the phrases in a block to ``counts``: the states of all positions advance a word a level.
+
+        With ``times``, a number for each piece, only phrases that start with a piece count, as often as that.
+        """
         if lang not in self.langs:
             return
         symbol = np.array([self.words.get(w, 0) for w in words.values], np.int64)[words.ids]
         _, start = self.step(np.zeros(1, np.int64), np.array([self.langs[lang]]))
-        places = np.arange(len(words))
-        states = np.full(len(words), start[0] if len(start) else -1)
+        places = np.arange(len(words)) if times is None else np.flatnonzero(np.diff(words.pieces, prepend=-1))
+        states = np.full(len(places), start[0] if len(start) else -1)
         for k in range(LONGEST):
             on = np.flatnonzero(places + k < len(words))
             on = on[words.pieces[places[on] + k] == words.pieces[places[on]]]
             alive, after = self.step(states[on], symbol[places[on] + k])
             places, states = places[on[alive]], after
+            if times is not None:
+                times = times[on[alive]]
             if not len(places):
                 break
             ends = self.accept[states]
-            counts += np.bincount(ends[ends >= 0], minlength=len(counts))
-
-
-def _count(trie, n: int):
-    """Counts of the candidates in a task's texts."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(n, np.int64)
-        for lang, words in blocks(batches):
-            trie.value.count(lang, words, counts)
-        some = np.flatnonzero(counts)
-        yield from _packed(0, some, counts[some])
-
-    return run
-
-
-def _sum(least: int):
-    """(candidate, count) of those that reach ``least``, of all rows of a range."""
+            if times is None:
+                counts += np.bincount(ends[ends >= 0], minlength=len(counts))
+            else:
+                np.add.at(counts, ends[ends >= 0], times[ends >= 0])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for place, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                where, n = _unpacked(data, np.int64)
-                found.setdefault(place, np.zeros(RANGE, np.int64))[where] += n
-        for place, sums in found.items():
-            some = np.flatnonzero(sums >= least)
-            yield pa.RecordBatch.from_arrays([pa.array(some + place * RANGE), pa.array(sums[some])], ["place", "a"])
 
-    return run
+def bucket_bits(size: int) -> int:
+    """Buckets of a length for so many bytes of text, as a power of two."""
+    return max(min(26, max(16, (size // 16).bit_length())), min(27, (size // 512).bit_length()))
 
 
 def frequent_phrases(docs: DataFrame, least: int = 100, text_col: str = "text", lang_col: str = "lang", buckets: int | None = None, shard_phrases: int = SHARD_PHRASES) -> DataFrame:
@@ -391,28 +456,18 @@ def frequent_phrases(docs: DataFrame, least: int = 100, text_col: str = "text",
     rows = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.col(text_col).cast("string").alias("text"))
     bits = buckets
     if bits is None:
-        size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-        bits = min(26, max(16, (size // 16).bit_length()))
+        bits = bucket_bits(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
     full = spark.sparkContext.broadcast(full_buckets(rows, bits, least))
+    shards = max(SHARDS, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    listed = dealt(rows.mapInArrow(_list(bits, full, shards, shard_phrases), "place bigint, lang string, size bigint, data binary"))
+    schema = "lang string, phrase string, a bigint, n bigint"
     folder = f"{checkpoint_dir(spark)}/phrases-{uuid.uuid4().hex}"
-    listed = dealt(rows.mapInArrow(_list(bits, full), "place bigint, data binary")).mapInArrow(_different, "lang string, phrase string, n bigint")
-    listed.write.parquet(f"{folder}/candidates")
-    listed = spark.read.parquet(f"{folder}/candidates")
-    totals = listed.where("phrase IS NULL").select("lang", "n")
-    candidates = listed.where("phrase IS NOT NULL").select("lang", "phrase")
-    shards = max(1, -(-2 * candidates.count() // shard_phrases) - 1)
-    shard = F.pmod(F.xxhash64("lang", "phrase"), F.lit(shards))
-    schema = "lang string, phrase string, a bigint"
-    for k in range(shards):
-        mine = (candidates.where(shard == k) if shards > 1 else candidates).toArrow().combine_chunks()
-        langs, phrases = (pa.concat_arrays(c.chunks) if c.num_chunks else pa.array([], pa.string()) for c in (mine.column(0), mine.column(1)))
-        trie = spark.sparkContext.broadcast(Trie(langs, phrases))
-        counted = dealt(rows.mapInArrow(_count(trie, len(phrases)), "place bigint, data binary")).mapInArrow(_sum(least), "place bigint, a bigint").toArrow()
-        place = counted.column(0).combine_chunks()
-        found = pa.table({"lang": langs.take(place), "phrase": phrases.take(place), "a": counted.column(1)}, schema=pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("a", pa.int64())]))
-        spark.createDataFrame(found).write.mode("append").parquet(f"{folder}/counts")
-        trie.destroy()
-    counts = spark.read.schema(schema).parquet(f"{folder}/counts")
+    listed.sortWithinPartitions("place").mapInArrow(_count(least), schema).write.parquet(folder)
+    found = spark.read.schema(schema).parquet(folder)
+    totals = found.where("phrase IS NULL").select("lang", "n")
+    counts = found.where("phrase IS NOT NULL").drop("n")
+    # dealt by language, all phrases would lie in as many tasks as there are languages
+    totals = F.broadcast(totals) if totals.count() <= MOST_LANGS else totals
     return counts.join(totals, "lang").select("lang", "phrase", F.size(F.split("phrase", " ")).cast("bigint").alias("m"), "a", "n")
 
 
@@ -436,6 +491,9 @@ def collocations(docs: DataFrame, least: int = 100, top: int = 2000, text_col: s
     cuts = cuts.join(counts.select("lang", F.col("phrase").alias("head"), F.col("a").alias("l")), ["lang", "head"]).join(counts.select("lang", F.col("phrase").alias("tail"), F.col("a").alias("r")), ["lang", "tail"])
     exact = F.expr("(CAST(a AS DECIMAL(19, 0)) * CAST(n AS DECIMAL(19, 0)) * 1000BD) div (CAST(l AS DECIMAL(19, 0)) * CAST(r AS DECIMAL(19, 0)))")
     best = cuts.groupBy("lang", "phrase", "a", "n").agg(F.min(F.struct(exact.alias("score"), "k", "l", "r")).alias("cut"))
-    order = Window.partitionBy("lang").orderBy(F.col("score").desc(), F.col("a").desc(), F.col("phrase"))
-    ranked = best.select("lang", "phrase", "a", F.col("cut.l").alias("l"), F.col("cut.r").alias("r"), "n", F.col("cut.score").alias("score")).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+    order = F.col("score").desc(), F.col("a").desc(), F.col("phrase")
+    ranked = best.select("lang", "phrase", "a", F.col("cut.l").alias("l"), F.col("cut.r").alias("r"), "n", F.col("cut.score").alias("score"))
+    # the first of each part of a language hold the first of all
+    for part in ([F.pmod(F.xxhash64("phrase"), F.lit(RANKED))], []):
+        ranked = ranked.withColumn("rank", F.row_number().over(Window.partitionBy("lang", *part).orderBy(*order))).where(F.col("rank") <= top)
     return ranked.select("lang", F.col("rank").cast("bigint").alias("rank"), "phrase", "a", "l", "r", "n", "score")

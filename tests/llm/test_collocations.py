@@ -96,3 +96,49 @@ def test_trie_holds_its_phrases_and_no_others():
         trie.count(lang, Words(pa.array([text, None, "z"]).fill_null("")), got)
         _, f = counts([(0, text, lang), (1, "z", lang)])
         assert got.tolist() == [f[lang, tuple(p.split())] if g == lang else 0 for g, p in zip(langs, phrases, strict=True)]
+
+
+def test_texts_are_read_twice_however_many_candidates(spark):
+    """The passes over the texts don't grow with the phrases that are counted."""
+    reads = spark.sparkContext.accumulator(0)
+    rows = [(i, t, lang, 1, "p") for i, t, lang in ROWS]
+
+    def seen(row):
+        reads.add(1)
+        return row
+
+    docs = spark.createDataFrame(spark.sparkContext.parallelize(rows, 3).map(seen), SCHEMA)
+    n, f = counts(ROWS)
+    for shard in (5, 500_000):
+        before = reads.value
+        found = {(r.lang, tuple(r.phrase.split(" "))): r.a for r in frequent_phrases(docs, 2, buckets=16, shard_phrases=shard).collect()}
+        assert found == {k: a for k, a in f.items() if a >= 2}
+        assert reads.value - before == 2 * len(rows)
+
+
+def test_windows_of_many_words():
+    """Numbers of phrases that pass 64 bits are still told apart: 5 of 8,000 different words."""
+    import numpy as np
+
+    from admitflow.llm.collocations import LONGEST, bucket_bits, windows
+
+    rng = np.random.default_rng(5)
+    pieces = [[f"w{x}" for x in rng.permutation(8000)] * 2] + [[f"w{x}" for x in rng.integers(0, 8000, 7)] for _ in range(300)]
+    full = np.full((LONGEST, 1 << 13), 255, np.uint8)
+    got = Counter()
+    for phrases, begin, n in windows("en", Words(pa.array([". ".join(" ".join(p) for p in pieces)])), 16, full):
+        assert len(phrases) == len(begin) == len(set(phrases.to_pylist()))
+        got.update(dict(zip(phrases.to_pylist(), n.tolist(), strict=True)))
+    want = Counter(w.encode() for p in pieces for w in p)
+    want.update(" ".join(p[i : i + LONGEST]).encode() for p in pieces for i in range(len(p) - 1))
+    assert got == want
+    assert [bucket_bits(x) for x in (0, 1 << 24, 1 << 30, 10 << 30, 52 << 30)] == [16, 21, 26, 26, 27]
+
+
+def test_counts_by_times():
+    """A trie counts a piece's beginnings as often as the piece is said to be there."""
+    import numpy as np
+
+    trie, got = Trie(pa.array(["x"] * 3), pa.array(["a b", "a b c", "b c"])), np.zeros(3, np.int64)
+    trie.count("x", Words(pa.array(["a b", "a b c d", "b c", "q"])), got, np.array([1 << 40, 5, 7, 9]))
+    assert got.tolist() == [(1 << 40) + 5, 5, 7]
